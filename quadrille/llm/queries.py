@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngram_join, urls
+from . import exact_dedup, mixing, ngram_join, quality, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": lambda s, d: ngram_join.linked(table(s, d, "documents"), ngram_join.Spec(n=4, percent=85)),
     "op3_exact_dedup": lambda s, d: exact_dedup.report(table(s, d, "documents")),
+    "op5_quality_rules": lambda s, d: quality.report(table(s, d, "documents"), table(s, d, "labels")),
     "op9_source_mix": lambda s, d: mixing.report(table(s, d, "documents")),
     "op10_url_filter": lambda s, d: urls.judge(table(s, d, "pages")),
 }
