@@ -55,8 +55,11 @@ class Words:
     text: np.ndarray
     first: np.ndarray  # of each text and one more
 
-    def hashes(self) -> np.ndarray:
-        """Of the words' bytes after A-Z are lower-cased; equal words have equal hashes wherever they stand."""
+    def hashes(self, most: int = 0) -> np.ndarray:
+        """Of the words' bytes after A-Z are lower-cased; equal words have equal hashes wherever they stand.
+
+        most: of the first bytes only, so many at most.
+        """
         out = np.empty(len(self.start), U)
         a = 0
         while a < len(out):
@@ -66,6 +69,7 @@ class Words:
             sums = np.zeros(to - at + 1, U)
             np.cumsum(BYTE_VALUE[LOWERED[self.data[at:to]]] * up[: to - at], out=sums[1:])
             s, e = self.start[a:b] - at, self.end[a:b] - at
+            e = np.minimum(e, s + most) if most else e
             out[a:b] = mix((sums[e] - sums[s]) * down[s])
             a = b
         return out

@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression: P(severity <= k) = sigmoid(cut_k - w.x), one w for all cuts.
 
-x marks which of the model's words a text holds (runs of letters and digits, A-Z lower-cased). The model is fitted on
-at most SAMPLE labelled documents, which is a parameter; every document is scored, over its whole text. Labels that
+x marks which of the model's words a text holds (runs of letters and digits, A-Z lower-cased), and which word beginnings
+of a few lengths it holds in one, two, or three or more places, for words that are inflected or compounded. The model
+is fitted on at most SAMPLE labelled documents, which is a parameter; every document is scored, over its whole text. Labels that
 only say toxic or not are graded by how many distinct marker words a toxic document holds: the grades are 0 (not
 toxic), 1, 2 and 3, the last three cut at the terciles of the labelled toxic documents.
 """
@@ -20,18 +21,56 @@ from pyspark.sql import types as T
 from . import kernel
 from .common import ship
 
-SAMPLE = 8_000
+SAMPLE = 5_000
 GRADES = 3
-#: A word is a feature if so many sampled documents hold it and its log odds are so many standard errors from 0.
-MIN_DOCS, MIN_Z = 5, 4.0
+#: Bytes of a word's beginning, and in how many places it counts as a feature of its own.
+STEMS, PLACES = (5, 6, 7), 3
+#: A word is a feature if so many distinct sampled documents hold it, its log odds are so many standard errors from 0,
+#: and most documents that hold it are on the side that it speaks for.
+MIN_DOCS, MIN_Z, MIN_SHARE = 5, 4.0, 0.6
+
+
+def features(data: np.ndarray, bounds: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) of a group of texts, sorted; with ``known`` (sorted), of these features only."""
+    w = kernel.split(data, bounds, kernel.IS_ALNUM)
+    texts, found = [], []
+    for most in (0, *STEMS):
+        at = np.flatnonzero(w.end - w.start > most)
+        h = kernel.mix(w.hashes(most)[at] + np.uint64(most))
+        text = w.text[at]
+        if known is not None:  # the feature of one place has the name of its beginning
+            keep = np.isin(h, known)
+            h, text = h[keep], text[keep]
+        if not most:
+            texts.append(text)
+            found.append(h)
+            continue
+        order = np.lexsort((h, text))
+        h, text = h[order], text[order]
+        run = np.arange(len(h))
+        new = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])] if len(h) else np.empty(0, bool)
+        nth = run - np.maximum.accumulate(np.where(new, run, 0))
+        for j in range(PLACES):
+            texts.append(text[nth == j])
+            found.append(h[nth == j] + np.uint64(j))
+    text, feature = np.concatenate(texts), np.concatenate(found)
+    order = np.lexsort((feature, text))
+    text, feature = text[order], feature[order]
+    new = np.r_[True, (feature[1:] != feature[:-1]) | (text[1:] != text[:-1])] if len(text) else np.empty(0, bool)
+    return text[new], feature[new]
 
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted 64-bit word hashes
+    words: np.ndarray  # sorted 64-bit features
     weights: np.ndarray
     cuts: np.ndarray  # ascending; none if there was nothing to learn from
 
+    @property
+    def names(self) -> np.ndarray:
+        """Word hashes of which the features may be: a beginning in j + 1 places is j above it."""
+        return np.unique(np.concatenate([self.words - np.uint64(j) for j in range(PLACES)]))
+
     def above(self, eta: np.ndarray) -> np.ndarray:
         """P(severity > k) by row and cut."""
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - eta[:, None], -40, 40)))
@@ -39,24 +78,20 @@ class Model:
     def eta(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         out = np.zeros(len(bounds) - 1)
         if len(self.words):
-            w = kernel.split(data, bounds, kernel.IS_ALNUM)
-            h = w.hashes()
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            hit = self.words[at] == h
-            pair = np.unique(w.text[hit] * len(self.words) + at[hit])
-            np.add.at(out, pair // len(self.words), self.weights[pair % len(self.words)])
+            text, feature = features(data, bounds, self.names)
+            at = np.minimum(np.searchsorted(self.words, feature), len(self.words) - 1)
+            hit = self.words[at] == feature
+            np.add.at(out, text[hit], self.weights[at[hit]])
         return out
 
 
-def distinct_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) -> (label, hashes of the distinct words)."""
+def feature_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, text) -> (label, features)."""
     for batch in batches:
         for a, b, data, bounds in kernel.texts(batch.column(1)):
-            w = kernel.split(data, bounds, kernel.IS_ALNUM)
-            h = w.hashes().view(np.int64)
-            lists = [np.unique(h[x:y]) for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
-            offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
+            text, feature = features(data, bounds)
+            offsets = np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)
+            flat = feature.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["label", "words"])
 
 
@@ -67,7 +102,7 @@ def graded(label: np.ndarray, row: np.ndarray, marker: np.ndarray, grades: int)
     return np.where(label > 0, 1 + (n[:, None] > cuts[None, :]).sum(1), 0)
 
 
-def fit_rows(label: np.ndarray, lists: list[np.ndarray], grades: int = GRADES, steps: int = 400) -> Model:
+def fit_rows(label: np.ndarray, lists: list[np.ndarray], grades: int = GRADES, steps: int = 2000) -> Model:
     """Labels 0 and 1 are graded; others are severities as they stand."""
     none = Model(np.empty(0, np.uint64), np.empty(0), np.empty(0))
     if not len(label) or label.min() == label.max():
@@ -80,7 +115,7 @@ def fit_rows(label: np.ndarray, lists: list[np.ndarray], grades: int = GRADES, s
     p, n = toxic.sum(), (~toxic).sum()
     odds = np.log((pos + 0.5) / (p - pos + 0.5)) - np.log((neg + 0.5) / (n - neg + 0.5))
     z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (p - pos + 0.5) + 1 / (neg + 0.5) + 1 / (n - neg + 0.5))
-    use = (pos + neg >= MIN_DOCS) & (np.abs(z) >= MIN_Z)
+    use = (pos + neg >= MIN_DOCS) & (np.abs(z) >= MIN_Z) & (np.where(odds > 0, pos, neg) >= MIN_SHARE * (pos + neg))
     if not use.any():
         return none
     severity = graded(label, row, use[col] & (odds[col] > 0), grades) if label.max() == 1 else label
@@ -96,7 +131,7 @@ def fit_rows(label: np.ndarray, lists: list[np.ndarray], grades: int = GRADES, s
         eta = np.bincount(row, weights=w[col], minlength=len(label))
         d = (1 / (1 + np.exp(np.clip(cuts[None, :] - eta[:, None], -40, 40))) - over) / len(label)
         by_cut = -d.sum(0)
-        grad = [np.bincount(col, weights=d.sum(1)[row], minlength=len(w)) + 1e-4 * w, np.array([by_cut.sum()]), np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(gaps)]
+        grad = [np.bincount(col, weights=d.sum(1)[row], minlength=len(w)) + 2e-6 * w, np.array([by_cut.sum()]), np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(gaps)]
         for i, (x, g) in enumerate(zip(params, grad, strict=True)):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             x -= 0.1 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-9)
@@ -109,10 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     picked = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).select(F.col("doc_id").alias("_l"), F.col(label_col).cast("int").alias("_y"))
     picked = picked.dropDuplicates(["_l"]).orderBy(F.xxhash64("_l"), "_l").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_l"))  # at most ``sample`` rows
-    got = rows.select("_y", "text").mapInArrow(distinct_words, "label int, words array<long>").toArrow()
+    got = rows.select("_y", "text").mapInArrow(feature_lists, "label int, words array<long>").toArrow()
     lists = [np.asarray(x.values, np.int64) for x in got["words"]]
     pairs = sorted(zip(got["label"].to_pylist(), lists, strict=True), key=lambda x: (x[0], x[1].tobytes()))  # in whatever order tasks end
-    return fit_rows(np.array([y for y, _ in pairs], np.int64), [x for _, x in pairs])
+    once = {x.tobytes(): (y, x) for y, x in pairs}  # copies count once, with their highest label
+    return fit_rows(np.array([y for y, _ in once.values()], np.int64), [x for _, x in once.values()])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ def test_held_out_accuracy_and_order_of_severity(spark):
 
 def test_scores_equal_the_formula(spark):
     text = "bad BAD worse fine"
-    h = lambda w: kernel.split(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hashes()[0]
+    h = lambda w: kernel.mix(kernel.split(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hashes()[:1])[0]
     words = np.array([h("bad"), h("worse")], np.uint64)
     order = np.argsort(words)
     model = toxicity.Model(words[order], np.array([1.5, 0.5])[order], np.array([1.0, 3.0]))
@@ -48,6 +48,15 @@ def test_scores_equal_the_formula(spark):
     assert np.isclose(r["severity"], sum(want)) and np.isclose(r["p_toxic"], want[0]) and r["grade"] == 1
 
 
+def test_a_beginning_counts_by_the_places_it_is_in():
+    texts = [b"undo undone", b"unwrapped unwrapping Unwrapper x", b""]
+    bounds = np.cumsum([0, *map(len, texts)])
+    text, feature = toxicity.features(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    stem = kernel.mix(kernel.split(np.frombuffer(b"unwrap", np.uint8), np.array([0, 6])).hashes() + np.uint64(6))[0]
+    assert [stem + np.uint64(j) in feature[text == 1] for j in range(3)] == [True] * 3
+    assert not (text == 2).any() and len(feature[text == 0]) == 3  # two words and "undon"
+
+
 def test_nulls_ties_and_empty_tables(spark):
     rows, labels = corpus(300, 2)
     docs = spark.createDataFrame([*rows, (None, None, None), (5, "", None), rows[7], rows[7], (9000, "word1 " * 40_000 + "vile", None)], SCHEMA)
