@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, ngram_join, quality, toxicity, urls
+from . import exact_dedup, licenses, mixing, ngram_join, quality, token_records, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": lambda s, d: ngram_join.linked(table(s, d, "documents"), ngram_join.Spec(n=4, percent=85)),
     "op3_exact_dedup": lambda s, d: exact_dedup.report(table(s, d, "documents")),
+    "op4_token_records": lambda s, d: token_records.report(table(s, d, "documents")),
     "op5_quality_rules": lambda s, d: quality.report(table(s, d, "documents"), table(s, d, "labels")),
     "op6_license_scan": lambda s, d: licenses.scan(table(s, d, "documents")),
     "op7_toxicity": lambda s, d: toxicity.report(table(s, d, "documents"), table(s, d, "labels")),
