@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, ngram_join, quality, token_records, toxicity, urls
+from . import exact_dedup, licenses, mixing, ngram_join, pii, quality, token_records, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_pseudonyms": lambda s, d: pii.report(table(s, d, "documents")),
     "op2_ngram_jaccard_join": lambda s, d: ngram_join.linked(table(s, d, "documents"), ngram_join.Spec(n=4, percent=85)),
     "op3_exact_dedup": lambda s, d: exact_dedup.report(table(s, d, "documents")),
     "op4_token_records": lambda s, d: token_records.report(table(s, d, "documents")),
