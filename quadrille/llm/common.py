@@ -74,3 +74,10 @@ def ship(spark: SparkSession) -> None:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Like settle(), but as compressed Parquet: for tables whose size counts."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, ngram_join, pii, quality, token_records, toxicity, urls
+from . import exact_dedup, licenses, mixing, ngram_join, pii, quality, sentencepiece_lattice, token_records, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": lambda s, d: quality.report(table(s, d, "documents"), table(s, d, "labels")),
     "op6_license_scan": lambda s, d: licenses.scan(table(s, d, "documents")),
     "op7_toxicity": lambda s, d: toxicity.report(table(s, d, "documents"), table(s, d, "labels")),
+    "op8_sentencepiece": lambda s, d: sentencepiece_lattice.report(table(s, d, "documents")),
     "op9_source_mix": lambda s, d: mixing.report(table(s, d, "documents")),
     "op10_url_filter": lambda s, d: urls.judge(table(s, d, "pages")),
 }
