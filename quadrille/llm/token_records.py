@@ -13,8 +13,10 @@ driver is one row a file.
 
 from __future__ import annotations
 
+import array
 import itertools
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -34,7 +36,7 @@ ENTRY = np.dtype([("offset", "<u8"), ("n", "<u8"), ("before", "<u8")])
 #: A data file is closed beyond this size.
 FILE_BYTES = 64 << 20
 #: Words of which a worker remembers the ids.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 END = 1
 
 
@@ -64,6 +66,45 @@ def unframe(data: memoryview, at: int) -> tuple[memoryview, int]:
 _encoders: dict[str, tuple] = {}
 
 
+class Recent(dict):
+    """A dict that drops what was not used for long: what is looked up moves to the newer of two generations."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, keys: Iterable[bytes]) -> list[bytes]:
+        """Those that neither generation has; the others are in the newer one afterwards."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        out = []
+        for k in set(keys).difference(self.keys()):
+            v = self.older.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self[k] = v
+        return out
+
+
+#: The vocabulary's own split of lower-case ASCII words, a fixed value: contractions, letters, one digit, others.
+ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+TRAILING = re.compile(rb"[!-/:-@\[-`{-~]+$")
+
+
+def parts_of(word: bytes) -> list[bytes]:
+    """A word without white space as pieces that the pre-tokenizer splits as well."""
+    if b"<|" in word:
+        return [word]
+    if word.isascii():
+        return ASCII_PARTS.findall(word.lower())
+    tail = TRAILING.search(word)
+    if tail and word[: tail.start()].decode()[-1:].isalpha():
+        return [word[: tail.start()], tail.group()]
+    return [word]
+
+
 class Encoder:
     """A tokenizer whose pre-tokenizer always splits at ASCII white space: a text is the sequence of its words' ids."""
 
@@ -73,21 +114,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
+        self.words, self.parts = Recent(REMEMBERED), Recent(REMEMBERED)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Of each text, the ids as little-endian numbers of ``width`` bytes."""
-        split = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if new:
+        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
+        new = self.words.missing(itertools.chain.from_iterable(split))
+        pieces = [parts_of(w) for w in new]
+        parts, words = self.parts, self.words
+        todo = parts.missing(itertools.chain.from_iterable(pieces))
+        if todo:
             batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            kind = f"<u{self.width}"
-            for w, e in zip(new, batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, kind).tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in split]
+            kind = "H" if self.width == 2 else "I"
+            for w, e in zip(todo, batch([w.decode() for w in todo], add_special_tokens=False), strict=True):
+                parts[w] = array.array(kind, e.ids).tobytes()
+        for w, ps in zip(new, pieces, strict=True):
+            words[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+        return [b"".join([words[w] for w in ws]) for ws in split]
 
 
 def encoder(path: str) -> Encoder:
