@@ -17,9 +17,10 @@ import array
 import itertools
 import os
 import re
+import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import shared_folder, ship
 
 HEADER = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("width", "u1"), ("n", "<u8")])
+HEAD = struct.Struct("<qBBQ")
 ENTRY = np.dtype([("offset", "<u8"), ("n", "<u8"), ("before", "<u8")])
 #: A data file is closed beyond this size.
 FILE_BYTES = 64 << 20
@@ -46,6 +48,10 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def payload(doc_id: int | None, width: int, ids: bytes) -> bytes:
+    return HEAD.pack(doc_id or 0, doc_id is None, width, len(ids) // width) + ids
+
+
 def frame(payload: bytes) -> bytes:
     length = len(payload).to_bytes(8, "little")
     return b"".join([length, masked(length).to_bytes(4, "little"), payload, masked(payload).to_bytes(4, "little")])
@@ -67,25 +73,21 @@ _encoders: dict[str, tuple] = {}
 
 
 class Recent(dict):
-    """A dict that drops what was not used for long: what is looked up moves to the newer of two generations."""
+    """A dict that makes what it lacks and drops what was not used for long: it keeps two generations."""
 
-    def __init__(self, most: int):
+    def __init__(self, make: Callable[[bytes], bytes], most: int):
         super().__init__()
-        self.most, self.older = most, {}
+        self.make, self.most, self.older = make, most, {}
 
-    def missing(self, keys: Iterable[bytes]) -> list[bytes]:
-        """Those that neither generation has; the others are in the newer one afterwards."""
+    def __missing__(self, key: bytes) -> bytes:
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        out = []
-        for k in set(keys).difference(self.keys()):
-            v = self.older.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                self[k] = v
-        return out
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
 
 
 #: The vocabulary's own split of lower-case ASCII words, a fixed value: contractions, letters, one digit, others.
@@ -95,6 +97,8 @@ TRAILING = re.compile(rb"[!-/:-@\[-`{-~]+$")
 
 def parts_of(word: bytes) -> list[bytes]:
     """A word without white space as pieces that the pre-tokenizer splits as well."""
+    if word.isalpha():  # ASCII letters only
+        return [word.lower()]
     if b"<|" in word:
         return [word]
     if word.isascii():
@@ -114,23 +118,21 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.words, self.parts = Recent(REMEMBERED), Recent(REMEMBERED)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Of each text, the ids as little-endian numbers of ``width`` bytes."""
-        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        new = self.words.missing(itertools.chain.from_iterable(split))
-        pieces = [parts_of(w) for w in new]
-        parts, words = self.parts, self.words
-        todo = parts.missing(itertools.chain.from_iterable(pieces))
-        if todo:
-            batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            kind = "H" if self.width == 2 else "I"
-            for w, e in zip(todo, batch([w.decode() for w in todo], add_special_tokens=False), strict=True):
-                parts[w] = array.array(kind, e.ids).tobytes()
-        for w, ps in zip(new, pieces, strict=True):
-            words[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
-        return [b"".join([words[w] for w in ws]) for ws in split]
+        self.kind = "H" if self.width == 2 else "I"
+        self.parts = Recent(self.part, 2 * REMEMBERED)
+        self.words = Recent(self.word, REMEMBERED)
+
+    def part(self, part: bytes) -> bytes:
+        return array.array(self.kind, self.tokenizer.encode(part.decode(), add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: bytes) -> bytes:
+        return b"".join(map(self.parts.__getitem__, parts_of(word)))
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids as little-endian numbers of ``width`` bytes."""
+        if text.isascii() and b"<|" not in text:
+            text = text.lower()
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def encoder(path: str) -> Encoder:
@@ -193,15 +195,12 @@ def write(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: i
         end = b"" if end_id is None else end_id.to_bytes(enc.width, "little")
         files, done = Files(folder, TaskContext.get().partitionId()), []
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                piece = batch.slice(at, 256)
-                texts = [(t or "").encode() for t in piece.column(1).to_pylist()]
-                for doc_id, ids in zip(piece.column(0).to_pylist(), enc.encode(texts), strict=True):
-                    ids += end
-                    n = len(ids) // enc.width
-                    files.add(np.array([(doc_id or 0, doc_id is None, enc.width, n)], HEADER).tobytes() + ids, n)
-                    if files.size >= file_bytes:
-                        done.append(files.close())
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                ids = enc.encode(text.as_py() or b"") + end
+                n = len(ids) // enc.width
+                files.add(payload(doc_id, enc.width, ids), n)
+                if files.size >= file_bytes:
+                    done.append(files.close())
         if files.data is not None:
             done.append(files.close())
         if done:
