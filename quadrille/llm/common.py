@@ -59,8 +59,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of the session's cluster."""
+    """Makes this package importable in the Python workers of the session's cluster, and Arrow batches fit for texts."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; a row here is a whole text
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[2]

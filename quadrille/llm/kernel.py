@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled in groups of about so many bytes, so that memory doesn't follow the batch size.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 U = np.uint64
 M1, M2, BASE = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 BYTES = np.arange(256, dtype=np.uint8)
