@@ -14,6 +14,7 @@ each text's other words by a join on the word's hash, so the vocabulary may grow
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -35,8 +36,9 @@ MAX_WORD = 128
 #: Words whose cuts fit into the bits of one number.
 SHORT = 62
 #: Words that a map task holds before it sends their counts.
-HELD = 2_000_000
+HELD = 120_000
 U = np.uint64
+CHAR_VALUE = kernel.mix(np.arange(1 << 16).astype(U) + U(kernel.BASE)) | U(1)
 
 
 @dataclass
@@ -51,12 +53,14 @@ class Vocabulary:
         multi = [p for p, ok in zip(self.pieces, self.plain, strict=True) if ok and len(p) > 1]
         self.longest = max(map(len, multi), default=1)
         chars = sorted({c for p in multi for c in p})
-        self.chars = np.array([ord(c) for c in chars], np.uint32)
         number = {c: i + 1 for i, c in enumerate(chars)}
-        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.number = np.zeros(max(map(ord, chars), default=0) + 2, np.int32)  # of a character; 0 for those of no longer piece
+        self.number[[ord(c) for c in chars]] = range(1, len(chars) + 1)
+        self.across = np.zeros((len(chars) + 1) ** 2, bool)  # whether two characters stand next to each other in a piece
         for p in multi:
-            for a, b in zip(p, p[1:]):  # noqa: B905
-                self.joined[number[a], number[b]] = True
+            for a, b in itertools.pairwise(p):
+                self.across[number[a] * (len(chars) + 1) + number[b]] = True
+        self.side = len(chars) + 1
         text = [b"" for _ in self.pieces]
         for i, (p, ok) in enumerate(zip(self.pieces, self.plain, strict=True)):
             text[i] = p.replace(SPACE, " ").encode() if ok else b""
@@ -79,15 +83,17 @@ class Vocabulary:
         flat = "".join(norm)
         code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.r_[0, np.cumsum([len(t) for t in norm])]
-        at = np.minimum(np.searchsorted(self.chars, code), max(0, len(self.chars) - 1))
-        cls = np.where(self.chars[at] == code, at + 1, 0) if len(self.chars) else np.zeros(len(code), np.int64)
+        cls = self.number[np.minimum(code, len(self.number) - 1)]
         cut = np.ones(len(code) + 1, bool)
-        cut[1:-1] = ~self.joined[cls[:-1], cls[1:]]
+        cut[1:-1] = ~self.across[cls[:-1] * self.side + cls[1:]]
         cut[bounds] = True
         begin = np.flatnonzero(cut)
         if len(begin) > 1 and np.diff(begin).max() > MAX_WORD:
             begin = np.unique(np.concatenate([np.r_[a : b : MAX_WORD] if b - a > MAX_WORD else [a] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)] + [begin[-1:]]))
-        value = kernel.mix(code.astype(U) + U(kernel.BASE)) | U(1)
+        value = CHAR_VALUE[np.minimum(code, 0xFFFF)]
+        wide = code > 0xFFFF
+        if wide.any():
+            value[wide] = kernel.mix(code[wide].astype(U) + U(kernel.BASE)) | U(1)
         hashes = np.empty(len(begin) - 1, U)
         step = kernel.CHUNK  # the powers' table stays bounded
         i = 0
@@ -103,7 +109,7 @@ class Vocabulary:
         return flat, begin, hashes, np.searchsorted(begin, bounds)
 
 
-def groups(batches: Iterable[pa.RecordBatch], at: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def groups(batches: Iterable[pa.RecordBatch], at: int, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches of about ``most`` characters, with their texts."""
     for batch in batches:
         texts, a, size = [], 0, 0
@@ -140,63 +146,82 @@ def corpus_words(docs: DataFrame, vocab) -> DataFrame:
                     seen[k][1] += c
                 else:
                     seen[k] = [flat[a:b], c]
-            if len(seen) > HELD // 4:
+            if len(seen) > HELD:
                 yield from send()
         yield from send()
 
-    return docs.mapInArrow(run, "h long, word string, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "h long, word string, n long").repartition("h").groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, v: Vocabulary) -> DataFrame:
-    """h, word, n, size and the edges (neg, s, e, ids) sorted by score, then place; neg is the negated score."""
+    """h, n, size, edges and unknown of every word.
+
+    An edge is one number: rank of its piece by score (best first), place s where it begins, place e behind it, and the
+    piece; so edges are sorted by score, then place. unknown has (s, character) where no piece fits.
+    """
     spark = words.sparkSession
-    plain = [(p, float(s), i) for i, (p, s, ok) in enumerate(zip(v.pieces, v.scores, v.plain, strict=True)) if ok]
-    pieces = F.broadcast(spark.createDataFrame(plain, "piece string, score double, id int"))  # the model's vocabulary
-    worst = min((s for _, s, _ in plain), default=0.0) - 10.0
-    bytes_ = F.array(*[F.lit(i) for i in v.bytes_])
+    ranks = {x: i for i, x in enumerate(sorted({x for x, ok in zip(v.scores, v.plain, strict=True) if ok}, reverse=True))}
+    plain = [(p, (ranks[x] << 40) | i) for i, (p, x, ok) in enumerate(zip(v.pieces, v.scores, v.plain, strict=True)) if ok]
+    pieces = F.broadcast(spark.createDataFrame(plain, "piece string, packed long"))  # the model's vocabulary
     at = words.withColumn("size", F.char_length("word")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     at = at.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.col("size") - F.col("s")))))
-    at = at.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("k")))
-    at = at.join(pieces, "piece", "left").filter("id IS NOT NULL OR k = 1")
-    raw = F.hex(F.encode("piece", "UTF-8"))
-    spelled = F.transform(F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2)), lambda i: F.element_at(bytes_, F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int") + 1))
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled)
-    edge = F.struct((-F.coalesce("score", F.lit(worst))).alias("neg"), F.col("s"), (F.col("s") + F.col("k")).alias("e"), ids.alias("ids"))
-    return at.groupBy("h", "word", "n", "size").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-
-
-#: Merges: bit i of the mask is a cut before character i. An edge can be made if its ends are cuts and one cut lies between.
-INNER = "(shiftright(m, x.s + 1) & (shiftleft(1L, x.e - x.s - 1) - 1))"
-MERGES = f"""aggregate(sequence(1, size), shiftleft(1L, size + 1) - 1, (m, i) -> m ^ coalesce(get(transform(
-  filter(multi, x -> (shiftright(m, x.s) & shiftright(m, x.e) & 1L) = 1L AND bit_count({INNER}) = 1),
-  x -> shiftleft({INNER}, x.s + 1)), 0), 0L))"""
-SHORT_IDS = f"""flatten(transform(array_sort(transform(
-  filter(edges, x -> (shiftright(mask, x.s) & shiftright(mask, x.e) & 1L) = 1L AND {INNER.replace("(m,", "(mask,")} = 0L),
-  x -> struct(x.s, x.ids))), x -> x.ids))"""
+    at = at.select("h", "n", "size", "s", "k", F.substring("word", F.col("s") + 1, F.col("k")).alias("piece"))
+    at = at.join(pieces, "piece", "left").filter("packed IS NOT NULL OR k = 1")
+    known = F.col("packed").isNotNull()
+    place = F.expr("shiftleft(CAST(s AS BIGINT), 32) | shiftleft(CAST(s + k AS BIGINT), 24)")
+    edge = F.when(known, F.col("packed")).otherwise(F.lit((len(ranks) << 40) | UNKNOWN)).bitwiseOR(place)
+    at = at.select("h", "n", "size", edge.alias("edge"), F.when(~known, F.struct("s", "piece")).alias("none"))
+    return at.groupBy("h").agg(F.max("n").alias("n"), F.max("size").alias("size"), F.sort_array(F.collect_list("edge")).alias("edges"), F.collect_list("none").alias("unknown"))
+
+
+UNKNOWN = (1 << 24) - 1
+S, E, ID = "CAST(shiftright({x}, 32) & 255 AS INT)", "CAST(shiftright({x}, 24) & 255 AS INT)", f"CAST({{x}} & {UNKNOWN} AS INT)"
+#: The cuts of a word are bits of a mask. An edge that is left has both ends cut, and can be made if one cut lies between.
+INNER = f"(m.m & (shiftleft(1L, {E}) - shiftleft(1L, {S} + 1)))"
+SEEN = INNER.format(x="x")
+GONE = INNER.format(x="b")
+#: The best-scored such edge loses its inner cut; edges that end there are out, and so is the edge.
+MERGES = f"""aggregate(sequence(1, size), named_struct('m', shiftleft(1L, size + 1) - 1, 'left', filter(edges, x -> {E.format(x="x")} > {S.format(x="x")} + 1)),
+  (m, i) -> if(size(m.left) = 0, m, coalesce(get(transform(slice(filter(m.left, x -> bit_count({SEEN}) = 1), 1, 1), b -> named_struct('m', m.m ^ {GONE},
+    'left', filter(m.left, y -> y <> b AND ((shiftleft(1L, {S.format(x="y")}) | shiftleft(1L, {E.format(x="y")})) & {GONE}) = 0))), 0),
+    named_struct('m', m.m, 'left', cast(array() AS array<bigint>)))), m -> m.m)"""
+SHORT_TAKEN = f"""filter(edges, x -> (shiftright(mask, {S.format(x="x")}) & shiftright(mask, {E.format(x="x")}) & 1L) = 1L AND {SEEN.replace("m.m", "mask")} = 0L)"""
 #: The same with the cuts as an array.
-LONG_CUTS = """aggregate(sequence(1, size), sequence(0, size), (c, i) -> coalesce(get(transform(
-  filter(multi, x -> array_contains(c, x.s) AND array_contains(c, x.e) AND size(filter(c, y -> y > x.s AND y < x.e)) = 1),
-  x -> filter(c, y -> y <= x.s OR y >= x.e)), 0), c))"""
-LONG_IDS = """flatten(transform(array_sort(transform(
-  filter(edges, x -> array_contains(cuts, x.s) AND array_contains(cuts, x.e) AND size(filter(cuts, y -> y > x.s AND y < x.e)) = 0),
-  x -> struct(x.s, x.ids))), x -> x.ids))"""
-#: Viterbi: for every place the least cost to get there, and the edge that ends the best way (ties: the longer edge).
-BEST = """aggregate(sequence(1, size), array(named_struct('cost', 0.0D, 's', 0, 'ids', cast(array() AS array<int>))), (b, i) ->
-  concat(b, array(array_min(transform(filter(edges, x -> x.e = i), x -> named_struct('cost', b[x.s].cost + x.neg, 's', x.s, 'ids', x.ids))))))"""
-BACK = """aggregate(sequence(1, size), named_struct('at', size, 'ids', cast(array() AS array<int>)), (t, i) ->
-  if(t.at = 0, t, named_struct('at', best[t.at].s, 'ids', concat(best[t.at].ids, t.ids))), t -> t.ids)"""
-
-
-def segmented(edges: DataFrame, kind: str) -> DataFrame:
-    """h, word, n, ids."""
-    if kind == "unigram":
-        return edges.withColumn("best", F.expr(BEST)).select("h", "word", "n", F.expr(BACK).alias("ids"))
-    edges = edges.withColumn("multi", F.expr("filter(edges, x -> x.e - x.s > 1)"))
-    short = F.col("size") <= SHORT
-    mask: Column = F.when(short, F.expr(MERGES))
-    cuts: Column = F.when(~short, F.expr(LONG_CUTS))
-    edges = edges.withColumn("mask", mask).withColumn("cuts", cuts)
-    return edges.select("h", "word", "n", F.when(short, F.expr(SHORT_IDS)).otherwise(F.expr(LONG_IDS)).alias("ids"))
+BETWEEN = f"size(filter(c, y -> y > {S.format(x='x')} AND y < {E.format(x='x')}))"
+ENDS = f"array_contains(c, {S.format(x='x')}) AND array_contains(c, {E.format(x='x')})"
+LONG_CUTS = f"""aggregate(sequence(1, size), sequence(0, size), (c, i) -> coalesce(get(transform(slice(
+  filter(edges, x -> {E.format(x="x")} > {S.format(x="x")} + 1 AND {ENDS} AND {BETWEEN} = 1), 1, 1),
+  x -> filter(c, y -> y <= {S.format(x="x")} OR y >= {E.format(x="x")})), 0), c))"""
+LONG_TAKEN = f"filter(edges, x -> {ENDS} AND {BETWEEN} = 0)"
+#: Viterbi: for every place the least cost to get there, and the edge that ends the best way.
+BEST = f"""aggregate(sequence(1, size), array(named_struct('cost', 0.0D, 'edge', 0L)), (b, i) ->
+  concat(b, array(array_min(transform(filter(edges, x -> {E.format(x="x")} = i), x -> named_struct('cost', b[{S.format(x="x")}].cost + costs[{ID.format(x="x")}], 'edge', x))))))"""
+BACK = f"""aggregate(sequence(1, size), named_struct('at', size, 'taken', cast(array() AS array<bigint>)), (t, i) ->
+  if(t.at = 0, t, named_struct('at', {S.format(x="best[t.at].edge")}, 'taken', concat(array(best[t.at].edge), t.taken))), t -> t.taken)"""
+
+
+def segmented(edges: DataFrame, v: Vocabulary) -> DataFrame:
+    """h, n, ids: the pieces that the fold takes, in order; unknown characters are spelled in byte pieces."""
+    if v.kind == "unigram":
+        worst = min((x for x, ok in zip(v.scores, v.plain, strict=True) if ok), default=0.0) - 10.0
+        costs = F.lit([-x for x in v.scores])
+        text = BEST.replace(f"costs[{ID.format(x='x')}]", f"if({ID.format(x='x')} = {UNKNOWN}, {-worst!r}D, costs[{ID.format(x='x')}])")
+        d = edges.withColumn("costs", costs).withColumn("best", F.expr(text)).withColumn("taken", F.expr(BACK))
+    else:
+        short = F.col("size") <= SHORT
+        d = edges.withColumn("mask", F.when(short, F.expr(MERGES))).withColumn("c", F.when(~short, F.expr(LONG_CUTS)))
+        d = d.withColumn("taken", F.when(short, F.expr(SHORT_TAKEN)).otherwise(F.expr(LONG_TAKEN)))
+    d = d.withColumn("taken", F.expr(f"sort_array(transform(taken, x -> x & {(1 << 40) - 1}))"))  # by place
+    plain = F.expr(f"transform(taken, x -> {ID.format(x='x')})")
+    bytes_ = F.array(*[F.lit(i) for i in v.bytes_])
+
+    def spelled(x: Column) -> Column:
+        at = F.shiftright(x, 32).cast("int")
+        raw = F.hex(F.encode(F.get(F.filter("unknown", lambda u: u["s"] == at), 0)["piece"], "UTF-8"))
+        ids = F.transform(F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2)), lambda i: F.element_at(bytes_, F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int") + 1))
+        return F.when(x.bitwiseAND(UNKNOWN) == UNKNOWN, ids).otherwise(F.array(x.bitwiseAND(UNKNOWN).cast("int")))
+
+    return d.select("h", "n", F.when(F.size("unknown") == 0, plain).otherwise(F.flatten(F.transform("taken", spelled))).alias("ids"))
 
 
 @dataclass
@@ -248,7 +273,8 @@ def rare_words(docs: DataFrame, vocab, head) -> DataFrame:
         for batch, texts in groups(batches, 1):
             _, _, hashes, first = vocab.value.words(texts)
             text = np.repeat(np.arange(len(texts)), np.diff(first))
-            miss = head.value.find(hashes) < 0
+            distinct, back = np.unique(hashes, return_inverse=True)
+            miss = (head.value.find(distinct) < 0)[back]
             pair = np.unique(np.stack([text[miss].astype(U), hashes[miss]]), axis=1) if miss.any() else np.empty((2, 0), U)
             key = np.asarray(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(key[pair[0].astype(np.int64)]), pa.array(pair[1].view(np.int64))], ["key", "h"])
@@ -266,7 +292,7 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
     ship(spark)
     vocab = spark.sparkContext.broadcast(v)
     text = F.col(text_col)
-    words = stored(segmented(lattice(corpus_words(docs.select(text.alias("text")), vocab), v), v.kind).select("h", "n", "ids"), "words")
+    words = stored(segmented(lattice(corpus_words(docs.select(text.alias("text")), vocab), v), v), "words")
     table, cutoff = head_of(words, head_size)
     head = spark.sparkContext.broadcast(table)
     keyed = docs.select(F.xxhash64(text).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -278,21 +304,27 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
         v, known = vocab.value, head.value
         for batch, texts in groups(batches, 1):
             _, _, hashes, first = v.words(texts)
-            at = known.find(hashes)
+            distinct, back = np.unique(hashes, return_inverse=True)
+            at = known.find(distinct)
             lists = batch.column(2).flatten()
             own_h, own = (np.asarray(lists.field(0), np.int64).view(U), lists.field(1)) if len(lists) else (np.empty(0, U), None)
             own_h, one = np.unique(own_h, return_index=True)
             own = own.take(pa.array(one)) if own is not None else pa.array([], pa.list_(pa.int32()))
             extra = Table.of(own_h, np.asarray(pa.compute.list_value_length(own), np.int64), np.asarray(own.flatten(), np.int32))
             miss = at < 0
-            at[miss] = extra.find(hashes[miss]) + len(known.h)
-            if (at[miss] < len(known.h)).any():
+            other = extra.find(distinct[miss])
+            if (other < 0).any():
                 raise ValueError("a word of the corpus has no entry")
-            lengths = np.where(miss, 0, known.first[1:][np.where(miss, 0, at)] - known.first[np.where(miss, 0, at)]) if len(known.h) else np.zeros(len(at), np.int64)
-            begin = known.first[np.where(miss, 0, at)] if len(known.h) else np.zeros(len(at), np.int64)
-            other = at[miss] - len(known.h)
-            lengths[miss], begin[miss] = extra.first[other + 1] - extra.first[other], extra.first[other] + len(known.ids)
-            ids = np.concatenate([known.ids, extra.ids])[ranges(begin, lengths)] if miss.any() else known.ids[ranges(begin, lengths)]
+            # a table of this group's words, from both
+            n, begin = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+            n[~miss] = known.first[at[~miss] + 1] - known.first[at[~miss]]
+            n[miss] = extra.first[other + 1] - extra.first[other]
+            begin[~miss], begin[miss] = known.first[at[~miss]], extra.first[other]
+            own_ids, from_extra = np.empty(int(n.sum()), np.int32), np.repeat(miss, n)
+            own_ids[~from_extra] = known.ids[ranges(begin[~miss], n[~miss])]
+            own_ids[from_extra] = extra.ids[ranges(begin[miss], n[miss])]
+            lengths = n[back]
+            ids = own_ids[ranges((np.cumsum(n) - n)[back], lengths)]
             cuts = np.r_[0, np.cumsum(lengths)][first]
             sizes = v.first[ids + 1] - v.first[ids]
             decoded = v.text[ranges(v.first[ids], sizes)].tobytes()
