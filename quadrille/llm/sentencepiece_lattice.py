@@ -36,7 +36,7 @@ MAX_WORD = 128
 #: Words whose cuts fit into the bits of one number.
 SHORT = 62
 #: Words that a map task holds before it sends their counts.
-HELD = 120_000
+HELD = 300_000
 U = np.uint64
 CHAR_VALUE = kernel.mix(np.arange(1 << 16).astype(U) + U(kernel.BASE)) | U(1)
 
