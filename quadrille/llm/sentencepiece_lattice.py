@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -282,6 +283,25 @@ def rare_words(docs: DataFrame, vocab, head) -> DataFrame:
     return docs.mapInArrow(run, "key long, h long").distinct()
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text) -> (key, doc_id, text compressed): texts travel to their rare words, not the other way."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            text = pa.array([c.compress(t.as_buffer()) if t.is_valid else None for t in batch.column(2).cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], ["key", "doc_id", "text"])
+
+    return docs.mapInArrow(run, "key long, doc_id long, text binary")
+
+
+def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    d = zstandard.ZstdDecompressor()
+    for batch in batches:
+        text = pa.array([d.decompress(t.as_buffer()) if t.is_valid else None for t in batch.column(1)], pa.binary())
+        yield batch.set_column(1, "text", text.cast(pa.string()))
+
+
 def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD) -> DataFrame:
     """One row per input row: doc_id, ids, n_pieces, ids_crc32 (of the ids as unsigned 32-bit numbers), round_trip.
 
@@ -298,11 +318,11 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
     keyed = docs.select(F.xxhash64(text).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rare = rare_words(keyed.select("key", "text"), vocab, head).join(words.filter(F.col("n") < cutoff).select("h", "ids"), "h")
     rare = rare.groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("rare"))  # bounded by the text's words
-    both = keyed.join(rare, "key", "left").select("doc_id", "text", "rare")
+    both = packed(keyed).join(rare, "key", "left").select("doc_id", "text", "rare")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vocab.value, head.value
-        for batch, texts in groups(batches, 1):
+        for batch, texts in groups(unpacked(batches), 1):
             _, _, hashes, first = v.words(texts)
             distinct, back = np.unique(hashes, return_inverse=True)
             at = known.find(distinct)
