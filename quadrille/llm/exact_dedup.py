@@ -13,16 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, same
+from .common import ascii_lower, same, stored
 
 RADIX, ROUNDS = 16, 2
 
 
-def digest(text: Column) -> Column:
-    """48 bytes; equal digests agree in SHA-256, in an unrelated 64-bit hash and in length, which verifies a match."""
-    norm = ascii_lower(F.coalesce(text, F.lit("")))
-    check = F.concat(F.lpad(F.hex(F.xxhash64(norm)), 16, "0"), F.lpad(F.hex(F.octet_length(norm).cast("long")), 16, "0"))
-    return F.unhex(F.concat(F.sha2(norm, 256), check))
+def with_digest(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds _dig of 48 bytes; equal ones agree in SHA-256, in an unrelated 64-bit hash and in length: a verified match.
+
+    The normalised text is a projection of its own, so that it is computed once.
+    """
+    rows = rows.withColumn("_norm", ascii_lower(F.coalesce(text, F.lit(""))))
+    check = F.concat(F.lpad(F.hex(F.xxhash64("_norm")), 16, "0"), F.lpad(F.hex(F.octet_length("_norm").cast("long")), 16, "0"))
+    return rows.withColumn("_dig", F.unhex(F.concat(F.sha2("_norm", 256), check))).drop("_norm")
 
 
 def merge(entries: DataFrame, *key: str) -> DataFrame:
@@ -37,9 +40,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     and text) count once each in _n. An empty table gives an empty result.
     """
     sign = 1 if keep == "largest" else -1
-    leaf = docs.select(F.col(id_col).cast("long").alias("_id"), digest(F.col(text_col)).alias("_dig"))
+    leaf = with_digest(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), F.col("_text")).drop("_text")
     leaf = leaf.withColumn("_run", F.pmod(F.xxhash64("_id"), F.lit(RADIX**ROUNDS)).cast("int"))
-    leaf = leaf.repartition("_dig", "_run")  # read by the merge below and by the last join: one exchange serves both
+    leaf = stored(leaf, "digests")  # texts are read once; the merges and the last join read 60 bytes a row
     first = leaf.groupBy("_dig", "_run").agg(F.max(F.struct((F.col("_id") * sign).alias("k"))).alias("_best"), F.count(F.lit(1)).alias("_n"))
     level = first
     for r in range(ROUNDS - 1, 0, -1):
@@ -52,7 +55,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat both identifier and text, one stays."""
     kept = groups(docs, id_col, text_col, keep).filter(same(F.col("_id"), F.col("_keep"))).select("_id", "_dig").distinct()
-    marked = docs.withColumn("_dig", digest(F.col(text_col)))
+    marked = with_digest(docs, docs[text_col])
     out = marked.join(kept, (marked["_dig"] == kept["_dig"]) & same(marked[id_col].cast("long"), kept["_id"]), "left_semi")
     return out.dropDuplicates([id_col, "_dig"]).select(*docs.columns)
 
