@@ -12,7 +12,12 @@ Signatures travel as packed blocks. Those that meet more than once in a block ar
 edge to the set that stands for the others), so a signature that a third of the corpus shares reaches the next stage as
 a row a block. Edges between sets that share a signature form clusters; links can only lie within one. Every cluster's
 distinct sets are then sent once to the task that compares them exactly, without writing pairs: an overlap count of
-one set against all that are not yet reached, again and again. Clusters above a bounded number of features are cut into
+one set against all that are not yet reached, again and again.
+
+Clusters above a bounded number of features are compared signature by signature instead. Their sets emit signatures
+again, with a sketch: how many features fall into each of SLOTS ranges. Two sets differ in at least as many features as
+their sketches do, so a set whose sketch is too far from those of all others under a signature has no link there and
+leaves; signatures with the same sets left are compared once. Only signatures whose sets are still too many are cut into
 blocks, and every two blocks are compared by a task of their own.
 """
 
@@ -39,6 +44,10 @@ FEATURES = 512_000
 #: Sets up to this size also leave out one part of three of a range.
 FINE = 256
 BITMAP_BITS = 24
+#: Ranges of the domain that a sketch counts.
+SLOTS = 64
+#: Sets under one signature whose sketches are compared with each other; beyond it all stay.
+SKETCHED = 2048
 
 SIGNATURE = np.dtype([("low", "<u4"), ("high", "<u2"), ("node", "<u8")])
 DOCUMENT = np.dtype([("id", "<i8"), ("null", "?"), ("node", "<u8"), ("n", "<i8")])
@@ -234,11 +243,10 @@ def set_blocks(spec: Spec, bitmap):
             for a, b, data, bounds in kernel.texts(batch.column(0)):
                 text, value = kernel.shingles(kernel.split(data, bounds), spec.n)
                 sizes, node = kernel.set_keys(text, value, b - a)
-                low = node & U((1 << BITMAP_BITS) - 1)
-                want = (bits[(low >> U(3)).astype(np.int64)] >> (low & U(7)).astype(np.uint8)) & 1
+                want = member(bits, node)
                 first = np.searchsorted(text, np.arange(b - a + 1))
                 _, one = np.unique(node, return_index=True)
-                one = one[(want[one] > 0) & (sizes[one] > 0)]
+                one = one[want[one] & (sizes[one] > 0)]
                 if len(one):
                     blobs = pa.array([value[first[i] : first[i + 1]].tobytes() for i in one.tolist()], pa.binary())
                     yield pa.RecordBatch.from_arrays([signed(node[one]), blobs], ["node", "features"])
@@ -246,6 +254,90 @@ def set_blocks(spec: Spec, bitmap):
     return run
 
 
+def member(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
+    low = node & U((1 << BITMAP_BITS) - 1)
+    return (bits[(low >> U(3)).astype(np.int64)] >> (low & U(7)).astype(np.uint8)) & 1 > 0
+
+
+def sketches(spec: Spec, bitmap):
+    """(signature, node, size, sketch) of the sets that the bitmap may hold, one of each in a group of texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for batch in batches:
+            for a, b, data, bounds in kernel.texts(batch.column(0)):
+                text, value = kernel.shingles(kernel.split(data, bounds), spec.n)
+                sizes, node = kernel.set_keys(text, value, b - a)
+                one = np.zeros(b - a, bool)
+                one[np.unique(node, return_index=True)[1]] = True
+                one &= member(bits, node) & (sizes > 0)
+                keep = one[text]
+                text, value = text[keep], value[keep]
+                counts = np.bincount(text * SLOTS + (kernel.mix(value) >> U(58)).astype(np.int64), minlength=(b - a) * SLOTS)
+                sketch = np.minimum(counts, 65535).astype("<u2").reshape(b - a, SLOTS)
+                sig, of = signatures(spec, text, value, np.where(one, sizes, 0), np.arange(b - a).astype(U))
+                of = of.astype(np.int64)
+                if len(sig):
+                    blob = pa.array([x.tobytes() for x in sketch], pa.binary()).take(pa.array(of))
+                    yield pa.RecordBatch.from_arrays([signed(sig), signed(node[of]), pa.array(sizes[of]), blob], ["sig", "node", "n", "sketch"])
+
+    return run
+
+
+def plausible(percent: int):
+    """Rows sorted by signature -> (sig, node, n) of the sets that may have a link under it."""
+
+    def close(sig: int, rows: dict) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        nodes, n = np.array(list(rows), np.int64), np.array([x for x, _ in rows.values()], np.int64)
+        stay = np.ones(len(rows), bool)
+        if len(rows) <= SKETCHED:
+            s = np.stack([np.frombuffer(x, "<u2") for _, x in rows.values()]).astype(np.int32)
+            full = s.max(1) == 65535  # a count that may be higher says nothing
+            for i in range(len(rows)):
+                far = np.abs(s - s[i]).sum(1) * (100 + percent) > (100 - percent) * (n + n[i])
+                far[i] = True
+                stay[i] = full[i] or not (far & ~full).all()
+        if stay.sum() > 1:
+            k = int(stay.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, sig, np.int64)), pa.array(nodes[stay]), pa.array(n[stay])], ["sig", "node", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, {}
+        for batch in batches:
+            for sig, node, n, sketch in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if sig != last:
+                    yield from close(last, rows)
+                    last, rows = sig, {}
+                rows[node] = (n, sketch)
+        yield from close(last, rows)
+
+    return run
+
+
+def signature_tasks(rows: DataFrame, large: DataFrame, spec: Spec, features: int) -> DataFrame:
+    """(root, p, q, node) for the sets of clusters that are too large: root is a signature."""
+    spark = rows.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(large))
+    found = rows.select("text").mapInArrow(sketches(spec, bitmap), "sig long, node long, n long, sketch binary")
+    found = found.join(large.select("node"), "node", "left_semi").select("sig", "node", "n", "sketch")
+    found = found.repartition(partitions, "sig").sortWithinPartitions("sig")
+    pairs = settle(found.mapInArrow(plausible(spec.percent), "sig long, node long, n long"))
+    alike = pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.sum("n").alias("total"))
+    alike = alike.groupBy("m", "who", "total").agg(F.min("sig").alias("sig"))  # the same sets under other signatures
+    tasks = pairs.join(alike.select("sig", F.ceil(F.col("total") / features).cast("int").alias("blocks")), "sig")
+    tasks = tasks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return in_blocks(tasks.withColumnRenamed("sig", "root"), 1 << 20)
+
+
+def in_blocks(tasks: DataFrame, first: int = 0) -> DataFrame:
+    """(node, root, blocks, block) -> a row for every task (root, p, q) that compares the node's block with another."""
+    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return tasks.select("node", "root", (F.least("block", "other") + first).alias("p"), (F.greatest("block", "other") + first).alias("q"))
+
+
 def forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """The root of every set under links within the list, all of which are found: overlap counts, no candidates."""
     m = len(sets)
@@ -341,12 +433,14 @@ def linked(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str =
     bitmap = spark.sparkContext.broadcast(bitmap_of(clusters))
     sets = rows.select("text").mapInArrow(set_blocks(spec, bitmap), "node long, features binary")
     sets = sets.groupBy("node").agg(F.first("features").alias("features"))  # copies become one before and after the exchange
-    tasks = clusters.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("node", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    large = clusters.filter("blocks > 1")
+    tasks = in_blocks(clusters.filter("blocks = 1"))
+    if large.head(1):
+        tasks = tasks.unionByName(signature_tasks(rows, large, spec, features))
     work = tasks.join(sets, "node").select("root", "p", "q", "node", "features")
     work = work.repartition(partitions, "root", "p", "q").sortWithinPartitions("root", "p", "q")
     links = settle(work.mapInArrow(compare(spec.percent), "a long, b long"))
-    if clusters.filter("blocks > 1").head(1):
+    if large.head(1):
         groups = components(links)
     else:  # every cluster was compared by one task, whose roots are final
         groups = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
