@@ -14,11 +14,11 @@ a row a block. Edges between sets that share a signature form clusters; links ca
 distinct sets are then sent once to the task that compares them exactly, without writing pairs: an overlap count of
 one set against all that are not yet reached, again and again.
 
-Clusters above a bounded number of features are compared signature by signature instead. Their sets emit signatures
-again, with a sketch: how many features fall into each of SLOTS ranges. Two sets differ in at least as many features as
-their sketches do, so a set whose sketch is too far from those of all others under a signature has no link there and
-leaves; signatures with the same sets left are compared once. Only signatures whose sets are still too many are cut into
-blocks, and every two blocks are compared by a task of their own.
+Clusters above a bounded number of features are taken apart first. Their sets emit signatures again, with a sketch: how
+many features fall into each of SLOTS ranges. Two sets differ in at least as many features as their sketches do, so only
+sets with near sketches under one signature form clusters now. Those that are still too large are cut into blocks, and every two
+blocks are compared by a task of their own; with more than BLOCKS of them, the sets of each signature are compared
+instead (once for signatures with the same sets), in blocks if need be.
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ CUTS = 6
 #: Rows of signatures that a map task holds before it combines and sends them; 14 bytes each.
 HELD = 1_000_000
 #: Features of a cluster that one task compares.
-FEATURES = 512_000
+FEATURES = 1_000_000
+#: Blocks of a cluster up to which every two are compared; beyond it, sets are compared by signature.
+BLOCKS = 16
 #: Sets up to this size also leave out one part of three of a range.
 FINE = 256
 BITMAP_BITS = 24
@@ -284,24 +286,37 @@ def sketches(spec: Spec, bitmap):
     return run
 
 
+def near(rows: list[tuple[int, bytes]], percent: int) -> np.ndarray:
+    """The first set of its group for each of some sets: groups of sets whose sketches are near enough for a link."""
+    n = np.array([x for x, _ in rows], np.int64)
+    s = np.stack([np.frombuffer(x, "<u2") for _, x in rows]).astype(np.int32)
+    s[(s == 65535).any(1)] = 0  # a count that may be higher says nothing: near to all that are
+    full = ~s.any(1)
+    group, queue = np.full(len(rows), -1), []
+    for i in range(len(rows)):
+        if group[i] < 0:
+            group[i], queue = i, [i]
+        while queue:
+            j = queue.pop()
+            left = np.flatnonzero(group < 0)
+            hit = left[full[j] | full[left] | (np.abs(s[left] - s[j]).sum(1) * (100 + percent) <= (100 - percent) * (n[left] + n[j]))]
+            group[hit] = i
+            queue.extend(hit.tolist())
+    return group
+
+
 def plausible(percent: int):
-    """Rows sorted by signature -> (sig, node, n) of the sets that may have a link under it."""
+    """Rows sorted by signature -> (sig, node, n, hub): sets that may have links under it, by group."""
 
     def close(sig: int, rows: dict) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
         nodes, n = np.array(list(rows), np.int64), np.array([x for x, _ in rows.values()], np.int64)
-        stay = np.ones(len(rows), bool)
-        if len(rows) <= SKETCHED:
-            s = np.stack([np.frombuffer(x, "<u2") for _, x in rows.values()]).astype(np.int32)
-            full = s.max(1) == 65535  # a count that may be higher says nothing
-            for i in range(len(rows)):
-                far = np.abs(s - s[i]).sum(1) * (100 + percent) > (100 - percent) * (n + n[i])
-                far[i] = True
-                stay[i] = full[i] or not (far & ~full).all()
-        if stay.sum() > 1:
-            k = int(stay.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, sig, np.int64)), pa.array(nodes[stay]), pa.array(n[stay])], ["sig", "node", "n"])
+        group = near(list(rows.values()), percent) if len(rows) <= SKETCHED else np.zeros(len(rows), np.int64)
+        stay = np.bincount(group, minlength=len(rows))[group] > 1
+        if stay.any():
+            hub = nodes[group[stay]]
+            yield pa.RecordBatch.from_arrays([pa.array(sig ^ hub), pa.array(nodes[stay]), pa.array(n[stay]), pa.array(hub)], ["sig", "node", "n", "hub"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, {}
@@ -316,20 +331,32 @@ def plausible(percent: int):
     return run
 
 
-def signature_tasks(rows: DataFrame, large: DataFrame, spec: Spec, features: int) -> DataFrame:
-    """(root, p, q, node) for the sets of clusters that are too large: root is a signature."""
+def sketched_tasks(rows: DataFrame, large: DataFrame, spec: Spec, features: int, blocks: int) -> DataFrame:
+    """(root, p, q, node) for the sets of clusters that are too large: smaller clusters, or else signatures."""
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bitmap = spark.sparkContext.broadcast(bitmap_of(large))
     found = rows.select("text").mapInArrow(sketches(spec, bitmap), "sig long, node long, n long, sketch binary")
     found = found.join(large.select("node"), "node", "left_semi").select("sig", "node", "n", "sketch")
     found = found.repartition(partitions, "sig").sortWithinPartitions("sig")
-    pairs = settle(found.mapInArrow(plausible(spec.percent), "sig long, node long, n long"))
-    alike = pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.sum("n").alias("total"))
-    alike = alike.groupBy("m", "who", "total").agg(F.min("sig").alias("sig"))  # the same sets under other signatures
-    tasks = pairs.join(alike.select("sig", F.ceil(F.col("total") / features).cast("int").alias("blocks")), "sig")
-    tasks = tasks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    return in_blocks(tasks.withColumnRenamed("sig", "root"), 1 << 20)
+    pairs = settle(found.mapInArrow(plausible(spec.percent), "sig long, node long, n long, hub long"))
+    sizes = pairs.select("node", "n").distinct()
+    clusters = sized(components(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"))).join(sizes, "node"), features)
+    tasks = in_blocks(clusters.filter(F.col("blocks") <= blocks), 1 << 20)
+    rest = clusters.filter(F.col("blocks") > blocks).select("node")
+    if rest.head(1):
+        pairs = pairs.join(rest, "node", "left_semi")
+        alike = pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+        alike = alike.groupBy("m", "who").agg(F.min("sig").alias("sig"))  # the same sets under other signatures
+        tasks = tasks.unionByName(in_blocks(sized(pairs.join(alike, "sig").select("node", "n", F.col("sig").alias("root")), features), 1 << 24))
+    return tasks
+
+
+def sized(members: DataFrame, features: int) -> DataFrame:
+    """(node, root, n) -> node, root, blocks (by the features of its root) and the node's block."""
+    weight = members.groupBy("root").agg(F.ceil(F.sum("n") / features).cast("int").alias("blocks"))
+    out = members.select("node", "root").join(weight, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return settle(out.select("node", "root", "blocks", "block"))
 
 
 def in_blocks(tasks: DataFrame, first: int = 0) -> DataFrame:
@@ -408,7 +435,7 @@ def bitmap_of(nodes: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def linked(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES) -> DataFrame:
+def linked(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES, blocks: int = BLOCKS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Words are compared after A-Z are lower-cased. A text with fewer words than a shingle has its whole sequence as one;
@@ -426,21 +453,19 @@ def linked(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str =
     own = met.filter("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n")
     classes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
     clusters = components(met.filter("kind = 2").select("a", "b")).join(classes.select("node", "n"), "node")
-    weight = clusters.groupBy("root").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / features).cast("int")
-    clusters = clusters.join(weight, "root").select("node", "root", blocks.alias("blocks"))
-    clusters = settle(clusters.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    bitmap = spark.sparkContext.broadcast(bitmap_of(clusters))
-    sets = rows.select("text").mapInArrow(set_blocks(spec, bitmap), "node long, features binary")
-    sets = sets.groupBy("node").agg(F.first("features").alias("features"))  # copies become one before and after the exchange
+    clusters = sized(clusters, features)
     large = clusters.filter("blocks > 1")
     tasks = in_blocks(clusters.filter("blocks = 1"))
-    if large.head(1):
-        tasks = tasks.unionByName(signature_tasks(rows, large, spec, features))
+    cut = bool(large.head(1))
+    if cut:
+        tasks = settle(tasks.unionByName(sketched_tasks(rows, large, spec, features, blocks)))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(tasks))
+    sets = rows.select("text").mapInArrow(set_blocks(spec, bitmap), "node long, features binary")
+    sets = sets.groupBy("node").agg(F.first("features").alias("features"))  # copies become one before and after the exchange
     work = tasks.join(sets, "node").select("root", "p", "q", "node", "features")
     work = work.repartition(partitions, "root", "p", "q").sortWithinPartitions("root", "p", "q")
     links = settle(work.mapInArrow(compare(spec.percent), "a long, b long"))
-    if large.head(1):
+    if cut:
         groups = components(links)
     else:  # every cluster was compared by one task, whose roots are final
         groups = links.select(F.col("a").alias("node"), F.col("b").alias("root"))

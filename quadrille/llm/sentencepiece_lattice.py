@@ -151,7 +151,9 @@ def corpus_words(docs: DataFrame, vocab) -> DataFrame:
                 yield from send()
         yield from send()
 
-    return docs.mapInArrow(run, "h long, word string, n long").repartition("h").groupBy("h", "word").agg(F.sum("n").alias("n"))
+    # a word's lattice is many times as large as its row: small partitions keep it in memory
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.mapInArrow(run, "h long, word string, n long").repartition(parts, "h").groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, v: Vocabulary) -> DataFrame:

@@ -57,10 +57,11 @@ def test_links_equal_brute_force(spark, spec):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, spec)
 
 
-def test_long_texts_and_oversize_clusters_equal_brute_force(spark):
+@pytest.mark.parametrize("blocks", [0, 100])
+def test_long_texts_and_oversize_clusters_equal_brute_force(spark, blocks):
     rows = corpus(2, 4, 25, (300, 500))
     spec = Spec(4, 85)
-    got = linked(spark.createDataFrame(rows, SCHEMA), spec, features=2000).collect()  # many blocks a cluster
+    got = linked(spark.createDataFrame(rows, SCHEMA), spec, features=2000, blocks=blocks).collect()  # by signature; by blocks
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, spec)
 
 
