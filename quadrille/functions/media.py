@@ -13,7 +13,7 @@ RASTER_TYPES = ("image/tiff", "image/x.geotiff", "image/vnd.stac.geotiff", "imag
 
 def parse_type(s: Column) -> Column:
     """struct(type, subtype, params): "image/tiff; application=geotiff". More than one "/" is an error."""
-    parts = F.transform(F.split(s, ";"), F.trim)
+    parts = F.transform(F.split(s, ";"), lambda p: F.trim(p))
     head = F.split(F.element_at(parts, 1), "/")
     head = F.when(F.size(head) > 2, F.raise_error(F.concat(F.lit("not a media type: "), s)).cast("array<string>")).otherwise(head)
     return F.when(s.isNotNull(), F.struct(F.get(head, 0).alias("type"), F.get(head, 1).alias("subtype"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("params")))
@@ -32,10 +32,10 @@ def accepts(parsed: Column, target: str) -> Column:
     kind, sub, params = split_type(target)
     ok = parsed["type"] == kind
     if sub is not None:
-        ok &= F.coalesce(parsed["subtype"] == sub, F.lit(False))
+        ok &= parsed["subtype"] == sub
     if params:
         ok &= F.size(F.array_except(F.array(*map(F.lit, sorted(params))), parsed["params"])) == 0
-    return ok
+    return F.coalesce(ok, F.lit(False))
 
 
 def accepts_any(parsed: Column, targets: Iterable[str]) -> Column:

@@ -7,6 +7,7 @@ and steps, as the first row of that order, whatever partition it is in.
 
 from __future__ import annotations
 
+import tempfile
 import warnings
 from collections.abc import Iterable, Sequence
 from collections.abc import Set as AbstractSet
@@ -63,6 +64,15 @@ def _number(text: Column, kind: str = "array<double>") -> Column:
     return F.from_json(text, kind)
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """Writes a metadata table once, so that the projections in it are not planned again by all that follows."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadrille-"))
+    return df.checkpoint(eager=True)
+
+
 def _by_epsg(source: Column, codes: Iterable[int], f) -> list[Column]:
     """Coordinates by a closed form for each CRS that occurs."""
     out: list[Column | None] = [None] * 4
@@ -121,6 +131,7 @@ def plan(
         F.coalesce(F.get(rb, 0)["scale"], F.lit(1.0)).alias("scale"),
         F.coalesce(F.get(rb, 0)["offset"], F.lit(0.0)).alias("offset"),
     )
+    a = materialised(a)
     at = F.struct("time_idx", "band_idx")
     first = a.agg(F.min_by("epsg", F.when(F.col("epsg").isNotNull(), at)).alias("epsg"), F.collect_set("epsg").alias("codes"), F.collect_set(F.struct("scale", "offset")).alias("scales") if rescale else F.array().alias("scales")).head()
     out_epsg = epsg if epsg is not None else first["epsg"]
@@ -149,6 +160,7 @@ def plan(
         res_x = F.when(has_af & same, F.abs(six[0])).when(has_af, pixel[2] - pixel[0]).otherwise((F.col("maxx") - F.col("minx")) / F.col("shape")[1])
         res_y = F.when(has_af & same, F.abs(six[4])).when(has_af, pixel[3] - pixel[1]).otherwise((F.col("maxy") - F.col("miny")) / F.col("shape")[0])
         a = a.withColumn("res_x", res_x).withColumn("res_y", res_y)
+        a = materialised(a)
         if resolution is None:
             straight = ((six[1] == 0) & (six[3] == 0)) | ((six[0] == 0) & (six[4] == 0))
             checks += [("rectilinear", has_af & same & ~straight), ("resolution", F.col("res_x").isNull() | F.col("res_y").isNull())]

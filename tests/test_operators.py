@@ -15,7 +15,7 @@ from quadrille.sources import items
 from quadrille.streaming import resample as streaming
 
 NAN = float("nan")
-LAYERS = [[NAN, 1, 2, NAN], [NAN, 10, 20, 30], [NAN, 100, 200, NAN]]
+LAYERS = [[NAN, 1.0, 2.0, NAN], [NAN, 10.0, 20.0, 30.0], [NAN, 100.0, 200.0, NAN]]
 
 
 def test_mosaic_goldens(spark):
@@ -68,7 +68,7 @@ def test_bounds_goldens():
 def test_media_types(spark):
     d = spark.createDataFrame([("image/tiff; application=geotiff",), ("image/tiff",), ("image/jp2",), ("text",), (None,)], "t string")
     p = media.parse_type(F.col("t"))
-    want = {"image/tiff": [True, True, False, False, None], "image/tiff; application=geotiff": [True, False, False, False, None], "image": [True, True, True, False, None]}
+    want = {"image/tiff": [True, True, False, False, False], "image/tiff; application=geotiff": [True, False, False, False, False], "image": [True, True, True, False, False]}
     for target, hits in want.items():
         assert [r[0] for r in d.select(media.accepts(p, target)).collect()] == hits
     with pytest.raises(Exception, match="not a media type"):
