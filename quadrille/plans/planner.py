@@ -142,7 +142,8 @@ def plan(
     checks = [("bands", (F.col("n_bands") >= 0) & (F.col("n_bands") != 1))]
     if epsg is None:
         checks += [("no crs", F.col("epsg").isNull()), ("crs", F.col("epsg") != F.lit(out_epsg).cast("int"))]
-    if out_epsg is not None and not [c for c in first["codes"] if not crs.known(c) and c != out_epsg]:
+    agreed = epsg is not None or len(first["codes"]) <= 1  # else the check of the CRS fails, and no box is needed
+    if out_epsg is not None and agreed and not [c for c in first["codes"] if not crs.known(c) and c != out_epsg]:
         if bounds_latlon is not None:
             bounds = crs.reproject_bounds(bounds_latlon, 4326, out_epsg)
         codes = sorted(first["codes"])
