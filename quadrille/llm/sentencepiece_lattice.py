@@ -8,14 +8,21 @@ a fold with Spark's aggregate() over the edges, grouped by word, gives the best
 path with the highest sum of scores (Viterbi), for BPE models the path that merging the best-scored neighbours, again
 and again, ends with. Characters without a piece become byte pieces.
 
+Words of more than MAX_WORD characters (rulers, filler, text without spaces) are few and too long for the lattice's place
+fields; they stay whole and are encoded where they stand, by the same merges on a priority queue or the same Viterbi.
+
 Texts are then put together from the words' ids: the HEAD most frequent words come as a broadcast of bounded size, and
 each text's other words by a join on the word's hash, so the vocabulary may grow without bound.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import heapq
 import itertools
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,8 +39,10 @@ from .common import ship, stored
 SPACE = "▁"
 #: Words in the broadcast table, about 24 bytes each.
 HEAD = 1_500_000
-#: A longer run without a boundary is cut into words of this many characters.
+#: Longer words are encoded by Vocabulary.pieces_of(); places of the lattice have 8 bits.
 MAX_WORD = 128
+#: Characters of long words whose ids a task remembers.
+KEPT = 1 << 21
 #: Words whose cuts fit into the bits of one number.
 SHORT = 62
 #: Words that a map task holds before it sends their counts.
@@ -89,8 +98,6 @@ class Vocabulary:
         cut[1:-1] = ~self.across[cls[:-1] * self.side + cls[1:]]
         cut[bounds] = True
         begin = np.flatnonzero(cut)
-        if len(begin) > 1 and np.diff(begin).max() > MAX_WORD:
-            begin = np.unique(np.concatenate([np.r_[a : b : MAX_WORD] if b - a > MAX_WORD else [a] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)] + [begin[-1:]]))
         value = CHAR_VALUE[np.minimum(code, 0xFFFF)]
         wide = code > 0xFFFF
         if wide.any():
@@ -101,6 +108,10 @@ class Vocabulary:
         while i < len(hashes):
             j = max(i + 1, int(np.searchsorted(begin, begin[i] + step, "right")) - 1)
             a, b = int(begin[i]), int(begin[j])
+            if b - a > step:  # one word
+                hashes[i] = int.from_bytes(hashlib.blake2b(flat[a:b].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+                i = j
+                continue
             up, down = kernel.powers(b - a + 1)
             sums = np.zeros(b - a + 1, U)
             np.cumsum(value[a:b] * up[: b - a], out=sums[1:])
@@ -109,6 +120,72 @@ class Vocabulary:
             i = j
         return flat, begin, hashes, np.searchsorted(begin, bounds)
 
+    @functools.cached_property
+    def ranks(self) -> dict[float, int]:
+        """Rank of every score, best first."""
+        return {x: i for i, x in enumerate(sorted({x for x, ok in zip(self.scores, self.plain, strict=True) if ok}, reverse=True))}
+
+    @functools.cached_property
+    def plain_pieces(self) -> dict[str, tuple[int, int]]:
+        """Rank and number of every piece that stands for its text."""
+        return {p: (self.ranks[x], i) for i, (p, x, ok) in enumerate(zip(self.pieces, self.scores, self.plain, strict=True)) if ok}
+
+    def pieces_of(self, word: str) -> list[int]:
+        """Ids of a word of any length: what the lattice's fold gives, in n log n steps (BPE) or n times the longest piece."""
+        cuts = self.best(word) if self.kind == "unigram" else self.merged(word)
+        out = []
+        for a, b in itertools.pairwise(cuts):
+            known = self.plain_pieces.get(word[a:b])
+            out.extend([known[1]] if known else [self.bytes_[x] for x in word[a:b].encode()])
+        return out
+
+    def merged(self, word: str) -> list[int]:
+        """Cuts that are left when the best-scored neighbours, of equal ones the first, are merged again and again."""
+        n, table = len(word), self.plain_pieces
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))  # after: 0 where no symbol begins any more
+        heap = [(found[0] << 40) | a for a in range(n - 1) if (found := table.get(word[a : a + 2]))]
+        heapq.heapify(heap)
+        while heap:
+            x = heapq.heappop(heap)
+            a = x & ((1 << 40) - 1)
+            b = after[a]
+            if not b or b == n:
+                continue
+            e = after[b]
+            found = table.get(word[a:e])
+            if not found or found[0] != x >> 40:
+                continue
+            after[a], after[b] = e, 0
+            if e < n:
+                before[e] = a
+            for left in (before[a], a):
+                if left >= 0 and after[left] < n and (found := table.get(word[left : after[after[left]]])):
+                    heapq.heappush(heap, (found[0] << 40) | left)
+        cuts = [0]
+        while cuts[-1] < n:
+            cuts.append(after[cuts[-1]])
+        return cuts
+
+    def best(self, word: str) -> list[int]:
+        """Cuts of the path of least cost; of equal ones the last piece has the best score, then the first place."""
+        table = self.plain_pieces
+        worst = min((x for x, ok in zip(self.scores, self.plain, strict=True) if ok), default=0.0) - 10.0
+        cost, back = array("d", [0.0]), array("q", [0])
+        for e in range(1, len(word) + 1):
+            ways = []
+            for s in range(max(0, e - self.longest), e):
+                if found := table.get(word[s:e]):
+                    ways.append((cost[s] - self.scores[found[1]], found[0], s))
+                elif s == e - 1:
+                    ways.append((cost[s] - worst, len(self.ranks), s))
+            least = min(ways)
+            cost.append(least[0])
+            back.append(least[2])
+        cuts = [len(word)]
+        while cuts[-1]:
+            cuts.append(back[cuts[-1]])
+        return cuts[::-1]
+
 
 def groups(batches: Iterable[pa.RecordBatch], at: int, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches of about ``most`` characters, with their texts."""
@@ -125,7 +202,7 @@ def groups(batches: Iterable[pa.RecordBatch], at: int, most: int = 1 << 18) -> I
 
 
 def corpus_words(docs: DataFrame, vocab) -> DataFrame:
-    """h, word, n of every distinct word."""
+    """h, word, n of every distinct word of at most MAX_WORD characters."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
@@ -141,7 +218,9 @@ def corpus_words(docs: DataFrame, vocab) -> DataFrame:
 
         for _, texts in groups(batches, 0):
             flat, begin, hashes, _ = v.words(texts)
-            h, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            short = np.flatnonzero(np.diff(begin) <= MAX_WORD)
+            h, first, n = np.unique(hashes[short], return_index=True, return_counts=True)
+            first = short[first]
             for k, a, b, c in zip(h.tolist(), begin[first].tolist(), begin[first + 1].tolist(), n.tolist(), strict=True):
                 if k in seen:
                     seen[k][1] += c
@@ -163,7 +242,7 @@ def lattice(words: DataFrame, v: Vocabulary) -> DataFrame:
     piece; so edges are sorted by score, then place. unknown has (s, character) where no piece fits.
     """
     spark = words.sparkSession
-    ranks = {x: i for i, x in enumerate(sorted({x for x, ok in zip(v.scores, v.plain, strict=True) if ok}, reverse=True))}
+    ranks = v.ranks
     plain = [(p, (ranks[x] << 40) | i) for i, (p, x, ok) in enumerate(zip(v.pieces, v.scores, v.plain, strict=True)) if ok]
     pieces = F.broadcast(spark.createDataFrame(plain, "piece string, packed long"))  # the model's vocabulary
     at = words.withColumn("size", F.char_length("word")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
@@ -270,14 +349,14 @@ def head_of(words: DataFrame, most: int) -> tuple[Table, int]:
 
 
 def rare_words(docs: DataFrame, vocab, head) -> DataFrame:
-    """(key, h) of the words that the head lacks, once for a text."""
+    """(key, h) of the words that the head lacks, long ones apart, once for a text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in groups(batches, 1):
-            _, _, hashes, first = vocab.value.words(texts)
+            _, begin, hashes, first = vocab.value.words(texts)
             text = np.repeat(np.arange(len(texts)), np.diff(first))
             distinct, back = np.unique(hashes, return_inverse=True)
-            miss = (head.value.find(distinct) < 0)[back]
+            miss = (head.value.find(distinct) < 0)[back] & (np.diff(begin) <= MAX_WORD)
             pair = np.unique(np.stack([text[miss].astype(U), hashes[miss]]), axis=1) if miss.any() else np.empty((2, 0), U)
             key = np.asarray(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(key[pair[0].astype(np.int64)]), pa.array(pair[1].view(np.int64))], ["key", "h"])
@@ -324,15 +403,26 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vocab.value, head.value
+        kept, held = {}, 0  # ids of long words
         for batch, texts in groups(unpacked(batches), 1):
-            _, _, hashes, first = v.words(texts)
+            flat, begin, hashes, first = v.words(texts)
             distinct, back = np.unique(hashes, return_inverse=True)
+            if held > KEPT:
+                kept, held = {}, 0
+            long = {}
+            for i in np.flatnonzero(np.diff(begin) > MAX_WORD).tolist():
+                h = int(hashes[i])
+                if h not in kept:
+                    kept[h] = np.array(v.pieces_of(flat[begin[i] : begin[i + 1]]), np.int32)
+                    held += int(begin[i + 1] - begin[i])
+                long[h] = kept[h]
             at = known.find(distinct)
             lists = batch.column(2).flatten()
             own_h, own = (np.asarray(lists.field(0), np.int64).view(U), lists.field(1)) if len(lists) else (np.empty(0, U), None)
             own_h, one = np.unique(own_h, return_index=True)
             own = own.take(pa.array(one)) if own is not None else pa.array([], pa.list_(pa.int32()))
-            extra = Table.of(own_h, np.asarray(pa.compute.list_value_length(own), np.int64), np.asarray(own.flatten(), np.int32))
+            lengths = np.r_[np.asarray(pa.compute.list_value_length(own), np.int64), np.array([len(x) for x in long.values()], np.int64)]
+            extra = Table.of(np.r_[own_h, np.array(list(long), U)], lengths, np.concatenate([np.asarray(own.flatten(), np.int32), *long.values()]))
             miss = at < 0
             other = extra.find(distinct[miss])
             if (other < 0).any():

@@ -61,5 +61,31 @@ def test_long_runs_are_cut_and_come_back(spark):
     assert r["round_trip"] and r["n_pieces"] == len(r["ids"])
 
 
+def test_long_runs_equal_the_library(spark):
+    rng = random.Random(9)
+    m = sentencepiece.SentencePieceProcessor(model_file=sl.model_path())
+    glued = lambda n: "".join(rng.choice(["the", "internationalisation", "été", "of", "ing", "word", "x"]) for _ in range(n))
+    texts = ["-" * 300, "Title " + "=" * 301, "a" * 300, "-" * 10_000, "a" * 10_000, "=" * 10_000, " " * 300, glued(100), glued(3000), "é" * 300, "ab" * 200 + "🙂" + "日" * 200 + "ab" * 200]
+    texts += ["".join(rng.choice("abcdeéinrst") for _ in range(n)) for n in (127, 128, 129, 300, 10_000)]
+    texts += [texts[0] + " and " + texts[2], "a" * 600_000, texts[3]]
+    got = sl.encode(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA), sl.Vocabulary.load(sl.model_path())).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: m.encode(t) for i, t in enumerate(texts)}
+    assert all(r["round_trip"] for r in got)
+
+
+def test_paths_for_long_words_equal_the_fold(spark):
+    rng = random.Random(2)
+    pieces = [sl.SPACE, *"abc", "ab", "bc", "ca", "abc", "cab", "aa", sl.SPACE + "a", "bca", "aaaa"]
+    scores = [rng.choice([-1.5, -2.0, -3.25, -4.0]) for _ in pieces]
+    n = len(pieces)
+    texts = ["".join(rng.choice("abcabcabcé") for _ in range(rng.randint(1, 120))) for _ in range(60)]
+    for kind in ("bpe", "unigram"):
+        v = sl.Vocabulary(pieces + [f"<0x{b:02X}>" for b in range(256)], scores + [0.0] * 256, list(range(n, n + 256)), [True] * n + [False] * 256, kind)
+        got = sl.encode(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA), v).collect()
+        flat, begin, _, first = v.words(texts)
+        want = {i: [x for k in range(first[i], first[i + 1]) for x in v.pieces_of(flat[begin[k] : begin[k + 1]])] for i in range(len(texts))}
+        assert {r["doc_id"]: r["ids"] for r in got} == want
+
+
 def test_empty_table(spark):
     assert sl.encode(spark.createDataFrame([], SCHEMA), sl.Vocabulary.load(sl.model_path())).collect() == []
