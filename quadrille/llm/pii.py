@@ -5,6 +5,11 @@ valid range, for an e-mail's local part letters and digits in their places), per
 that range, and written back in the same shape. The permutation is a bijection, so equal values get equal pseudonyms in
 every document and different ones stay apart; punctuation, case and check digits are kept or made right again. Numbers
 that fail their check (Luhn, octets, calendar, mod 97) are left alone.
+
+A card or IBAN may have numbers or words next to it that read as part of it. Every span of whole groups that could be
+one is checked, usual groupings first; where none is right, the search goes on at the next group. If a pseudonym would
+make one of the spans right that were checked before and failed, it is permuted again, so that the inverse finds the same
+span; such a value's pseudonym depends on its neighbours.
 """
 
 from __future__ import annotations
@@ -39,6 +44,10 @@ PATTERNS = {
 }
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII)
 HINT = re.compile("[0-9@]")
+#: Usual digits of a card's groups.
+GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20))}
+#: Characters of an IBAN by country.
+IBAN_SIZE = {c[:2]: int(c[2:]) for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()}
 
 
 class Permutation:
@@ -195,20 +204,77 @@ def secret(s: str, p: Permutation, inverse: bool) -> str | None:
 KINDS = {f.__name__: f for f in (email, secret, iban, phone, date, ssn, ip, card)}
 
 
+def spans(kind: str, s: str) -> list[tuple[int, int]]:
+    """Parts of a match, of whole groups, that may be the value; the likely ones first."""
+    if kind == "card":
+        groups = [m.span() for m in re.finditer("[0-9]+", s)]
+        sizes = [b - a for a, b in groups]
+        some = [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups) + 1) if 13 <= sum(sizes[i:j]) <= 19]
+        some.sort(key=lambda x: (tuple(sizes[x[0] : x[1]]) not in GROUPS, x[0], sizes[x[0]] != 4, -x[1] if tuple(sizes[x[0] : x[1]]) not in GROUPS else x[1]))
+        return [(groups[i][0], groups[j - 1][1]) for i, j in some]
+    if kind == "iban":
+        end = country_end(s)
+        if end:
+            return [(0, end)] if end == len(s) else [(0, end), (0, len(s))]
+        ends = [m.start() for m in re.finditer(" ", s) if len(s[: m.start()].replace(" ", "")) >= 15]
+        return [(0, e) for e in [len(s), *reversed(ends)]]
+    return [(0, len(s))]
+
+
+def country_end(s: str) -> int:
+    """Where an IBAN of its country's length ends, 0 if no group ends there."""
+    left = IBAN_SIZE.get(s[:2], 0)
+    for i, c in enumerate(s if left else ""):
+        left -= c != " "
+        if not left:
+            return i + 1 if s[i + 1 : i + 2] in ("", " ") else 0
+    return 0
+
+
+def behind(kind: str, s: str) -> int:
+    """Where the search goes on after a match none of whose spans is right."""
+    if kind == "iban" and (end := country_end(s)):
+        return end
+    m = re.search("[ -]", s) if kind in ("card", "iban") else None
+    return m.end() if m else len(s)
+
+
 def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, list[str]]:
     """The text with every validated value replaced, and the kinds found in order."""
     if not HINT.search(text):
         return text, []
     p, found = Permutation(key), []
-
-    def swap(m: re.Match) -> str:
-        new = KINDS[m.lastgroup](m.group(), p, inverse)
-        if new is None:
-            return m.group()
-        found.append(m.lastgroup)
-        return new
-
-    return ANY.sub(swap, text), found
+    out, done, pos = [], 0, 0
+    failed: list[tuple[str, int, int]] = []  # spans that reach beyond the place of the search
+
+    def clashes(new: str, a: int, b: int) -> bool:
+        """Whether a span that failed would be right with the new value."""
+        for kind, x, y in failed:
+            if x < b and a < y:
+                there = text[min(x, a) : a] + new + text[b : max(y, b)]
+                if KINDS[kind](there[x - min(x, a) : y - min(x, a)], p, inverse) is not None:
+                    return True
+        return False
+
+    while m := ANY.search(text, pos):
+        kind, at = m.lastgroup, m.start()
+        failed = [x for x in failed if x[2] > at]
+        for a, b in ((at + x, at + y) for x, y in spans(kind, m.group())):
+            if (kind, a, b) in failed:
+                continue
+            new = KINDS[kind](text[a:b], p, inverse)
+            if new is not None:
+                break
+            failed.append((kind, a, b))
+        else:
+            pos = at + behind(kind, m.group())
+            continue
+        while clashes(new, a, b):
+            new = KINDS[kind](new, p, inverse)
+        found.append(kind)
+        out += [text[done:a], new]
+        done = pos = b
+    return "".join([*out, text[done:]]), found
 
 
 def text_key(passphrase: str) -> bytes:

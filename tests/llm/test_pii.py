@@ -56,6 +56,25 @@ def test_what_fails_its_check_stays():
         assert pii.pseudonymise(text, KEY) == (text, [])
 
 
+def test_neighbours_do_not_hide_a_value():
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+    around = ["{} BIC COBADEFF", "{} BIC", "AB12 {} X", "REF AB12 {}", "{} AND 20 MORE", "{}"]
+    cases = [("iban", v, c) for v in ibans for c in around]
+    shapes = ["{} 12/27", "{} 123", "{}-12", "{} 12 27 123", "12 {}", "7 {} 12/27", "12 34 56 {}", "{} 12-05-2027", "ID42 {}", "{} and {}", "{}"]
+    for i in range(40):
+        body = f"4{i * 7919 + 10**14:015d}"[:15]
+        d = body + str(-pii.luhn(body + "0") % 10)
+        cases += [("card", v, c) for c in shapes for v in (d, " ".join(d[k : k + 4] for k in range(0, 16, 4)), "-".join(d[k : k + 4] for k in range(0, 16, 4)))]
+    cases += [("card", "3782 822463 10005", c) for c in shapes]
+    for _, v, c in cases:
+        text = "pay " + c.replace("{}", v) + ", thanks"
+        new, found = pii.pseudonymise(text, KEY)
+        assert found and v not in new, text
+        assert pii.pseudonymise(new, KEY, inverse=True)[0] == text, (text, new)
+    new, found = pii.pseudonymise("AB12 ACCOUNT NUMBER 555-123-4567", KEY)
+    assert found == ["phone"] and "555-123-4567" not in new
+
+
 def test_equal_values_stay_linked_and_keys_matter():
     a = pii.pseudonymise("4111 1111 1111 1111 and 4111-1111-1111-1111", KEY)[0]
     x, y = a.split(" and ")
