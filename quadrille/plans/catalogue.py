@@ -492,7 +492,8 @@ def tile_png(s, d):
 def fake_reader_scan(s, d):
     from ..sources import raster
 
-    return raster.fake(s, 2, 3, (16, 16), seed=1)
+    n = assets(s, d).agg(F.countDistinct("item").alias("times"), F.countDistinct("asset").alias("bands")).first()
+    return raster.fake(s, n["times"], n["bands"], (16, 16), seed=1)
 
 
 @query(f"WITH {SC}, a AS (SELECT DISTINCT cloud % 9 AS z, id % 20 AS x, id % 7 AS y FROM scenes WHERE id % 3 = 0), b AS (SELECT DISTINCT cloud % 9 AS z, id % 20 AS x, id % 7 AS y FROM scenes WHERE id % 3 = 1) SELECT z, x, y, 'cancel' AS action FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT z, x, y, 'submit' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")

@@ -41,6 +41,13 @@ def test_query_equals_its_sql(spark, db, name):
     assert key(got.columns, rows) == key(want.columns, want.fetchall())
 
 
+def test_generated_pixels_grow_with_the_tables(spark, db):
+    times, bands = db.sql("SELECT count(DISTINCT user_id), count(DISTINCT event_type) FROM events").fetchall()[0]
+    got = catalogue.QUERIES["fake_reader_scan"](spark, SF)
+    assert got.count() == times * bands * 256
+    assert got.selectExpr("max(time_idx)", "max(band_idx)").first() == (times - 1, bands - 1)
+
+
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
