@@ -34,9 +34,12 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; spark.checkpoint.dir names the place on a cluster."""
+    """A new folder that driver and executors share; spark.checkpoint.dir names the place and must be set on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -52,7 +55,15 @@ def settle(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint behind a check of the size; beyond it the frame is left to a shuffle join."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).head(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to differ from all columns of the frame."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 _shipped: set[str] = set()

@@ -12,10 +12,19 @@ def stamp(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
 
+#: Parts into which a node's pairs are dealt out.
+SALTS = 16
+
+
 def star(pairs: DataFrame) -> DataFrame:
-    """(u, v) -> (u, v, m): the least neighbour of u. The minimum is pre-aggregated and joined back, which splits hubs."""
+    """(u, v) -> (u, v, m): the least neighbour of u.
+
+    The minimum is aggregated before the exchange. It goes back to SALTS parts of its node, so that a node with a third
+    of all pairs doesn't meet them in one task.
+    """
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

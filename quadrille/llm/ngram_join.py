@@ -1,29 +1,31 @@
 """Jaccard join of word-shingle sets by PartEnum signatures, and the groups that its links form.
 
 Sets whose sizes are in one band or in neighbouring bands can only reach the threshold if they differ in at most k
-features. The feature domain (64-bit shingle hashes) is cut into ranges, so that by the pigeonhole principle at least
-one range, or for short texts one range but one of its three parts, holds the same features in both sets: each set
-emits a signature for every such piece, and similar sets share one. A piece that is empty says nothing and is not
-emitted; a set with more empty pieces than the cut has to spare emits signatures under further cuts of the domain until
-it has few enough, and in the last cut its empty pieces too. Two sets can only miss each other under a cut if both
+features. The feature domain (64-bit shingle hashes) is cut into ranges and each range into PARTS parts; a range's
+signatures are those of all but one of its parts. By the pigeonhole principle at least one range has differences in one
+part at most, so similar sets share the signature that leaves this part out. A piece that is empty says nothing and is
+not emitted; a set with more empty pieces than the cut has to spare emits signatures under further cuts of the domain
+until it has few enough, and in the last cut its empty pieces too. Two sets can only miss each other under a cut if both
 have too many empty pieces, so no link is lost.
 
-Signatures travel as packed blocks. Those that meet more than once in a block are reduced to one right there (with an
-edge to the set that stands for the others), so a signature that a third of the corpus shares reaches the next stage as
-a row a block. Edges between sets that share a signature form clusters; links can only lie within one. Every cluster's
-distinct sets are then sent once to the task that compares them exactly, without writing pairs: an overlap count of
-one set against all that are not yet reached, again and again.
-
-Clusters above a bounded number of features are taken apart first. Their sets emit signatures again, with a sketch: how
-many features fall into each of SLOTS ranges. Two sets differ in at least as many features as their sketches do, so only
-sets with near sketches under one signature form clusters now. Those that are still too large are cut into blocks, and every two
-blocks are compared by a task of their own; with more than BLOCKS of them, the sets of each signature are compared
-instead (once for signatures with the same sets), in blocks if need be.
+Signatures travel as packed blocks and are grouped by value; groups of the same sets under different signatures become
+one. A signature that more than HOT sets of one map task's block share is not sent to the task of its value: its sets
+become rows of their own, which are counted and dealt out like any others.
+
+Within a group, sets are first compared by sketch: the parities of the numbers of features in about as many slots as the
+set has features. Two sets differ in at least as many features as their sketches do in bits, so sets that link have near
+sketches; unlike sets that share a signature by chance (a passage in common) hardly ever do. Sets that near sketches
+connect form clusters, and their features are compared exactly, by overlap counts of one set against all that are not
+yet reached, again and again; no pairs are written.
+
+Groups and clusters above a bound are cut into blocks (see ``trees``): each block is joined with HUBS of the group's
+sets. What that connects to one component needs no more comparing; only sets outside of the largest component meet the
+other blocks. A group of near copies of any size thus takes one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,28 +34,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import same, settle, ship
+from .common import free_name, same, settle, ship, small, stored
 from .components import components
 
 U = np.uint64
 CUTS = 6
+PARTS = 3
 #: Rows of signatures that a map task holds before it combines and sends them; 14 bytes each.
 HELD = 1_000_000
-#: Features of a cluster that one task compares.
+#: Sets under one signature in such a block from which the signature's sets are dealt out as rows.
+HOT = 8
+#: Features of a cluster, and sketches of a group, that one task compares.
 FEATURES = 1_000_000
-#: Blocks of a cluster up to which every two are compared; beyond it, sets are compared by signature.
-BLOCKS = 16
-#: Sets up to this size also leave out one part of three of a range.
-FINE = 256
-BITMAP_BITS = 24
-#: Ranges of the domain that a sketch counts.
-SLOTS = 64
-#: Sets under one signature whose sketches are compared with each other; beyond it all stay.
-SKETCHED = 2048
+SKETCHES = 8192
+#: Sets of a large group that every block of it is compared with.
+HUBS = 8
+#: Bits of the filter that names the sets to compare, a power of two, at least and at most (32 MB).
+LEAST_BITS, MOST_BITS = 20, 28
 
 SIGNATURE = np.dtype([("low", "<u4"), ("high", "<u2"), ("node", "<u8")])
-DOCUMENT = np.dtype([("id", "<i8"), ("null", "?"), ("node", "<u8"), ("n", "<i8")])
-EDGE = np.dtype([("a", "<u8"), ("b", "<u8")])
+DOCUMENT = np.dtype([("id", "<i8"), ("null", "?"), ("text", "<i8"), ("node", "<u8"), ("n", "<i8")])
+PAIR = np.dtype([("sig", "<u8"), ("node", "<u8")])
+LOW48 = U((1 << 48) - 1)
+#: Kinds of rows: signatures, signatures that are hot (map side only); documents, groups, sketches, sets of hot signatures.
+SIGNED, MARKS, DOCS, GROUPS, SKETCH, DEALT = range(6)
 
 
 @dataclass(frozen=True)
@@ -70,13 +74,14 @@ class Spec:
             tops.append((tops[-1] + 1) * 100 // self.percent)
         return np.array(tops, np.int64)
 
-    def shape(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For bands whose sets have at most ``top`` features: ranges, parts of a range, and ranges to spare."""
+    def shape(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For bands whose sets have at most ``top`` features: ranges, and how many of them are to spare.
+
+        k differences make at most k // 2 ranges differ in two parts or more.
+        """
         k = (100 - self.percent) * 2 * top // (100 + self.percent)
-        fine = top <= FINE
-        parts = np.where(fine, 3, 1)
-        spare = np.where(fine, k // 16, 3 + k // 16)
-        return np.where(k > 0, np.where(fine, k // 2, k) + 1 + spare, 0), parts, spare
+        spare = k // 16
+        return np.where(k > 0, k // 2 + 1 + spare, 0), spare
 
 
 def signatures(spec: Spec, text: np.ndarray, value: np.ndarray, sizes: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +95,7 @@ def signatures(spec: Spec, text: np.ndarray, value: np.ndarray, sizes: np.ndarra
     n_texts = len(sizes)
     for step in (0, 1):
         band = own + step
-        ranges, parts, spare = spec.shape(tops[band])
+        ranges, spare = spec.shape(tops[band])
         left = np.flatnonzero((ranges > 0) & (sizes > 0))
         for cut in range(CUTS):
             if not len(left):
@@ -103,141 +108,184 @@ def signatures(spec: Spec, text: np.ndarray, value: np.ndarray, sizes: np.ndarra
                 v = kernel.mix(v + U(cut * kernel.M2 & (2**64 - 1)))
                 order = np.lexsort((v, t))
                 t, v = t[order], v[order]
-            fine_n = ranges * parts
+            pieces = ranges * PARTS
             base = np.zeros(n_texts + 1, np.int64)
-            np.cumsum(np.where(pick, fine_n, 0), out=base[1:])
-            piece = base[t] + (((v >> U(32)) * fine_n[t].astype(U)) >> U(32)).astype(np.int64)
+            np.cumsum(np.where(pick, pieces, 0), out=base[1:])
+            piece = base[t] + (((v >> U(32)) * pieces[t].astype(U)) >> U(32)).astype(np.int64)
             starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
             sums, counts = np.zeros(base[-1], U), np.zeros(base[-1], np.int64)
             sums[piece[starts]] = np.add.reduceat(kernel.mix(v), starts)
             counts[piece[starts]] = np.diff(np.r_[starts, len(piece)])
             last = cut == CUTS - 1
             empty = np.zeros(n_texts, np.int64)
-            for p in (1, 3):
-                those = np.flatnonzero(pick & (parts == p))
-                if not len(those):
-                    continue
-                n = ranges[those]
-                of = np.repeat(those, n)  # the text of each range
-                at = np.repeat(base[those], n) + p * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
-                number = (at - base[of]) // p
-                all_s, all_c = sum(sums[at + j] for j in range(p)), sum(counts[at + j] for j in range(p))
-                none = np.zeros(len(of), bool)
-                for j in range(p):
-                    s, c = (all_s - sums[at + j], all_c - counts[at + j]) if p > 1 else (all_s, all_c)
-                    name = kernel.mix(U(spec.percent * 64 + spec.n) + (band[of] * 8 + cut).astype(U) * U(kernel.BASE)) + (number * 4 + j).astype(U)
-                    sig = kernel.mix(s + kernel.mix(name))
-                    none |= c == 0
-                    emit = np.ones(len(of), bool) if last else c > 0
-                    out_s.append(sig[emit])
-                    out_n.append(node[of[emit]])
-                np.add.at(empty, of[none], 1)
+            n = ranges[left]
+            of = np.repeat(left, n)  # the text of each range
+            number = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            sums, counts = sums.reshape(-1, PARTS), counts.reshape(-1, PARTS)
+            all_s, all_c = sums.sum(1, dtype=U), counts.sum(1)
+            none = np.zeros(len(of), bool)
+            for j in range(PARTS):
+                s, c = all_s - sums[:, j], all_c - counts[:, j]
+                name = kernel.mix(U(spec.percent * 64 + spec.n) + (band[of] * 8 + cut).astype(U) * U(kernel.BASE)) + (number * 4 + j).astype(U)
+                sig = kernel.mix(s + kernel.mix(name))
+                none |= c == 0
+                emit = np.ones(len(of), bool) if last else c > 0
+                out_s.append(sig[emit])
+                out_n.append(node[of[emit]])
+            np.add.at(empty, of[none], 1)
             left = left[empty[left] > spare[left]]
     return np.concatenate(out_s), np.concatenate(out_n)
 
 
-def combine(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct signatures with the least node of each, and an edge to it from every other node."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    hub = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(sig) else node
-    other = hub != node
-    return sig[new], node[new], node[other], hub[other]
+def width(sizes: np.ndarray) -> np.ndarray:
+    """Slots of a sketch: a power of two, as many as features at least."""
+    return 1 << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64)
 
 
-def edges_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    e = np.empty(len(a), EDGE)
-    e["a"], e["b"] = a, b
-    return np.unique(e)
+def sketches(text: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A bit for every slot, which tells whether an odd number of features fell into it; slots are a hash's low bits."""
+    bits = width(sizes)
+    base = np.r_[0, np.cumsum(bits)]
+    slot = base[text] + (kernel.mix(value) & (bits[text] - 1).astype(U)).astype(np.int64)
+    odd = np.packbits((np.bincount(slot, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [odd[a:b].tobytes() for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def distinct_pairs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, and where each signature begins (and the end)."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    if len(sig):
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
+        sig, node = sig[new], node[new]
+    return sig, node, np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True]) if len(sig) else np.zeros(1, np.int64)
+
+
 def emitter(spec: Spec, buckets: int):
-    """Map side: blocks of documents, of edges found here, and of signatures by bucket."""
+    """Map side: blocks of documents, of sketches, of hot signatures' sets, and of signatures by bucket."""
 
-    def blocks(held: list, docs: list) -> Iterator[pa.RecordBatch]:
+    def blocks(held: list, docs: list, shapes: dict) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes]] = []
         if docs:
             block = np.concatenate(docs)
-            rows.append((int(block["node"][0] % U(buckets)), 1, block.tobytes()))
+            rows.append((int(block["node"][0] % U(buckets)), DOCS, block.tobytes()))
+        for node, x in shapes.items():
+            rows.append((node % buckets, SKETCH, node.to_bytes(8, "little") + x))
         if held:
-            sig, node, a, b = combine(np.concatenate([s for s, _ in held]), np.concatenate([n for _, n in held]))
-            e = edges_of(a, b)
-            if len(e):
-                rows.append((int(e["a"][0] % U(buckets)), 2, e.tobytes()))
+            sig, node, cuts = distinct_pairs(np.concatenate([s for s, _ in held]), np.concatenate([n for _, n in held]))
+            hot = np.diff(cuts) > HOT
+            first, hot = sig[cuts[:-1]], np.repeat(hot, np.diff(cuts))
+            dealt = np.empty(int(hot.sum()), PAIR)
+            dealt["sig"], dealt["node"] = sig[hot] & LOW48, node[hot]
+            rows += [(int(dealt["node"][i] % U(buckets)), DEALT, dealt[i : i + 65536].tobytes()) for i in range(0, len(dealt), 65536)]
+            marks = first[np.diff(cuts) > HOT]
+            sig, node = sig[~hot], node[~hot]
             packed = np.empty(len(sig), SIGNATURE)
             packed["low"], packed["high"], packed["node"] = sig & U(0xFFFFFFFF), (sig >> U(32)) & U(0xFFFF), node
-            bucket = ((sig >> U(32)) * U(buckets)) >> U(32)
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(sig) else np.zeros(1, np.int64)
-            rows += [(int(bucket[x]), 0, packed[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            for kind, s, block in ((SIGNED, sig, packed), (MARKS, marks, marks & LOW48)):
+                bucket = ((s >> U(32)) * U(buckets)) >> U(32)
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(s) else np.zeros(1, np.int64)
+                rows += [(int(bucket[x]), kind, block[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         for i in range(0, len(rows), 256):
             b, k, x = zip(*rows[i : i + 256], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], ["bucket", "kind", "block"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, n = [], [], 0
+        held, docs, shapes, n = [], [], {}, 0
         for batch in batches:
             ids = batch.column(0)
             null = np.asarray(ids.is_null())
             ids = np.asarray(ids.fill_null(0))
+            hashes = np.asarray(batch.column(2))
             for a, b, data, bounds in kernel.texts(batch.column(1)):
                 text, value = kernel.shingles(kernel.split(data, bounds), spec.n)
                 sizes, node = kernel.set_keys(text, value, b - a)
                 rows = np.empty(b - a, DOCUMENT)
-                rows["id"], rows["null"], rows["node"], rows["n"] = ids[a:b], null[a:b], node, sizes
+                rows["id"], rows["null"], rows["text"], rows["node"], rows["n"] = ids[a:b], null[a:b], hashes[a:b], node, sizes
                 docs.append(rows)
                 held.append(signatures(spec, text, value, sizes, node))
+                for i, x in enumerate(sketches(text, value, sizes)):
+                    if sizes[i]:
+                        shapes[int(node[i])] = int(sizes[i]).to_bytes(8, "little") + x
                 n += len(held[-1][0]) + b - a
                 if n >= HELD:
-                    yield from blocks(held, docs)
-                    held, docs, n = [], [], 0
-        yield from blocks(held, docs)
+                    yield from blocks(held, docs, shapes)
+                    held, docs, shapes, n = [], [], {}, 0
+        yield from blocks(held, docs, shapes)
 
     return run
 
 
+GATHERED = "kind int, a long, b long, c long, n long, sets array<long>, sketch binary"
+
+
 def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side, bucket by bucket: documents as rows, and the edges of nodes that share a signature."""
-
-    def rows(kind: int, a, b, null=None, n=None) -> pa.RecordBatch:
-        size = len(a)
-        n = np.zeros(size, np.int64) if n is None else n
-        ids = pa.array(np.ascontiguousarray(a).view(np.int64), mask=null)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), ids, signed(b), pa.array(np.ascontiguousarray(n))], ["kind", "a", "b", "n"])
-
-    def close(parts: list) -> Iterator[pa.RecordBatch]:
-        if parts:
-            p = np.concatenate(parts)
-            _, _, a, b = combine((p["high"].astype(U) << U(32)) | p["low"].astype(U), p["node"])
-            e = edges_of(a, b)
-            if len(e):
-                yield rows(2, e["a"], e["b"])
-
-    bucket, parts = None, []
+    """Reduce side, bucket by bucket.
+
+    DOCS: a identifier, b hash of the text, c node, n size. GROUPS: a and b name the sets, n of them. SKETCH: c node,
+    n size, sketch. DEALT: a signature, c node.
+    """
+    names = [c.split()[0] for c in GATHERED.split(", ")]
+
+    def rows(kind: int, size: int, a=None, b=None, c=None, n=None, sets=None, sketch=None) -> pa.RecordBatch:
+        none = pa.nulls(size, pa.int64())
+        columns = [pa.array(np.full(size, kind, np.int32)), *[none if x is None else x if isinstance(x, pa.Array) else signed(x) for x in (a, b, c, n)]]
+        columns.append(pa.nulls(size, pa.list_(pa.int64())) if sets is None else sets)
+        columns.append(pa.nulls(size, pa.binary()) if sketch is None else sketch)
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def close(parts: list, marks: list) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        p = np.concatenate(parts)
+        sig, node, cuts = distinct_pairs((p["high"].astype(U) << U(32)) | p["low"].astype(U), p["node"])
+        if marks:
+            hot = np.isin(sig, np.concatenate(marks))
+            if hot.any():
+                yield rows(DEALT, int(hot.sum()), a=sig[hot], c=node[hot])
+                sig, node, cuts = distinct_pairs(sig[~hot], node[~hot])
+        count = np.diff(cuts)
+        if not (count > 1).any():
+            return
+        one, two = (np.add.reduceat(kernel.mix(node + U(x)), cuts[:-1]) for x in (kernel.M1, kernel.M2))
+        many = np.flatnonzero(count > 1)
+        _, first = np.unique(np.stack([one[many], two[many]]), axis=1, return_index=True)
+        many = many[first]
+        for i in range(0, len(many), 10_000):
+            m = many[i : i + 10_000]
+            at = np.repeat(cuts[m] - np.r_[0, np.cumsum(count[m])[:-1]], count[m]) + np.arange(count[m].sum())
+            sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count[m])].astype(np.int32)), signed(node[at]))
+            yield rows(GROUPS, len(m), a=one[m], b=two[m], n=count[m], sets=sets)
+
+    bucket, parts, marks = None, [], []
     for batch in batches:
         for at, kind, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             block = block.as_buffer()
             if at != bucket:
-                yield from close(parts)
-                bucket, parts = at, []
-            if kind == 0:
+                yield from close(parts, marks)
+                bucket, parts, marks = at, [], []
+            if kind == SIGNED:
                 parts.append(np.frombuffer(block, SIGNATURE))
-            elif kind == 1:
+            elif kind == MARKS:
+                marks.append(np.frombuffer(block, U))
+            elif kind == DOCS:
                 d = np.frombuffer(block, DOCUMENT)
-                yield rows(1, d["id"], d["node"], d["null"], d["n"])
+                yield rows(DOCS, len(d), a=pa.array(np.ascontiguousarray(d["id"]), mask=d["null"]), b=d["text"], c=d["node"], n=d["n"])
+            elif kind == DEALT:
+                d = np.frombuffer(block, PAIR)
+                yield rows(DEALT, len(d), a=d["sig"], c=d["node"])
             else:
-                e = np.frombuffer(block, EDGE)
-                yield rows(2, e["a"], e["b"])
-    yield from close(parts)
+                head = np.frombuffer(block[:16], np.int64)
+                yield rows(SKETCH, 1, c=head[:1], n=head[1:], sketch=pa.array([bytes(block[16:])], pa.binary()))
+    yield from close(parts, marks)
 
 
 def set_blocks(spec: Spec, bitmap):
-    """The sets of the nodes that the bitmap may hold, one of each in a batch: (node, features as 8-byte numbers)."""
+    """The sets of the nodes that the bitmap may hold, one of each in a batch: (node, n, features as 8-byte numbers)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
@@ -245,132 +293,45 @@ def set_blocks(spec: Spec, bitmap):
             for a, b, data, bounds in kernel.texts(batch.column(0)):
                 text, value = kernel.shingles(kernel.split(data, bounds), spec.n)
                 sizes, node = kernel.set_keys(text, value, b - a)
-                want = member(bits, node)
+                low = node & U(8 * len(bits) - 1)
+                want = (bits[(low >> U(3)).astype(np.int64)] >> (low & U(7)).astype(np.uint8)) & 1 > 0
                 first = np.searchsorted(text, np.arange(b - a + 1))
                 _, one = np.unique(node, return_index=True)
                 one = one[want[one] & (sizes[one] > 0)]
                 if len(one):
                     blobs = pa.array([value[first[i] : first[i + 1]].tobytes() for i in one.tolist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([signed(node[one]), blobs], ["node", "features"])
-
-    return run
-
-
-def member(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
-    low = node & U((1 << BITMAP_BITS) - 1)
-    return (bits[(low >> U(3)).astype(np.int64)] >> (low & U(7)).astype(np.uint8)) & 1 > 0
-
-
-def sketches(spec: Spec, bitmap):
-    """(signature, node, size, sketch) of the sets that the bitmap may hold, one of each in a group of texts."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
-        for batch in batches:
-            for a, b, data, bounds in kernel.texts(batch.column(0)):
-                text, value = kernel.shingles(kernel.split(data, bounds), spec.n)
-                sizes, node = kernel.set_keys(text, value, b - a)
-                one = np.zeros(b - a, bool)
-                one[np.unique(node, return_index=True)[1]] = True
-                one &= member(bits, node) & (sizes > 0)
-                keep = one[text]
-                text, value = text[keep], value[keep]
-                counts = np.bincount(text * SLOTS + (kernel.mix(value) >> U(58)).astype(np.int64), minlength=(b - a) * SLOTS)
-                sketch = np.minimum(counts, 65535).astype("<u2").reshape(b - a, SLOTS)
-                sig, of = signatures(spec, text, value, np.where(one, sizes, 0), np.arange(b - a).astype(U))
-                of = of.astype(np.int64)
-                if len(sig):
-                    blob = pa.array([x.tobytes() for x in sketch], pa.binary()).take(pa.array(of))
-                    yield pa.RecordBatch.from_arrays([signed(sig), signed(node[of]), pa.array(sizes[of]), blob], ["sig", "node", "n", "sketch"])
+                    yield pa.RecordBatch.from_arrays([signed(node[one]), pa.array(sizes[one]), blobs], ["node", "n", "data"])
 
     return run
 
 
-def near(rows: list[tuple[int, bytes]], percent: int) -> np.ndarray:
-    """The first set of its group for each of some sets: groups of sets whose sketches are near enough for a link."""
-    n = np.array([x for x, _ in rows], np.int64)
-    s = np.stack([np.frombuffer(x, "<u2") for _, x in rows]).astype(np.int32)
-    s[(s == 65535).any(1)] = 0  # a count that may be higher says nothing: near to all that are
-    full = ~s.any(1)
-    group, queue = np.full(len(rows), -1), []
-    for i in range(len(rows)):
-        if group[i] < 0:
-            group[i], queue = i, [i]
-        while queue:
-            j = queue.pop()
-            left = np.flatnonzero(group < 0)
-            hit = left[full[j] | full[left] | (np.abs(s[left] - s[j]).sum(1) * (100 + percent) <= (100 - percent) * (n[left] + n[j]))]
-            group[hit] = i
-            queue.extend(hit.tolist())
-    return group
-
-
-def plausible(percent: int):
-    """Rows sorted by signature -> (sig, node, n, hub): sets that may have links under it, by group."""
-
-    def close(sig: int, rows: dict) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
-            return
-        nodes, n = np.array(list(rows), np.int64), np.array([x for x, _ in rows.values()], np.int64)
-        group = near(list(rows.values()), percent) if len(rows) <= SKETCHED else np.zeros(len(rows), np.int64)
-        stay = np.bincount(group, minlength=len(rows))[group] > 1
-        if stay.any():
-            hub = nodes[group[stay]]
-            yield pa.RecordBatch.from_arrays([pa.array(sig ^ hub), pa.array(nodes[stay]), pa.array(n[stay]), pa.array(hub)], ["sig", "node", "n", "hub"])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, {}
-        for batch in batches:
-            for sig, node, n, sketch in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if sig != last:
-                    yield from close(last, rows)
-                    last, rows = sig, {}
-                rows[node] = (n, sketch)
-        yield from close(last, rows)
-
-    return run
-
-
-def sketched_tasks(rows: DataFrame, large: DataFrame, spec: Spec, features: int, blocks: int) -> DataFrame:
-    """(root, p, q, node) for the sets of clusters that are too large: smaller clusters, or else signatures."""
-    spark = rows.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bitmap = spark.sparkContext.broadcast(bitmap_of(large))
-    found = rows.select("text").mapInArrow(sketches(spec, bitmap), "sig long, node long, n long, sketch binary")
-    found = found.join(large.select("node"), "node", "left_semi").select("sig", "node", "n", "sketch")
-    found = found.repartition(partitions, "sig").sortWithinPartitions("sig")
-    pairs = settle(found.mapInArrow(plausible(spec.percent), "sig long, node long, n long, hub long"))
-    sizes = pairs.select("node", "n").distinct()
-    clusters = sized(components(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"))).join(sizes, "node"), features)
-    tasks = in_blocks(clusters.filter(F.col("blocks") <= blocks), 1 << 20)
-    rest = clusters.filter(F.col("blocks") > blocks).select("node")
-    if rest.head(1):
-        pairs = pairs.join(rest, "node", "left_semi")
-        alike = pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-        alike = alike.groupBy("m", "who").agg(F.min("sig").alias("sig"))  # the same sets under other signatures
-        tasks = tasks.unionByName(in_blocks(sized(pairs.join(alike, "sig").select("node", "n", F.col("sig").alias("root")), features), 1 << 24))
-    return tasks
-
-
-def sized(members: DataFrame, features: int) -> DataFrame:
-    """(node, root, n) -> node, root, blocks (by the features of its root) and the node's block."""
-    weight = members.groupBy("root").agg(F.ceil(F.sum("n") / features).cast("int").alias("blocks"))
-    out = members.select("node", "root").join(weight, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    return settle(out.select("node", "root", "blocks", "block"))
-
-
-def in_blocks(tasks: DataFrame, first: int = 0) -> DataFrame:
-    """(node, root, blocks, block) -> a row for every task (root, p, q) that compares the node's block with another."""
-    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return tasks.select("node", "root", (F.least("block", "other") + first).alias("p"), (F.greatest("block", "other") + first).alias("q"))
-
-
-def forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The root of every set under links within the list, all of which are found: overlap counts, no candidates."""
-    m = len(sets)
-    root = np.arange(m)
-    size = np.array([len(s) for s in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+def near(n: np.ndarray, data: list[bytes], percent: int) -> np.ndarray:
+    """The tree of every set under near sketches: sets differ in as many features as their sketches in bits, or more."""
+    least = min(map(len, data))
+    bits = np.empty((len(n), least // 8), U)
+    for i, x in enumerate(data):
+        row = np.frombuffer(x, U)
+        while len(row) * 8 > least:  # half as many slots
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        bits[i] = row
+    tree, left, queue = np.arange(len(n)), np.arange(len(n)), []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        i = queue.pop()
+        apart = np.bitwise_count(bits[left] ^ bits[i]).sum(1, dtype=np.int64)
+        hit = apart * (100 + percent) <= (100 - percent) * (n[left] + n[i])
+        tree[left[hit]] = tree[i]
+        queue.extend(left[hit].tolist())
+        left = left[~hit]
+    return tree
+
+
+def forest(n: np.ndarray, data: list[bytes], percent: int) -> np.ndarray:
+    """The tree of every set under links within the list, all of which are found: overlap counts, no candidates."""
+    m, size = len(n), n
+    tree = np.arange(m)
+    ids = np.unique(np.frombuffer(b"".join(data), U), return_inverse=True)[1]
     first = np.r_[0, np.cumsum(size)]
     flag = np.zeros(int(ids.max()) + 1, bool)
     left = np.arange(m)  # sets that no other has reached yet
@@ -381,7 +342,7 @@ def forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
         if not queue:
             rest = left[~gone[left]]
             if not len(rest):
-                return root
+                return tree
             queue.append(int(rest[0]))
             gone[rest[0]] = True
         v = queue.pop()
@@ -398,77 +359,140 @@ def forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
         flag[own] = False
         hit = left[(100 * common >= percent * (size[v] + size[left] - common)) & ~gone[left]]
         gone[hit] = True
-        root[hit] = root[v]
+        tree[hit] = tree[v]
         queue.extend(hit.tolist())
 
 
-def compare(percent: int):
-    """Rows sorted by task (root, p, q) -> an edge from every set to the root of its tree."""
+def compare(trees_of: Callable, percent: int):
+    """Rows (root, p, q, node, n, data) sorted by task (root, p, q) -> an edge from every set to the least of its tree."""
 
-    def close(nodes: list, sets: list) -> Iterator[pa.RecordBatch]:
-        if len(nodes) > 1:
-            r = forest(sets, percent)
-            n = np.array(nodes, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(n[r])], ["a", "b"])
+    def close(batches: list) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        node, one = np.unique(np.asarray(t["node"]), return_index=True)  # the hubs of a block may be sets of it
+        if len(one) < 2:
+            return
+        tree = trees_of(np.asarray(t["n"])[one], t["data"].take(pa.array(one)).to_pylist(), percent)
+        least = np.full(len(one), len(one))
+        np.minimum.at(least, tree, np.arange(len(one)))
+        a, b = node, node[least[tree]]
+        if (a != b).any():
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, nodes, sets = None, [], []
+        task, held = None, []
         for batch in batches:
-            keys = zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)
-            for key, node, blob in zip(keys, batch.column(3).to_pylist(), batch.column(4), strict=True):
+            keys = np.stack([np.asarray(batch.column(i), np.int64) for i in range(3)])
+            cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0), True]) if batch.num_rows else []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(keys[:, x])
                 if key != task:
-                    yield from close(nodes, sets)
-                    task, nodes, sets = key, [], []
-                nodes.append(node)
-                sets.append(np.frombuffer(blob.as_py(), U))
-        yield from close(nodes, sets)
+                    if held:
+                        yield from close(held)
+                    task, held = key, []
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from close(held)
 
     return run
 
 
+def trees(members: DataFrame, data: DataFrame, kind: Callable, percent: int, most: int) -> tuple[DataFrame, bool]:
+    """Edges (a, b) that connect what ``kind`` connects within a root, and whether trees of a root may still have to meet.
+
+    members: root, node, weight. data: node, n, data. A root of at most ``most`` in weight is one task. A larger one is
+    cut into blocks; the HUBS sets of least hash go to every block too. Sets that are in one component then need no more
+    comparing, whichever block they are in. What is outside of the root's largest component is cut into blocks again,
+    and every such block meets every block of the root. So all pairs of sets of different components are compared.
+    """
+    spark = members.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def compared(work: DataFrame) -> DataFrame:
+        work = work.select("root", "p", "q", "node", "n", "data").repartition(partitions, "root", "p", "q").sortWithinPartitions("root", "p", "q")
+        return settle(work.mapInArrow(compare(kind, percent), "a long, b long"))
+
+    weights = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("weight").alias("weights"))
+    weights = weights.filter("m > 1").select("root", F.ceil(F.col("weights") / most).cast("int").alias("blocks"))
+    large = settle(weights.filter("blocks > 1"))
+    if not large.head(1):
+        return compared(members.select("root", "node").join(data, "node").withColumns({"p": F.lit(0), "q": F.lit(0)})), False
+    held = members.join(weights, "root").withColumn("q", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(data, "node")
+    held = stored(held.select("root", "node", "weight", "blocks", "q", "n", "data"), "blocks")
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("node"))).alias(f"h{i}") for i in range(HUBS)]
+    hubs = held.filter("blocks > 1").groupBy("root").agg(*least)
+    hubs = hubs.select("root", F.explode(F.array(*[F.col(f"h{i}.node") for i in range(HUBS)])).alias("node")).distinct()
+    hubs = held.join(hubs, ["root", "node"], "left_semi").filter("blocks > 1").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    edges = compared(held.withColumn("p", F.lit(-1)).unionByName(hubs.withColumn("p", F.lit(-1))))
+    named = held.filter("blocks > 1").select("root", "node", "weight").join(components(edges).select("node", F.col("root").alias("tree")), "node", "left")
+    named = settle(named.withColumn("tree", F.coalesce("tree", "node")))
+    sums = named.groupBy("root", "tree").agg(F.sum("weight").alias("w"))
+    top = sums.groupBy("root").agg(F.max(F.struct("w", "tree")).alias("top"), F.sum("w").alias("all"))
+    top = top.select("root", F.col("top.tree").alias("largest"), F.ceil((F.col("all") - F.col("top.w")) / most).cast("int").alias("rest"))
+    top = settle(top.filter("rest > 0"))
+    if not top.head(1):
+        return edges, True
+    outside = named.join(top, "root").filter("tree <> largest").select("root", "node", "rest")
+    outside = held.join(outside, ["root", "node"]).withColumn("p", F.pmod(F.xxhash64("node", F.lit(HUBS)), F.col("rest")).cast("int"))
+    outside = outside.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = held.join(top, "root").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)))
+    cols = ["root", "p", "q", "node", "n", "data"]
+    return edges.union(compared(outside.select(*cols).union(others.select(*cols)))), True
+
+
 def bitmap_of(nodes: DataFrame) -> bytes:
-    """A bit for each low part of a node; of fixed size, whatever the number of nodes."""
-    low = nodes.select(F.expr(f"node & {(1 << BITMAP_BITS) - 1}").alias("low"))
-    byte = low.selectExpr("shiftright(low, 3) AS at", "shiftleft(1, CAST(low & 7 AS INT)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    out[byte["at"].to_numpy(np.int64)] = byte["bits"].to_numpy(np.int64)
+    """A bit for each low part of a node, about 16 bits a node; of bounded size, whatever the number of nodes."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * nodes.count()).bit_length()))
+    low = nodes.select(F.expr(f"node & {(1 << bits) - 1}").alias("low"))
+    # words of 64 bits, so that at most 2 ** (MOST_BITS - 6) rows come here
+    word = low.selectExpr("shiftright(low, 6) AS at", "shiftleft(1L, CAST(low & 63 AS INT)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[np.asarray(word["at"], np.int64)] = np.asarray(word["bits"], np.int64)
     return out.tobytes()
 
 
-def linked(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES, blocks: int = BLOCKS) -> DataFrame:
+def candidates(met: DataFrame) -> DataFrame:
+    """(root, node, weight): the sets of every signature that two or more share; equal groups of sets once."""
+    groups = met.filter(F.col("kind") == GROUPS).dropDuplicates(["a", "b", "n"])
+    cold = groups.select(F.xxhash64("a", "b", "n").alias("root"), F.explode("sets").alias("node"))
+    dealt = met.filter(F.col("kind") == DEALT).select(F.col("a").alias("sig"), F.col("c").alias("node")).distinct()
+    alike = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+    alike = alike.filter("m > 1").groupBy("m", "who").agg(F.min("sig").alias("sig"))  # the same sets under other signatures
+    hot = dealt.join(small(settle(alike.select("sig"))), "sig", "left_semi").select(F.xxhash64(F.lit("hot"), "sig").alias("root"), "node")
+    return cold.union(hot).withColumn("weight", F.lit(1))
+
+
+def grouped(docs: DataFrame, spec: Spec, id_col: str, text_col: str, features: int = FEATURES, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node, n) of every row, and (node, root) of every set that has links to others."""
+    spark = docs.sparkSession
+    ship(spark)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    packed = rows.mapInArrow(emitter(spec, 8 * partitions), "bucket int, kind int, block binary")
+    met = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, GATHERED)
+    met = stored(met, "signatures")
+    own = met.filter(F.col("kind") == DOCS).select(F.col("a").alias("doc_id"), F.col("b").alias("text_hash"), F.col("c").alias("node"), "n")
+    shapes = met.filter(F.col("kind") == SKETCH).groupBy(F.col("c").alias("node")).agg(F.max("n").alias("n"), F.max("sketch").alias("data"))
+    maybe, _ = trees(candidates(met), shapes, near, spec.percent, sketches)
+    clusters = components(maybe).join(own.groupBy("node").agg(F.max("n").alias("weight")), "node")
+    clusters = settle(clusters.select("root", "node", "weight"))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(clusters))
+    sets = rows.select("text").mapInArrow(set_blocks(spec, bitmap), "node long, n long, data binary")
+    sets = sets.groupBy("node").agg(F.max("n").alias("n"), F.first("data").alias("data"))  # copies become one before and after the exchange
+    links, open_ = trees(clusters, sets, forest, spec.percent, features)
+    return own, components(links) if open_ else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def linked(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES, sketches: int = SKETCHES) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Words are compared after A-Z are lower-cased. A text with fewer words than a shingle has its whole sequence as one;
     null texts and texts without words have no shingles and link with nothing. component_id is the smallest identifier
     that links reach, the own one included; null identifiers are never it unless all are. Rows that repeat an
-    identifier are rows of their own. An empty table gives an empty result.
+    identifier are rows of their own. Long texts are read whole. Other columns, whatever their names, are not read. An
+    empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    packed = rows.mapInArrow(emitter(spec, 8 * partitions), "bucket int, kind int, block binary")
-    met = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "kind int, a long, b long, n long")
-    met = settle(met)
-    own = met.filter("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n")
-    classes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    clusters = components(met.filter("kind = 2").select("a", "b")).join(classes.select("node", "n"), "node")
-    clusters = sized(clusters, features)
-    large = clusters.filter("blocks > 1")
-    tasks = in_blocks(clusters.filter("blocks = 1"))
-    cut = bool(large.head(1))
-    if cut:
-        tasks = settle(tasks.unionByName(sketched_tasks(rows, large, spec, features, blocks)))
-    bitmap = spark.sparkContext.broadcast(bitmap_of(tasks))
-    sets = rows.select("text").mapInArrow(set_blocks(spec, bitmap), "node long, features binary")
-    sets = sets.groupBy("node").agg(F.first("features").alias("features"))  # copies become one before and after the exchange
-    work = tasks.join(sets, "node").select("root", "p", "q", "node", "features")
-    work = work.repartition(partitions, "root", "p", "q").sortWithinPartitions("root", "p", "q")
-    links = settle(work.mapInArrow(compare(spec.percent), "a long, b long"))
-    if cut:
-        groups = components(links)
-    else:  # every cluster was compared by one task, whose roots are final
-        groups = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    own, groups = grouped(docs, spec, id_col, text_col, features, sketches)
+    classes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select("node", "root").join(least, "root").select("node", "component_id")
@@ -477,9 +501,29 @@ def linked(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str =
 
 
 def near_dedup(docs: DataFrame, spec: Spec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay: of each component the one with the smallest identifier, with all columns."""
-    spec = spec or Spec()
-    found = linked(docs, spec, id_col, text_col)
-    stay = found.filter(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, same(docs[id_col].cast("long"), stay["_id"]), "left_semi")
-    return kept.select(*docs.columns)
+    """The documents that stay: of each component the row with the smallest identifier, with all columns.
+
+    Identifiers may be null (never kept if the component has another) or repeated: rows of one component with the
+    smallest identifier but different texts are told apart by a hash of the text, and of rows that repeat both one
+    stays. Null texts and texts without words link with nothing and all stay, repeated or not. Columns of any name are
+    passed on. An empty table gives an empty result.
+    """
+    own, groups = grouped(docs, spec or Spec(), id_col, text_col)
+    own = own.filter("n > 0").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("text_hash"))
+    rows = settle(own.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times")))  # copies with other identifiers stay apart
+    first = rows.groupBy("root").agg(F.min(rank).alias("first"))
+    judged = rows.join(first, "root").withColumn("stays", same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    judged = settle(judged.filter("NOT stays OR times > 1").select("doc_id", "text_hash", "stays"))
+    if not judged.head(1):
+        return docs
+    i, h = free_name(docs, "_id"), free_name(docs, "_hash")
+    marked = docs.withColumns({i: F.col(id_col).cast("long"), h: F.xxhash64(text_col)})
+    on = lambda t: same(marked[i], t["doc_id"]) & (marked[h] == t["text_hash"])
+    judged = small(judged)
+    out = marked.join(judged, on(judged), "left_anti")
+    again = judged.filter("stays")
+    if again.head(1):  # rows that repeat an identifier and its text: the few that stay of these meet by both
+        again = small(again)
+        out = out.union(marked.join(again, on(again), "left_semi").dropDuplicates([i, h]))
+    return out.drop(i, h)

@@ -57,16 +57,17 @@ def test_links_equal_brute_force(spark, spec):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, spec)
 
 
-@pytest.mark.parametrize("blocks", [0, 100])
-def test_long_texts_and_oversize_clusters_equal_brute_force(spark, blocks):
+@pytest.mark.parametrize("sketches,features", [(8192, 2000), (5, 2000), (5, 10**6)])
+def test_long_texts_and_oversize_groups_equal_brute_force(spark, sketches, features):
     rows = corpus(2, 4, 25, (300, 500))
     spec = Spec(4, 85)
-    got = linked(spark.createDataFrame(rows, SCHEMA), spec, features=2000, blocks=blocks).collect()  # by signature; by blocks
+    got = linked(spark.createDataFrame(rows, SCHEMA), spec, features=features, sketches=sketches).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, spec)
 
 
 def test_combining_on_the_map_side_keeps_links(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HELD", 50)
+    monkeypatch.setattr(ngram_join, "HOT", 1)
     rows = corpus(3, 10, 8)
     spec = Spec(4, 85)
     got = linked(spark.createDataFrame(rows, SCHEMA), spec).collect()
@@ -83,3 +84,18 @@ def test_near_dedup_keeps_one_of_a_group_and_all_columns(spark):
 
 def test_empty_table(spark):
     assert linked(spark.createDataFrame([], SCHEMA), Spec()).collect() == []
+
+
+def test_near_dedup_with_null_and_repeated_identifiers_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text, "a", 1), (None, text, "b", 2), (7, text + " z", "c", 3), (5, text, "a", 1), (5, text + " y", "d", 4), (None, None, "e", 5), (None, None, "e", 5), (9, "", "f", 6), (3, "alone here", "g", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string, _hash long")
+    got = near_dedup(docs, Spec(5, 80))
+    assert got.columns == docs.columns
+    got = sorted(got.collect(), key=str)
+    fives = [tuple(r) for r in got if r[0] == 5]
+    assert fives in ([(5, text, "a", 1)], [(5, text + " y", "d", 4)])  # the two texts are told apart by a hash
+    assert sorted((tuple(r) for r in got if r[0] != 5), key=str) == sorted(rows[5:], key=str)
+    again = spark.createDataFrame([(5, text, "a", 1)] * 3 + [(8, "x y", "b", 2)], docs.schema)
+    assert sorted(tuple(r) for r in near_dedup(again, Spec(5, 80)).collect()) == [(5, text, "a", 1), (8, "x y", "b", 2)]
+    assert near_dedup(spark.createDataFrame([], docs.schema)).collect() == []
