@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import array
 import itertools
+import json
 import os
 import re
 import struct
@@ -90,27 +91,28 @@ class Recent(dict):
         return value
 
 
-#: The vocabulary's own split of lower-case ASCII words, a fixed value: contractions, letters, one digit, others.
+#: The steps of a vocabulary whose texts may be encoded word by word, a fixed value of its file: lower case, runs of white
+#: space as one space, and a split that white space always ends.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: That split for lower-case ASCII.
 ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-TRAILING = re.compile(rb"[!-/:-@\[-`{-~]+$")
-
-
-def parts_of(word: bytes) -> list[bytes]:
-    """A word without white space as pieces that the pre-tokenizer splits as well."""
-    if word.isalpha():  # ASCII letters only
-        return [word.lower()]
-    if b"<|" in word:
-        return [word]
-    if word.isascii():
-        return ASCII_PARTS.findall(word.lower())
-    tail = TRAILING.search(word)
-    if tail and word[: tail.start()].decode()[-1:].isalpha():
-        return [word[: tail.start()], tail.group()]
-    return [word]
 
 
 class Encoder:
-    """A tokenizer whose pre-tokenizer always splits at ASCII white space: a text is the sequence of its words' ids."""
+    """A tokenizer. With the steps in WORDWISE and added tokens that begin with ``<|``, a text's ids are those of its words.
+
+    Words are remembered, and ASCII words are split as the vocabulary splits them, so that their parts are, too; all
+    others go to the library whole. Any other vocabulary encodes every text in one piece.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -119,17 +121,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
-        self.parts = Recent(self.part, 2 * REMEMBERED)
+        steps = json.loads(self.tokenizer.to_str())
+        self.wordwise = all(steps[k] == v for k, v in WORDWISE.items()) and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in steps["added_tokens"])
+        self.parts = Recent(self.whole, 2 * REMEMBERED)
         self.words = Recent(self.word, REMEMBERED)
 
-    def part(self, part: bytes) -> bytes:
-        return array.array(self.kind, self.tokenizer.encode(part.decode(), add_special_tokens=False).ids).tobytes()
+    def whole(self, text: bytes) -> bytes:
+        return array.array(self.kind, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def word(self, word: bytes) -> bytes:
-        return b"".join(map(self.parts.__getitem__, parts_of(word)))
+        if not word.isascii() or b"<|" in word:
+            return self.whole(word)
+        word = word.lower()
+        return b"".join(map(self.parts.__getitem__, [word] if word.isalpha() else ASCII_PARTS.findall(word)))
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian numbers of ``width`` bytes."""
+        if not self.wordwise:
+            return self.whole(text)
         if text.isascii() and b"<|" not in text:
             text = text.lower()
         return b"".join(map(self.words.__getitem__, text.split()))

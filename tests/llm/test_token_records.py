@@ -34,6 +34,20 @@ def test_files_give_back_what_the_library_encodes(spark):
     assert len(files) > 5
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_fuzzed_texts_equal_the_library(name):
+    rng = random.Random(5)
+    t = tokenizers.Tokenizer.from_file(tr.vocabulary_path(name))
+    enc = tr.encoder(tr.vocabulary_path(name))
+    bits = [*"İıſKÅΣσςßẞǅﬁ́̇½²٣Ⅷ日본ء🙂", *"aZ09'!->%\\_<|", "'s", "'LL", "İ--", "<|endoftext|>", "<|", " ", "\n", "\u00a0", "\u0085", "\u2003", "\x1c", "\x00", "hello", "été,"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(10_000)]
+    texts += ["İ\\ İ> İ-- İ%", "a" * 20_000, "=" * 20_000, "word, " * 5000]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xD800)])) for _ in range(12)) for _ in range(5000)]
+    want = t.encode_batch(texts, add_special_tokens=False)
+    for text, w in zip(texts, want, strict=True):
+        assert np.frombuffer(enc.encode(text.encode()), f"<u{enc.width}").tolist() == w.ids, text
+
+
 def test_damage_is_found():
     good = tr.frame(b"payload") + tr.frame(b"")
     assert bytes(tr.unframe(memoryview(good), 0)[0]) == b"payload" and tr.unframe(memoryview(good), 23)[1] == len(good)
