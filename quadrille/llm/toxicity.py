@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import ship
+from .common import ship, stored
 
 SAMPLE = 5_000
 GRADES = 3
@@ -28,6 +29,8 @@ STEMS, PLACES = (5, 6, 7), 3
 #: A word is a feature if so many distinct sampled documents hold it, its log odds are so many standard errors from 0,
 #: and most documents that hold it are on the side that it speaks for.
 MIN_DOCS, MIN_Z, MIN_SHARE = 5, 4.0, 0.6
+#: Features of a model, those farthest from 0 in standard errors. With SAMPLE it bounds what the driver gets.
+FEATURES = 20_000
 
 
 def features(data: np.ndarray, bounds: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -102,28 +105,17 @@ def graded(label: np.ndarray, row: np.ndarray, marker: np.ndarray, grades: int)
     return np.where(label > 0, 1 + (n[:, None] > cuts[None, :]).sum(1), 0)
 
 
-def fit_rows(label: np.ndarray, lists: list[np.ndarray], grades: int = GRADES, steps: int = 2000) -> Model:
-    """Labels 0 and 1 are graded; others are severities as they stand."""
-    none = Model(np.empty(0, np.uint64), np.empty(0), np.empty(0))
-    if not len(label) or label.min() == label.max():
-        return none
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    words, col = np.unique(np.concatenate(lists).view(np.uint64), return_inverse=True)
-    toxic = label > 0
-    pos = np.bincount(col, weights=toxic[row], minlength=len(words))
-    neg = np.bincount(col, minlength=len(words)) - pos
-    p, n = toxic.sum(), (~toxic).sum()
-    odds = np.log((pos + 0.5) / (p - pos + 0.5)) - np.log((neg + 0.5) / (n - neg + 0.5))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (p - pos + 0.5) + 1 / (neg + 0.5) + 1 / (n - neg + 0.5))
-    use = (pos + neg >= MIN_DOCS) & (np.abs(z) >= MIN_Z) & (np.where(odds > 0, pos, neg) >= MIN_SHARE * (pos + neg))
-    if not use.any():
-        return none
-    severity = graded(label, row, use[col] & (odds[col] > 0), grades) if label.max() == 1 else label
-    new = np.cumsum(use) - 1
-    row, col = row[use[col]], new[col[use[col]]]
+def fit_rows(label: np.ndarray, row: np.ndarray, words: np.ndarray, col: np.ndarray, marker: np.ndarray, grades: int = GRADES, steps: int = 2000) -> Model:
+    """label by row; (row, col) tells which of the words a row holds; marker which of them speak for toxic texts.
+
+    Labels 0 and 1 are graded; others are severities as they stand.
+    """
+    if not len(words):
+        return Model(np.empty(0, np.uint64), np.empty(0), np.empty(0))
+    severity = graded(label, row, marker[col], grades) if label.max() == 1 else label
     k = int(severity.max())
     over = (severity[:, None] > np.arange(k)[None, :]).astype(float)
-    w, low, gaps = np.zeros(int(use.sum())), np.array([2.0]), np.zeros(k - 1)
+    w, low, gaps = np.zeros(len(words)), np.array([2.0]), np.zeros(k - 1)
     params = [w, low, gaps]
     m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for t in range(1, steps + 1):  # Adam on the ordinal likelihood with a small ridge
@@ -135,20 +127,58 @@ def fit_rows(label: np.ndarray, lists: list[np.ndarray], grades: int = GRADES, s
         for i, (x, g) in enumerate(zip(params, grad, strict=True)):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             x -= 0.1 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-9)
-    return Model(words[use], w, low[0] + np.r_[0, np.cumsum(np.exp(gaps))])
+    order = np.argsort(words)
+    return Model(words[order], w[order], low[0] + np.r_[0, np.cumsum(np.exp(gaps))])
+
+
+def chosen(rows: DataFrame, most: int = FEATURES) -> DataFrame:
+    """(word, marker) of the sample's features that the model uses; rows: label, words."""
+    toxic = F.col("label") > 0
+    p, n = (float(x or 0) for x in rows.agg(F.count_if(toxic), F.count_if(~toxic)).head())
+    c = rows.select(F.explode("words").alias("word"), toxic.alias("t")).groupBy("word").agg(F.count_if("t").alias("pos"), F.count_if(~F.col("t")).alias("neg"))
+    c = c.filter((F.col("pos") + F.col("neg") >= MIN_DOCS) & F.lit(bool(p and n)))
+    a, b, x, y = F.col("pos") + 0.5, p - F.col("pos") + 0.5, F.col("neg") + 0.5, n - F.col("neg") + 0.5
+    c = c.withColumn("odds", F.ln(a / b) - F.ln(x / y)).withColumn("z", F.abs("odds") / F.sqrt(1 / a + 1 / b + 1 / x + 1 / y))
+    side = F.when(F.col("odds") > 0, F.col("pos")).otherwise(F.col("neg"))
+    c = c.filter((F.col("z") >= MIN_Z) & (side >= MIN_SHARE * (F.col("pos") + F.col("neg"))))
+    return c.orderBy(F.desc("z"), "word").limit(most).select("word", (F.col("odds") > 0).alias("marker"))
+
 
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """labels: doc_id and the label. The sample is the labelled documents with the least hashes, the same in any run.
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """labels: doc_id and the label. The sample is the labelled documents with the least hashes, the same in any run."""
+    Null labels and identifiers are left out; of repeated ones the highest label counts, as it does for texts with the
+    same features, which count once. Features are counted and chosen in Spark; the driver gets the labels and which of
+    at most FEATURES features each of at most ``sample`` documents holds. Without both kinds of labels nothing is learnt.
+    """
     ship(docs.sparkSession)
-    picked = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).select(F.col("doc_id").alias("_l"), F.col(label_col).cast("int").alias("_y"))
-    picked = picked.dropDuplicates(["_l"]).orderBy(F.xxhash64("_l"), "_l").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_l"))  # at most ``sample`` rows
-    got = rows.select("_y", "text").mapInArrow(feature_lists, "label int, words array<long>").toArrow()
-    lists = [np.asarray(x.values, np.int64) for x in got["words"]]
-    pairs = sorted(zip(got["label"].to_pylist(), lists, strict=True), key=lambda x: (x[0], x[1].tobytes()))  # in whatever order tasks end
-    once = {x.tobytes(): (y, x) for y, x in pairs}  # copies count once, with their highest label
-    return fit_rows(np.array([y for y, _ in once.values()], np.int64), [x for _, x in once.values()])
+    picked = labels.select(F.col("doc_id").cast("long").alias("_l"), F.col(label_col).cast("int").alias("_y")).filter("_l IS NOT NULL AND _y IS NOT NULL")
+    picked = picked.groupBy("_l").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_l"), "_l").limit(sample)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = rows.join(F.broadcast(picked), F.col("_id") == F.col("_l"))  # at most ``sample`` rows
+    rows = rows.select("_y", "_text").mapInArrow(feature_lists, "label int, words array<long>")
+    rows = rows.groupBy(F.xxhash64("words").alias("row"), F.size("words").alias("n")).agg(F.max("label").alias("label"), F.max("words").alias("words"))
+    rows = stored(rows, "sample")
+    found = chosen(rows).toPandas().sort_values("word")
+    marks = rows.sparkSession.sparkContext.broadcast(found["word"].to_numpy(np.int64))
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            of = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+            flat = np.asarray(lists.flatten(), np.int64)
+            col = np.searchsorted(marks.value, flat)
+            hit = np.append(marks.value, 0)[col] == flat
+            hit &= col < len(marks.value)
+            cuts = np.searchsorted(of[hit], np.arange(len(lists) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.ListArray.from_arrays(pa.array(cuts), pa.array(col[hit].astype(np.int32)))], ["row", "n", "label", "cols"])
+
+    got = rows.select("row", "n", "label", "words").mapInArrow(held, "row long, n int, label int, cols array<int>").toArrow()
+    got = got.sort_by([("row", "ascending"), ("n", "ascending")]).combine_chunks()  # in whatever order tasks end
+    label = np.asarray(got["label"], np.int64)
+    lists = got["cols"].combine_chunks() if len(label) else pa.array([], pa.list_(pa.int32()))
+    row = np.repeat(np.arange(len(label)), np.asarray(pc.list_value_length(lists)))
+    return fit_rows(label, row, found["word"].to_numpy(np.int64).view(np.uint64), np.asarray(lists.flatten(), np.int64), found["marker"].to_numpy(bool))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +206,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents that are not toxic, with all their columns."""
+    """The documents that are not toxic, with all their columns, whatever their names.
+
+    Null and empty texts stay unless most labelled documents are toxic; repeated rows stay or go together; long texts
+    are read whole. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)

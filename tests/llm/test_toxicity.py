@@ -69,3 +69,25 @@ def test_nulls_ties_and_empty_tables(spark):
     none = toxicity.fit(docs.limit(0), lab)
     assert not any(r["toxic"] for r in toxicity.score(docs, none).collect())
     assert toxicity.score(docs.limit(0), model).collect() == [] and toxicity.drop_toxic(docs.limit(0), model).collect() == []
+
+
+def test_chosen_words_equal_brute_force(spark):
+    rows, labels = corpus(400, 3)
+    held = []
+    for _, t, _ in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        held.append(set(toxicity.features(data, np.array([0, len(data)]))[1].view(np.int64).tolist()))
+    y = np.array([v for _, v in labels])
+    want = {}
+    for f in set().union(*held):
+        has = np.array([f in h for h in held])
+        pos, neg, p, n = (has & (y == 1)).sum(), (has & (y == 0)).sum(), y.sum(), (1 - y).sum()
+        odds = np.log((pos + 0.5) / (p - pos + 0.5)) - np.log((neg + 0.5) / (n - neg + 0.5))
+        z = abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (p - pos + 0.5) + 1 / (neg + 0.5) + 1 / (n - neg + 0.5))
+        if pos + neg >= toxicity.MIN_DOCS and z >= toxicity.MIN_Z and (pos if odds > 0 else neg) >= toxicity.MIN_SHARE * (pos + neg):
+            want[f] = bool(odds > 0)
+    frame = spark.createDataFrame([(int(v), list(h)) for v, h in zip(y, held, strict=True)], "label int, words array<long>")
+    assert want and {r["word"]: r["marker"] for r in toxicity.chosen(frame).collect()} == want
+    assert toxicity.chosen(frame, 2).count() == 2
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(model.words.view(np.int64).tolist()) == set(want) and (np.diff(model.words.astype(float)) > 0).all()
