@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -66,6 +67,31 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def only_kept(docs: DataFrame, keys: list[Column], judged: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    judged: the keys in the same order, then whether such rows stay. Rows that are in it and stay repeat all keys: one
+    of them is kept. Rows that are not in it stay. If few rows are judged, docs are not shuffled.
+    """
+    if not judged.head(1):
+        return docs
+    names = [free_name(docs, f"_key{i}") for i in range(len(keys))]
+    marked = docs.withColumns(dict(zip(names, keys, strict=True)))
+    judged = judged.toDF(*[f"_judged{i}" for i in range(len(keys))], "_stays")
+
+    def match(t: DataFrame) -> Column:
+        pairs = [same(marked[n], t[f"_judged{i}"]) for i, n in enumerate(names)]
+        return functools.reduce(lambda a, b: a & b, pairs)
+
+    every = small(judged)
+    out = marked.join(every, match(every), "left_anti")
+    again = judged.filter("_stays")
+    if again.head(1):
+        again = small(again)
+        out = out.union(marked.join(again, match(again), "left_semi").dropDuplicates(names))
+    return out.drop(*names)
+
+
 _shipped: set[str] = set()
 
 

@@ -1,11 +1,11 @@
 """Exact duplicates by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Every row gets a digest (SHA-256, a second 64-bit hash and the byte length of the normalised text) and belongs to one
-of ``RADIX ** ROUNDS`` runs. Within a run, rows are sorted by digest and equal digests become one entry with the
-identifier to keep and a count. In each round, ``RADIX`` runs exchange entries: an entry goes to the partition of its
-digest and of the part of the run number that is left, where sorted runs are merged and equal entries become one. After
-the last round a digest has one entry. A text that fills a third of the corpus thus meets in pieces: one task never
-gets more than one entry for each of ``RADIX`` runs. The kept identifier then goes down the same tree.
+Every row gets a digest (SHA-256, a second 64-bit hash and the byte length of the normalised text). The rows of an input
+partition are a run: sorted by digest, with equal digests as one entry that holds the identifier to keep and a count.
+The RADIX ** ROUNDS runs then meet in binomial rounds: in round r, the RADIX runs whose numbers differ in digit r only
+exchange entries, each by its digest, merge them in order, and keep one entry for equal ones. After the last round a
+digest has one entry. A text that fills a third of the corpus thus meets in pieces: no task ever gets more than RADIX
+entries of it. The kept identifier then goes to the first runs, once for each run that has the digest.
 """
 
 from __future__ import annotations
@@ -13,19 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, same, stored
+from .common import ascii_lower, only_kept, same, stored
 
-RADIX, ROUNDS = 16, 2
+RADIX, ROUNDS = 4, 4
 
 
-def with_digest(rows: DataFrame, text: Column) -> DataFrame:
-    """Adds _dig of 48 bytes; equal ones agree in SHA-256, in an unrelated 64-bit hash and in length: a verified match.
+def normalised(text: Column) -> Column:
+    return ascii_lower(F.coalesce(text, F.lit("")))
 
-    The normalised text is a projection of its own, so that it is computed once.
-    """
-    rows = rows.withColumn("_norm", ascii_lower(F.coalesce(text, F.lit(""))))
-    check = F.concat(F.lpad(F.hex(F.xxhash64("_norm")), 16, "0"), F.lpad(F.hex(F.octet_length("_norm").cast("long")), 16, "0"))
-    return rows.withColumn("_dig", F.unhex(F.concat(F.sha2("_norm", 256), check))).drop("_norm")
+
+def digest(text: Column) -> Column:
+    """48 bytes; equal ones agree in SHA-256, in an unrelated 64-bit hash and in length: a verified match."""
+    check = F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(F.octet_length(text).cast("long")), 16, "0"))
+    return F.unhex(F.concat(F.sha2(text.cast("binary"), 256), check))
 
 
 def merge(entries: DataFrame, *key: str) -> DataFrame:
@@ -40,8 +40,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     and text) count once each in _n. An empty table gives an empty result.
     """
     sign = 1 if keep == "largest" else -1
-    leaf = with_digest(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), F.col("_text")).drop("_text")
-    leaf = leaf.withColumn("_run", F.pmod(F.xxhash64("_id"), F.lit(RADIX**ROUNDS)).cast("int"))
+    # the normalised text is a projection of its own, so that it is computed once
+    leaf = docs.select(F.col(id_col).cast("long").alias("_id"), normalised(F.col(text_col)).alias("_text"))
+    leaf = leaf.select("_id", digest(F.col("_text")).alias("_dig"))
+    leaf = leaf.withColumn("_run", F.spark_partition_id() % RADIX**ROUNDS)
     leaf = stored(leaf, "digests")  # texts are read once; the merges and the last join read 60 bytes a row
     first = leaf.groupBy("_dig", "_run").agg(F.max(F.struct((F.col("_id") * sign).alias("k"))).alias("_best"), F.count(F.lit(1)).alias("_n"))
     level = first
@@ -53,11 +55,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat both identifier and text, one stays."""
-    kept = groups(docs, id_col, text_col, keep).filter(same(F.col("_id"), F.col("_keep"))).select("_id", "_dig").distinct()
-    marked = with_digest(docs, docs[text_col])
-    out = marked.join(kept, (marked["_dig"] == kept["_dig"]) & same(marked[id_col].cast("long"), kept["_id"]), "left_semi")
-    return out.dropDuplicates([id_col, "_dig"]).select(*docs.columns)
+    """The rows that stay, with all their columns, whatever their names.
+
+    Of equal texts the row with the largest (or smallest) identifier stays, null ones only if there is no other; of rows
+    that repeat both, one. Null texts count as empty, and so all but one of them go. An empty table gives an empty result.
+    """
+    rows = groups(docs, id_col, text_col, keep).groupBy("_id", "_dig").agg(F.count(F.lit(1)).alias("_times"), F.max("_keep").alias("_keep"))
+    judged = rows.select("_id", "_dig", same(F.col("_id"), F.col("_keep")).alias("_stays"), "_times").filter("NOT _stays OR _times > 1").drop("_times")
+    return only_kept(docs, [docs[id_col].cast("long"), digest(normalised(docs[text_col]))], stored(judged, "judged"))
 
 
 def report(docs: DataFrame) -> DataFrame:

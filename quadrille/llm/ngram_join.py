@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import free_name, same, settle, ship, small, stored
+from .common import only_kept, same, settle, ship, small, stored
 from .components import components
 
 U = np.uint64
@@ -515,15 +515,4 @@ def near_dedup(docs: DataFrame, spec: Spec | None = None, id_col: str = "doc_id"
     first = rows.groupBy("root").agg(F.min(rank).alias("first"))
     judged = rows.join(first, "root").withColumn("stays", same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
     judged = settle(judged.filter("NOT stays OR times > 1").select("doc_id", "text_hash", "stays"))
-    if not judged.head(1):
-        return docs
-    i, h = free_name(docs, "_id"), free_name(docs, "_hash")
-    marked = docs.withColumns({i: F.col(id_col).cast("long"), h: F.xxhash64(text_col)})
-    on = lambda t: same(marked[i], t["doc_id"]) & (marked[h] == t["text_hash"])
-    judged = small(judged)
-    out = marked.join(judged, on(judged), "left_anti")
-    again = judged.filter("stays")
-    if again.head(1):  # rows that repeat an identifier and its text: the few that stay of these meet by both
-        again = small(again)
-        out = out.union(marked.join(again, on(again), "left_semi").dropDuplicates([i, h]))
-    return out.drop(i, h)
+    return only_kept(docs, [docs[id_col].cast("long"), F.xxhash64(docs[text_col])], judged)

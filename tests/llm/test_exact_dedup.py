@@ -52,3 +52,14 @@ def test_smallest_may_stay_instead(spark):
 @pytest.mark.parametrize("f", [exact_dedup.report, exact_dedup.exact_dedup])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clashing_columns_are_passed_on(spark):
+    schema = "doc_id long, text string, _norm string, _dig string, _key0 long, _stays boolean, _id long, _run int"
+    rows = [(i, t, f"n{i}", f"d{i}", i, i % 2 == 0, -i, i) for i, t in enumerate(["a", "A", "b", None, "", "c"])]
+    rows += [rows[5], (None, "b", "x", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted([rows[1], rows[2], rows[4], rows[5]])
+    assert exact_dedup.report(docs).count() == len(rows)
