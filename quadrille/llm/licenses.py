@@ -1,15 +1,19 @@
 """Licence scan by a positional index of rare licence words.
 
 Words are runs of letters and digits after A-Z are lower-cased. Base phrases are counted wherever their words stand
-consecutively. Templates are found by position: each mandatory key phrase of a template is represented by its word of
-highest IDF in the corpus (which must be there if the phrase is). Where a file holds such a word, the template's posting of
-that word gives the offset at which the template would start; offsets on which all key phrases agree with at least one
-posting are kept, the other words are compared at their places by IDF weight, and the key phrases are verified word for
-word. IDF counts come from all documents.
+consecutively. Licence texts and notices are found by position. A template's mandatory key phrases must all be there; so
+of the licence words that a file holds, those of highest IDF in the corpus that belong to a phrase are looked up: each of
+the file's postings of such a word says where the phrase would begin, and the postings of RARE words are intersected by
+that place, the rarest first. What is left is verified word for word. The phrases' places then are intersected in turn:
+each says where the template would begin, and these places may differ by SLACK words (a name that was filled in, a
+list number). The template's other words are compared at their places behind the last phrase before them, by IDF weight.
+IDF counts come from all documents.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,28 +24,14 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .common import ship
+from .license_texts import TEMPLATES
 
 #: Fixed values of the contract: phrase and label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: label: (notice text, mandatory key phrases). Short forms of public licence notices.
-TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    "mit": ("released under the mit license", ("mit license",)),
-    "mit-notice": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "copy of this software")),
-    "gpl-3.0": ("this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    "gpl-2.0": ("licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    "lgpl": ("under the terms of the gnu lesser general public license", ("lesser general public license",)),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    "cc-by-4.0": ("licensed under cc by 4 0", ("cc by 4 0",)),
-    "cc-by-nc": ("licensed under cc by nc 4 0", ("cc by nc",)),
-    "cc-by-sa": ("licensed under cc by sa 4 0", ("cc by sa",)),
-    "cc-by-nd": ("licensed under cc by nd 4 0", ("cc by nd",)),
-    "cc0": ("cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
-}
 #: Share of a template's IDF weight that must stand at its place.
 MIN_SCORE = 0.5
+#: Words of a phrase whose postings are intersected, and words by which the places of a template's phrases may differ.
+RARE, SLACK = 3, 12
 
 
 def hash_words(words: Iterable[str]) -> np.ndarray:
@@ -50,15 +40,28 @@ def hash_words(words: Iterable[str]) -> np.ndarray:
     return kernel.split(data, np.array([0, len(data)]), kernel.IS_ALNUM).hashes()
 
 
+@dataclass
+class Phrase:
+    words: list[int]
+    place: int  # in its template
+    rare: list[int]  # places in the phrase of its words of highest IDF, the highest first
+
+
+@dataclass
+class Template:
+    label: str
+    words: np.ndarray
+    weights: np.ndarray
+    phrases: list[Phrase]
+
+
 @dataclass
 class Index:
-    """Vocabulary (sorted hashes), templates as vocabulary numbers, and the anchors' postings."""
+    """Vocabulary (sorted hashes), base phrases and templates in vocabulary numbers."""
 
     hashes: np.ndarray
     base: list[tuple[list[int], str]]
-    templates: list[tuple[str, list[int], np.ndarray, list[list[int]]]]
-    #: anchor word -> [(template, key phrase, place in the template)]
-    postings: dict[int, list[tuple[int, int, int]]]
+    templates: list[Template]
 
     def numbers(self, w: kernel.Words) -> np.ndarray:
         """Vocabulary number of every word, or -1."""
@@ -67,9 +70,13 @@ class Index:
         return np.where(self.hashes[at] == h, at, -1)
 
 
+def tokens(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
 def vocabulary(base=BASE, templates=TEMPLATES) -> list[str]:
     texts = [p for p, _ in base] + [t for t, _ in templates.values()] + [p for _, ps in templates.values() for p in ps]
-    return sorted({w for t in texts for w in t.split()})
+    return sorted({w for t in texts for w in tokens(t)})
 
 
 def build(n_docs: int, df: dict[str, int], base=BASE, templates=TEMPLATES) -> Index:
@@ -78,17 +85,16 @@ def build(n_docs: int, df: dict[str, int], base=BASE, templates=TEMPLATES) -> In
     order = np.argsort(hashes)
     number = {words[j]: i for i, j in enumerate(order.tolist())}
     idf = {w: float(np.log((1 + n_docs) / (1 + df.get(w, 0))) + 1e-3) for w in words}
-    made, postings = [], {}
-    for t, (label, (text, phrases)) in enumerate(templates.items()):
-        tokens = text.split()
-        weights = np.array([idf[w] for w in tokens])
-        made.append((label, [number[w] for w in tokens], weights / weights.sum(), [[number[w] for w in p.split()] for p in phrases]))
-        for k, p in enumerate(phrases):
-            p = p.split()
-            place = next(i for i in range(len(tokens)) if tokens[i : i + len(p)] == p)
-            anchor = max(range(len(p)), key=lambda i: (idf[p[i]], -i))
-            postings.setdefault(number[p[anchor]], []).append((t, k, place + anchor))
-    return Index(hashes[order], [([number[w] for w in p.split()], label) for p, label in base], made, postings)
+    made = []
+    for label, (text, keys) in templates.items():
+        t = tokens(text)
+        weights = np.array([idf[w] for w in t])
+        phrases, at = [], 0
+        for p in map(tokens, keys):
+            at = next(i for i in range(at, len(t)) if t[i : i + len(p)] == p)
+            phrases.append(Phrase([number[w] for w in p], at, sorted(range(len(p)), key=lambda i: (-idf[p[i]], i))[:RARE]))
+        made.append(Template(label, np.array([number[w] for w in t]), weights / weights.sum(), phrases))
+    return Index(hashes[order], [([number[w] for w in tokens(p)], label) for p, label in base], made)
 
 
 def phrase_places(v: np.ndarray, text: np.ndarray, phrase: list[int]) -> np.ndarray:
@@ -103,25 +109,60 @@ def phrase_places(v: np.ndarray, text: np.ndarray, phrase: list[int]) -> np.ndar
     return at[text[at] == text[at + n - 1]]
 
 
-def aligned(index: Index, v: np.ndarray, first: int, last: int, anchors: np.ndarray) -> dict[str, float]:
-    """Best score of every template found in the words first..last, of which ``anchors`` hold rare words."""
-    votes: dict[tuple[int, int], set[int]] = {}
-    for p in anchors.tolist():
-        for t, k, place in index.postings[int(v[p])]:
-            votes.setdefault((t, p - place), set()).add(k)
-    best: dict[str, float] = {}
-    for (t, start), phrases in votes.items():
-        label, tokens, weights, keys = index.templates[t]
-        if len(phrases) < len(keys):
-            continue
-        lo, hi = max(start, first), min(start + len(tokens), last)
-        there = np.zeros(len(tokens), bool)
-        there[lo - start : hi - start] = v[lo:hi] == np.array(tokens[lo - start : hi - start])
-        score = float(weights[there].sum())
-        whole = [i for i in range(len(tokens)) for k in keys if tokens[i : i + len(k)] == k and there[i : i + len(k)].all()]
-        if score >= MIN_SCORE and len(whole) >= len(keys):
-            best[label] = max(best.get(label, 0.0), min(1.0, score))
-    return best
+class Postings:
+    """Places of every vocabulary word in a group of files."""
+
+    def __init__(self, v: np.ndarray, n_words: int):
+        at = np.flatnonzero(v >= 0)
+        self.places = at[np.argsort(v[at], kind="stable")]
+        self.cuts = np.searchsorted(v[self.places], np.arange(n_words + 1))
+
+    def of(self, word: int) -> np.ndarray:
+        return self.places[self.cuts[word] : self.cuts[word + 1]]
+
+
+def begins(p: Phrase, postings: Postings, v: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where the phrase stands: postings of its rare words meet at one place; then every word is verified."""
+    first = postings.of(p.words[p.rare[0]]) - p.rare[0]
+    for i in p.rare[1:]:
+        if not len(first):
+            return first
+        other = postings.of(p.words[i]) - i
+        first = first[np.isin(first, other, assume_unique=True)]
+    n = len(p.words)
+    first = first[(first >= 0) & (first + n <= len(v))]
+    first = first[text[first] == text[first + n - 1]] if len(first) else first
+    for i, w in enumerate(p.words):
+        first = first[v[first + i] == w]
+    return first
+
+
+def found(t: Template, postings: Postings, v: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> list[tuple[int, float]]:
+    """(text, score) wherever all key phrases of a template stand in line."""
+    starts = []
+    for p in t.phrases:
+        starts.append(np.sort(begins(p, postings, v, text)))
+        if not len(starts[-1]):
+            return []
+    of = text[starts[0]]
+    line = [starts[0] - t.phrases[0].place]  # where the template would begin, by phrase
+    good = np.ones(len(of), bool)
+    for p, s in zip(t.phrases[1:], starts[1:], strict=True):
+        begin = s - p.place
+        i = np.minimum(np.searchsorted(begin, line[-1] - SLACK), len(begin) - 1)
+        good &= (np.abs(begin[i] - line[-1]) <= SLACK) & (text[s[i]] == of)
+        line.append(begin[i])
+    cuts = [0, *[p.place for p in t.phrases[1:]], len(t.words)]
+    out = []
+    for j in np.flatnonzero(good).tolist():
+        score = 0.0
+        for k, (a, b) in enumerate(itertools.pairwise(cuts)):
+            at = int(line[k][j]) + np.arange(a, b)
+            inside = (at >= bounds[of[j]]) & (at < bounds[of[j] + 1])
+            score += float(t.weights[a:b][inside][v[at[inside]] == t.words[a:b][inside]].sum())
+        if score >= MIN_SCORE:
+            out.append((int(of[j]), min(1.0, score)))
+    return out
 
 
 def document_counts(docs: DataFrame, text_col: str = "text", base=BASE, templates=TEMPLATES) -> tuple[int, dict[str, int]]:
@@ -151,16 +192,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is the best aligned share of a template's weight, 1 where a base phrase stands, 0 without either. Null texts
-    count as empty: no words, no labels (empty strings), null places. Repeated rows are scanned each. An empty table
-    gives an empty result.
+    count as empty: no words, no labels (empty strings), null places. Repeated rows are scanned each; long texts are read
+    whole; other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(build(*document_counts(docs, text_col, base, templates), base, templates))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        rare = np.zeros(len(index.hashes) + 1, bool)
-        rare[list(index.postings)] = True
         for batch in batches:
             for a, b, data, bounds in kernel.texts(batch.column(1)):
                 w = kernel.split(data, bounds, kernel.IS_ALNUM)
@@ -178,13 +217,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
                         labels[t].add(label)
                 base_labels = [",".join(sorted(x)) for x in labels]
                 score = np.where(n_base > 0, 1.0, 0.0)
-                at = np.flatnonzero(rare[v])
-                cuts = np.searchsorted(w.text[at], np.arange(size + 1))
-                for t in np.unique(w.text[at]).tolist():
-                    found = aligned(index, v, int(w.first[t]), int(w.first[t + 1]), at[cuts[t] : cuts[t + 1]])
-                    if found:
-                        labels[t] |= set(found)
-                        score[t] = max(score[t], *found.values())
+                postings = Postings(v, len(index.hashes))
+                for template in index.templates:
+                    for t, x in found(template, postings, v, w.text, w.first):
+                        labels[t].add(template.label)
+                        score[t] = max(score[t], x)
                 none = n_base == 0
                 arrays = [batch.column(0).slice(a, size), pa.array(np.diff(w.first)), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none)]
                 arrays += [pa.array(base_labels, pa.string()), pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array(score)]

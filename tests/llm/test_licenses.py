@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from quadrille.llm import licenses
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -35,20 +37,43 @@ def test_base_columns_equal_brute_force(spark):
 
 
 def test_templates(spark):
+    mit, bsd = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["bsd-3-clause"][0]
     texts = {
-        1: ("Some prose. Licensed under the Apache License, Version 2.0.", "apache-2.0"),
-        2: ("Released under the MIT License. More prose", "mit"),
+        1: ("Some prose. Licensed under the Apache License, Version 2.0.", "apache-2.0-notice"),
+        2: ("Released under the MIT License. More prose", "mit-notice"),
         3: ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
-        4: ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+        4: ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0-notice"),
         5: ("the apache license is old", ""),
         6: ("mit is a school; a license is a paper", ""),
-        7: ("PERMISSION is hereby granted, free of charge, to any person obtaining a copy of this software", "mit-notice"),
+        7: ("x " * 1000 + mit.upper() + " y" * 1000, "mit"),
         8: ("permission is hereby granted to go home", ""),
         9: ("plain words only, version 2 0 of them", ""),
+        10: (mit[: len(mit) // 4], ""),  # a phrase is missing
+        11: (bsd.replace("the copyright holder nor", "Example Books of Anywhere and its many friends nor"), "bsd-3-clause"),
+        12: (" ".join(reversed(licenses.tokens(mit))), ""),
+        13: (licenses.TEMPLATES["apache-2.0"][0] + " " + mit, "apache-2.0,apache-2.0-notice,mit"),
     }
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(k, t, None) for k, (t, _) in texts.items()], SCHEMA)).collect()}
     assert {k: r["labels"] for k, r in got.items()} == {k: want for k, (_, want) in texts.items()}
-    assert got[1]["score"] > 0.99 and got[5]["score"] == 0
+    assert got[1]["score"] > 0.99 and got[5]["score"] == 0 and got[7]["score"] > 0.99
+
+
+def test_every_template_finds_itself_and_places_equal_brute_force(spark):
+    texts = {i: t for i, (t, _) in enumerate(licenses.TEMPLATES.values())}
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, f"a b {t} c", None) for i, t in texts.items()], SCHEMA)).collect()}
+    for i, label in enumerate(licenses.TEMPLATES):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] > 0.99, label
+    rng = random.Random(6)
+    index = licenses.build(10, {"license": 9, "the": 10})
+    words = sorted({w for t in texts.values() for w in licenses.tokens(t)})[:12] + ["mit", "license", "cc", "by", "nc", "4", "0"]
+    group = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 200))) for _ in range(50)]
+    data = np.frombuffer("".join(group).encode(), np.uint8)
+    w = licenses.kernel.split(data, np.r_[0, np.cumsum([len(t) for t in group])], licenses.kernel.IS_ALNUM)
+    v = index.numbers(w)
+    postings = licenses.Postings(v, len(index.hashes))
+    for t in index.templates:
+        for p in t.phrases:
+            assert sorted(licenses.begins(p, postings, v, w.text).tolist()) == licenses.phrase_places(v, w.text, p.words).tolist()
 
 
 def test_counts_are_of_all_documents(spark):
