@@ -2,7 +2,9 @@
 
 A value is read as a number below the size of its format (for a card 10 ** (digits - 1), for a date the days of the
 valid range, for an e-mail's local part letters and digits in their places), permuted by a keyed Feistel network on
-that range, and written back in the same shape. The permutation is a bijection, so equal values get equal pseudonyms in
+that range, and written back in the same shape. A value that may be written in several ways has one number: a date its
+day, whichever order or name of the month it is written with; a phone its country code, which stays, and the digits
+behind it (ten digits without a code are +1); an IPv6 address its 128 bits. So such values stay linked as well. The permutation is a bijection, so equal values get equal pseudonyms in
 every document and different ones stay apart; punctuation, case and check digits are kept or made right again. Numbers
 that fail their check (Luhn, octets, calendar, mod 97) are left alone.
 
@@ -10,13 +12,19 @@ A card or IBAN may have numbers or words next to it that read as part of it. Eve
 one is checked, usual groupings first; where none is right, the search goes on at the next group. If a pseudonym would
 make one of the spans right that were checked before and failed, it is permuted again, so that the inverse finds the same
 span; such a value's pseudonym depends on its neighbours.
+
+The inverse gives back the text but for what the spelling doesn't say: leading zeros of one-digit days and months next to
+others without, whether the name of a month was short where the pseudonym's month is May, and how an IPv6 address was spelt.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import hmac
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -31,19 +39,27 @@ from .common import ship
 ROUNDS = 8
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+#: Names of months, whole or their first three letters.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + ")"
+MONTH = f"(?:{MONTH}|{MONTH.upper()}|{MONTH.lower()})"
+#: Country calling codes of one and two digits; all others have three.
+CALLING = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 #: Patterns by kind; an earlier kind wins where two begin at the same place.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
+    "token": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z])",
     "phone": r"(?<![\d+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![\d(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])",
-    "date": r"(?<![\d/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![\d/-])",
+    "date": r"(?<![\d/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![\d/-])" + f"|(?<![\\w.-])[0-9]{{1,2}} {MONTH},? [0-9]{{4}}(?![\\w-])|(?<![\\w.-]){MONTH} [0-9]{{1,2}},? [0-9]{{4}}(?![\\w-])",
     "ssn": r"(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-])",
     "ip": r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
+    "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:)){1,7}:?(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])",
     "card": r"(?<![\d.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII)
-HINT = re.compile("[0-9@]")
+HINT = re.compile("[0-9@:]|AKIA|gh[opsu]_|sk-")
 #: Usual digits of a card's groups.
 GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20))}
 #: Characters of an IBAN by country.
@@ -140,30 +156,58 @@ def iban(s: str, p: Permutation, inverse: bool) -> str | None:
 
 
 def phone(s: str, p: Permutation, inverse: bool) -> str | None:
-    head = re.match(r"\+[0-9]{1,3}(?=[ .(-])", s)
-    rest = s[head.end() :] if head else s
-    d = digits(rest)
-    if not 7 <= len(digits(s)) <= 15:
+    d = digits(s)
+    if not 7 <= len(d) <= 15:
         return None
-    return s[: len(s) - len(rest)] + fill(rest, mixed(d, [DIGITS] * len(d), p, "phone", inverse), lambda c: c not in DIGITS)
+    code = next((d[:n] for n in (1, 2) if d[:n] in CALLING), d[:3]) if s[0] == "+" else ""
+    body = d[len(code) :]
+    if not body:
+        return None
+    return fill(s, code + mixed(body, [DIGITS] * len(body), p, "phone" + (code or "1"), inverse), lambda c: c not in DIGITS)
+
+
+@functools.cache
+def days() -> tuple[list[int], list[int]]:
+    """Ordinals of the valid days: up to the 12th of a month, and later ones."""
+    every = [datetime.date.fromordinal(i) for i in range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1)]
+    return [x.toordinal() for x in every if x.day <= 12], [x.toordinal() for x in every if x.day > 12]
+
+
+def moved(day: datetime.date, p: Permutation, inverse: bool) -> datetime.date:
+    """Days above 12 stay above: a date that can only be read month first, or day first, goes on reading so."""
+    some = days()[day.day > 12]
+    return datetime.date.fromordinal(some[p(f"date{day.day > 12}", len(some), bisect.bisect_left(some, day.toordinal()), inverse)])
 
 
 def date(s: str, p: Permutation, inverse: bool) -> str | None:
-    y, m, d = (int(x) for x in (s.split("-") if "-" in s else reversed(re.split(r"[/.]", s))))
-    swap = "-" not in s and m > 12  # month first
+    name = re.search("[A-Za-z]+", s)
+    parts = re.findall("[0-9]+", s)
     try:
-        day = datetime.date(y, d if swap else m, m if swap else d)
+        if name:
+            month = next(i for i, m in enumerate(MONTHS, 1) if m[:3].lower() == name.group()[:3].lower())
+            day = datetime.date(int(parts[1]), month, int(parts[0]))
+        else:
+            y, m, d = map(int, parts if "-" in s else reversed(parts))
+            swap = "-" not in s and m > 12  # month first
+            day = datetime.date(y, d if swap else m, m if swap else d)
     except ValueError:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    n = (LAST_DAY - FIRST_DAY).days + 1
-    if swap:  # a date that only reads month first must go on reading so
-        days = [x for x in (FIRST_DAY + datetime.timedelta(i) for i in range(n)) if x.day > 12]
-        new = days[p("month first", len(days), days.index(day), inverse)]
-        return f"{new.month:02d}{s[2]}{new.day:02d}{s[5]}{new.year}"
-    new = FIRST_DAY + datetime.timedelta(p("date", n, (day - FIRST_DAY).days, inverse))
-    return new.isoformat() if "-" in s else f"{new.day:02d}{s[2]}{new.month:02d}{s[5]}{new.year}"
+    new = moved(day, p, inverse)
+    if name:
+        old = name.group()
+        # May is a whole name and a short one; it counts as short
+        said = MONTHS[new.month - 1] if len(old) > 3 else MONTHS[new.month - 1][:3]
+        said = said.upper() if old.isupper() else said.lower() if old.islower() else said
+        there = [f"{new.day:0{len(parts[0]) if parts[0][0] == '0' else 1}d}", str(new.year)]
+        return re.sub("[0-9]+|[A-Za-z]+", lambda x: said if x.group() == old else there.pop(0), s)
+    if "-" in s:
+        return new.isoformat()
+    wide = 2 if len(parts[0]) == len(parts[1]) == 2 else 1
+    a, b = (new.month, new.day) if swap else (new.day, new.month)
+    seps = re.findall("[/.]", s)
+    return f"{a:0{wide}d}{seps[0]}{b:0{wide}d}{seps[1]}{new.year:04d}"
 
 
 def ssn(s: str, p: Permutation, inverse: bool) -> str | None:
@@ -185,6 +229,24 @@ def ip(s: str, p: Permutation, inverse: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def ipv6(s: str, p: Permutation, inverse: bool) -> str | None:
+    try:
+        x = int(ipaddress.IPv6Address(s))
+    except ValueError:
+        return None
+    if x < 1 << 64:  # the unspecified and loopback addresses and such; also "::" in code
+        return None
+    top = 1 << 64  # what is written stays what is read: none of the addresses left out comes out
+    return str(ipaddress.IPv6Address(p("ipv6", (1 << 128) - top, x - top, inverse) + top))
+
+
+def token(s: str, p: Permutation, inverse: bool) -> str | None:
+    head = re.match("AKIA|gh[opsu]_|sk-", s).group()
+    body = s[len(head) :]
+    alphabets = [DIGITS if c in DIGITS else LETTERS for c in body]
+    return head + fill(body, mixed(body.lower(), alphabets, p, "token" + head, inverse), lambda c: False)
+
+
 def email(s: str, p: Permutation, inverse: bool) -> str | None:
     local, _, domain = s.partition("@")
     flat = [c for c in local if c.isalnum()]
@@ -201,7 +263,7 @@ def secret(s: str, p: Permutation, inverse: bool) -> str | None:
     return new if s.islower() else new.upper()
 
 
-KINDS = {f.__name__: f for f in (email, secret, iban, phone, date, ssn, ip, card)}
+KINDS = {f.__name__: f for f in (email, secret, token, iban, phone, date, ssn, ip, ipv6, card)}
 
 
 def spans(kind: str, s: str) -> list[tuple[int, int]]:
