@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import media
+from .frames import numbered
 
 EO_BANDS = "array<struct<name:string,common_name:string,description:string,center_wavelength:double,full_width_half_max:double>>"
 
@@ -40,23 +41,28 @@ def inherited(asset: Column, properties: Column, key: str) -> Column:
 def reindex(rows: DataFrame, label: str, index: str, order: str | None = None) -> DataFrame:
     """Numbers the labels that are left from 0 on, in the order given: an axis without empty places."""
     axis = rows.groupBy(label).agg(F.min(order or label).alias("_o"))
-    axis = axis.withColumn(index, F.row_number().over(Window.orderBy("_o")) - 1).drop("_o")
-    return rows.join(axis, label)
+    return rows.join(numbered(axis, [F.col("_o")], index).drop("_o"), label)
 
 
 def constants(fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Long fields (item, key, value) -> key, is_constant, value: whether every item has the field with one value."""
-    items = fields.groupBy(*by).agg(F.countDistinct("item").alias("_items"))
-    f = fields.groupBy(*by, "key").agg(F.countDistinct("item").alias("_have"), F.countDistinct("value").alias("_k"), F.count("value").alias("_nn"), F.count(F.lit(1)).alias("_n"), F.min("value").alias("_v"))
-    f = f.join(F.broadcast(items), list(by)) if by else f.crossJoin(F.broadcast(items))
-    every, one, none = F.col("_have") == F.col("_items"), (F.col("_k") == 1) & (F.col("_nn") == F.col("_n")), F.col("_nn") == 0
+    """Long fields (item, key, value) -> key, is_constant, value: whether every item has the field with one value.
+
+    Fields are dealt out once, by item; the items and the items of each key are then counted without another exchange.
+    """
+    dealt = fields.repartition(*by, "item")
+    items = dealt.select(*by, "item").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_items"))
+    f = dealt.groupBy(*by, "item", "key").agg(F.count(F.lit(1)).alias("_n"), F.count("value").alias("_nn"), F.min("value").alias("_v"), F.max("value").alias("_w"))
+    f = f.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("_have"), F.sum("_n").alias("_n"), F.sum("_nn").alias("_nn"), F.min("_v").alias("_v"), F.max("_w").alias("_w"))
+    f = f.join(items, list(by)) if by else f.crossJoin(F.broadcast(items))  # one row
+    every, one, none = F.col("_have") == F.col("_items"), (F.col("_v") == F.col("_w")) & (F.col("_nn") == F.col("_n")), F.col("_nn") == 0
+    one = F.coalesce(one, F.lit(False))
     return f.select(*by, "key", (every & (one | none)).alias("is_constant"), F.when(every & one, F.col("_v")).alias("value"))
 
 
 def all_same(fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Fields that are equal in every item that has them; an explicit null or another value drops the field."""
-    f = fields.groupBy(*by, "key").agg(F.countDistinct("value").alias("_k"), F.bool_and(F.col("value").isNotNull()).alias("_ok"), F.min("value").alias("value"))
-    return f.filter("_k = 1 AND _ok").drop("_k", "_ok")
+    f = fields.groupBy(*by, "key").agg(F.max("value").alias("_w"), F.bool_and(F.col("value").isNotNull()).alias("_ok"), F.min("value").alias("value"))
+    return f.filter("value = _w AND _ok").drop("_w", "_ok")
 
 
 def eo_band(text: Column) -> Column:

@@ -29,9 +29,9 @@ def align_bands(px: DataFrame, by: Sequence[str], names: Mapping[str, str], how=
     return px.filter(F.col(band).isin(list(names))).groupBy(*by).agg(*[how(F.when(F.col(band) == b, F.col(value))).alias(out) for b, out in names.items()])
 
 
-def with_global(px: DataFrame, *aggs) -> DataFrame:
-    """Adds global aggregates, a broadcast of one row."""
-    return px.join(F.broadcast(px.agg(*aggs)))
+def with_global(rows: DataFrame, px: DataFrame, *aggs) -> DataFrame:
+    """Adds aggregates over all of px to rows: a broadcast of one row."""
+    return rows.join(F.broadcast(px.agg(*aggs)))
 
 
 def densify(px: DataFrame, layers: DataFrame, shape: tuple[int, int], keys: Sequence[str], fill=None, value: str = "v") -> DataFrame:

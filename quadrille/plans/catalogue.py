@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import crs, grid, media, metadata, values
 from ..functions.grid import GridSpec
 from ..operators import joins, mosaic, reduce, render, select, warp
+from ..sources import items as sources
 from .views import AS, BL, PX, SC, SIDE, assets, blocks, pixels, scenes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,7 +99,7 @@ def time_and_band_slice(s, d):
 def anomaly_vs_global_mean(s, d):
     p = pixels(s, d)
     cell = reduce.reduce(p, ["iy", "ix"], "mean")
-    both = cell.join(F.broadcast(p.agg(F.avg("v").alias("g"))))
+    both = joins.with_global(cell, p, F.avg("v").alias("g"))
     return both.select("iy", "ix", F.round(F.col("v") - F.col("g"), 9).alias("anomaly"))
 
 
@@ -123,10 +124,10 @@ def rescale_mask_fill(s, d):
 RES = 3.0
 
 
-@query(f"WITH {SC} SELECT id, floor(minx / 3.0::DOUBLE) * 3.0::DOUBLE AS minx, floor(miny / 3.0::DOUBLE) * 3.0::DOUBLE AS miny, ceil(maxx / 3.0::DOUBLE) * 3.0::DOUBLE AS maxx, ceil(maxy / 3.0::DOUBLE) * 3.0::DOUBLE AS maxy FROM scenes")
+@query(f"WITH {SC} SELECT id, floor(minx / 3.0::DOUBLE) * 3.0::DOUBLE + 0.0 AS minx, floor(miny / 3.0::DOUBLE) * 3.0::DOUBLE + 0.0 AS miny, ceil(maxx / 3.0::DOUBLE) * 3.0::DOUBLE + 0.0 AS maxx, ceil(maxy / 3.0::DOUBLE) * 3.0::DOUBLE + 0.0 AS maxy FROM scenes")
 def snapped_bounds(s, d):
     box = grid.snapped(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")], RES, RES)
-    return scenes(s, d).select("id", *[b.alias(c) for b, c in zip(box, ("minx", "miny", "maxx", "maxy"), strict=True)])
+    return scenes(s, d).select("id", *[(b + 0.0).alias(c) for b, c in zip(box, ("minx", "miny", "maxx", "maxy"), strict=True)])  # -0 becomes 0
 
 
 @query(f"WITH {SC} SELECT id, floor((size / 1000 + 0.35::DOUBLE) / 0.7::DOUBLE)::INT AS width, floor((cloud + 1.25::DOUBLE) / 2.5::DOUBLE)::INT AS height FROM scenes")
@@ -161,9 +162,9 @@ def bounds_overlap_filter(s, d):
     return scenes(s, d).filter(hit).select("id", "minx", "miny")
 
 
-@query(f"WITH {SC} SELECT id, minx, miny, maxx, maxy, cloud FROM scenes WHERE minx <= 10.5 AND maxx >= 10.5 AND miny <= 5.25 AND maxy >= 5.25 OR false")
+@query(f"WITH {SC} SELECT id, minx, miny, maxx, maxy, cloud FROM scenes WHERE minx <= 0.5 AND maxx >= 0.5 AND miny <= 5.0 AND maxy >= 5.0")
 def catalogue_search_point(s, d):
-    return select.search(scenes(s, d), point=(10.5, 5.25), time="dt").select("id", "minx", "miny", "maxx", "maxy", "cloud")
+    return select.search(scenes(s, d), point=(0.5, 5.0), time="dt").select("id", "minx", "miny", "maxx", "maxy", "cloud")
 
 
 @query(f"WITH {SC} SELECT id, dt FROM scenes WHERE minx <= 12 AND maxx >= 0 AND miny <= 9 AND maxy >= 0 AND dt >= TIMESTAMP '1996-01-01' AND dt < TIMESTAMP '1998-01-01' AND epsg::VARCHAR IN ('32613')")
@@ -214,10 +215,10 @@ def array_bounds(s, d):
 # --- coordinate systems and tiles ----------------------------------------------------------------------------------
 
 
-@query(f"WITH {SC} SELECT id, round(6378137.0::DOUBLE * radians(minx), 4) AS x, round(6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(miny) / 2)), 4) AS y FROM scenes")
+@query(f"WITH {SC} SELECT id, round(6378137.0::DOUBLE * radians(minx), 4) + 0.0 AS x, round(6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(miny) / 2)), 4) + 0.0 AS y FROM scenes")
 def lonlat_to_mercator(s, d):
     x, y = crs.transform(F.col("minx"), F.col("miny"), 4326, 3857)
-    return scenes(s, d).select("id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+    return scenes(s, d).select("id", (F.round(x, 4) + 0.0).alias("x"), (F.round(y, 4) + 0.0).alias("y"))  # -0 becomes 0
 
 
 @query(f"WITH {SC} SELECT id, round(degrees(minx * 1e5::DOUBLE / 6378137.0::DOUBLE), 8) AS lon, round(degrees(2 * atan(exp(miny * 1e5::DOUBLE / 6378137.0::DOUBLE)) - pi() / 2), 8) AS lat FROM scenes")
@@ -295,26 +296,26 @@ def auto_zoom(s, d):
 
 def _sorted(s, d, ascending):
     key = F.coalesce(F.when(F.col("cloud") > 5, F.date_format("dt", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit(""))
-    w = Window.orderBy(key.asc() if ascending else key.desc(), F.col("id").asc())
-    return scenes(s, d).select("id", F.row_number().over(w).alias("time_idx"))
+    items = scenes(s, d).select(F.col("id").alias("item_idx"), F.create_map(F.lit("datetime"), key).alias("properties"))
+    return sources.ordered(items, "asc" if ascending else "desc").select(F.col("item_idx").alias("id"), "time_idx")
 
 
 _KEY = "coalesce(CASE WHEN cloud > 5 THEN strftime(dt, '%Y-%m-%dT%H:%M:%SZ') END, '')"
 
 
-@query(f"WITH {SC} SELECT id, row_number() OVER (ORDER BY {_KEY}, id)::INT AS time_idx FROM scenes")
+@query(f"WITH {SC} SELECT id, (row_number() OVER (ORDER BY {_KEY}, id) - 1)::INT AS time_idx FROM scenes")
 def sortby_date_asc(s, d):
     return _sorted(s, d, True)
 
 
-@query(f"WITH {SC} SELECT id, row_number() OVER (ORDER BY {_KEY} DESC, id)::INT AS time_idx FROM scenes")
+@query(f"WITH {SC} SELECT id, (row_number() OVER (ORDER BY {_KEY} DESC, id) - 1)::INT AS time_idx FROM scenes")
 def sortby_date_desc(s, d):
     return _sorted(s, d, False)
 
 
-@query(f"WITH {AS}, n AS (SELECT item, count(DISTINCT asset) AS k FROM assets WHERE ordinal % 7 < 3 GROUP BY ALL), b AS (SELECT arg_max(item, row(k, -item)) AS item FROM n) SELECT asset, min(ordinal) AS first FROM assets WHERE ordinal % 7 < 3 AND item = (SELECT item FROM b) GROUP BY ALL")
+@query(f"WITH {AS}, n AS (SELECT item, count(DISTINCT asset) AS k FROM assets GROUP BY ALL), b AS (SELECT arg_max(item, row(k, -item)) AS item FROM n) SELECT asset, min(ordinal) AS first  FROM assets WHERE item = (SELECT item FROM b) GROUP BY ALL")
 def assets_of_fullest_item(s, d):
-    a = assets(s, d).filter("ordinal % 7 < 3")
+    a = assets(s, d)
     n = a.groupBy("item").agg(F.countDistinct("asset").alias("k"))
     best = n.agg(F.max_by("item", F.struct("k", -F.col("item"))).alias("item"))
     return a.join(F.broadcast(best), "item").groupBy("asset").agg(F.min("ordinal").alias("first"))
@@ -359,11 +360,11 @@ def drop_all_missing(s, d):
     return metadata.reindex(metadata.reindex(k, "item", "time_idx"), "asset", "band_idx").select("item", "asset", "time_idx", "band_idx")
 
 
-@query(f"WITH {AS}, i AS (SELECT DISTINCT item FROM assets), a AS (SELECT DISTINCT asset FROM assets WHERE asset <> 'error'), f AS (SELECT item, asset, arg_min(href, ordinal) AS url, arg_min(scale, ordinal) AS scale FROM assets WHERE ordinal % 3 = 0 GROUP BY ALL) SELECT i.item, a.asset, f.url, f.scale FROM i CROSS JOIN a LEFT JOIN f ON f.item = i.item AND f.asset = a.asset")
+@query(f"WITH {AS}, i AS (SELECT DISTINCT item FROM assets), a AS (SELECT DISTINCT asset FROM assets WHERE asset <> 'error'), f AS (SELECT item, asset, arg_min(href, ordinal) AS url, arg_min(scale, ordinal) AS scale FROM assets GROUP BY ALL) SELECT i.item, a.asset, f.url, f.scale FROM i CROSS JOIN a LEFT JOIN f ON f.item = i.item AND f.asset = a.asset")
 def item_asset_table(s, d):
     a = assets(s, d)
     names = a.filter("asset <> 'error'").select("asset").distinct()
-    cells = a.filter("ordinal % 3 = 0").groupBy("item", "asset").agg(F.min_by("href", "ordinal").alias("url"), F.min_by("scale", "ordinal").alias("scale"))
+    cells = a.groupBy("item", "asset").agg(F.min_by("href", "ordinal").alias("url"), F.min_by("scale", "ordinal").alias("scale"))
     return a.select("item").distinct().crossJoin(F.broadcast(names)).join(cells, ["item", "asset"], "left")
 
 
@@ -496,10 +497,10 @@ def fake_reader_scan(s, d):
     return raster.fake(s, n["times"], n["bands"], (16, 16), seed=1)
 
 
-@query(f"WITH {SC}, a AS (SELECT DISTINCT cloud % 9 AS z, id % 20 AS x, id % 7 AS y FROM scenes WHERE id % 3 = 0), b AS (SELECT DISTINCT cloud % 9 AS z, id % 20 AS x, id % 7 AS y FROM scenes WHERE id % 3 = 1) SELECT z, x, y, 'cancel' AS action FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT z, x, y, 'submit' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+@query(f"WITH {SC}, a AS (SELECT DISTINCT cloud % 9 AS z, id % 20 AS x, id % 7 AS y FROM scenes WHERE cloud < 50), b AS (SELECT DISTINCT cloud % 9 AS z, id % 20 AS x, id % 7 AS y FROM scenes WHERE cloud >= 50) SELECT z, x, y, 'cancel' AS action FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT z, x, y, 'submit' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def viewport_diff(s, d):
-    t = lambda k: scenes(s, d).filter(f"id % 3 = {k}").select((F.col("cloud") % 9).alias("z"), (F.col("id") % 20).alias("x"), (F.col("id") % 7).alias("y")).distinct()
-    return joins.viewport_changes(t(0), t(1))
+    t = lambda k: scenes(s, d).filter(k).select((F.col("cloud") % 9).alias("z"), (F.col("id") % 20).alias("x"), (F.col("id") % 7).alias("y")).distinct()
+    return joins.viewport_changes(t("cloud < 50"), t("cloud >= 50"))
 
 
 @query("SELECT event_id, nullif(regexp_extract(u, '(^.+?)/(?:lab|notebook|voila)', 1), '') AS base, printf('%s/proxy/%d/%s/{z}/{y}/{x}.png', u, 8000, event_type) AS url FROM (SELECT event_id, event_type, 'http://h' || event_id || CASE event_id % 4 WHEN 0 THEN '/lab/tree' WHEN 1 THEN '/x/notebook' WHEN 2 THEN '/voila/lab' ELSE '/other' END AS u FROM events)")

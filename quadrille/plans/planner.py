@@ -7,7 +7,6 @@ and steps, as the first row of that order, whatever partition it is in.
 
 from __future__ import annotations
 
-import tempfile
 import warnings
 from collections.abc import Iterable, Sequence
 from collections.abc import Set as AbstractSet
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs, media, metadata
+from ..functions.frames import materialised
 from ..functions.grid import Bbox, GridSpec, overlaps, snap
 from ..functions.values import check_scale
 from ..sources import items as sources
@@ -56,7 +56,7 @@ def asset_ids(rows: DataFrame, assets: Sequence[str] | AbstractSet[str] | None)
     a = a.select("asset", F.col("fields")["type"].alias("type"), F.struct("time_idx", "pos").alias("ordinal"))
     untyped = [r[0] for r in a.groupBy("asset").agg(F.count("type").alias("n")).filter("n = 0").select("asset").collect()]
     if untyped:
-        warnings.warn(f"assets without a type on any item are dropped when filtering by media type: {sorted(untyped)}. Give a list of asset names instead.", stacklevel=3)
+        warnings.warn(f"no item tells a type of the assets {sorted(untyped)}, so a choice by type leaves them out; name assets to keep them", stacklevel=3)
     return [r["asset"] for r in metadata.select_by_type(a, assets).orderBy("first").collect()]
 
 
@@ -64,15 +64,6 @@ def _number(text: Column, kind: str = "array<double>") -> Column:
     return F.from_json(text, kind)
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Writes a metadata table once, so that the projections in it are not planned again by all that follows."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadrille-"))
-    return df.checkpoint(eager=True)
-
-
 def _by_epsg(source: Column, codes: Iterable[int], f) -> list[Column]:
     """Coordinates by a closed form for each CRS that occurs."""
     out: list[Column | None] = [None] * 4
@@ -98,7 +89,7 @@ def plan(
     strict_dtype: bool = False,
 ) -> Plan:
     if bounds is not None and bounds_latlon is not None:
-        raise ValueError(f"Cannot give both `bounds` {bounds} and `bounds_latlon` {bounds_latlon}.")
+        raise ValueError(f"bounds {bounds} and bounds_latlon {bounds_latlon} exclude each other")
     if resolution is not None and not isinstance(resolution, Sequence):
         resolution = (float(resolution), float(resolution))
     rows = sources.ordered(sources.rows(spark, items), sortby_date)
@@ -106,7 +97,7 @@ def plan(
         raise ValueError("No items")
     names = asset_ids(rows, assets)
     if not names:
-        raise ValueError("Zero asset IDs requested")
+        raise ValueError("no asset names are left to stack")
 
     order = F.array_position(F.array(*map(F.lit, names)), F.col("asset")).cast("int") - 1
     a = rows.select("time_idx", "item_idx", "id", "properties", F.col("bbox").alias("lonlat"), F.explode("assets").alias("asset", "f"))
@@ -193,12 +184,12 @@ def plan(
 def message(what: str, e, out_epsg) -> str:
     where = f"asset {e['band']!r} of item {e['time_idx']} {e['id']!r}"
     return {
-        "bands": f"raster:bands does not have exactly one element for {where}. Leave it out by giving a list of asset names.",
-        "no crs": f"Cannot pick a common CRS, since {where} does not have one. Please specify `epsg=`.",
-        "crs": f"Cannot pick a common CRS: {where} is in EPSG:{e['epsg']}, but assets before it were in EPSG:{out_epsg}. Please specify `epsg=`.",
-        "rectilinear": f"Cannot compute the resolution, since {where} is not axis-aligned. Please specify `resolution=`.",
-        "resolution": f"Cannot compute the resolution: {where} lacks proj:transform with proj:epsg, or proj:shape with a bbox. Please specify `resolution=`.",
-        "bounds": f"Cannot compute the bounds: {where} has no proj:bbox, no proj:shape with proj:transform, and its item no bbox. Please specify `bounds=`.",
+        "bands": f"{where} has other than one entry in raster:bands; name the assets to stack without it",
+        "no crs": f"{where} names no CRS, so there is no common one; give epsg",
+        "crs": f"{where} is in EPSG:{e['epsg']}, the first asset in EPSG:{out_epsg}; give epsg",
+        "rectilinear": f"the transform of {where} is rotated, so it has no resolution; give one",
+        "resolution": f"{where} tells no resolution, by proj:transform with proj:epsg or by proj:shape with a box; give one",
+        "bounds": f"{where} tells no bounds, by proj:bbox, proj:shape with proj:transform, or its item's bbox; give some",
     }[what]
 
 

@@ -51,7 +51,7 @@ class Stack:
 
     def labelled(self) -> DataFrame:
         """With time, id, band, y and x for the indices."""
-        out = self.pixels.join(F.broadcast(self.time_dim.select("time_idx", "time", "id")), "time_idx").join(F.broadcast(self.band_dim.select("band_idx", "band")), "band_idx")
+        out = self.pixels.join(self.time_dim.select("time_idx", "time", "id"), "time_idx").join(F.broadcast(self.band_dim.select("band_idx", "band")), "band_idx")
         if self.xy_coords:
             x, y = self.spec.xy(F.col("iy"), F.col("ix"), self.xy_coords)
             out = out.withColumn("y", y).withColumn("x", x)
@@ -67,7 +67,7 @@ class Stack:
         if where is not None:
             t = t.filter(where)
         px = self.pixels
-        px = px if t is self.time_dim else px.join(F.broadcast(t.select("time_idx")), "time_idx", "left_semi")
+        px = px if t is self.time_dim else px.join(t.select("time_idx"), "time_idx", "left_semi")
         px = px if b is self.band_dim else px.join(F.broadcast(b.select("band_idx")), "band_idx", "left_semi")
         return replace(self, pixels=px, time_dim=t, band_dim=b)
 
@@ -124,7 +124,7 @@ class Stack:
 
 def warp_block(raster: readers.Raster, spec: GridSpec, iy: np.ndarray, ix: np.ndarray, box: Bbox, resampling: str) -> np.ndarray:
     """Values of output pixels: their centres are mapped to the raster, which without a transform fills its box."""
-    data = raster.masked()
+    data = raster.values
     h, w = data.shape
     t = raster.transform or ((box[2] - box[0]) / w, 0.0, box[0], 0.0, -(box[3] - box[1]) / h, box[3])
     xres, yres = spec.resolutions_xy
@@ -171,7 +171,11 @@ def scan(work: DataFrame, spec: GridSpec, chunk: tuple[int, int], reader, option
                 if raster is None:
                     continue
                 y0, x0 = r["cy"] * ch, r["cx"] * cw
-                iy, ix = (v.ravel() for v in np.mgrid[y0 : min(height, y0 + ch), x0 : min(width, x0 + cw)])
+                y1, x1 = min(height, y0 + ch), min(width, x0 + cw)
+                if not raster.epsg or raster.epsg == spec.epsg:  # else the box is only that of the projected corners
+                    y0, y1 = max(y0, int(r["row_off"]) - 1), min(y1, int(r["row_off"] + r["h"]) + 2)
+                    x0, x1 = max(x0, int(r["col_off"]) - 1), min(x1, int(r["col_off"] + r["w"]) + 2)
+                iy, ix = (v.ravel() for v in np.mgrid[y0:y1, x0:x1])
                 v = warp_block(raster, spec, iy, ix, (r["minx"], r["miny"], r["maxx"], r["maxy"]), resampling)
                 ok = ~np.isnan(v)
                 n = int(ok.sum())
@@ -245,7 +249,7 @@ def stack(
     xres, yres = p.spec.resolutions_xy
     w = p.cells.select("*", *[c.alias(n) for c, n in zip(window_of(box, p.spec.bounds[0], p.spec.bounds[3], xres, yres), ("col_off", "row_off", "w", "h"), strict=True)])
     work = joins.chunks_of(w, (height, width), chunk)
-    work = work.select("time_idx", "band_idx", "url", "minx", "miny", "maxx", "maxy", "scale", "offset", "cy", "cx")
+    work = work.select("time_idx", "band_idx", "url", "minx", "miny", "maxx", "maxy", "scale", "offset", "col_off", "row_off", "w", "h", "cy", "cx")
     work = work.repartition("url").sortWithinPartitions("url")
     options = gdal_env if isinstance(gdal_env, env.LayeredOptions) else env.LayeredOptions(always=gdal_env or {})
     px = scan(work, p.spec, chunk, reader, options, tuple(errors_as_nodata), resampling)

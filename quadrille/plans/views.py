@@ -22,7 +22,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod("l_partkey", F.lit(SIDE)).cast("int").alias("ix"),
         F.col("l_quantity").alias("raw"),
         F.when(F.col("l_discount") != 0, F.col("l_quantity")).alias("v"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"),
+        # one number, which keeps aggregates by it in fixed-width buffers: 5 digits of days, then 12, 1, 10 and 9
+        F.expr(f"cast(datediff(l_shipdate, DATE'1900-01-01') AS decimal(5,0)) * {10**32}BD + cast(l_orderkey AS decimal(12,0)) * {10**20}BD + cast(l_linenumber AS decimal(1,0)) * {10**19}BD + cast(l_partkey AS decimal(10,0)) * {10**9}BD + cast(l_suppkey AS decimal(9,0))").alias("ord"),
     )
 
 

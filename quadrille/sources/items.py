@@ -6,9 +6,11 @@ import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import numbered
+
 SCHEMA = "id string, collection string, bbox array<double>, properties map<string,string>, assets map<string,map<string,string>>"
 
 
@@ -22,7 +24,7 @@ def to_plain(items: Any) -> list[dict]:
             return item.to_dict()
         if isinstance(getattr(item, "_data", None), Mapping):
             return item._data
-        raise TypeError(f"Unrecognized item type {type(item)}: {item!r}. Give dicts, or objects with to_dict().")
+        raise TypeError(f"{item!r} is no item: dicts and objects with to_dict() are")
 
     if isinstance(items, Mapping):
         return [dict(i) for i in items["features"]] if items.get("type") == "FeatureCollection" else [dict(items)]
@@ -36,7 +38,7 @@ def to_plain(items: Any) -> list[dict]:
         return [one(items)]
     if hasattr(items, "__iter__") and not isinstance(items, str | bytes):
         return [one(i) for i in items]
-    raise TypeError(f"Unrecognized collection type {type(items)}: {items!r}")
+    raise TypeError(f"{items!r} holds no items that can be read")
 
 
 def rows(spark: SparkSession, items: Any) -> DataFrame:
@@ -61,4 +63,4 @@ def ordered(items: DataFrame, by_date: str | bool = "asc") -> DataFrame:
         raise ValueError(f"sortby_date must be 'asc', 'desc' or False, not {by_date!r}")
     key = F.coalesce(F.col("properties")["datetime"], F.lit(""))
     order = [F.col("item_idx")] if by_date is False else [key.asc() if by_date == "asc" else key.desc(), F.col("item_idx")]
-    return items.withColumn("time_idx", F.row_number().over(Window.orderBy(*order)) - 1)
+    return numbered(items, order, "time_idx")

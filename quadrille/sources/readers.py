@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import struct
 import zlib
@@ -21,7 +22,8 @@ class Raster:
     nodata: float | None = None
     alpha: np.ndarray | None = None
 
-    def masked(self) -> np.ndarray:
+    @functools.cached_property
+    def values(self) -> np.ndarray:
         """As float64 with NaN where the file has nodata or no opacity."""
         out = self.data.astype("float64")
         if self.nodata is not None:

@@ -189,5 +189,5 @@ def test_item_adapters():
     assert items.to_plain(Catalogue()) == [{"id": "a"}, {"id": "b"}] and items.to_plain(Item("y")) == [{"id": "y"}]
     assert items.to_plain({"type": "FeatureCollection", "features": [{"id": "q"}]}) == [{"id": "q"}]
     for bad in ("text", 3, [4]):
-        with pytest.raises(TypeError, match="Unrecognized"):
+        with pytest.raises(TypeError, match="no item|holds no items"):
             items.to_plain(bad)

@@ -195,7 +195,7 @@ def test_geotiff_subset(tmp_path, kw, dtype):
     path.write_bytes(tiff(data, nodata=7, **kw))
     r = readers.pick(str(path), {})
     np.testing.assert_array_equal(r.data, data)
-    assert r.epsg == 32613 and r.transform == (10.0, 0.0, 400000.0, 0.0, -10.0, 3900100.0) and np.isnan(r.masked()).sum() == (data == 7).sum()
+    assert r.epsg == 32613 and r.transform == (10.0, 0.0, 400000.0, 0.0, -10.0, 3900100.0) and np.isnan(r.values).sum() == (data == 7).sum()
 
 
 def test_stack_reads_files(spark, tmp_path):
