@@ -58,7 +58,7 @@ def check_fill(dtype, fill_value, strict: bool = False) -> None:
             cast = np.asarray(fill_value).astype(dtype)
         ok = bool(cast == fill_value) or (dtype.kind == "f" and np.isnan(float(fill_value)))
     if not ok:
-        raise ValueError(f"{dtype} can't hold the fill {fill_value}")
+        raise ValueError(f"{dtype} can't hold the fill_value {fill_value}")
 
 
 def check_scale(dtype, scale, offset, strict: bool = False) -> None:

@@ -56,7 +56,7 @@ def asset_ids(rows: DataFrame, assets: Sequence[str] | AbstractSet[str] | None)
     a = a.select("asset", F.col("fields")["type"].alias("type"), F.struct("time_idx", "pos").alias("ordinal"))
     untyped = [r[0] for r in a.groupBy("asset").agg(F.count("type").alias("n")).filter("n = 0").select("asset").collect()]
     if untyped:
-        warnings.warn(f"no item tells a type of the assets {sorted(untyped)}, so a choice by type leaves them out; name assets to keep them", stacklevel=3)
+        warnings.warn(f"a choice by type leaves out assets without a type on any item: {sorted(untyped)}; name assets to keep them", stacklevel=3)
     return [r["asset"] for r in metadata.select_by_type(a, assets).orderBy("first").collect()]
 
 
@@ -89,7 +89,7 @@ def plan(
     strict_dtype: bool = False,
 ) -> Plan:
     if bounds is not None and bounds_latlon is not None:
-        raise ValueError(f"bounds {bounds} and bounds_latlon {bounds_latlon} exclude each other")
+        raise ValueError(f"bounds {bounds} and bounds_latlon {bounds_latlon} are both given; one is enough")
     if resolution is not None and not isinstance(resolution, Sequence):
         resolution = (float(resolution), float(resolution))
     rows = sources.ordered(sources.rows(spark, items), sortby_date)
@@ -97,7 +97,7 @@ def plan(
         raise ValueError("No items")
     names = asset_ids(rows, assets)
     if not names:
-        raise ValueError("no asset names are left to stack")
+        raise ValueError("Zero assets are left to stack")
 
     order = F.array_position(F.array(*map(F.lit, names)), F.col("asset")).cast("int") - 1
     a = rows.select("time_idx", "item_idx", "id", "properties", F.col("bbox").alias("lonlat"), F.explode("assets").alias("asset", "f"))
@@ -187,7 +187,7 @@ def message(what: str, e, out_epsg) -> str:
         "bands": f"{where} has other than one entry in raster:bands; name the assets to stack without it",
         "no crs": f"{where} names no CRS, so there is no common one; give epsg",
         "crs": f"{where} is in EPSG:{e['epsg']}, the first asset in EPSG:{out_epsg}; give epsg",
-        "rectilinear": f"the transform of {where} is rotated, so it has no resolution; give one",
+        "rectilinear": f"the transform of {where} follows no axis, so it tells no resolution; give one",
         "resolution": f"{where} tells no resolution, by proj:transform with proj:epsg or by proj:shape with a box; give one",
         "bounds": f"{where} tells no bounds, by proj:bbox, proj:shape with proj:transform, or its item's bbox; give some",
     }[what]

@@ -123,7 +123,7 @@ def drop(*keys):
         ([], {}, ValueError, "No items"),
         (ITEMS, {"assets": []}, ValueError, "Zero"),
         (ITEMS, {"assets": ["nope"]}, AssertionError, "nothing is known"),
-        (change(drop("proj:epsg")), {}, ValueError, "does not have one"),
+        (change(drop("proj:epsg")), {}, ValueError, "names no CRS"),
         (change(lambda i: i[2]["properties"].update({"proj:epsg": 32614})), {}, ValueError, "EPSG:32614"),
         (change(lambda i: i[1]["assets"]["red"].update({"raster:bands": [{}, {}]})), {}, ValueError, "raster:bands"),
         (change(lambda i: i[1]["properties"].update({"proj:transform": [10, 1, 0, 1, -10, 0]})), {}, NotImplementedError, "axis"),
