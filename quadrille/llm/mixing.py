@@ -25,6 +25,8 @@ def n_words(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_REPEATS) -> DataFrame:
     """_src, _source_size, _target. sizes has one row per source; that is the number of sources, not of documents.
 
+    The rows are ordered in one task, 100 bytes each: it is meant for up to some millions of sources.
+
     Sources by code point, null last, get the weights in turn. What a source cannot take beyond ``cap`` times its size
     goes to the others by weight, until none is above. As total size <= cap * total size, this ends with the sources
     whose size per weight is least at their cap: with sources in that order, the running sums give the one level.
@@ -107,7 +109,11 @@ def report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns they came with."""
+    """The documents of the mix, each as often as it is taken, with the columns they came with, whatever their names.
+
+    Null and empty texts have no size and are taken like others of their source by their hash; a source of size 0 is not
+    taken at all. A null source is one of its own. Rows equal in identifier and text are taken alike. Long texts count
+    whole. An empty table gives an empty result.
     base = settle(measured(docs, id_col, text_col, source_col))
     limits = plan(base, weights)
     cols = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]

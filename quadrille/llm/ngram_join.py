@@ -41,7 +41,7 @@ U = np.uint64
 CUTS = 6
 PARTS = 3
 #: Rows of signatures that a map task holds before it combines and sends them; 14 bytes each.
-HELD = 1_000_000
+HELD = 500_000
 #: Sets under one signature in such a block from which the signature's sets are dealt out as rows.
 HOT = 8
 #: Features of a cluster, and sketches of a group, that one task compares.

@@ -387,7 +387,8 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
     """One row per input row: doc_id, ids, n_pieces, ids_crc32 (of the ids as unsigned 32-bit numbers), round_trip.
 
     round_trip tells whether the decoded ids are the text (they are unless it holds U+2581, which stands for a space).
-    Null and empty texts have no pieces. Repeated rows are encoded each. An empty table gives an empty result.
+    Null and empty texts have no pieces. Repeated rows are encoded each. Long texts, and long runs in them, are encoded
+    whole. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -451,7 +452,11 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
 
 
 def decode(encoded: DataFrame, v: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Adds the text of the ids; bytes that are no UTF-8 become U+FFFD; null ids give null."""
+    """Adds the text of the ids, and replaces a column that has this name already.
+
+    Bytes that are no UTF-8 become U+FFFD; null ids give null and no ids an empty text. Rows are decoded each; an empty
+    table gives an empty result. The name of the new column is a parameter.
+    """
     ship(encoded.sparkSession)
     vocab = encoded.sparkSession.sparkContext.broadcast(v)
 

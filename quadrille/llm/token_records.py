@@ -191,7 +191,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: i
     """Writes all documents in ascending order of identifier; returns the folder and (file, records, ids) in that order.
 
     Null texts count as empty: only the end id. Null identifiers come first. Rows that share an identifier are ordered
-    by a hash of their texts. An empty table gives no files.
+    by a hash of their texts; repeated rows are written each. Long texts are encoded whole. Other columns, whatever their
+    names, are not read. An empty table gives no files.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -239,7 +240,11 @@ def records(folder: str, name: str, order: Iterable[int] | None = None) -> Itera
 
 
 def read(spark: SparkSession, folder: str, files: list, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of every record, each file in a shuffled order."""
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of every record, each file in a shuffled order.
+
+    Null identifiers are null again; repeated rows are records of their own; no files give an empty result. A record whose
+    checksums don't hold raises.
+    """
     ship(spark)
     starts = np.cumsum([0, *[ids for _, _, ids in files]]).tolist()
     todo = [(name, start) for (name, _, _), start in zip(files, starts[:-1], strict=True)]

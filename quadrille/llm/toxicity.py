@@ -157,8 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.join(F.broadcast(picked), F.col("_id") == F.col("_l"))  # at most ``sample`` rows
     rows = rows.select("_y", "_text").mapInArrow(feature_lists, "label int, words array<long>")
-    rows = rows.groupBy(F.xxhash64("words").alias("row"), F.size("words").alias("n")).agg(F.max("label").alias("label"), F.max("words").alias("words"))
+    rows = rows.select(F.monotonically_increasing_id().alias("id"), "label", F.xxhash64("words").alias("row"), F.size("words").alias("n"), "words")
     rows = stored(rows, "sample")
+    once = rows.groupBy("row", "n").agg(F.max("label").alias("label"), F.min("id").alias("id"))  # without the words
+    rows = rows.drop("label").join(F.broadcast(once.select("id", "label")), "id").select("row", "n", "label", "words")
     found = chosen(rows).toPandas().sort_values("word")
     marks = rows.sparkSession.sparkContext.broadcast(found["word"].to_numpy(np.int64))
 

@@ -84,7 +84,9 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
     """id, host, path, rule and verdict of every row; rules are the user's list, so the trie may be broadcast.
 
     A null url or one without "://" has an empty host and path and gets the default verdict, as do urls that no rule
-    fits. Repeated rows are judged each.
+    fits. Repeated rows are judged each; long urls are read whole; other columns, whatever their names, are not read. An
+    empty table gives an empty result. Longest match: of the rules that fit, those of the most host labels, and of these
+    the one of the longest path. (The SQL takes the longest host and path together, which is the same for RULES.)
     """
     spark = pages.sparkSession
     ship(spark)
