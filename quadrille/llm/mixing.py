@@ -114,6 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "do
     Null and empty texts have no size and are taken like others of their source by their hash; a source of size 0 is not
     taken at all. A null source is one of its own. Rows equal in identifier and text are taken alike. Long texts count
     whole. An empty table gives an empty result.
+    """
     base = settle(measured(docs, id_col, text_col, source_col))
     limits = plan(base, weights)
     cols = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
