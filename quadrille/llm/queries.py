@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": lambda s, d: mixing.report(table(s, d, "documents")),
     "op10_url_filter": lambda s, d: urls.judge(table(s, d, "pages")),
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": urls.ORACLE}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": ngram_join.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": urls.ORACLE}
