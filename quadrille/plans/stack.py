@@ -20,6 +20,7 @@ from . import chunks as chunking
 from .planner import plan
 
 NO_DEFAULT = object()
+CHUNK_ROWS = 8
 
 
 @dataclass
@@ -122,33 +123,96 @@ class Stack:
         return joins.densify(self.pixels, self.layers(), self.spec.shape, ["time_idx", "band_idx"], self.fill_value)
 
 
+#: Weights of the source pixels around a place, by their distance in pixels, and how many on either side count.
+KERNELS = {
+    "bilinear": (1, lambda d: 1 - d),
+    "cubic": (2, lambda d: np.where(d <= 1, (1.5 * d - 2.5) * d * d + 1, ((-0.5 * d + 2.5) * d - 4) * d + 2)),
+}
+
+
+def most_common(v: np.ndarray) -> np.ndarray:
+    """Of every column; the least of equally common values, NaN only if there is nothing else."""
+    v = np.sort(v, axis=0)  # NaN last
+    n = np.zeros(v.shape, np.int64)
+    for i in range(len(v)):
+        n[i] = np.where(np.isnan(v[i]), 0, 1 + (n[i - 1] * (v[i] == v[i - 1]) if i else 0))
+    return np.take_along_axis(v, n.argmax(0)[None], 0)[0]
+
+
+#: What a pixel gets from the source pixels at places spread over it.
+AREA = {
+    "average": lambda v: np.nanmean(v, axis=0),
+    "sum": lambda v: np.where(np.isnan(v).all(0), np.nan, np.nansum(v, axis=0)),
+    "min": lambda v: np.nanmin(v, axis=0),
+    "max": lambda v: np.nanmax(v, axis=0),
+    "med": lambda v: np.nanmedian(v, axis=0),
+    "q1": lambda v: np.nanquantile(v, 0.25, axis=0),
+    "q3": lambda v: np.nanquantile(v, 0.75, axis=0),
+    "mode": most_common,
+}
+RESAMPLINGS = ("nearest", *KERNELS, *AREA)
+
+
+def interpolated(data: np.ndarray, fx: np.ndarray, fy: np.ndarray, resampling: str) -> np.ndarray:
+    """Weighted means around places in the raster; NaN has no weight, and the border's pixels go on beyond it."""
+    h, w = data.shape
+    side, weight = KERNELS[resampling]
+    u, v = np.clip(fx - 0.5, 0, w - 1), np.clip(fy - 0.5, 0, h - 1)
+    i, k = np.floor(u).astype(int), np.floor(v).astype(int)
+    weights, total = np.zeros(len(fx)), np.zeros(len(fx))
+    for dk in range(1 - side, side + 1):
+        for di in range(1 - side, side + 1):
+            value = data[np.clip(k + dk, 0, h - 1), np.clip(i + di, 0, w - 1)]
+            q = weight(np.abs(u - i - di)) * weight(np.abs(v - k - dk))
+            q = np.where(np.isnan(value), 0, q)
+            weights += q
+            total += np.where(np.isnan(value), 0, value) * q
+    return np.where(np.abs(weights) > 1e-12, total / np.where(np.abs(weights) > 1e-12, weights, 1), np.nan)
+
+
 def warp_block(raster: readers.Raster, spec: GridSpec, iy: np.ndarray, ix: np.ndarray, box: Bbox, resampling: str) -> np.ndarray:
-    """Values of output pixels: their centres are mapped to the raster, which without a transform fills its box."""
+    """Values of output pixels: their centres are mapped to the raster, which without a transform fills its box.
+
+    Those in AREA take the source pixels at a square of places in each pixel, as many on a side as it has source pixels.
+    """
     data = raster.values
     h, w = data.shape
     t = raster.transform or ((box[2] - box[0]) / w, 0.0, box[0], 0.0, -(box[3] - box[1]) / h, box[3])
-    xres, yres = spec.resolutions_xy
-    x, y = spec.bounds[0] + (ix + 0.5) * xres, spec.bounds[3] - (iy + 0.5) * yres
-    if raster.epsg and raster.epsg != spec.epsg:
-        x, y = crs.transform(x, y, spec.epsg, raster.epsg)
     det = t[0] * t[4] - t[1] * t[3]
-    fx = (t[4] * (x - t[2]) - t[1] * (y - t[5])) / det
-    fy = (-t[3] * (x - t[2]) + t[0] * (y - t[5])) / det
-    inside = (fx >= 0) & (fx < w) & (fy >= 0) & (fy < h)
-    out = np.full(len(fx), np.nan)
-    if resampling == "nearest":
+    xres, yres = spec.resolutions_xy
+
+    def place(dx: float, dy: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y = spec.bounds[0] + (ix + dx) * xres, spec.bounds[3] - (iy + dy) * yres
+        if raster.epsg and raster.epsg != spec.epsg:
+            x, y = crs.transform(x, y, spec.epsg, raster.epsg)
+        fx = (t[4] * (x - t[2]) - t[1] * (y - t[5])) / det
+        fy = (-t[3] * (x - t[2]) + t[0] * (y - t[5])) / det
+        return fx, fy, (fx >= 0) & (fx < w) & (fy >= 0) & (fy < h)
+
+    def nearest(dx: float, dy: float) -> np.ndarray:
+        fx, fy, inside = place(dx, dy)
+        out = np.full(len(fx), np.nan)
         out[inside] = data[np.floor(fy[inside]).astype(int), np.floor(fx[inside]).astype(int)]
         return out
-    if resampling != "bilinear":
-        raise NotImplementedError(f"resampling {resampling!r} is not supported; use 'nearest' or 'bilinear'")
-    u, v = np.clip(fx[inside] - 0.5, 0, w - 1), np.clip(fy[inside] - 0.5, 0, h - 1)
-    i, k = np.minimum(u.astype(int), max(0, w - 2)), np.minimum(v.astype(int), max(0, h - 2))
-    a, b = u - i, v - k
-    i1, k1 = np.minimum(i + 1, w - 1), np.minimum(k + 1, h - 1)
-    parts = [(data[k, i], (1 - a) * (1 - b)), (data[k, i1], a * (1 - b)), (data[k1, i], (1 - a) * b), (data[k1, i1], a * b)]
-    weight = sum(np.where(np.isnan(p), 0, q) for p, q in parts)
-    total = sum(np.where(np.isnan(p), 0, p * q) for p, q in parts)
-    out[inside] = np.where(weight > 0, total / np.where(weight > 0, weight, 1), np.nan)
+
+    if resampling == "nearest":
+        return nearest(0.5, 0.5)
+    if resampling in KERNELS:
+        fx, fy, inside = place(0.5, 0.5)
+        out = np.full(len(fx), np.nan)
+        out[inside] = interpolated(data, fx[inside], fy[inside], resampling)
+        return out
+    if resampling not in AREA:
+        raise NotImplementedError(f"resampling {resampling!r} is not one of {', '.join(RESAMPLINGS)}")
+    if not len(ix):
+        return np.empty(0)
+    (x0, y0, _), (x1, y1, _) = place(0.0, 0.0), place(1.0, 1.0)
+    n = max(1, round(float(np.median(np.maximum(np.abs(x1 - x0), np.abs(y1 - y0))))))
+    spread = (np.arange(n) + 0.5) / n
+    values_ = np.stack([nearest(dx, dy) for dy in spread for dx in spread])
+    out, some = np.full(len(ix), np.nan), ~np.isnan(values_).all(0)
+    if some.any():
+        out[some] = AREA[resampling](values_[:, some])
     return out
 
 
@@ -250,7 +314,8 @@ def stack(
     w = p.cells.select("*", *[c.alias(n) for c, n in zip(window_of(box, p.spec.bounds[0], p.spec.bounds[3], xres, yres), ("col_off", "row_off", "w", "h"), strict=True)])
     work = joins.chunks_of(w, (height, width), chunk)
     work = work.select("time_idx", "band_idx", "url", "minx", "miny", "maxx", "maxy", "scale", "offset", "col_off", "row_off", "w", "h", "cy", "cx")
-    work = work.repartition("url").sortWithinPartitions("url")
+    # a raster is opened once for so many rows of its chunks, not by one task for all of a large one
+    work = work.repartition("url", F.floor(F.col("cy") / CHUNK_ROWS)).sortWithinPartitions("url")
     options = gdal_env if isinstance(gdal_env, env.LayeredOptions) else env.LayeredOptions(always=gdal_env or {})
     px = scan(work, p.spec, chunk, reader, options, tuple(errors_as_nodata), resampling)
     px = px.withColumn("v", F.col("v").cast(values.spark_type(dtype)))

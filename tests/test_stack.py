@@ -241,3 +241,31 @@ def test_grid_goldens():
         with pytest.raises(AssertionError):
             g(b, r)
     assert g((0, 0, 10, 10), (5, 5)).attrs()["resolution"] == 5 and "resolution_xy" in g((0, 0, 10, 10), (5, 2)).attrs()
+
+
+def test_resamplings_of_a_block():
+    from quadrille.plans.stack import RESAMPLINGS, warp_block
+    from quadrille.sources.readers import Raster
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 5, (12, 18)).astype(float)
+    data[0:3, 0:3] = np.nan
+    data[4, 4] = np.nan
+    spec = GridSpec(32613, (0.0, 0.0, 18.0, 12.0), (3.0, 3.0))
+    iy, ix = (v.ravel() for v in np.mgrid[0:4, 0:6])
+    got = {r: warp_block(Raster(data), spec, iy, ix, (0.0, 0.0, 18.0, 12.0), r) for r in RESAMPLINGS}
+    for k, (y, x) in enumerate(zip(iy, ix, strict=True)):
+        part = data[3 * y : 3 * y + 3, 3 * x : 3 * x + 3]
+        some = part[~np.isnan(part)]
+        if not len(some):
+            assert all(np.isnan(v[k]) for r, v in got.items() if r not in ("bilinear", "cubic"))
+            continue
+        n = np.bincount(some.astype(int))
+        want = {"average": some.mean(), "sum": some.sum(), "min": some.min(), "max": some.max(), "med": np.median(some), "q1": np.quantile(some, 0.25), "q3": np.quantile(some, 0.75), "mode": n.argmax()}
+        assert all(np.isclose(got[r][k], v) for r, v in want.items())
+        assert np.isclose(got["nearest"][k], part[1, 1], equal_nan=True) and (np.isnan(part[1, 1]) or np.isclose(got["bilinear"][k], part[1, 1]))
+    flat = warp_block(Raster(np.add.outer(np.arange(12.0) * 2, np.arange(18.0))), GridSpec(32613, (4.0, 4.0, 14.0, 8.0), (0.5, 0.5)), *(v.ravel() for v in np.mgrid[0:8, 0:20]), (0.0, 0.0, 18.0, 12.0), "cubic")
+    yy, xx = (v.ravel() for v in np.mgrid[0:8, 0:20])
+    assert np.allclose(flat, (4 + (yy + 0.5) * 0.5 - 0.5) * 2 + 4 + (xx + 0.5) * 0.5 - 0.5)  # a plane stays one
+    with pytest.raises(NotImplementedError):
+        warp_block(Raster(data), spec, iy, ix, (0.0, 0.0, 18.0, 12.0), "gauss")
