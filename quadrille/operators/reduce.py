@@ -40,7 +40,7 @@ def resample(px: DataFrame, rule: str, how: str, by: Sequence[str] = (), time: s
     return grid.join(got, ["bucket", *by], "left")
 
 
-def percentiles(px: DataFrame, qs: Sequence[float] = (0.02, 0.98), value: str = "v", exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """Display range; exact with linear interpolation, or a mergeable sketch for large data."""
+def percentiles(px: DataFrame, qs: Sequence[float] = (0.02, 0.98), value: str = "v", exact: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """Display range by a mergeable sketch, or exact with linear interpolation, for which all distinct values meet in a task."""
     f = F.percentile(value, list(qs)) if exact else F.percentile_approx(value, list(qs), accuracy)
     return px.agg(f.alias("q")).select(*[F.col("q")[i].alias(f"p{round(q * 100)}") for i, q in enumerate(qs)])

@@ -82,7 +82,7 @@ def encode_tiles(pixels: DataFrame, keys: Sequence[str], shape: tuple[int, int])
     return pixels.groupBy(*cols).applyInPandas(one, schema)
 
 
-def default_range(px: DataFrame, value: str = "v", exact: bool = True) -> tuple[float, float]:
+def default_range(px: DataFrame, value: str = "v", exact: bool = False) -> tuple[float, float]:
     """2nd and 98th percentile: two numbers come to the driver."""
     from .reduce import percentiles
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs, grid, media, metadata, values
 from ..functions.grid import GridSpec
-from ..operators import joins, mosaic, reduce, render, select, warp
+from ..operators import joins, mosaic, reduce, render, select, show, warp
 from ..sources import items as sources
 from .views import AS, BL, PX, SC, SIDE, assets, blocks, pixels, scenes
 
@@ -277,13 +276,8 @@ def xyz_tile_bounds(s, d):
 
 @query(f"WITH {SC}, b AS (SELECT id, cloud % 6 AS z, pow(2, cloud % 6) AS n, minx, miny, maxx, maxy FROM scenes), f AS (SELECT id, z, n, minx / 360.0::DOUBLE + 0.5 AS x0, maxx / 360.0::DOUBLE + 0.5 AS x1, 0.5 - ln(tan(pi() / 4 + radians(maxy) / 2)) / (2 * pi()) AS y0, 0.5 - ln(tan(pi() / 4 + radians(miny) / 2)) / (2 * pi()) AS y1 FROM b), t AS (SELECT id, z, greatest(0, least(floor(x0 * n - 1e-9), n - 1))::INT AS a, greatest(0, least(floor(x1 * n - 1e-9), n - 1))::INT AS b, greatest(0, least(floor(y0 * n), n - 1))::INT AS c, greatest(0, least(floor(y1 * n), n - 1))::INT AS d FROM f), u AS (SELECT id, z, unnest(range(a, b + 1))::INT AS x, c, d FROM t) SELECT id, z, x, unnest(range(c, d + 1))::INT AS y FROM u")
 def tiles_of_bounds(s, d):
-    z = (F.col("cloud") % 6).cast("int")
-    n = F.pow(F.lit(2.0), z)
-    fy = lambda lat: F.lit(0.5) - F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) / (2 * math.pi)
-    inside = lambda v: F.greatest(F.lit(0.0), F.least(F.floor(v).cast("double"), n - 1)).cast("int")
-    t = scenes(s, d).withColumn("z", z)
-    t = t.withColumn("x", F.explode(F.sequence(inside((F.col("minx") / 360.0 + 0.5) * n - 1e-9), inside((F.col("maxx") / 360.0 + 0.5) * n - 1e-9))))
-    return t.withColumn("y", F.explode(F.sequence(inside(fy(F.col("maxy")) * n), inside(fy(F.col("miny")) * n)))).select("id", "z", "x", "y")
+    box = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
+    return show.tiles_of_bounds(scenes(s, d), box, F.col("cloud") % 6).select("id", "z", "x", "y")
 
 
 @query(f"WITH {SC} SELECT id, ceil(log2(40075016.686::DOUBLE * cos(radians(miny)) * 800 / (256 * size)))::INT AS zoom FROM scenes")
@@ -462,7 +456,7 @@ def reproject_nearest_cross_crs(s, d):
 @query(f"WITH {PX}, r AS (SELECT quantile_cont(v, 0.02) AS p2, quantile_cont(v, 0.98) AS p98 FROM px) SELECT item, iy, ix, round((v - p2) / (p98 - p2), 9) AS v FROM px, r")
 def percentile_stretch(s, d):
     p = pixels(s, d)
-    both = p.join(F.broadcast(reduce.percentiles(p)))
+    both = p.join(F.broadcast(reduce.percentiles(p, exact=True)))
     return both.select("item", "iy", "ix", F.round(values.normalise(F.col("v"), F.col("p2"), F.col("p98")), 9).alias("v"))
 
 
