@@ -41,3 +41,33 @@ def test_stages_equal_brute_force_on_their_own_input(spark):
     v = sentencepiece_lattice.Vocabulary.load(sentencepiece_lattice.model_path())
     back = {(r["doc_id"], r["decoded"]) for r in sentencepiece_lattice.decode(spark.createDataFrame(rows["end"], seen["sentencepiece"][1].schema), v).collect()}
     assert back == {(r["doc_id"], r["text"]) for r in rows["sentencepiece"]} and len(rows["end"]) == len(rows["sentencepiece"])
+
+
+EXTRA = "_dig string, _norm string, _key0 long, _stays boolean, root string, node long, _src string, _copies int, c0 string, words string, sig long, _id long"
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_with_null_and_repeated_identifiers_clashing_columns_and_no_rows(spark, name, stage):
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
+    more = tuple([None] * len(EXTRA.split(", ")))
+    text = " ".join(f"word{i}" for i in range(50))
+    base = [(5, text, "en", "a", 1), (None, text, "en", "a", 1), (5, text, "en", "a", 1), (7, text + " z", None, None, None), (8, None, None, None, None), (None, None, "x", "b", 2), (9, "", "x", "b", 2), (10, "long " * 60_000, "x", "c", 3), (11, "=" * 500 + " İ--", "x", "c", 3)]
+    docs = spark.createDataFrame([r + more for r in base], schema)
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    if name == "sentencepiece":
+        assert len(rows) == len(base) and all(r["round_trip"] for r in rows)
+    else:
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        known = {tuple(r) for r in docs.collect()}
+        assert all(tuple(r) in known for r in rows)
+        ids = sorted((r["doc_id"] for r in rows), key=str)
+        if name == "toxicity":
+            assert len(rows) == len(base)
+        elif name == "exact dedup":  # null and empty texts are equal
+            assert ids == [10, 11, 5, 7, 9]
+        elif name == "n-gram Jaccard join":  # texts without words stay
+            assert ids == [10, 11, 5, 8, 9, None]
+        else:
+            assert all(1 <= ids.count(i) <= 3 * [r[0] for r in base].count(i) for i in ids)
+    assert stage(spark, docs.limit(0), SF).collect() == []
