@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs, grid, media, metadata, values
 from ..functions.grid import GridSpec
-from ..operators import joins, mosaic, reduce, render, select, show, warp
+from ..operators import coords, joins, mosaic, reduce, render, select, show, warp
 from ..sources import items as sources
 from .views import AS, BL, PX, SC, SIDE, assets, blocks, pixels, scenes
 
@@ -198,17 +198,13 @@ def densify_fill(s, d):
 
 @query(f"WITH {SC}, o AS (SELECT cloud, minx, lead(minx) OVER (PARTITION BY cloud ORDER BY dt, id) AS nxt FROM scenes) SELECT cloud, coalesce(bool_and(nxt > minx), true) AS increasing, coalesce(bool_and(nxt < minx), true) AS decreasing FROM o GROUP BY ALL")
 def monotonic_check(s, d):
-    nxt = F.lead("minx").over(Window.partitionBy("cloud").orderBy("dt", "id"))
-    o = scenes(s, d).select("cloud", "minx", nxt.alias("nxt"))
-    return o.groupBy("cloud").agg(F.coalesce(F.bool_and(F.col("nxt") > F.col("minx")), F.lit(True)).alias("increasing"), F.coalesce(F.bool_and(F.col("nxt") < F.col("minx")), F.lit(True)).alias("decreasing"))
+    return coords.monotonic(scenes(s, d), ["cloud"], "minx", ["dt", "id"])
 
 
 @query(f"WITH {PX}, c AS (SELECT band, ix * 2.5::DOUBLE - 7 AS x, 90 - iy * 1.5::DOUBLE AS y FROM px), x AS (SELECT band, min(x) AS lo, max(x) AS hi, count(DISTINCT x) AS n FROM c GROUP BY ALL), y AS (SELECT band, min(y) AS lo, max(y) AS hi, count(DISTINCT y) AS n FROM c GROUP BY ALL) SELECT band, x.lo AS minx, y.lo - (y.hi - y.lo) / (y.n - 1) AS miny, x.hi + (x.hi - x.lo) / (x.n - 1) AS maxx, y.hi AS maxy FROM x JOIN y USING (band)")
 def array_bounds(s, d):
     c = pixels(s, d).select("band", (F.col("ix") * 2.5 - 7).alias("x"), (90 - F.col("iy") * 1.5).alias("y"))
-    a = c.groupBy("band").agg(*[f(k).alias(f"{n}{k}") for k in "xy" for n, f in (("lo", F.min), ("hi", F.max), ("n", F.countDistinct))])
-    step = lambda k: (F.col(f"hi{k}") - F.col(f"lo{k}")) / (F.col(f"n{k}") - 1)
-    return a.select("band", F.col("lox").alias("minx"), (F.col("loy") - step("y")).alias("miny"), (F.col("hix") + step("x")).alias("maxx"), F.col("hiy").alias("maxy"))
+    return coords.array_bounds(c, ["band"])
 
 
 # --- coordinate systems and tiles ----------------------------------------------------------------------------------
