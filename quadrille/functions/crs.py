@@ -1,4 +1,4 @@
-"""Closed-form transforms between EPSG:4326, EPSG:3857 and the UTM zones (EPSG:326zz, 327zz), on columns or numbers."""
+"""Closed-form transforms between EPSG:4326, EPSG:3857, the UTM zones (EPSG:326zz, 327zz) and projections.SYSTEMS, on columns or numbers."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import projections
+
 #: Sphere of web mercator, WGS 84 ellipsoid, UTM scale.
 R = 6378137.0
 A, FLAT, K0 = 6378137.0, 1 / 298.257223563, 0.9996
@@ -80,7 +82,7 @@ def is_utm(epsg: int) -> bool:
 
 
 def known(epsg: int) -> bool:
-    return epsg in (4326, 3857) or is_utm(epsg)
+    return epsg in (4326, 3857) or is_utm(epsg) or epsg in projections.SYSTEMS
 
 
 def transform(x, y, from_epsg: int, to_epsg: int):
@@ -89,16 +91,22 @@ def transform(x, y, from_epsg: int, to_epsg: int):
         return x, y
     for e in (from_epsg, to_epsg):
         if not known(e):
-            raise NotImplementedError(f"EPSG:{e}: only 4326, 3857 and the UTM zones are supported")
+            raise NotImplementedError(f"EPSG:{e}: only 4326, 3857, the UTM zones and {sorted(projections.SYSTEMS)} are supported")
     if from_epsg == 3857:
         x, y = mercator_to_lonlat(x, y)
-    elif from_epsg != 4326:
+    elif is_utm(from_epsg):
         x, y = utm_to_lonlat(x, y, from_epsg)
+    elif from_epsg != 4326:
+        lon, y = projections.system(from_epsg).back(_lib(x), x, y)
+        x = turned(lon)
     column = isinstance(x, Column)
     if not column:
         x, y = np.asarray(x, float), np.asarray(y, float)
     if to_epsg == 4326:
         return (x, y) if column else _finite(x, y)
+    if to_epsg in projections.SYSTEMS:
+        out = projections.system(to_epsg).forward(_lib(x), x, y)
+        return out if column else _finite(*out)
     if column:
         y = F.when(F.abs(y) < 90, y)
         return lonlat_to_mercator(x, y) if to_epsg == 3857 else lonlat_to_utm(x, y, to_epsg)
@@ -107,6 +115,13 @@ def transform(x, y, from_epsg: int, to_epsg: int):
     return _finite(*(lonlat_to_mercator(x, y) if to_epsg == 3857 else lonlat_to_utm(x, y, to_epsg)))
 
 
+def turned(lon):
+    """Longitudes within half a turn of 0."""
+    if isinstance(lon, Column):
+        return F.when(F.abs(lon) > 180, F.pmod(lon + 180, F.lit(360.0)) - 180).otherwise(lon)
+    return np.where(np.abs(lon) > 180, np.mod(np.asarray(lon) + 180, 360.0) - 180, lon)
+
+
 def _finite(x, y):
     if not (np.isfinite(x).all() and np.isfinite(y).all()):
         raise ValueError("a point has no image in the target CRS")
