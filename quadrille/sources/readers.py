@@ -66,33 +66,91 @@ KIND = {1: "u", 2: "i", 3: "f"}
 
 
 def _tags(raw: bytes) -> tuple[str, dict[int, list]]:
+    """Byte order and tags of the first directory, of a classic file (4-byte offsets) or a BigTIFF (8 bytes)."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
-        raise RuntimeError("not a classic TIFF file")
-    at = struct.unpack(order + "I", raw[4:8])[0]
+    version = struct.unpack(order + "H", raw[2:4])[0] if order else 0
+    if version not in (42, 43):
+        raise RuntimeError("not a TIFF file")
+    wide = version == 43
+    word, count, size_of_entry = ("Q", "Q", 20) if wide else ("I", "H", 12)
+    room = struct.calcsize(word)
+    at = struct.unpack(order + word, raw[8:16] if wide else raw[4:8])[0]
+    entries = struct.unpack(order + count, raw[at : at + struct.calcsize(count)])[0]
+    at += struct.calcsize(count)
     tags = {}
-    for i in range(struct.unpack(order + "H", raw[at : at + 2])[0]):
-        tag, kind, n, _ = struct.unpack(order + "HHII", raw[at + 2 + 12 * i : at + 14 + 12 * i])
+    for i in range(entries):
+        begin = at + i * size_of_entry
+        tag, kind, n = struct.unpack(order + "HH" + word, raw[begin : begin + 4 + room])
         if kind not in FIELD:
             continue
         size, code = FIELD[kind]
-        begin = at + 10 + 12 * i
-        if size * n > 4:
-            begin = struct.unpack(order + "I", raw[begin : begin + 4])[0]
+        begin += 4 + room
+        if size * n > room:
+            begin = struct.unpack(order + word, raw[begin : begin + room])[0]
         part = raw[begin : begin + size * n]
         tags[tag] = [part.rstrip(b"\0").decode()] if code == "s" else list(struct.unpack(f"{order}{n * len(code)}{code[0]}", part))
     return order, tags
 
 
+def lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, high bits first; 256 starts over and 257 ends."""
+    out, table, width, last = [], [], 9, None
+    bits, held = 0, 0
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+            continue
+        if last is None:
+            word = table[code]
+        else:
+            word = table[code] if code < len(table) else last + last[:1]
+            table.append(last + word[:1])
+            width = min(12, max(9, (len(table) + 1).bit_length()))
+        out.append(word)
+        last = word
+    return b"".join(out)
+
+
+def zstd(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
+#: By the number that TIFF gives a compression.
+DECOMPRESS = {1: bytes, 5: lzw, 8: zlib.decompress, 32946: zlib.decompress, 50000: zstd}
+
+
+def unpredicted(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
+    """(rows, columns, samples) from differences: of neighbours (2), or of the bytes of a row, sorted by place (3)."""
+    if predictor == 2:
+        return np.cumsum(block, axis=1, dtype=block.dtype)
+    if predictor == 3:
+        rows, columns, samples = block.shape
+        size = block.dtype.itemsize
+        raw = np.cumsum(np.ascontiguousarray(block).view(np.uint8).reshape(rows, -1, samples), axis=1, dtype=np.uint8)
+        planes = raw.reshape(rows, size, columns * samples)  # the first plane has the highest bytes
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}").reshape(rows, columns, samples).astype(block.dtype)
+    return block
+
+
 def geotiff(url: str, options: dict) -> Raster:
-    """Strips or tiles, none or deflate compression, predictor none or horizontal, one band or one band and alpha."""
+    """Strips or tiles, plain or compressed by LZW, deflate or Zstandard, any predictor, one band or one band and alpha."""
     raw = fetch(url)
     order, t = _tags(raw)
     width, height, bands = t[256][0], t[257][0], t.get(277, [1])[0]
     extra = t.get(338, [])
     if bands - len(extra) != 1:
         raise RuntimeError(f"{url!r} must have a single band, but has {bands}")
-    if t.get(259, [1])[0] not in (1, 8, 32946):
+    if t.get(259, [1])[0] not in DECOMPRESS:
         raise RuntimeError(f"{url!r}: compression {t[259][0]} is not supported")
     dtype = np.dtype(f"{order}{KIND[t.get(339, [1])[0]]}{t[258][0] // 8}")
     tiled = 324 in t
@@ -104,13 +162,12 @@ def geotiff(url: str, options: dict) -> Raster:
     out = np.zeros((bands, down * th, across * tw), dtype)
     for i, (at, n) in enumerate(zip(offsets, counts, strict=True)):
         part = raw[at : at + n]
-        part = zlib.decompress(part) if t.get(259, [1])[0] != 1 else part
+        part = DECOMPRESS[t.get(259, [1])[0]](part)
         plane, k = divmod(i, across * down) if planar else (0, i)
         y, x = divmod(k, across)
         rows = th if tiled else min(th, height - y * th)
         block = np.frombuffer(part, dtype)[: rows * tw * per].reshape(rows, tw, per)
-        if t.get(317, [1])[0] == 2:
-            block = np.cumsum(block, axis=1, dtype=dtype)
+        block = unpredicted(block, t.get(317, [1])[0], order)
         out[plane : plane + per, y * th : y * th + rows, x * tw : (x + 1) * tw] = np.moveaxis(block, 2, 0)
     out = out[:, :height, :width].astype(dtype.newbyteorder("="))
     keys = t.get(34735, [])

@@ -148,7 +148,7 @@ def test_asset_selection(spark):
     assert plan(spark, odd, assets={"application/json"}).bands == ["meta"]
 
 
-def tiff(data, tiled=False, deflate=True, predictor=False, epsg=32613, nodata=None, endian="<"):
+def tiff(data, tiled=False, deflate=True, predictor=False, epsg=32613, nodata=None, endian="<", big=False, pack=None):
     """A minimal writer for the reader's subset."""
     h, w = data.shape
     th, tw = (16, 16) if tiled else (3, w)
@@ -158,38 +158,82 @@ def tiff(data, tiled=False, deflate=True, predictor=False, epsg=32613, nodata=No
             block = data[y : y + th, x : x + tw]
             if tiled:
                 block = np.pad(block, ((0, th - block.shape[0]), (0, tw - block.shape[1])))
+            if predictor and data.dtype.kind == "f":  # bytes by place, highest first, then differences
+                planes = np.ascontiguousarray(block.astype(data.dtype.newbyteorder(">"))).view(np.uint8).reshape(len(block), -1, data.dtype.itemsize).transpose(0, 2, 1).reshape(len(block), -1)
+                raw = np.concatenate([planes[:, :1], np.diff(planes, axis=1)], 1).tobytes()
+                parts.append(zlib.compress(raw))
+                continue
             if predictor:
                 block = np.concatenate([block[:, :1], np.diff(block, axis=1)], 1).astype(data.dtype)
             raw = block.astype(data.dtype.newbyteorder(endian)).tobytes()
-            parts.append(zlib.compress(raw) if deflate else raw)
-    offs, at = [], 8
+            parts.append(pack[1](raw) if pack else zlib.compress(raw) if deflate else raw)
+    offs, at = [], 16 if big else 8
     for p in parts:
         offs.append(at)
         at += len(p)
     kind = {"u": 1, "i": 2, "f": 3}[data.dtype.kind]
-    tags = {256: ("I", [w]), 257: ("I", [h]), 258: ("H", [data.dtype.itemsize * 8]), 259: ("H", [8 if deflate else 1]), 277: ("H", [1]), 339: ("H", [kind]), 317: ("H", [2 if predictor else 1]), 33550: ("d", [10.0, 10.0, 0.0]), 33922: ("d", [0.0, 0, 0, 400000.0, 3900100.0, 0]), 34735: ("H", [1, 1, 0, 1, 3072, 0, 1, epsg])}
+    tags = {256: ("I", [w]), 257: ("I", [h]), 258: ("H", [data.dtype.itemsize * 8]), 259: ("H", [pack[0] if pack else 8 if deflate else 1]), 277: ("H", [1]), 339: ("H", [kind]), 317: ("H", [(3 if data.dtype.kind == "f" else 2) if predictor else 1]), 33550: ("d", [10.0, 10.0, 0.0]), 33922: ("d", [0.0, 0, 0, 400000.0, 3900100.0, 0]), 34735: ("H", [1, 1, 0, 1, 3072, 0, 1, epsg])}
     tags |= {322: ("I", [tw]), 323: ("I", [th]), 324: ("I", offs), 325: ("I", [len(p) for p in parts])} if tiled else {278: ("I", [th]), 273: ("I", offs), 279: ("I", [len(p) for p in parts])}
     if nodata is not None:
         tags[42113] = ("s", str(nodata).encode() + b"\0")
     code = {"H": 3, "I": 4, "d": 12, "s": 2}
-    extra_at = at + 2 + 12 * len(tags) + 4
-    ifd, extra = struct.pack(endian + "H", len(tags)), b""
+    word, count, room = ("Q", "Q", 8) if big else ("I", "H", 4)
+    extra_at = at + struct.calcsize(count) + (8 + 2 * room - 4) * len(tags) + room
+    ifd, extra = struct.pack(endian + count, len(tags)), b""
     for tag in sorted(tags):
         c, v = tags[tag]
         raw = v if c == "s" else struct.pack(f"{endian}{len(v)}{c}", *v)
         n = len(v)
-        field = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(endian + "I", extra_at + len(extra))
-        extra += raw if len(raw) > 4 else b""
-        ifd += struct.pack(endian + "HHI", tag, code[c], n) + field
-    head = {"<": b"II", ">": b"MM"}[endian] + struct.pack(endian + "HI", 42, at)
-    return head + b"".join(parts) + ifd + struct.pack(endian + "I", 0) + extra
+        field = raw.ljust(room, b"\0") if len(raw) <= room else struct.pack(endian + word, extra_at + len(extra))
+        extra += raw if len(raw) > room else b""
+        ifd += struct.pack(endian + "HH" + word, tag, code[c], n) + field
+    head = {"<": b"II", ">": b"MM"}[endian] + (struct.pack(endian + "HHHQ", 43, 8, 0, at) if big else struct.pack(endian + "HI", 42, at))
+    return head + b"".join(parts) + ifd + struct.pack(endian + word, 0) + extra
+
+
+def lzw(data):
+    """What readers.lzw undoes, made from the other end: longest known runs, codes that widen one entry early."""
+    bits, table, width, run = "", {}, 9, b""
+    for i in range(256):
+        table[bytes([i])] = i
+    bits += f"{256:09b}"
+    free = 258
+    for b in data:
+        more = run + bytes([b])
+        if more in table:
+            run = more
+            continue
+        bits += f"{table[run]:0{width}b}"
+        table[more] = free
+        free += 1
+        width += free == 1 << width
+        run = bytes([b])
+        if free == 4095:
+            bits += f"{table[run]:0{width}b}{256:0{width}b}"
+            table, width, free, run = {bytes([i]): i for i in range(256)}, 9, 258, b""
+    if run:
+        bits += f"{table[run]:0{width}b}"
+        width += free + 1 == 1 << width
+    bits += f"{257:0{width}b}"
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def zstd(data):
+    import zstandard
+
+    return zstandard.ZstdCompressor().compress(data)
+
+
+def test_lzw_round_trips():
+    rng = np.random.default_rng(1)
+    for data in (b"", b"a", b"aaaaaaa", bytes(rng.integers(0, 256, 30_000, dtype=np.uint8)), bytes(rng.integers(0, 4, 60_000, dtype=np.uint8)), b"abcabcabc" * 5000):
+        assert readers.lzw(lzw(data)) == data
 
 
-@pytest.mark.parametrize("kw", [{}, {"tiled": True}, {"predictor": True}, {"deflate": False}, {"endian": ">"}, {"tiled": True, "predictor": True, "endian": ">"}])
+@pytest.mark.parametrize("kw", [{}, {"tiled": True}, {"predictor": True}, {"deflate": False}, {"endian": ">"}, {"tiled": True, "predictor": True, "endian": ">"}, {"big": True}, {"big": True, "endian": ">", "tiled": True}, {"pack": (5, lzw)}, {"pack": (50000, zstd), "tiled": True}])
 @pytest.mark.parametrize("dtype", ["uint8", "int16", "float32"])
 def test_geotiff_subset(tmp_path, kw, dtype):
-    if kw.get("predictor") and dtype == "float32":
-        pytest.skip("the horizontal predictor is for integers")
     data = (np.arange(20 * 23).reshape(20, 23) % 200).astype(dtype)
     path = tmp_path / "a.tif"
     path.write_bytes(tiff(data, nodata=7, **kw))
