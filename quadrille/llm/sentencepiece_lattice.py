@@ -43,6 +43,8 @@ HEAD = 1_500_000
 MAX_WORD = 128
 #: Characters of long words whose ids a task remembers.
 KEPT = 1 << 21
+#: Characters by which the lengths of a place's substrings are looked up.
+HEADS = 3
 #: Words whose cuts fit into the bits of one number.
 SHORT = 62
 #: Words that a map task holds before it sends their counts.
@@ -120,6 +122,15 @@ class Vocabulary:
             i = j
         return flat, begin, hashes, np.searchsorted(begin, bounds)
 
+    @functools.cached_property
+    def lengths(self) -> dict[str, list[int]]:
+        """Lengths below HEADS, and of the pieces that begin so, by the first HEADS characters of longer pieces."""
+        found: dict[str, set[int]] = {}
+        for p, ok in zip(self.pieces, self.plain, strict=True):
+            if ok and len(p) >= HEADS:
+                found.setdefault(p[:HEADS], set(range(1, HEADS))).add(len(p))
+        return {p: sorted(k) for p, k in found.items()}
+
     @functools.cached_property
     def ranks(self) -> dict[float, int]:
         """Rank of every score, best first."""
@@ -246,7 +257,11 @@ def lattice(words: DataFrame, v: Vocabulary) -> DataFrame:
     plain = [(p, (ranks[x] << 40) | i) for i, (p, x, ok) in enumerate(zip(v.pieces, v.scores, v.plain, strict=True)) if ok]
     pieces = F.broadcast(spark.createDataFrame(plain, "piece string, packed long"))  # the model's vocabulary
     at = words.withColumn("size", F.char_length("word")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-    at = at.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.col("size") - F.col("s")))))
+    # of the substrings that begin at a place, those of a length that some piece with the same first HEADS characters has
+    heads = F.broadcast(spark.createDataFrame([(p, list(k)) for p, k in v.lengths.items()] or [("", [])], "head string, lengths array<int>"))
+    at = at.withColumn("head", F.substring("word", F.col("s") + 1, F.lit(HEADS))).join(heads, "head", "left")
+    short = F.array(*[F.lit(k) for k in range(1, HEADS)])
+    at = at.withColumn("k", F.explode(F.coalesce("lengths", short))).filter("k <= size - s")
     at = at.select("h", "n", "size", "s", "k", F.substring("word", F.col("s") + 1, F.col("k")).alias("piece"))
     at = at.join(pieces, "piece", "left").filter("packed IS NOT NULL OR k = 1")
     known = F.col("packed").isNotNull()
@@ -258,15 +273,17 @@ def lattice(words: DataFrame, v: Vocabulary) -> DataFrame:
 
 UNKNOWN = (1 << 24) - 1
 S, E, ID = "CAST(shiftright({x}, 32) & 255 AS INT)", "CAST(shiftright({x}, 24) & 255 AS INT)", f"CAST({{x}} & {UNKNOWN} AS INT)"
-#: The cuts of a word are bits of a mask. An edge that is left has both ends cut, and can be made if one cut lies between.
+#: The cuts of a word are bits of a mask. An edge that is left has both ends cut, and can be made if one cut lies between;
+#: what is asked of edges again and again is worked out once: the cuts inside (i), those at its ends (e), and itself (x).
 INNER = f"(m.m & (shiftleft(1L, {E}) - shiftleft(1L, {S} + 1)))"
 SEEN = INNER.format(x="x")
-GONE = INNER.format(x="b")
+MULTI = f"""transform(filter(edges, x -> {E.format(x="x")} > {S.format(x="x")} + 1), x -> named_struct(
+  'i', shiftleft(1L, {E.format(x="x")}) - shiftleft(1L, {S.format(x="x")} + 1), 'e', shiftleft(1L, {S.format(x="x")}) | shiftleft(1L, {E.format(x="x")}), 'x', x))"""
 #: The best-scored such edge loses its inner cut; edges that end there are out, and so is the edge.
-MERGES = f"""aggregate(sequence(1, size), named_struct('m', shiftleft(1L, size + 1) - 1, 'left', filter(edges, x -> {E.format(x="x")} > {S.format(x="x")} + 1)),
-  (m, i) -> if(size(m.left) = 0, m, coalesce(get(transform(slice(filter(m.left, x -> bit_count({SEEN}) = 1), 1, 1), b -> named_struct('m', m.m ^ {GONE},
-    'left', filter(m.left, y -> y <> b AND ((shiftleft(1L, {S.format(x="y")}) | shiftleft(1L, {E.format(x="y")})) & {GONE}) = 0))), 0),
-    named_struct('m', m.m, 'left', cast(array() AS array<bigint>)))), m -> m.m)"""
+MERGES = """aggregate(sequence(1, size), named_struct('m', shiftleft(1L, size + 1) - 1, 'left', multi),
+  (m, k) -> if(size(m.left) = 0, m, coalesce(get(transform(slice(filter(m.left, x -> bit_count(m.m & x.i) = 1), 1, 1), b -> named_struct('m', m.m ^ (m.m & b.i),
+    'left', filter(m.left, y -> y.x <> b.x AND (y.e & m.m & b.i) = 0))), 0),
+    named_struct('m', m.m, 'left', slice(m.left, 1, 0)))), m -> m.m)"""
 SHORT_TAKEN = f"""filter(edges, x -> (shiftright(mask, {S.format(x="x")}) & shiftright(mask, {E.format(x="x")}) & 1L) = 1L AND {SEEN.replace("m.m", "mask")} = 0L)"""
 #: The same with the cuts as an array.
 BETWEEN = f"size(filter(c, y -> y > {S.format(x='x')} AND y < {E.format(x='x')}))"
@@ -291,7 +308,8 @@ def segmented(edges: DataFrame, v: Vocabulary) -> DataFrame:
         d = edges.withColumn("costs", costs).withColumn("best", F.expr(text)).withColumn("taken", F.expr(BACK))
     else:
         short = F.col("size") <= SHORT
-        d = edges.withColumn("mask", F.when(short, F.expr(MERGES))).withColumn("c", F.when(~short, F.expr(LONG_CUTS)))
+        d = edges.withColumn("multi", F.when(short, F.expr(MULTI)))
+        d = d.withColumn("mask", F.when(short, F.expr(MERGES))).withColumn("c", F.when(~short, F.expr(LONG_CUTS)))
         d = d.withColumn("taken", F.when(short, F.expr(SHORT_TAKEN)).otherwise(F.expr(LONG_TAKEN)))
     d = d.withColumn("taken", F.expr(f"sort_array(transform(taken, x -> x & {(1 << 40) - 1}))"))  # by place
     plain = F.expr(f"transform(taken, x -> {ID.format(x='x')})")
