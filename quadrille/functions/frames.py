@@ -1,14 +1,34 @@
-"""Frames that are written once, and numbering without a task that gets all rows."""
+"""Frames that are written once, numbering without a task that gets all rows, and this package in Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of the session's cluster."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    out = Path(tempfile.mkdtemp(prefix="quadrille-ship-")) / "quadrille_rasters.zip"  # Spark sends it to the workers
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted((root / "quadrille").rglob("*.py")):
+            z.write(p, os.path.relpath(p, root))
+    sc.addPyFile(str(out))
+    _shipped.add(sc.applicationId)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """Writes a table once, so that what it takes to make it is not planned or run again by all that follows."""
     spark = df.sparkSession

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..functions.frames import ship
 
 #: Corner colours of the default colour map, dark to light; the table between them is interpolated.
 STOPS = ((68, 1, 84), (59, 82, 139), (33, 145, 140), (94, 201, 98), (253, 231, 37))
@@ -79,6 +80,7 @@ def encode_tiles(pixels: DataFrame, keys: Sequence[str], shape: tuple[int, int])
         image[d["iy"], d["ix"]] = d[["r", "g", "b", "a"]].to_numpy()
         return pd.DataFrame([[*key, png(image)]], columns=[*cols, "png"])
 
+    ship(pixels.sparkSession)
     return pixels.groupBy(*cols).applyInPandas(one, schema)
 
 

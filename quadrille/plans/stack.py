@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs, media, metadata, values
+from ..functions.frames import ship
 from ..functions.grid import Bbox, GridSpec, check_anchor, window_of
 from ..operators import joins, mosaic, reduce, select, warp
 from ..sources import env, readers
@@ -247,6 +248,7 @@ def scan(work: DataFrame, spec: GridSpec, chunk: tuple[int, int], reader, option
                     cols = [np.full(n, r["time_idx"], np.int32), np.full(n, r["band_idx"], np.int32), iy[ok].astype(np.int32), ix[ok].astype(np.int32), v[ok] * r["scale"] + r["offset"]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["time_idx", "band_idx", "iy", "ix", "v"])
 
+    ship(work.sparkSession)
     return work.mapInArrow(run, "time_idx int, band_idx int, iy int, ix int, v double")
 
 
