@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +115,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function for mapInArrow() that gives memory back to the system when its task ends: workers stay for other stages."""
+
+    def wrapped(batches: Iterable) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 

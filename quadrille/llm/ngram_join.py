@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import only_kept, same, settle, ship, small, stored
+from .common import only_kept, same, settle, ship, small, stored, trimmed
 from .components import components
 
 U = np.uint64
@@ -409,7 +409,7 @@ def trees(members: DataFrame, data: DataFrame, kind: Callable, percent: int, mos
 
     def compared(work: DataFrame) -> DataFrame:
         work = work.select("root", "p", "q", "node", "n", "data").repartition(partitions, "root", "p", "q").sortWithinPartitions("root", "p", "q")
-        return settle(work.mapInArrow(compare(kind, percent), "a long, b long"))
+        return settle(work.mapInArrow(trimmed(compare(kind, percent)), "a long, b long"))
 
     weights = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("weight").alias("weights"))
     weights = weights.filter("m > 1").select("root", F.ceil(F.col("weights") / most).cast("int").alias("blocks"))
@@ -467,8 +467,8 @@ def grouped(docs: DataFrame, spec: Spec, id_col: str, text_col: str, features: i
     ship(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    packed = rows.mapInArrow(emitter(spec, 8 * partitions), "bucket int, kind int, block binary")
-    met = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, GATHERED)
+    packed = rows.mapInArrow(trimmed(emitter(spec, 8 * partitions)), "bucket int, kind int, block binary")
+    met = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(gather), GATHERED)
     met = stored(met, "signatures")
     own = met.filter(F.col("kind") == DOCS).select(F.col("a").alias("doc_id"), F.col("b").alias("text_hash"), F.col("c").alias("node"), "n")
     shapes = met.filter(F.col("kind") == SKETCH).groupBy(F.col("c").alias("node")).agg(F.max("n").alias("n"), F.max("sketch").alias("data"))
@@ -476,7 +476,7 @@ def grouped(docs: DataFrame, spec: Spec, id_col: str, text_col: str, features: i
     clusters = components(maybe).join(own.groupBy("node").agg(F.max("n").alias("weight")), "node")
     clusters = settle(clusters.select("root", "node", "weight"))
     bitmap = spark.sparkContext.broadcast(bitmap_of(clusters))
-    sets = rows.select("text").mapInArrow(set_blocks(spec, bitmap), "node long, n long, data binary")
+    sets = rows.select("text").mapInArrow(trimmed(set_blocks(spec, bitmap)), "node long, n long, data binary")
     sets = sets.groupBy("node").agg(F.max("n").alias("n"), F.first("data").alias("data"))  # copies become one before and after the exchange
     links, open_ = trees(clusters, sets, forest, spec.percent, features)
     return own, components(links) if open_ else links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import ship, stored
+from .common import ship, stored, trimmed
 
 SPACE = "▁"
 #: Words in the broadcast table, about 24 bytes each.
@@ -243,7 +243,7 @@ def corpus_words(docs: DataFrame, vocab) -> DataFrame:
 
     # a word's lattice is many times as large as its row: small partitions keep it in memory
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.mapInArrow(run, "h long, word string, n long").repartition(parts, "h").groupBy("h", "word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(trimmed(run), "h long, word string, n long").repartition(parts, "h").groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, v: Vocabulary) -> DataFrame:
@@ -379,7 +379,7 @@ def rare_words(docs: DataFrame, vocab, head) -> DataFrame:
             key = np.asarray(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(key[pair[0].astype(np.int64)]), pa.array(pair[1].view(np.int64))], ["key", "h"])
 
-    return docs.mapInArrow(run, "key long, h long").distinct()
+    return docs.mapInArrow(trimmed(run), "key long, h long").distinct()
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -391,7 +391,7 @@ def packed(docs: DataFrame) -> DataFrame:
             text = pa.array([c.compress(t.as_buffer()) if t.is_valid else None for t in batch.column(2).cast(pa.binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], ["key", "doc_id", "text"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, text binary")
+    return docs.mapInArrow(trimmed(run), "key long, doc_id long, text binary")
 
 
 def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,7 +466,7 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
             out = [batch.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), pa.array(np.diff(cuts)), pa.array(crc, pa.int64()), pa.array(whole)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"])
 
-    return both.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean")
+    return both.mapInArrow(trimmed(run), "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, v: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

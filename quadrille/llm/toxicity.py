@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import ship, stored
+from .common import ship, stored, trimmed
 
 SAMPLE = 5_000
 GRADES = 3
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     picked = picked.groupBy("_l").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_l"), "_l").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.join(F.broadcast(picked), F.col("_id") == F.col("_l"))  # at most ``sample`` rows
-    rows = rows.select("_y", "_text").mapInArrow(feature_lists, "label int, words array<long>")
+    rows = rows.select("_y", "_text").mapInArrow(trimmed(feature_lists), "label int, words array<long>")
     rows = rows.select(F.monotonically_increasing_id().alias("id"), "label", F.xxhash64("words").alias("row"), F.size("words").alias("n"), "words")
     rows = stored(rows, "sample")
     once = rows.groupBy("row", "n").agg(F.max("label").alias("label"), F.min("id").alias("id"))  # without the words
@@ -228,7 +228,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             yield batch.filter(pa.array(np.concatenate(stay)))
 
     schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema.fields, strict=True)])
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
+    return docs.toDF(*names).mapInArrow(trimmed(run), schema).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
