@@ -115,16 +115,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if malloc_trim:
+        malloc_trim(0)
+
+
 def trimmed(run: Callable) -> Callable:
-    """A function for mapInArrow() that gives memory back to the system when its task ends: workers stay for other stages."""
+    """A function for mapInArrow() that gives memory back when its task ends: workers stay for other stages."""
 
     def wrapped(batches: Iterable) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        trim()
 
     return wrapped
 

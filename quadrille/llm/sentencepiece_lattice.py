@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import ship, stored, trimmed
+from .common import ship, stored, trim, trimmed
 
 SPACE = "▁"
 #: Words in the broadcast table, about 24 bytes each.
@@ -415,6 +415,8 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
     words = stored(segmented(lattice(corpus_words(docs.select(text.alias("text")), vocab), v), v), "words")
     table, cutoff = head_of(words, head_size)
     head = spark.sparkContext.broadcast(table)
+    del table  # the driver needs it no more
+    trim()
     keyed = docs.select(F.xxhash64(text).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rare = rare_words(keyed.select("key", "text"), vocab, head).join(words.filter(F.col("n") < cutoff).select("h", "ids"), "h")
     rare = rare.groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("rare"))  # bounded by the text's words

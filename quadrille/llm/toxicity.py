@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import ship, stored, trimmed
+from .common import ship, stored, trim, trimmed
 
 SAMPLE = 5_000
 GRADES = 3
@@ -180,7 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     label = np.asarray(got["label"], np.int64)
     lists = got["cols"].combine_chunks() if len(label) else pa.array([], pa.list_(pa.int32()))
     row = np.repeat(np.arange(len(label)), np.asarray(pc.list_value_length(lists)))
-    return fit_rows(label, row, found["word"].to_numpy(np.int64).view(np.uint64), np.asarray(lists.flatten(), np.int64), found["marker"].to_numpy(bool))
+    model = fit_rows(label, row, found["word"].to_numpy(np.int64).view(np.uint64), np.asarray(lists.flatten(), np.int64), found["marker"].to_numpy(bool))
+    del got, lists, row, label
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
