@@ -10,7 +10,9 @@ have too many empty pieces, so no link is lost.
 
 Signatures travel as packed blocks and are grouped by value; groups of the same sets under different signatures become
 one. A signature that more than HOT sets of one map task's block share is not sent to the task of its value: its sets
-become rows of their own, which are counted and dealt out like any others.
+are dealt to SALTS lists. Texts with a passage in common share many hot signatures, each held by nearly the same sets;
+signatures whose sets have the least in common, by hash, become one group, several times over. A group that is joined
+to another loses no pair, and its sets are compared once instead of under each of its signatures.
 
 Within a group, sets are first compared by sketch: the parities of the numbers of features in about as many slots as the
 set has features. Two sets differ in at least as many features as their sketches do in bits, so sets that link have near
@@ -30,12 +32,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
 from .common import only_kept, same, settle, ship, small, stored, trimmed
-from .components import components
+from .components import SALTS, components
 
 U = np.uint64
 CUTS = 6
@@ -44,6 +46,8 @@ PARTS = 3
 HELD = 500_000
 #: Sets under one signature in such a block from which the signature's sets are dealt out as rows.
 HOT = 8
+#: Times that groups of hot signatures are joined by the least hash of their sets.
+MERGES = 3
 #: Features of a cluster, and sketches of a group, that one task compares.
 FEATURES = 1_000_000
 SKETCHES = 8192
@@ -181,7 +185,11 @@ def emitter(spec: Spec, buckets: int):
             first, hot = sig[cuts[:-1]], np.repeat(hot, np.diff(cuts))
             dealt = np.empty(int(hot.sum()), PAIR)
             dealt["sig"], dealt["node"] = sig[hot] & LOW48, node[hot]
-            rows += [(int(dealt["node"][i] % U(buckets)), DEALT, dealt[i : i + 65536].tobytes()) for i in range(0, len(dealt), 65536)]
+            bucket = kernel.mix(dealt["sig"] + dealt["node"] % U(SALTS)) % U(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, dealt = bucket[order], dealt[order]
+            ends = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(dealt) else np.zeros(1, np.int64)
+            rows += [(int(bucket[x]), DEALT, dealt[x:y].tobytes()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
             marks = first[np.diff(cuts) > HOT]
             sig, node = sig[~hot], node[~hot]
             packed = np.empty(len(sig), SIGNATURE)
@@ -227,7 +235,7 @@ def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reduce side, bucket by bucket.
 
     DOCS: a identifier, b hash of the text, c node, n size. GROUPS: a and b name the sets, n of them. SKETCH: c node,
-    n size, sketch. DEALT: a signature, c node.
+    n size, sketch. DEALT: a signature, n of its sets; a signature has several such rows.
     """
     names = [c.split()[0] for c in GATHERED.split(", ")]
 
@@ -238,7 +246,24 @@ def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns.append(pa.nulls(size, pa.binary()) if sketch is None else sketch)
         return pa.RecordBatch.from_arrays(columns, names)
 
-    def close(parts: list, marks: list) -> Iterator[pa.RecordBatch]:
+    def lists(node: np.ndarray, cuts: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Lengths and nodes of the groups m."""
+        count = np.diff(cuts)[m]
+        ends = np.r_[0, np.cumsum(count)]
+        at = np.repeat(cuts[m] - ends[:-1], count) + np.arange(ends[-1])
+        return count, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(node[at]))
+
+    def hot_lists(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sig, node, cuts = distinct_pairs(sig, node)
+        for i in range(0, len(cuts) - 1, 10_000):
+            m = np.arange(i, min(i + 10_000, len(cuts) - 1))
+            count, sets = lists(node, cuts, m)
+            yield rows(DEALT, len(m), a=sig[cuts[m]], n=count, sets=sets)
+
+    def close(parts: list, marks: list, dealt: list) -> Iterator[pa.RecordBatch]:
+        if dealt:
+            d = np.concatenate(dealt)
+            yield from hot_lists(d["sig"], d["node"])
         if not parts:
             return
         p = np.concatenate(parts)
@@ -246,7 +271,7 @@ def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if marks:
             hot = np.isin(sig, np.concatenate(marks))
             if hot.any():
-                yield rows(DEALT, int(hot.sum()), a=sig[hot], c=node[hot])
+                yield from hot_lists(sig[hot], node[hot])
                 sig, node, cuts = distinct_pairs(sig[~hot], node[~hot])
         count = np.diff(cuts)
         if not (count > 1).any():
@@ -257,17 +282,16 @@ def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = many[first]
         for i in range(0, len(many), 10_000):
             m = many[i : i + 10_000]
-            at = np.repeat(cuts[m] - np.r_[0, np.cumsum(count[m])[:-1]], count[m]) + np.arange(count[m].sum())
-            sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count[m])].astype(np.int32)), signed(node[at]))
-            yield rows(GROUPS, len(m), a=one[m], b=two[m], n=count[m], sets=sets)
+            size, sets = lists(node, cuts, m)
+            yield rows(GROUPS, len(m), a=one[m], b=two[m], n=size, sets=sets)
 
-    bucket, parts, marks = None, [], []
+    bucket, parts, marks, dealt = None, [], [], []
     for batch in batches:
         for at, kind, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             block = block.as_buffer()
             if at != bucket:
-                yield from close(parts, marks)
-                bucket, parts, marks = at, [], []
+                yield from close(parts, marks, dealt)
+                bucket, parts, marks, dealt = at, [], [], []
             if kind == SIGNED:
                 parts.append(np.frombuffer(block, SIGNATURE))
             elif kind == MARKS:
@@ -276,12 +300,11 @@ def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 d = np.frombuffer(block, DOCUMENT)
                 yield rows(DOCS, len(d), a=pa.array(np.ascontiguousarray(d["id"]), mask=d["null"]), b=d["text"], c=d["node"], n=d["n"])
             elif kind == DEALT:
-                d = np.frombuffer(block, PAIR)
-                yield rows(DEALT, len(d), a=d["sig"], c=d["node"])
+                dealt.append(np.frombuffer(block, PAIR))
             else:
                 head = np.frombuffer(block[:16], np.int64)
                 yield rows(SKETCH, 1, c=head[:1], n=head[1:], sketch=pa.array([bytes(block[16:])], pa.binary()))
-    yield from close(parts, marks)
+    yield from close(parts, marks, dealt)
 
 
 def set_blocks(spec: Spec, bitmap):
@@ -451,13 +474,20 @@ def bitmap_of(nodes: DataFrame) -> bytes:
 
 
 def candidates(met: DataFrame) -> DataFrame:
-    """(root, node, weight): the sets of every signature that two or more share; equal groups of sets once."""
+    """(root, node, weight): the sets of every signature that two or more share; equal groups of sets once.
+
+    Groups of hot signatures with the same least set are joined, MERGES times, each time by another hash: two groups
+    meet as probably as their sets overlap. What they hold only grows, so no two sets that share a signature come apart.
+    """
     groups = met.filter(F.col("kind") == GROUPS).dropDuplicates(["a", "b", "n"])
     cold = groups.select(F.xxhash64("a", "b", "n").alias("root"), F.explode("sets").alias("node"))
-    dealt = met.filter(F.col("kind") == DEALT).select(F.col("a").alias("sig"), F.col("c").alias("node")).distinct()
-    alike = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-    alike = alike.filter("m > 1").groupBy("m", "who").agg(F.min("sig").alias("sig"))  # the same sets under other signatures
-    hot = dealt.join(small(settle(alike.select("sig"))), "sig", "left_semi").select(F.xxhash64(F.lit("hot"), "sig").alias("root"), "node")
+    dealt = met.filter(F.col("kind") == DEALT).select(F.col("a").alias("sig"), "sets")
+    least = [F.min(F.expr(f"array_min(transform(sets, x -> xxhash64(x, {i})))")).alias(f"least{i}") for i in range(MERGES)]
+    named = dealt.groupBy("sig").agg(*least).withColumn("root", F.col("least0"))
+    for i in range(1, MERGES):
+        named = named.withColumn("root", F.min(f"least{i}").over(Window.partitionBy("root")))
+    named = settle(named.select("sig", F.xxhash64(F.lit("hot"), "root").alias("root")))
+    hot = dealt.join(small(named), "sig").select("root", F.explode("sets").alias("node")).distinct()
     return cold.union(hot).withColumn("weight", F.lit(1))
 
 

@@ -99,3 +99,18 @@ def test_near_dedup_with_null_and_repeated_identifiers_and_clashing_columns(spar
     again = spark.createDataFrame([(5, text, "a", 1)] * 3 + [(8, "x y", "b", 2)], docs.schema)
     assert sorted(tuple(r) for r in near_dedup(again, Spec(5, 80)).collect()) == [(5, text, "a", 1), (8, "x y", "b", 2)]
     assert near_dedup(spark.createDataFrame([], docs.schema)).collect() == []
+
+
+def test_sets_that_share_a_passage_are_compared_once_not_under_every_signature(spark, monkeypatch):
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = say(80)
+    rows = [(i, " ".join(say(k) + passage + say(24 - k)), None, None) for i, k in enumerate(rng.randrange(24) for _ in range(120))]
+    rows += [(200 + i, rows[i][1] + " end", None, None) for i in range(0, 120, 10)]
+    met = []
+    whole = ngram_join.trees
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    monkeypatch.setattr(ngram_join, "trees", lambda members, *more: met.append(members.select("root", "node").count()) or whole(members, *more))
+    got = linked(spark.createDataFrame(rows, SCHEMA), Spec(5, 80)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, Spec(5, 80))
+    assert met[0] < 4 * len(rows)
