@@ -6,10 +6,10 @@ mean over its features of log p(target) - log p(raw); the target is smoothed tow
 feature the target hardly shows is neither for nor against. Trusted documents are dealt to FOLDS by a hash of their text,
 and each is scored against the target without its fold, so that its score doesn't come from its own features or a copy's.
 
-The threshold comes from the scores of at most SAMPLE labelled documents, counted in STEPS bins a unit: where the share of good documents
+The threshold comes from the scores of all labelled documents, counted in STEPS bins a unit: where the share of good documents
 above it exceeds that of bad ones most, but at most LOSS percent of the good ones may fall below. The counts are BUCKETS
 rows and the bins a bounded number, whatever the corpus; documents look ratios up in an array of that size, so scoring
-takes no exchange.
+takes no exchange. Scores and base columns are stored, without texts, so that the threshold takes no scoring of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, words
+from .common import small, stored, words
 
 BUCKETS = 1 << 16
 #: Prior weight of the raw distribution, in features.
@@ -28,8 +28,6 @@ PRIOR = 2000.0
 FOLDS = 5
 #: Percent of good documents that the threshold may cost.
 LOSS = 2
-#: Labelled documents of which the threshold is made; both multinomials are of all documents.
-SAMPLE = 5_000
 STEPS, MOST = 500, 30
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -157,22 +155,15 @@ def cut(bins: list[tuple[int, int, int]], loss: int = LOSS) -> float | None:
     return at / STEPS
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, sample: int = SAMPLE) -> tuple[Ratios, float | None]:
-    """The ratios, and the threshold: from labelled documents that pass the base rules, those whose identifiers have the least hashes."""
-    d = marked(measured(docs, id_col, text_col), labels)
-    ratios = Ratios(counts(d), prior)
-    some = labels.filter("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    few = few.join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "left_semi")  # at most ``sample`` identifiers
-    known = ratios.scored(base(marked(measured(few, "doc_id", "text"), labels)))
+def threshold(rows: DataFrame) -> float | None:
+    """From all labelled rows that pass the base rules. rows: base_failed, llr, _quality."""
     at = F.floor(F.least(F.greatest("llr", F.lit(-MOST)), F.lit(MOST)) * STEPS).cast("int")
-    # not a filter: pushed down, it would compute the base columns anew for each of its terms
-    label = F.when(~F.col("base_failed"), F.col("_quality"))
-    bins = known.select(at.alias("bin"), label.alias("label")).groupBy("bin").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
-    return ratios, cut([tuple(r) for r in bins.collect()])
+    known = rows.filter(~F.col("base_failed") & F.col("_quality").isNotNull())
+    bins = known.groupBy(at.alias("bin")).agg(F.count_if(F.col("_quality") == 1).alias("good"), F.count_if(F.col("_quality") == 0).alias("bad"))
+    return cut([tuple(r) for r in bins.collect()])
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
     """One row per input row: doc_id, the base columns, base_failed, llr, kept. labels: doc_id, quality (0 or 1).
 
     Null and empty texts have no words and fail the base rules. Rows that repeat an identifier are scored each, with the
@@ -180,11 +171,13 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     columns, whatever their names, are not read. Without good documents the base rules alone decide. An empty table
     gives an empty result.
     """
-    ratios, threshold = fit(docs, labels, id_col, text_col, prior, sample)
     d = marked(measured(docs, id_col, text_col), labels)
-    d = base(ratios.scored(d))
-    kept = ~F.col("base_failed") & (F.lit(True) if threshold is None else F.col("llr") >= threshold)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", kept.alias("kept"))
+    rows = base(Ratios(counts(d), prior).scored(d))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr"]
+    rows = stored(rows.select(*columns, "_quality"), "quality")
+    least = threshold(rows)
+    kept = ~F.col("base_failed") & (F.lit(True) if least is None else F.col("llr") >= least)
+    return rows.select(*columns, kept.alias("kept"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import quality
 
@@ -68,6 +69,15 @@ def test_scores_and_threshold_equal_brute_force(spark):
     assert min(score(i) for i in kept) >= max((score(i) for i in passed - kept), default=-99) - 1e-4
 
 
+def test_threshold_comes_from_all_labelled_documents(spark):
+    rng = random.Random(7)
+    ids = [r["id"] for r in spark.range(5_200).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, " ".join(f"{'wort' if n < 5_000 else 'junk'}{rng.randrange(60)}" for _ in range(25)), None) for n, i in enumerate(ids)]
+    got = {r["doc_id"]: r for r in quality.scored(spark.createDataFrame(rows, SCHEMA), labels(spark, ids[:5_000], ids[5_000:])).collect()}
+    assert all(got[i]["kept"] for i in ids[:5_000] if not got[i]["base_failed"])  # without bad ones 2 percent would go
+    assert not any(got[i]["kept"] for i in ids[5_000:])
+
+
 def test_labelled_and_unlabelled_documents_are_kept_alike(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     known = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
