@@ -12,7 +12,8 @@ Signatures travel as packed blocks and are grouped by value; groups of the same
 one. A signature that more than HOT sets of one map task's block share is not sent to the task of its value: its sets
 are dealt to SALTS lists. Texts with a passage in common share many hot signatures, each held by nearly the same sets;
 signatures whose sets have the least in common, by hash, become one group, several times over. A group that is joined
-to another loses no pair, and its sets are compared once instead of under each of its signatures.
+to another loses no pair, and its sets are compared once instead of under each of its signatures. A joined group's lists
+are united before they become rows.
 
 Within a group, sets are first compared by sketch: the parities of the numbers of features in about as many slots as the
 set has features. Two sets differ in at least as many features as their sketches do in bits, so sets that link have near
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import only_kept, same, settle, ship, small, stored, trimmed
+from .common import only_kept, same, settle, ship, stored, trimmed
 from .components import SALTS, components
 
 U = np.uint64
@@ -235,7 +236,7 @@ def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reduce side, bucket by bucket.
 
     DOCS: a identifier, b hash of the text, c node, n size. GROUPS: a and b name the sets, n of them. SKETCH: c node,
-    n size, sketch. DEALT: a signature, n of its sets; a signature has several such rows.
+    n size, sketch. DEALT: a signature, n of its sets, all of the part c of SALTS; a signature has several such rows.
     """
     names = [c.split()[0] for c in GATHERED.split(", ")]
 
@@ -254,11 +255,15 @@ def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return count, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(node[at]))
 
     def hot_lists(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sig, node, cuts = distinct_pairs(sig, node)
+        sig, node, _ = distinct_pairs(sig, node)
+        salt = node % U(SALTS)
+        order = np.lexsort((salt, sig))
+        sig, node, salt = sig[order], node[order], salt[order]
+        cuts = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]), True])
         for i in range(0, len(cuts) - 1, 10_000):
             m = np.arange(i, min(i + 10_000, len(cuts) - 1))
             count, sets = lists(node, cuts, m)
-            yield rows(DEALT, len(m), a=sig[cuts[m]], n=count, sets=sets)
+            yield rows(DEALT, len(m), a=sig[cuts[m]], c=salt[cuts[m]], n=count, sets=sets)
 
     def close(parts: list, marks: list, dealt: list) -> Iterator[pa.RecordBatch]:
         if dealt:
@@ -473,22 +478,49 @@ def bitmap_of(nodes: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def unions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, salt, sets) sorted by root and salt -> the same with one list for a root and salt, unless it is long."""
+
+    def close(root: int, salt: int, held: list) -> Iterator[pa.RecordBatch]:
+        nodes = np.unique(np.concatenate(held))
+        for i in range(0, len(nodes), HELD):
+            yield pa.RecordBatch.from_arrays([pa.array([root]), pa.array([salt]), pa.array([nodes[i : i + HELD]])], ["root", "salt", "sets"])
+
+    at, held, n = None, [], 0
+    for batch in batches:
+        for root, salt, sets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if (root, salt) != at:
+                if held:
+                    yield from close(*at, held)
+                at, held, n = (root, salt), [], 0
+            held.append(np.asarray(sets.values))
+            n += len(held[-1])
+            if n > HELD:  # so that memory follows the union, not the lists
+                held, n = [np.unique(np.concatenate(held))], 0
+    if held:
+        yield from close(*at, held)
+
+
 def candidates(met: DataFrame) -> DataFrame:
     """(root, node, weight): the sets of every signature that two or more share; equal groups of sets once.
 
     Groups of hot signatures with the same least set are joined, MERGES times, each time by another hash: two groups
     meet as probably as their sets overlap. What they hold only grows, so no two sets that share a signature come apart.
+    Their sets stay in lists until the lists of a group are united, so that a set is one row under it.
     """
     groups = met.filter(F.col("kind") == GROUPS).dropDuplicates(["a", "b", "n"])
     cold = groups.select(F.xxhash64("a", "b", "n").alias("root"), F.explode("sets").alias("node"))
-    dealt = met.filter(F.col("kind") == DEALT).select(F.col("a").alias("sig"), "sets")
+    dealt = met.filter(F.col("kind") == DEALT).select(F.col("a").alias("sig"), F.col("c").alias("salt"), "sets")
     least = [F.min(F.expr(f"array_min(transform(sets, x -> xxhash64(x, {i})))")).alias(f"least{i}") for i in range(MERGES)]
     named = dealt.groupBy("sig").agg(*least).withColumn("root", F.col("least0"))
     for i in range(1, MERGES):
         named = named.withColumn("root", F.min(f"least{i}").over(Window.partitionBy("root")))
     named = settle(named.select("sig", F.xxhash64(F.lit("hot"), "root").alias("root")))
-    hot = dealt.join(small(named), "sig").select("root", F.explode("sets").alias("node")).distinct()
-    return cold.union(hot).withColumn("weight", F.lit(1))
+    partitions = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = dealt.join(named, "sig").select("root", "salt", "sets")
+    lists = lists.sortWithinPartitions("root", "salt").mapInArrow(trimmed(unions), lists.schema)  # before the exchange and after it
+    lists = lists.repartition(partitions, "root", "salt").sortWithinPartitions("root", "salt").mapInArrow(trimmed(unions), lists.schema)
+    return stored(cold.union(lists.select("root", F.explode("sets").alias("node"))).withColumn("weight", F.lit(1)), "candidates")
 
 
 def grouped(docs: DataFrame, spec: Spec, id_col: str, text_col: str, features: int = FEATURES, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from quadrille.llm import ngram_join
@@ -114,3 +115,23 @@ def test_sets_that_share_a_passage_are_compared_once_not_under_every_signature(s
     got = linked(spark.createDataFrame(rows, SCHEMA), Spec(5, 80)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, Spec(5, 80))
     assert met[0] < 4 * len(rows)
+
+
+def test_sets_of_hot_signatures_become_rows_once(spark, monkeypatch):
+    rows, seen = corpus(8, 10, 8), []
+    whole = ngram_join.trees
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    monkeypatch.setattr(ngram_join, "trees", lambda members, *more: seen.append(members) or whole(members, *more))
+    got = linked(spark.createDataFrame(rows, SCHEMA), Spec(4, 85)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, Spec(4, 85))
+    assert "Generate" not in seen[0]._jdf.queryExecution().toString()  # trees() reads its members more than once
+    assert seen[0].count() == seen[0].select("root", "node").distinct().count()
+
+
+def test_lists_of_a_group_are_united(monkeypatch):
+    monkeypatch.setattr(ngram_join, "HELD", 4)
+    lists = [(1, 0, [5, 3]), (1, 0, [3, 9, 5]), (1, 0, [11, 3, 12]), (1, 2, [7]), (4, 2, [7]), (4, 2, [7])]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("root", "salt", "sets"), r, strict=True)) for r in lists[i : i + 4]]) for i in (0, 4)]
+    got = [tuple(r.values()) for b in ngram_join.unions(batches) for r in b.to_pylist()]
+    assert got == [(1, 0, [3, 5, 9, 11]), (1, 0, [12]), (1, 2, [7]), (4, 2, [7])]
+    assert list(ngram_join.unions([])) == []
