@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, ngram_join, pii, quality, sentencepiece_lattice, token_records, toxicity, urls
+from . import bpe_trie, exact_dedup, licenses, mixing, ngram_join, pii, quality, sentencepiece_lattice, spelling, token_records, toxicity, urls, vector_codes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,5 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": lambda s, d: sentencepiece_lattice.report(table(s, d, "documents")),
     "op9_source_mix": lambda s, d: mixing.report(table(s, d, "documents")),
     "op10_url_filter": lambda s, d: urls.judge(table(s, d, "pages")),
+    "op11_spelling_variants": lambda s, d: spelling.report(table(s, d, "documents")),
+    "op12_vector_codes": lambda s, d: vector_codes.report(table(s, d, "embeddings")),
+    "op13_bpe_trie": lambda s, d: bpe_trie.report(table(s, d, "documents")),
 }
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": ngram_join.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": urls.ORACLE}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": ngram_join.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": urls.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
