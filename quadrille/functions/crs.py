@@ -147,10 +147,39 @@ def reproject_bounds(box: Sequence, from_epsg: int, to_epsg: int):
     return box_of([transform(x, y, from_epsg, to_epsg) for x, y in corners(box)])
 
 
+def affine_corners(a: Sequence, ysize, xsize) -> list[tuple]:
+    """A raster's corners under its affine (a, b, c, d, e, f; more elements are ignored)."""
+    return [(a[0] * i + a[1] * j + a[2], a[3] * i + a[4] * j + a[5]) for i, j in ((0 * xsize, 0 * ysize), (0 * xsize, ysize), (xsize, ysize), (xsize, 0 * ysize))]
+
+
 def affine_bounds(a: Sequence, ysize, xsize, from_epsg: int, to_epsg: int):
-    """The box of a raster's corners under its affine (a, b, c, d, e, f; more elements are ignored)."""
-    points = [(a[0] * i + a[1] * j + a[2], a[3] * i + a[4] * j + a[5]) for i, j in ((0 * xsize, 0 * ysize), (0 * xsize, ysize), (xsize, ysize), (xsize, 0 * ysize))]
-    return box_of([transform(x, y, from_epsg, to_epsg) for x, y in points])
+    """The box of a raster's corners under its affine."""
+    return box_of([transform(x, y, from_epsg, to_epsg) for x, y in affine_corners(a, ysize, xsize)])
+
+
+def points(pairs: Sequence[tuple[Column, Column]]) -> Column:
+    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in pairs])
+
+
+def images(pts: Column, source: Column, codes: Sequence[int], to_epsg: int) -> Column:
+    """Points of an array in another CRS. Each CRS that occurs is in the plan once, not once a point and use."""
+
+    def mapped(code: int) -> Column:
+        def one(p: Column) -> Column:
+            x, y = transform(p["x"], p["y"], code, to_epsg)
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        return F.transform(pts, one)
+
+    out = F.when(F.lit(False), pts)
+    for code in codes:
+        out = out.when(source == code, mapped(code))
+    return out
+
+
+def box_of_points(pts: Column) -> tuple[Column, Column, Column, Column]:
+    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
 def tile_bounds(z, x, y):

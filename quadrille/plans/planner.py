@@ -41,6 +41,7 @@ class Plan:
     #: The items that are left: time_idx, item_idx, id, properties.
     items: DataFrame
     bands: list[str]
+    n_times: int
 
 
 def asset_ids(rows: DataFrame, assets: Sequence[str] | AbstractSet[str] | None) -> list[str]:
@@ -64,16 +65,6 @@ def _number(text: Column, kind: str = "array<double>") -> Column:
     return F.from_json(text, kind)
 
 
-def _by_epsg(source: Column, codes: Iterable[int], f) -> list[Column]:
-    """Coordinates by a closed form for each CRS that occurs."""
-    out: list[Column | None] = [None] * 4
-    for code in codes:
-        for i, c in enumerate(f(code)):
-            hit = source == code
-            out[i] = F.when(hit, c) if out[i] is None else out[i].when(hit, c)
-    return [F.lit(None).cast("double") if c is None else c for c in out]
-
-
 def plan(
     spark: SparkSession,
     items: Any,
@@ -124,11 +115,11 @@ def plan(
     )
     a = materialised(a)
     at = F.struct("time_idx", "band_idx")
-    first = a.agg(F.min_by("epsg", F.when(F.col("epsg").isNotNull(), at)).alias("epsg"), F.collect_set("epsg").alias("codes"), F.collect_set(F.struct("scale", "offset")).alias("scales") if rescale else F.array().alias("scales")).head()
+    whole = F.lit(strict_dtype) | (F.col("scale") != F.floor("scale")) | (F.col("offset") != F.floor("offset"))
+    first = a.agg(F.min_by("epsg", F.when(F.col("epsg").isNotNull(), at)).alias("epsg"), F.collect_set("epsg").alias("codes"), F.min_by(F.struct("scale", "offset"), F.when(whole, at)).alias("odd")).head()
     out_epsg = epsg if epsg is not None else first["epsg"]
-    if rescale:
-        for s in first["scales"]:
-            check_scale(dtype, s["scale"], s["offset"], strict_dtype)
+    if rescale and first["odd"]:  # all others are whole numbers, which any type holds
+        check_scale(dtype, first["odd"]["scale"], first["odd"]["offset"], strict_dtype)
 
     checks = [("bands", (F.col("n_bands") >= 0) & (F.col("n_bands") != 1))]
     if epsg is None:
@@ -138,21 +129,26 @@ def plan(
         if bounds_latlon is not None:
             bounds = crs.reproject_bounds(bounds_latlon, 4326, out_epsg)
         codes = sorted(first["codes"])
-        own = _by_epsg(F.col("epsg"), codes, lambda c: crs.reproject_bounds([F.col("box")[i] for i in range(4)], c, out_epsg))
-        six = [F.col("af")[i] for i in range(6)]
-        by_shape = _by_epsg(F.col("epsg"), codes, lambda c: crs.affine_bounds(six, F.col("shape")[0], F.col("shape")[1], c, out_epsg))
-        pixel = _by_epsg(F.col("epsg"), codes, lambda c: crs.affine_bounds(six, F.lit(1.0), F.lit(1.0), c, out_epsg))
-        lonlat = crs.reproject_bounds([F.col("lonlat")[i] for i in range(4)], 4326, out_epsg)
-        use_box = F.col("box").isNotNull() & F.col("epsg").isNotNull() & F.col("as_item")
-        use_shape = F.col("af").isNotNull() & F.col("shape").isNotNull() & F.col("epsg").isNotNull()
-        for name, x, y, z in zip(("minx", "miny", "maxx", "maxy"), own, by_shape, lonlat, strict=True):
-            a = a.withColumn(name, F.when(use_box, x).when(use_shape, y).when(F.col("lonlat").isNotNull(), z))
-        same = F.col("epsg") == out_epsg
-        has_af = F.col("af").isNotNull() & F.col("epsg").isNotNull()
+        six, known = [F.col("af")[i] for i in range(6)], F.col("epsg").isNotNull()
+        same, has_af = F.col("epsg") == out_epsg, F.col("af").isNotNull() & known
+        box_of = lambda c: crs.points(crs.corners([F.col(c)[i] for i in range(4)]))
+        one = F.lit(1.0)
+        corners, origin = metadata.first_known(
+            [
+                ("proj:bbox", F.when(F.col("box").isNotNull() & known & F.col("as_item"), box_of("box"))),
+                ("proj:transform", F.when(has_af & F.col("shape").isNotNull(), crs.points(crs.affine_corners(six, F.col("shape")[0], F.col("shape")[1])))),
+                ("bbox", F.when(F.col("lonlat").isNotNull(), box_of("lonlat"))),
+            ]
+        )
+        source = F.when(origin == "bbox", 4326).otherwise(F.col("epsg"))
+        a = a.withColumn("corners", crs.images(corners, source, sorted({*codes, 4326}), out_epsg))
+        a = a.withColumn("pixel", F.when(has_af & ~same, crs.images(crs.points(crs.affine_corners(six, one, one)), F.col("epsg"), codes, out_epsg)))
+        a = materialised(a)  # so that nothing is projected again by what follows
+        a = a.withColumns(dict(zip(("minx", "miny", "maxx", "maxy"), crs.box_of_points(F.col("corners")), strict=True)))
+        pixel = crs.box_of_points(F.col("pixel"))
         res_x = F.when(has_af & same, F.abs(six[0])).when(has_af, pixel[2] - pixel[0]).otherwise((F.col("maxx") - F.col("minx")) / F.col("shape")[1])
         res_y = F.when(has_af & same, F.abs(six[4])).when(has_af, pixel[3] - pixel[1]).otherwise((F.col("maxy") - F.col("miny")) / F.col("shape")[0])
         a = a.withColumn("res_x", res_x).withColumn("res_y", res_y)
-        a = materialised(a)
         if resolution is None:
             straight = ((six[1] == 0) & (six[3] == 0)) | ((six[0] == 0) & (six[4] == 0))
             checks += [("rectilinear", has_af & same & ~straight), ("resolution", F.col("res_x").isNull() | F.col("res_y").isNull())]
@@ -194,12 +190,14 @@ def message(what: str, e, out_epsg) -> str:
 
 
 def _pruned(rows: DataFrame, cells: DataFrame, spec: GridSpec, names: list[str], rescale: bool) -> Plan:
-    """Drops items and assets without any cell and numbers the others without gaps."""
-    left = {r[0] for r in cells.select("band").distinct().collect()}  # asset names
-    bands = [n for n in names if n in left]
+    """Drops items and assets without any cell. Only if items go, the others are numbered anew, without gaps."""
+    left = cells.agg(F.collect_set("band").alias("bands"), F.count_distinct("time_idx").alias("n")).head()  # asset names
+    bands = [n for n in names if n in left["bands"]]
     order = F.array_position(F.array(*map(F.lit, bands or [""])), F.col("band")).cast("int") - 1
-    cells = metadata.reindex(cells.withColumnRenamed("time_idx", "_t").drop("band_idx"), "_t", "time_idx").withColumn("band_idx", order)
+    cells = cells.withColumn("band_idx", order)
+    if left["n"] < rows.count():
+        cells = metadata.reindex(cells.withColumnRenamed("time_idx", "_t"), "_t", "time_idx")
+        rows = rows.drop("time_idx").join(cells.select("item_idx", "time_idx").distinct(), "item_idx")
     keep = ["time_idx", "band_idx", "item_idx", "id", "band", "url", "minx", "miny", "maxx", "maxy"]
     one, zero = (F.col("scale"), F.col("offset")) if rescale else (F.lit(1.0), F.lit(0.0))
-    items = rows.drop("time_idx").join(cells.select("item_idx", "time_idx").distinct(), "item_idx")
-    return Plan(spec, cells.select(*keep, one.alias("scale"), zero.alias("offset")), items.select("time_idx", "item_idx", "id", "properties", "assets"), bands)
+    return Plan(spec, cells.select(*keep, one.alias("scale"), zero.alias("offset")), rows.select("time_idx", "item_idx", "id", "properties", "assets"), bands, left["n"])
