@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from collections.abc import Set as AbstractSet
 from dataclasses import dataclass, replace
@@ -24,11 +25,65 @@ NO_DEFAULT = object()
 CHUNK_ROWS = 8
 
 
+#: Labels of so many items are broadcast; those of more are joined by a shuffle.
+BROADCAST_ITEMS = 500_000
+#: Pixels in a batch that a task hands on.
+BATCH = 1 << 16
+#: Rasters of these kinds have no reader here.
+NO_READER = r"(?i)\.(jp2|j2k|jpx|jpf)(\?.*)?$"
+
+
+@dataclass(frozen=True)
+class Scan:
+    """What is to be read: cells (one row an asset, with its window on the grid), and the part of the grid that is wanted.
+
+    Selections narrow the cells and the part before any raster is opened.
+    """
+
+    cells: DataFrame
+    spec: GridSpec
+    chunk: tuple[int, int]
+    reader: readers.Reader
+    options: env.LayeredOptions
+    missing: tuple
+    resampling: str
+    dtype: str
+    #: First row and column of the part, and those behind its last.
+    part: tuple[int, int, int, int]
+
+    def of_items(self, time_dim: DataFrame) -> Scan:
+        return replace(self, cells=self.cells.join(time_dim.select("time_idx"), "time_idx", "left_semi"))
+
+    def of_bands(self, numbers: Sequence[int]) -> Scan:
+        return replace(self, cells=self.cells.filter(F.col("band_idx").isin(list(numbers))))
+
+    def cut(self, y0: int, x0: int, y1: int, x1: int) -> Scan:
+        """A part of this part."""
+        top, left = self.part[:2]
+        return replace(self, part=(top + y0, left + x0, top + y1, left + x1))
+
+    def work(self) -> DataFrame:
+        """A row for each chunk of the part that an asset shares area with."""
+        y0, x0, y1, x1 = self.part
+        right, bottom = F.least(F.col("col_off") + F.col("w"), F.lit(float(x1))), F.least(F.col("row_off") + F.col("h"), F.lit(float(y1)))
+        left, top = F.greatest("col_off", F.lit(float(x0))), F.greatest("row_off", F.lit(float(y0)))
+        d = self.cells.withColumn("w", right - left).withColumn("h", bottom - top).withColumn("col_off", left).withColumn("row_off", top)
+        d = joins.chunks_of(d, self.spec.shape, self.chunk)
+        # a raster is opened once for so many rows of its chunks, not by one task for all of a large one
+        return d.repartition("url", F.floor(F.col("cy") / CHUNK_ROWS)).sortWithinPartitions("url", "cy", "cx")
+
+    def pixels(self) -> DataFrame:
+        return scan(self)
+
+
 @dataclass
 class Stack:
-    """pixels: time_idx, band_idx, iy, ix, v; a missing pixel has no row or NULL. The tables are small."""
+    """pixels: time_idx, band_idx, iy, ix, v; a missing pixel has no row or NULL. The tables are small.
+
+    A stack of items holds a scan instead of pixels, and what is selected from it isn't read.
+    """
 
-    pixels: DataFrame
+    source: DataFrame | Scan
     time_dim: DataFrame
     band_dim: DataFrame
     spec: GridSpec
@@ -37,6 +92,10 @@ class Stack:
     chunks: tuple = ()
     fill_value: Any = float("nan")
 
+    @functools.cached_property
+    def pixels(self) -> DataFrame:
+        return self.source.pixels() if isinstance(self.source, Scan) else self.source
+
     @property
     def attrs(self) -> dict:
         return self.spec.attrs()
@@ -53,7 +112,8 @@ class Stack:
 
     def labelled(self) -> DataFrame:
         """With time, id, band, y and x for the indices."""
-        out = self.pixels.join(self.time_dim.select("time_idx", "time", "id"), "time_idx").join(F.broadcast(self.band_dim.select("band_idx", "band")), "band_idx")
+        labels = self.time_dim.select("time_idx", "time", "id")
+        out = self.pixels.join(F.broadcast(labels) if self.shape[0] <= BROADCAST_ITEMS else labels, "time_idx").join(F.broadcast(self.band_dim.select("band_idx", "band")), "band_idx")
         if self.xy_coords:
             x, y = self.spec.xy(F.col("iy"), F.col("ix"), self.xy_coords)
             out = out.withColumn("y", y).withColumn("x", x)
@@ -61,17 +121,18 @@ class Stack:
 
     def sel(self, band: str | Sequence[str] | None = None, time: tuple[str | None, str | None] | None = None, where: Column | str | None = None) -> Stack:
         """By band names, a range of period labels, and a condition on item properties."""
-        t, b = self.time_dim, self.band_dim
+        t, b, source = self.time_dim, self.band_dim, self.source
         if band is not None:
             b = b.filter(F.col("band").isin([band] if isinstance(band, str) else list(band)))
+            numbers = [r[0] for r in b.select("band_idx").collect()]  # names of bands
+            source = source.of_bands(numbers) if isinstance(source, Scan) else source.filter(F.col("band_idx").isin(numbers))
         if time is not None:
             t = select.between(t, *time, col="time")
         if where is not None:
             t = t.filter(where)
-        px = self.pixels
-        px = px if t is self.time_dim else px.join(t.select("time_idx"), "time_idx", "left_semi")
-        px = px if b is self.band_dim else px.join(F.broadcast(b.select("band_idx")), "band_idx", "left_semi")
-        return replace(self, pixels=px, time_dim=t, band_dim=b)
+        if t is not self.time_dim:
+            source = source.of_items(t) if isinstance(source, Scan) else source.join(t.select("time_idx"), "time_idx", "left_semi")
+        return replace(self, source=source, time_dim=t, band_dim=b)
 
     def box(self, x: tuple[float, float], y: tuple[float, float]) -> Stack:
         """The pixels whose labels lie in both ranges, on a grid of their own."""
@@ -84,12 +145,15 @@ class Stack:
         i0, k0, i1, k1 = max(0, i0), max(0, k0), min(width - 1, i1), min(height - 1, k1)
         if i0 > i1 or k0 > k1:
             raise ValueError(f"no pixel lies in x {x}, y {y}")
-        px = self.pixels.filter(F.col("ix").between(i0, i1) & F.col("iy").between(k0, k1)).withColumn("ix", F.col("ix") - i0).withColumn("iy", F.col("iy") - k0)
+        if isinstance(self.source, Scan):
+            px = self.source.cut(k0, i0, k1 + 1, i1 + 1)
+        else:
+            px = self.pixels.filter(F.col("ix").between(i0, i1) & F.col("iy").between(k0, k1)).withColumn("ix", F.col("ix") - i0).withColumn("iy", F.col("iy") - k0)
         spec = GridSpec(self.spec.epsg, (a + i0 * sx, d - (k1 + 1) * sy, a + (i1 + 1) * sx, d - k0 * sy), (sx, sy))
-        return replace(self, pixels=px, spec=spec, shape=(*self.shape[:2], *spec.shape))
+        return replace(self, source=px, spec=spec, shape=(*self.shape[:2], *spec.shape))
 
     def where(self, condition: Column) -> Stack:
-        return replace(self, pixels=select.where(self.pixels, condition))
+        return replace(self, source=select.where(self.pixels, condition))
 
     def mosaic(self, dim: str = "time", reverse: bool = False, nodata: Any = float("nan")) -> DataFrame:
         order = {"time": "time_idx", "band": "band_idx"}[dim]
@@ -114,7 +178,7 @@ class Stack:
         if spec == self.spec:
             return self
         px = warp.reproject(self.pixels, self.spec, spec, self.layers(), interpolation=interpolation, fill=fill)
-        return replace(self, pixels=px, spec=spec, shape=(*self.shape[:2], *spec.shape))
+        return replace(self, source=px, spec=spec, shape=(*self.shape[:2], *spec.shape))
 
     def xyz_tile(self, x: int, y: int, z: int, interpolation: str = "linear", tilesize: int = 256) -> DataFrame | None:
         return warp.xyz_tile(self.pixels, self.spec, x, y, z, self.layers(), interpolation=interpolation, tilesize=tilesize)
@@ -152,6 +216,8 @@ AREA = {
     "mode": most_common,
 }
 RESAMPLINGS = ("nearest", *KERNELS, *AREA)
+#: Pixels that are read around what the output covers: kernels reach no further.
+MARGIN = 3
 
 
 def interpolated(data: np.ndarray, fx: np.ndarray, fy: np.ndarray, resampling: str) -> np.ndarray:
@@ -171,59 +237,93 @@ def interpolated(data: np.ndarray, fx: np.ndarray, fy: np.ndarray, resampling: s
     return np.where(np.abs(weights) > 1e-12, total / np.where(np.abs(weights) > 1e-12, weights, 1), np.nan)
 
 
-def warp_block(raster: readers.Raster, spec: GridSpec, iy: np.ndarray, ix: np.ndarray, box: Bbox, resampling: str) -> np.ndarray:
+def warp_block(raster: readers.Dataset, spec: GridSpec, iy: np.ndarray, ix: np.ndarray, box: Bbox, resampling: str) -> np.ndarray:
     """Values of output pixels: their centres are mapped to the raster, which without a transform fills its box.
 
-    Those in AREA take the source pixels at a square of places in each pixel, as many on a side as it has source pixels.
+    Those in AREA take the source pixels at a square of places in each pixel, as many on a side as it has source pixels. A
+    raster with overviews is read at the coarsest one that is as fine as the output, and only where output pixels lie.
     """
-    data = raster.values
-    h, w = data.shape
-    t = raster.transform or ((box[2] - box[0]) / w, 0.0, box[0], 0.0, -(box[3] - box[1]) / h, box[3])
-    det = t[0] * t[4] - t[1] * t[3]
+    if resampling not in RESAMPLINGS:
+        raise NotImplementedError(f"resampling {resampling!r} is not one of {', '.join(RESAMPLINGS)}")
+    out = np.full(len(ix), np.nan)
+    if not len(ix):
+        return out
     xres, yres = spec.resolutions_xy
 
-    def place(dx: float, dy: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def place(of: readers.Dataset, dx: float, dy: float) -> tuple[np.ndarray, np.ndarray]:
+        h, w = of.shape
+        t = of.transform or ((box[2] - box[0]) / w, 0.0, box[0], 0.0, -(box[3] - box[1]) / h, box[3])
+        det = t[0] * t[4] - t[1] * t[3]
         x, y = spec.bounds[0] + (ix + dx) * xres, spec.bounds[3] - (iy + dy) * yres
         if raster.epsg and raster.epsg != spec.epsg:
             x, y = crs.transform(x, y, spec.epsg, raster.epsg)
-        fx = (t[4] * (x - t[2]) - t[1] * (y - t[5])) / det
-        fy = (-t[3] * (x - t[2]) + t[0] * (y - t[5])) / det
-        return fx, fy, (fx >= 0) & (fx < w) & (fy >= 0) & (fy < h)
+        return (t[4] * (x - t[2]) - t[1] * (y - t[5])) / det, (-t[3] * (x - t[2]) + t[0] * (y - t[5])) / det
+
+    def step(of: readers.Dataset) -> float:
+        """Source pixels that an output pixel has on a side."""
+        (x0, y0), (x1, y1) = place(of, 0.0, 0.0), place(of, 1.0, 1.0)
+        return float(np.median(np.maximum(np.abs(x1 - x0), np.abs(y1 - y0))))
+
+    level = raster.at(step(raster))
+    h, w = level.shape
+    ends = [place(level, dx, dy) for dx in (0.0, 1.0) for dy in (0.0, 1.0)]
+    low, high = (np.array([f([e[k] for e in ends]) for k in (1, 0)]) for f in (np.min, np.max))
+    y0, x0 = np.clip(np.floor(low).astype(int) - MARGIN, 0, (h, w))
+    y1, x1 = np.clip(np.ceil(high).astype(int) + MARGIN, 0, (h, w))
+    if y0 >= y1 or x0 >= x1:
+        return out
+    data = level.block(y0, y1, x0, x1)
 
     def nearest(dx: float, dy: float) -> np.ndarray:
-        fx, fy, inside = place(dx, dy)
+        fx, fy = place(level, dx, dy)
+        inside = (fx >= 0) & (fx < w) & (fy >= 0) & (fy < h)
         out = np.full(len(fx), np.nan)
-        out[inside] = data[np.floor(fy[inside]).astype(int), np.floor(fx[inside]).astype(int)]
+        out[inside] = data[np.floor(fy[inside]).astype(int) - y0, np.floor(fx[inside]).astype(int) - x0]
         return out
 
     if resampling == "nearest":
         return nearest(0.5, 0.5)
     if resampling in KERNELS:
-        fx, fy, inside = place(0.5, 0.5)
-        out = np.full(len(fx), np.nan)
-        out[inside] = interpolated(data, fx[inside], fy[inside], resampling)
+        fx, fy = place(level, 0.5, 0.5)
+        inside = (fx >= 0) & (fx < w) & (fy >= 0) & (fy < h)
+        out[inside] = interpolated(data, fx[inside] - x0, fy[inside] - y0, resampling)
         return out
-    if resampling not in AREA:
-        raise NotImplementedError(f"resampling {resampling!r} is not one of {', '.join(RESAMPLINGS)}")
-    if not len(ix):
-        return np.empty(0)
-    (x0, y0, _), (x1, y1, _) = place(0.0, 0.0), place(1.0, 1.0)
-    n = max(1, round(float(np.median(np.maximum(np.abs(x1 - x0), np.abs(y1 - y0))))))
+    n = max(1, round(step(level)))
     spread = (np.arange(n) + 0.5) / n
     values_ = np.stack([nearest(dx, dy) for dy in spread for dx in spread])
-    out, some = np.full(len(ix), np.nan), ~np.isnan(values_).all(0)
+    some = ~np.isnan(values_).all(0)
     if some.any():
         out[some] = AREA[resampling](values_[:, some])
     return out
 
 
-def scan(work: DataFrame, spec: GridSpec, chunk: tuple[int, int], reader, options: env.LayeredOptions, missing, resampling: str) -> DataFrame:
-    """Rows (cell, cy, cx), sorted by url within a partition so that a raster is opened once -> pixels."""
-    height, width = spec.shape
-    ch, cw = chunk
+def scan(s: Scan) -> DataFrame:
+    """Pixels of the scan's part. Tasks get rows (cell, cy, cx), sorted by url, so that a raster is opened once."""
+    spec, (ch, cw), (top, left, bottom, right) = s.spec, s.chunk, s.part
+    reader, options, missing, resampling = s.reader, s.options, s.missing, s.resampling
+    names = ["time_idx", "band_idx", "iy", "ix", "v"]
+
+    def pixels_of(r: dict, raster: readers.Dataset) -> list[np.ndarray]:
+        y0, x0 = max(top, r["cy"] * ch), max(left, r["cx"] * cw)
+        y1, x1 = min(bottom, (r["cy"] + 1) * ch), min(right, (r["cx"] + 1) * cw)
+        if not raster.epsg or raster.epsg == spec.epsg:  # else the box is only that of the projected corners
+            y0, y1 = max(y0, int(r["row_off"]) - 1), min(y1, int(r["row_off"] + r["h"]) + 2)
+            x0, x1 = max(x0, int(r["col_off"]) - 1), min(x1, int(r["col_off"] + r["w"]) + 2)
+        iy, ix = (v.ravel() for v in np.mgrid[y0:y1, x0:x1])
+        v = warp_block(raster, spec, iy, ix, (r["minx"], r["miny"], r["maxx"], r["maxy"]), resampling)
+        ok = ~np.isnan(v)
+        n = int(ok.sum())
+        return [np.full(n, r["time_idx"], np.int32), np.full(n, r["band_idx"], np.int32), (iy[ok] - top).astype(np.int32), (ix[ok] - left).astype(np.int32), v[ok] * r["scale"] + r["offset"]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, raster = None, None
+        last, raster, n = None, None, 0
+        held: list[list[np.ndarray]] = []
+
+        def gathered() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+            held.clear()
+            return out
+
         for batch in batches:
             for r in batch.to_pylist():
                 if r["url"] != last:
@@ -235,21 +335,22 @@ def scan(work: DataFrame, spec: GridSpec, chunk: tuple[int, int], reader, option
                         raster = None
                 if raster is None:
                     continue
-                y0, x0 = r["cy"] * ch, r["cx"] * cw
-                y1, x1 = min(height, y0 + ch), min(width, x0 + cw)
-                if not raster.epsg or raster.epsg == spec.epsg:  # else the box is only that of the projected corners
-                    y0, y1 = max(y0, int(r["row_off"]) - 1), min(y1, int(r["row_off"] + r["h"]) + 2)
-                    x0, x1 = max(x0, int(r["col_off"]) - 1), min(x1, int(r["col_off"] + r["w"]) + 2)
-                iy, ix = (v.ravel() for v in np.mgrid[y0:y1, x0:x1])
-                v = warp_block(raster, spec, iy, ix, (r["minx"], r["miny"], r["maxx"], r["maxy"]), resampling)
-                ok = ~np.isnan(v)
-                n = int(ok.sum())
-                if n:
-                    cols = [np.full(n, r["time_idx"], np.int32), np.full(n, r["band_idx"], np.int32), iy[ok].astype(np.int32), ix[ok].astype(np.int32), v[ok] * r["scale"] + r["offset"]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["time_idx", "band_idx", "iy", "ix", "v"])
-
-    ship(work.sparkSession)
-    return work.mapInArrow(run, "time_idx int, band_idx int, iy int, ix int, v double")
+                try:
+                    held.append(pixels_of(r, raster))
+                except Exception as e:
+                    env.tolerated(e, missing, last, "reading")
+                    continue
+                n += len(held[-1][0])
+                if n >= BATCH:
+                    yield gathered()
+                    n = 0
+        if n:
+            yield gathered()
+
+    ship(s.cells.sparkSession)
+    work = s.work().select("time_idx", "band_idx", "url", "minx", "miny", "maxx", "maxy", "scale", "offset", "col_off", "row_off", "w", "h", "cy", "cx")
+    px = work.mapInArrow(run, "time_idx int, band_idx int, iy int, ix int, v double")
+    return px.withColumn("v", F.col("v").cast(s.dtype))
 
 
 def dims(items: DataFrame, properties: bool | str | Sequence[str] | None, bands: Sequence[str], band_coords: bool, epsg: int, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -303,23 +404,22 @@ def stack(
 ) -> Stack:
     """A lazy stack of the items' single-band assets on a common grid; no raster is read before an action."""
     values.check_fill(dtype, fill_value, strict_dtype)
+    if resampling not in RESAMPLINGS:
+        raise NotImplementedError(f"resampling {resampling!r} is not one of {', '.join(RESAMPLINGS)}")
     if xy_coords is not False:
         check_anchor(xy_coords)
     p = plan(spark, items, assets, epsg, resolution, bounds, bounds_latlon, snap_bounds, rescale, dtype, sortby_date, strict_dtype)
     height, width = p.spec.shape
-    n_times = p.items.count()
-    shape = (n_times, len(p.bands), height, width)
+    if reader is readers.pick:
+        closed = p.cells.filter(F.col("url").rlike(NO_READER)).select("url").head()
+        if closed:
+            raise NotImplementedError(f"{closed[0]!r}: there is no reader for JPEG 2000; give one, or choose other assets")
+    shape = (p.n_times, len(p.bands), height, width)
     chunks = chunking.normalize(chunksize, shape, dtype)
-    chunk = (max(chunks[2]), max(chunks[3]))
     box = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
     xres, yres = p.spec.resolutions_xy
-    w = p.cells.select("*", *[c.alias(n) for c, n in zip(window_of(box, p.spec.bounds[0], p.spec.bounds[3], xres, yres), ("col_off", "row_off", "w", "h"), strict=True)])
-    work = joins.chunks_of(w, (height, width), chunk)
-    work = work.select("time_idx", "band_idx", "url", "minx", "miny", "maxx", "maxy", "scale", "offset", "col_off", "row_off", "w", "h", "cy", "cx")
-    # a raster is opened once for so many rows of its chunks, not by one task for all of a large one
-    work = work.repartition("url", F.floor(F.col("cy") / CHUNK_ROWS)).sortWithinPartitions("url")
+    cells = p.cells.select("*", *[c.alias(n) for c, n in zip(window_of(box, p.spec.bounds[0], p.spec.bounds[3], xres, yres), ("col_off", "row_off", "w", "h"), strict=True)])
     options = gdal_env if isinstance(gdal_env, env.LayeredOptions) else env.LayeredOptions(always=gdal_env or {})
-    px = scan(work, p.spec, chunk, reader, options, tuple(errors_as_nodata), resampling)
-    px = px.withColumn("v", F.col("v").cast(values.spark_type(dtype)))
+    part = Scan(cells, p.spec, (max(chunks[2]), max(chunks[3])), reader, options, tuple(errors_as_nodata), resampling, values.spark_type(dtype), (0, 0, height, width))
     t, b = dims(p.items, properties, p.bands, band_coords, p.spec.epsg, spark)
-    return Stack(px, t, b, p.spec, xy_coords, shape, chunks, fill_value)
+    return Stack(part, t, b, p.spec, xy_coords, shape, chunks, fill_value)

@@ -65,6 +65,15 @@ def stack_weekly_mean_of_clear_items(s, d):
     return box.resample("1w", "mean", by=["band"]).withColumn("v", F.round("v", 9))
 
 
+@query(f"WITH {IT} SELECT time_idx, band_idx, iy - 4 AS iy, ix - 6 AS ix, v FROM spx WHERE band_idx = 0 AND c % 100 < 60 AND dt >= '1994-01-01' AND dt < '1996-07-01' AND iy BETWEEN 4 AND 23 AND ix BETWEEN 6 AND 25")
+def stack_selection(s, d):
+    """A band, a range of months, clear items and a box: only the rasters that hold such pixels are opened."""
+    st = stacked(s, d)
+    a, top = st.spec.bounds[0], st.spec.bounds[3]
+    box = st.box(x=(a + 6 * SIDE / 2, a + 25 * SIDE / 2), y=(top - 4 * SIDE / 2, top - 23 * SIDE / 2))
+    return box.sel(band="B1", time=("1994-01", "1996-06"), where="CAST(`eo:cloud_cover` AS DOUBLE) < 60").pixels
+
+
 @query(f"WITH {IT} SELECT time_idx, dt::TIMESTAMP AS time, k::VARCHAR AS id, (c % 100)::VARCHAR AS cloud FROM it")
 def stack_time_labels(s, d):
     return stacked(s, d).time_dim.select("time_idx", "time", "id", F.col("eo:cloud_cover").alias("cloud"))

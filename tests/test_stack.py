@@ -74,6 +74,61 @@ def test_planning_opens_nothing_and_each_raster_is_opened_once(spark, tmp_path):
     assert len(urls) == len(set(urls)) == 6
 
 
+def counting(log):
+    def reader(url, options):
+        import os
+        import uuid
+
+        with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+            f.write(url)
+        return readers.constant(url, options)
+
+    return reader
+
+
+def test_selections_open_only_what_they_need(spark, tmp_path):
+    items = [item(i, f"2020-01-{i + 1:02}T00:00:00Z", 400000 + 200 * (i % 5), 3900000 + 200 * (i // 5), 1.0 + i) for i in range(20)]
+    opened = lambda d: sorted(p.read_text() for p in d.iterdir())
+
+    def run(name, pick):
+        (d := tmp_path / name).mkdir()
+        got = pick(stack(spark, items, reader=counting(str(d)), chunksize=64)).pixels
+        return {(r["time_idx"], r["band_idx"], r["iy"], r["ix"]): r["v"] for r in got.collect()}, opened(d)
+
+    rows, urls = run("box", lambda s: s.sel(band="red").box(x=(400210, 400250), y=(3900290, 3900240)))
+    assert urls == ["const://10/10/7.0"] and rows == {(6, 0, k, i): 7.0 for k in range(6) for i in range(5)}
+    rows, urls = run("day", lambda s: s.sel(time=("2020-01-04", "2020-01-04")))
+    assert urls == ["const://10/10/4.0", "const://10/10/8.0"] and len(rows) == 200
+    rows, urls = run("clear", lambda s: s.sel(band="nir", where="CAST(`eo:cloud_cover` AS INT) BETWEEN 20 AND 30"))
+    assert urls == ["const://10/10/6.0", "const://10/10/8.0"] and len(rows) == 200
+    rows, urls = run("twice", lambda s: s.box(x=(400000, 400390), y=(3900390, 3900000)).sel(band=["red"]).box(x=(400200, 400290), y=(3900090, 3900000)))
+    assert urls == ["const://10/10/2.0"] and {k[2:] for k in rows} == {(k, i) for k in range(9) for i in range(10)}
+    rows, urls = run("none", lambda s: s.sel(where="CAST(`eo:cloud_cover` AS INT) > 900"))
+    assert urls == [] and rows == {}
+
+
+def test_planning_compiles(spark):
+    items = [item(0, "2020-01-01T00:00:00Z", 400000, 3900000, 1.0), item(1, "2020-01-02T00:00:00Z", 500000, 4000000, 1.0, epsg=32614)]
+    for k, v in (only := {"spark.sql.codegen.fallback": "false", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY"}).items():
+        spark.conf.set(k, v)
+    try:
+        p = plan(spark, items, epsg=3857, resolution=100)
+        assert p.cells.count() == 4 and p.n_times == 2
+        assert stack(spark, items, epsg=32613).pixels.count() > 0
+    finally:
+        for k in only:
+            spark.conf.unset(k)
+
+
+def test_what_no_reader_reads_is_refused_when_planning(spark):
+    items = change(lambda i: i[1]["assets"]["nir"].update({"href": "s3://x/B08.JP2?sig=1"}))
+    with pytest.raises(NotImplementedError, match="JPEG 2000"):
+        stack(spark, items)
+    assert stack(spark, items, reader=readers.constant).shape == (3, 2, 15, 15)
+    with pytest.raises(NotImplementedError, match="gauss"):
+        stack(spark, ITEMS, resampling="gauss")
+
+
 def test_bounds_drop_assets_but_not_their_resolution(spark):
     far = item(3, "2020-02-01T00:00:00Z", 500000, 3900000, 9.0, n=10, res=5.0)
     s = stack(spark, [*ITEMS, far], bounds=(400000, 3900000, 400100, 3900100))
