@@ -11,7 +11,7 @@ from ..functions import crs, grid, media, metadata, values
 from ..functions.grid import GridSpec
 from ..operators import coords, joins, mosaic, reduce, render, select, show, warp
 from ..sources import items as sources
-from .views import AS, BL, PX, SC, SIDE, assets, blocks, pixels, scenes
+from .views import AS, BL, PX, SC, SIDE, assets, blocks, pixels, scenes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,6 +410,26 @@ def block_mosaic(s, d):
     return joins.explode_blocks(mosaic.mosaic_blocks(b, ["band"], "time_idx"), 8).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
+@query("WITH cell AS (SELECT s_nationkey AS band, s_suppkey AS k, p, ((s_suppkey * 7 + p * 13) % 1000)::DOUBLE AS v FROM supplier, range(65536) AS t(p) WHERE (s_suppkey + p) % 3 <> 0 AND s_suppkey % 17 <> 3), top AS (SELECT band, p, arg_max(v, k) AS v FROM cell GROUP BY ALL) SELECT band, count(*) AS n_valid, sum(v) AS total, sum(v * (p % 97)) AS weighed FROM top GROUP BY band")
+def block_mosaic_256(s, d):
+    """Blocks of 256 x 256 pixels, one a supplier and a third of it missing; digests of the mosaics' values and places."""
+    every = F.sequence(F.lit(0), F.lit(256 * 256 - 1))
+    valid = (F.col("s_suppkey") % 17 != 3)
+    data = F.transform(every, lambda p: F.when(((F.col("s_suppkey") + p) % 3 != 0) & valid, ((F.col("s_suppkey") * 7 + p * 13) % 1000).cast("double")))
+    blocks_ = table(s, d, "supplier").select(F.col("s_nationkey").alias("band"), F.col("s_suppkey").alias("k"), data.alias("data"))
+    px = mosaic.mosaic_blocks(blocks_, ["band"], "k").select("band", F.posexplode("data").alias("p", "v")).filter("v IS NOT NULL")
+    return px.groupBy("band").agg(F.count(F.lit(1)).alias("n_valid"), F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("p") % 97)).alias("weighed"))
+
+
+@query(f"WITH {PX} SELECT band, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.98) AS p98 FROM px GROUP BY band")
+def band_quantiles(s, d):
+    """Exact quantiles of whole bands, by distributed selection."""
+    q = reduce.quantiles(pixels(s, d), [0.25, 0.5, 0.98], ["band"])
+    of = lambda x: F.max(F.when(F.col("q") == x, F.col("v")))
+    return q.groupBy("band").agg(of(0.25).alias("q1"), of(0.5).alias("median"), of(0.98).alias("p98"))
+
+
+
 # --- resampling ----------------------------------------------------------------------------------------------------
 
 SOURCE = GridSpec(32613, (400000.0, 3900000.0, 400000.0 + 320.0, 3900000.0 + 320.0), (10.0, 10.0))
