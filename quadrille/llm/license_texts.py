@@ -1,6 +1,7 @@
 """Public licence texts and notices, with the phrases that a copy must hold. Fixed values, as published by their authors.
 
-A text is what follows the copyright line. label: (text, mandatory key phrases in the order in which they stand). Case and
+A text is what follows the copyright line. label: (text, mandatory key phrases in the order in which they stand); what follows
+a slash in a label tells texts of the same label apart. Case and
 punctuation don't count; a phrase is given in words as they are after both are dropped.
 """
 
@@ -81,6 +82,8 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
         ("the gnu general public license as published by the free software foundation", "version 2 of the license"),
     ),
     "gpl-2.0-notice": ("licensed under the GNU General Public License, version 2", ("gnu general public license version 2",)),
+    "gpl-3.0-notice/of": ("under the terms of version 3 of the GNU General Public License", ("version 3 of the gnu general public license",)),
+    "gpl-2.0-notice/of": ("under the terms of version 2 of the GNU General Public License", ("version 2 of the gnu general public license",)),
     "lgpl": (
         """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
 License as published by the Free Software Foundation""",
@@ -110,3 +113,12 @@ non-commercial, and by any means.""",
     "cc-by-nd": ("licensed under CC BY-ND 4.0", ("cc by nd",)),
     "cc-by-name": ("licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution",)),
 }
+#: Short identifiers that may follow SPDX_HEAD, and words that join them. Fixed values of a public list, the frequent ones.
+SPDX_HEAD = "SPDX-License-Identifier"
+SPDX_JOINED = ("or", "and", "with")
+SPDX_IDS = """0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause
+BSL-1.0 BUSL-1.1 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0
+ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC
+LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LLVM-exception
+LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 Unicode-3.0
+Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()

@@ -1,18 +1,18 @@
 """Licence scan by a positional index of rare licence words.
 
 Words are runs of letters and digits after A-Z are lower-cased. Base phrases are counted wherever their words stand
-consecutively. Licence texts and notices are found by position. A template's mandatory key phrases must all be there; so
-of the licence words that a file holds, those of highest IDF in the corpus that belong to a phrase are looked up: each of
-the file's postings of such a word says where the phrase would begin, and the postings of RARE words are intersected by
-that place, the rarest first. What is left is verified word for word. The phrases' places then are intersected in turn:
-each says where the template would begin, and these places may differ by SLACK words (a name that was filled in, a
-list number). The template's other words are compared at their places behind the last phrase before them, by IDF weight.
-IDF counts come from all documents.
+consecutively. Licence texts and notices are found by position. A template's mandatory key phrases must all be there, and
+each phrase is filed under its word of highest IDF in the corpus. A file's licence words are looked up there, the rarest
+first: each of the file's postings of such a word says where the phrase would begin, and the postings of RARE words of the
+phrase are intersected by that place. What is left is verified word for word. A template's phrases then must follow each
+other, SLACK words nearer or farther than in the template at most. The words between them, before the first and after the
+last are aligned: words of the template that stand in the file in the same order count by their IDF weight, so words that
+were put in, left out or changed cost themselves only. Of several places for a phrase the best is taken. Lines with an SPDX
+identifier are read as such. IDF counts come from all documents.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .common import ship
-from .license_texts import TEMPLATES
+from .license_texts import SPDX_HEAD, SPDX_IDS, SPDX_JOINED, TEMPLATES
 
 #: Fixed values of the contract: phrase and label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Share of a template's IDF weight that must stand at its place.
+#: Share of a template's IDF weight that must stand in the file, in the template's order.
 MIN_SCORE = 0.5
-#: Words of a phrase whose postings are intersected, and words by which the places of a template's phrases may differ.
-RARE, SLACK = 3, 12
+#: Words of a phrase whose postings are intersected.
+RARE = 3
+#: Words by which the distance of two phrases may differ from the template's, and words by which aligned words may be off.
+SLACK = 40
 
 
 def hash_words(words: Iterable[str]) -> np.ndarray:
@@ -53,6 +55,8 @@ class Template:
     words: np.ndarray
     weights: np.ndarray
     phrases: list[Phrase]
+    #: Templates that have all of its phrases and more; where one of them stands, it stands for this one.
+    within: list[int]
 
 
 @dataclass
@@ -62,6 +66,13 @@ class Index:
     hashes: np.ndarray
     base: list[tuple[list[int], str]]
     templates: list[Template]
+    idf: np.ndarray
+    #: By a phrase's word of highest IDF: template and phrase.
+    filed: dict[int, list[tuple[int, int]]]
+    spdx_head: list[int]
+    #: By its first word: an identifier's words and its label, the longest first.
+    spdx: dict[int, list[tuple[list[int], str]]]
+    spdx_joined: set[int]
 
     def numbers(self, w: kernel.Words) -> np.ndarray:
         """Vocabulary number of every word, or -1."""
@@ -75,7 +86,7 @@ def tokens(text: str) -> list[str]:
 
 
 def vocabulary(base=BASE, templates=TEMPLATES) -> list[str]:
-    texts = [p for p, _ in base] + [t for t, _ in templates.values()] + [p for _, ps in templates.values() for p in ps]
+    texts = [p for p, _ in base] + [t for t, _ in templates.values()] + [p for _, ps in templates.values() for p in ps] + [SPDX_HEAD, *SPDX_IDS, *SPDX_JOINED]
     return sorted({w for t in texts for w in tokens(t)})
 
 
@@ -85,7 +96,7 @@ def build(n_docs: int, df: dict[str, int], base=BASE, templates=TEMPLATES) -> In
     order = np.argsort(hashes)
     number = {words[j]: i for i, j in enumerate(order.tolist())}
     idf = {w: float(np.log((1 + n_docs) / (1 + df.get(w, 0))) + 1e-3) for w in words}
-    made = []
+    made, filed = [], {}
     for label, (text, keys) in templates.items():
         t = tokens(text)
         weights = np.array([idf[w] for w in t])
@@ -93,8 +104,16 @@ def build(n_docs: int, df: dict[str, int], base=BASE, templates=TEMPLATES) -> In
         for p in map(tokens, keys):
             at = next(i for i in range(at, len(t)) if t[i : i + len(p)] == p)
             phrases.append(Phrase([number[w] for w in p], at, sorted(range(len(p)), key=lambda i: (-idf[p[i]], i))[:RARE]))
-        made.append(Template(label, np.array([number[w] for w in t]), weights / weights.sum(), phrases))
-    return Index(hashes[order], [([number[w] for w in tokens(p)], label) for p, label in base], made)
+            filed.setdefault(phrases[-1].words[phrases[-1].rare[0]], []).append((len(made), len(phrases) - 1))
+        within = [j for j, (_, more) in enumerate(templates.values()) if set(keys) < set(more)]
+        made.append(Template(label.partition("/")[0], np.array([number[w] for w in t]), weights / weights.sum(), phrases, within))
+    spdx: dict[int, list[tuple[list[int], str]]] = {}
+    for i in sorted(SPDX_IDS, key=lambda i: -len(tokens(i))):
+        said = [number[w] for w in tokens(i)]
+        spdx.setdefault(said[0], []).append((said, f"spdx-{i.lower()}"))
+    numbered = lambda p: [number[w] for w in tokens(p)]
+    weights = np.array([idf[words[j]] for j in order])
+    return Index(hashes[order], [(numbered(p), label) for p, label in base], made, weights, filed, numbered(SPDX_HEAD), spdx, {number[w] for w in SPDX_JOINED})
 
 
 def phrase_places(v: np.ndarray, text: np.ndarray, phrase: list[int]) -> np.ndarray:
@@ -137,34 +156,87 @@ def begins(p: Phrase, postings: Postings, v: np.ndarray, text: np.ndarray) -> np
     return first
 
 
-def found(t: Template, postings: Postings, v: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> list[tuple[int, float]]:
-    """(text, score) wherever all key phrases of a template stand in line."""
-    starts = []
-    for p in t.phrases:
-        starts.append(np.sort(begins(p, postings, v, text)))
-        if not len(starts[-1]):
-            return []
-    of = text[starts[0]]
-    line = [starts[0] - t.phrases[0].place]  # where the template would begin, by phrase
-    good = np.ones(len(of), bool)
-    for p, s in zip(t.phrases[1:], starts[1:], strict=True):
-        begin = s - p.place
-        i = np.minimum(np.searchsorted(begin, line[-1] - SLACK), len(begin) - 1)
-        good &= (np.abs(begin[i] - line[-1]) <= SLACK) & (text[s[i]] == of)
-        line.append(begin[i])
-    cuts = [0, *[p.place for p in t.phrases[1:]], len(t.words)]
-    out = []
-    for j in np.flatnonzero(good).tolist():
-        score = 0.0
-        for k, (a, b) in enumerate(itertools.pairwise(cuts)):
-            at = int(line[k][j]) + np.arange(a, b)
-            inside = (at >= bounds[of[j]]) & (at < bounds[of[j] + 1])
-            score += float(t.weights[a:b][inside][v[at[inside]] == t.words[a:b][inside]].sum())
-        if score >= MIN_SCORE:
-            out.append((int(of[j]), min(1.0, score)))
+def aligned(t: np.ndarray, weights: np.ndarray, f: np.ndarray, open_end: bool = False) -> float:
+    """The largest weight of words of ``t`` that stand in ``f`` in the same order, at most SLACK words off.
+
+    Words that both begin with (or end with, unless the end is open) are taken at once; only what is between is searched.
+    """
+    n = min(len(t), len(f))
+    other = np.flatnonzero(t[:n] != f[:n])
+    k = int(other[0]) if len(other) else n
+    sure, t, f, w = float(weights[:k].sum()), t[k:], f[k:], weights[k:]
+    if not open_end:
+        n = min(len(t), len(f))
+        other = np.flatnonzero(t[len(t) - n :][::-1] != f[len(f) - n :][::-1])
+        k = int(other[0]) if len(other) else n
+        sure += float(w[len(t) - k :].sum())
+        t, f, w = t[: len(t) - k], f[: len(f) - k], w[: len(t) - k]
+    if not len(t) or not len(f):
+        return sure
+    best = np.zeros(len(f) + 1)  # by how many words of f are used
+    off = SLACK + abs(len(t) - len(f)) * (not open_end)
+    for i, (x, weight) in enumerate(zip(t.tolist(), w.tolist(), strict=True)):
+        a, b = max(0, i - off), min(len(f), i + off + 1)
+        if a >= b:
+            break
+        hit = np.flatnonzero(f[a:b] == x) + a
+        if len(hit):
+            best[hit + 1] = np.maximum(best[hit + 1], best[hit] + weight)
+            np.maximum.accumulate(best[a:], out=best[a:])
+    return sure + float(best[-1])
+
+
+def found(t: Template, starts: list[np.ndarray], v: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
+    """(text, place of the first phrase, score) wherever all key phrases of a template, which stand at ``starts``, follow each other."""
+    known: dict[tuple[int, int], float | None] = {}
+
+    def onwards(k: int, s: int) -> float | None:
+        """The weight of what follows from the k-th phrase on, if it stands at s; None if the next phrase is missing."""
+        if (k, s) not in known:
+            p, of = t.phrases[k], text[s]
+            if k + 1 == len(t.phrases):
+                words = t.words[p.place :]
+                known[k, s] = aligned(words, t.weights[p.place :], v[s : min(bounds[of + 1], s + len(words) + SLACK)], True)
+            else:
+                q = t.phrases[k + 1]
+                at, all_ = s + q.place - p.place, starts[k + 1]
+                near = all_[np.searchsorted(all_, max(s + 1, at - SLACK)) : np.searchsorted(all_, at + SLACK, "right")]
+                rest = [(c, onwards(k + 1, c)) for c in near.tolist() if text[c] == of]
+                part = [x + aligned(t.words[p.place : q.place], t.weights[p.place : q.place], v[s:c]) for c, x in rest if x is not None]
+                known[k, s] = max(part, default=None)
+        return known[k, s]
+
+    out, head = [], t.phrases[0].place
+    for s in starts[0].tolist():
+        score = onwards(0, s)
+        if score is not None:
+            before = v[max(bounds[text[s]], s - head - SLACK) : s]
+            score += aligned(t.words[:head][::-1], t.weights[:head][::-1], before[::-1], True)
+            if score >= MIN_SCORE:
+                out.append((int(text[s]), s, min(1.0, score)))
     return out
 
 
+def identifiers(index: Index, v: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, str]]:
+    """(text, label) for the identifiers of every SPDX line; one that isn't in the list is "spdx"."""
+    for s in phrase_places(v, text, index.spdx_head).tolist():
+        of, at, some = text[s], s + len(index.spdx_head), False
+        while at < len(v) and text[at] == of:
+            ids = (i for i in index.spdx.get(int(v[at]), ()) if v[at : at + len(i[0])].tolist() == i[0] and text[min(len(v), at + len(i[0])) - 1] == of)
+            hit = next(ids, None)
+            if hit is None:
+                break
+            some = True
+            yield int(of), hit[1]
+            at += len(hit[0])
+            if at < len(v) and int(v[at]) in index.spdx_joined:
+                at += 1
+            else:
+                break
+        if not some:
+            yield int(of), "spdx"
+
+
 def document_counts(docs: DataFrame, text_col: str = "text", base=BASE, templates=TEMPLATES) -> tuple[int, dict[str, int]]:
     """Documents, and documents that hold each vocabulary word. Every batch sends one row a vocabulary word at most."""
     words = vocabulary(base, templates)
@@ -191,7 +263,7 @@ def document_counts(docs: DataFrame, text_col: str = "text", base=BASE, template
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, templates=TEMPLATES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is the best aligned share of a template's weight, 1 where a base phrase stands, 0 without either. Null texts
+    score is the best aligned share of a template's weight, 1 where a base phrase or an SPDX line stands, 0 without any. Null texts
     count as empty: no words, no labels (empty strings), null places. Repeated rows are scanned each; long texts are read
     whole; other columns, whatever their names, are not read. An empty table gives an empty result.
     """
@@ -218,10 +290,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
                 base_labels = [",".join(sorted(x)) for x in labels]
                 score = np.where(n_base > 0, 1.0, 0.0)
                 postings = Postings(v, len(index.hashes))
-                for template in index.templates:
-                    for t, x in found(template, postings, v, w.text, w.first):
-                        labels[t].add(template.label)
-                        score[t] = max(score[t], x)
+                starts = [[np.empty(0, np.int64)] * len(t.phrases) for t in index.templates]
+                held = np.unique(v[v >= 0])
+                for word in held[np.argsort(-index.idf[held], kind="stable")].tolist():
+                    for i, k in index.filed.get(word, ()):
+                        starts[i][k] = np.sort(begins(index.templates[i].phrases[k], postings, v, w.text))
+                hits = [found(t, p, v, w.text, w.first) if all(map(len, p)) else [] for t, p in zip(index.templates, starts, strict=True)]
+                there = [{s for _, s, _ in h} for h in hits]
+                for i, template in enumerate(index.templates):
+                    for t, s, x in hits[i]:
+                        if not any(s in there[j] for j in template.within):
+                            labels[t].add(template.label)
+                            score[t] = max(score[t], x)
+                for t, label in identifiers(index, v, w.text):
+                    labels[t].add(label)
+                    score[t] = 1.0
                 none = n_base == 0
                 arrays = [batch.column(0).slice(a, size), pa.array(np.diff(w.first)), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none)]
                 arrays += [pa.array(base_labels, pa.string()), pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array(score)]
