@@ -14,7 +14,11 @@ make one of the spans right that were checked before and failed, it is permuted
 span; such a value's pseudonym depends on its neighbours.
 
 The inverse gives back the text but for what the spelling doesn't say: leading zeros of one-digit days and months next to
-others without, whether the name of a month was short where the pseudonym's month is May, and how an IPv6 address was spelt.
+others without, which of two languages the name of a month was in if the pseudonym's is in both, whether it was short where
+the pseudonym's is both, "Sept" and "1er", and how an IPv6 address was spelt. Dates with two-digit years are linked among
+themselves, as only a hundred years can be told apart; so are phone numbers as they are dialled within a country. A domain of
+an e-mail address stays, and so do ten digits without a separator, which may be any number. A card's groups have two digits
+at least.
 """
 
 from __future__ import annotations
@@ -39,31 +43,47 @@ from .common import ship
 ROUNDS = 8
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
-#: Names of months, whole or their first three letters.
-MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
-MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + ")"
-MONTH = f"(?:{MONTH}|{MONTH.upper()}|{MONTH.lower()})"
+#: Names of months by language, whole and short. Fixed values.
+MONTHS = {
+    "en": ("January February March April May June July August September October November December", "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec"),
+    "fr": ("janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "janv févr mars avr mai juin juil août sept oct nov déc"),
+    "de": ("Januar Februar März April Mai Juni Juli August September Oktober November Dezember", "Jan Feb Mär Apr Mai Jun Jul Aug Sep Okt Nov Dez"),
+    "es": ("enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre", "ene feb mar abr may jun jul ago sep oct nov dic"),
+}
+MONTHS = {k: tuple(x.split() for x in v) for k, v in MONTHS.items()}
+#: By a name in lower case: what it may be, as (language, month, whether it is the short form), the likely first.
+NAMED: dict[str, list[tuple[str, int, bool]]] = {"sept": [("en", 9, True)]}
+for _language, _forms in MONTHS.items():
+    for _short, _names in zip((False, True), _forms, strict=True):
+        for _i, _name in enumerate(_names, 1):
+            NAMED.setdefault(_name.lower(), []).append((_language, _i, _short))
+MONTH = "(?:" + "|".join(sorted({f(n) for n in NAMED for f in (str.lower, str.upper, str.title)}, key=lambda n: (-len(n), n))) + ")"
+#: Two-digit years from it on are of the 20th century.
+PIVOT = 30
 #: Country calling codes of one and two digits; all others have three.
 CALLING = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 #: Patterns by kind; an earlier kind wins where two begin at the same place.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "token": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z])",
-    "phone": r"(?<![\d+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![\d(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])",
-    "date": r"(?<![\d/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![\d/-])" + f"|(?<![\\w.-])[0-9]{{1,2}} {MONTH},? [0-9]{{4}}(?![\\w-])|(?<![\\w.-]){MONTH} [0-9]{{1,2}},? [0-9]{{4}}(?![\\w-])",
+    "token": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|xox[abeoprs]-[0-9A-Za-z-]{10,200}|eyJ[0-9A-Za-z_-]{8,2000}\.eyJ[0-9A-Za-z_-]{8,4000}\.[0-9A-Za-z_-]{8,1000})(?![0-9A-Za-z])",
+    "password": r"(?<![0-9A-Za-z])(?:[Pp]assword|[Pp]asswd|[Pp]asswort|PASSWORD|pwd|[Cc]ontraseña|[Mm]ot de passe)[ ]?[:=][ ]?(?=[^\s\"']*[0-9])(?=[^\s\"']*[A-Za-z])[^\s\"',;]{6,64}",
+    "iban": r"(?<![0-9A-Za-z])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|LOWER[0-9]{2}(?: ?[a-z0-9]){11,30})(?![0-9A-Za-z])",
+    "phone": r"(?<![\d+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![\d+])\+[0-9]{1,3} ?\(0\) ?[0-9]{2,4}(?:[ .-]?[0-9]{2,8}){1,3}(?![0-9])|(?<![\w.+/-])0[1-9](?:[ .-][0-9]{2}){4}(?![\d.-])|(?<![\w.+/-])0[1-9][0-9]{1,3}[ /-][0-9]{6,8}(?![\d./-])|(?<![\d(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])",
+    "date": r"(?<![\d/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{2})(?![\d/-]|\.[0-9])"
+    + f"|(?<![\\w.-])[0-9]{{1,2}}(?:st|nd|rd|th|er|\\.)? (?:de )?{MONTH}\\.?,?(?: del?)? [0-9]{{4}}(?![\\w-])|(?<![\\w.-]){MONTH}\\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}(?![\\w-])",
     "ssn": r"(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-])",
-    "ip": r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
+    "ip": r"(?<![\d.vV])(?<!ersion )[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:)){1,7}:?(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])",
-    "card": r"(?<![\d.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![\d.])(?![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+#: Characters of an IBAN by country.
+IBAN_SIZE = {c[:2]: int(c[2:]) for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()}
+PATTERNS["iban"] = PATTERNS["iban"].replace("LOWER", "(?:" + "|".join(sorted(IBAN_SIZE)).lower() + ")")
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII)
-HINT = re.compile("[0-9@:]|AKIA|gh[opsu]_|sk-")
+HINT = re.compile("[0-9@:]|AKIA|gh[opsu]_|sk-|xox|eyJ")
 #: Usual digits of a card's groups.
 GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20))}
-#: Characters of an IBAN by country.
-IBAN_SIZE = {c[:2]: int(c[2:]) for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()}
 
 
 class Permutation:
@@ -150,9 +170,10 @@ def iban(s: str, p: Permutation, inverse: bool) -> str | None:
     value = lambda t: int("".join(str(int(c, 36)) for c in t))
     if value(flat[4:] + flat[:4]) % 97 != 1:
         return None
-    body = mixed(flat[4:].lower(), [DIGITS if c in DIGITS else LETTERS for c in flat[4:]], p, "iban" + flat[:2], inverse).upper()
-    check = 98 - value(body + flat[:2] + "00") % 97
-    return fill(s, flat[:2] + f"{check:02d}" + body, lambda c: c == " ")
+    country = flat[:2].upper()
+    body = mixed(flat[4:].lower(), [DIGITS if c in DIGITS else LETTERS for c in flat[4:]], p, "iban" + country, inverse)
+    check = 98 - value(body + country + "00") % 97
+    return fill(s, country.lower() + f"{check:02d}" + body, lambda c: c == " ")
 
 
 def phone(s: str, p: Permutation, inverse: bool) -> str | None:
@@ -160,6 +181,10 @@ def phone(s: str, p: Permutation, inverse: bool) -> str | None:
     if not 7 <= len(d) <= 15:
         return None
     code = next((d[:n] for n in (1, 2) if d[:n] in CALLING), d[:3]) if s[0] == "+" else ""
+    if "(0)" in s or not code and d[0] == "0":  # what is dialled before a number within its country stays
+        head = s[: s.index("0") + 1] if not code else s[: s.index("(0)") + 3]
+        body = digits(s[len(head) :])
+        return head + fill(s[len(head) :], mixed(body, [DIGITS] * len(body), p, "phone" + (code or "0"), inverse), lambda c: c not in DIGITS)
     body = d[len(code) :]
     if not body:
         return None
@@ -179,35 +204,64 @@ def moved(day: datetime.date, p: Permutation, inverse: bool) -> datetime.date:
     return datetime.date.fromordinal(some[p(f"date{day.day > 12}", len(some), bisect.bisect_left(some, day.toordinal()), inverse)])
 
 
+def century(year: int) -> int:
+    return year + (1900 if year >= PIVOT else 2000)
+
+
+def ordinal(day: int, said: str) -> str:
+    """What follows the number of a day, as it is said now."""
+    if said in ("st", "nd", "rd", "th"):
+        return {1: "st", 2: "nd", 3: "rd"}.get(day % 10 if day // 10 != 1 else 0, "th")
+    return ("er" if day == 1 else "") if said == "er" else said
+
+
+def written_date(s: str, p: Permutation, inverse: bool) -> str | None:
+    """A date with the name of its month. Its language is that of its points and particles, or else of the name."""
+    m = re.fullmatch(rf"(?:(?P<d1>\d+)(?P<th1>[a-z.]*) (?P<de>(?:de )?)(?P<m1>{MONTH})|(?P<m2>{MONTH})(?P<pt>\.?) (?P<d2>\d+)(?P<th2>[a-z]*))(?P<rest>.*? )(?P<y>\d{{4}})", s)
+    name, number, th = (m["m1"] or m["m2"], m["d1"] or m["d2"], m["th1"] or m["th2"] or "")
+    fits = NAMED[name.lower()]
+    told = "es" if m["de"] or " de" in m["rest"] else "de" if th == "." else "en" if m["m2"] or th in ("st", "nd", "rd", "th") else "fr" if th == "er" else ""
+    language, month, short = next((f for f in fits if f[0] == told), fits[0])
+    # a name that is whole and short counts as short in English, as whole elsewhere
+    short = short or language == "en" and len(name) == 3
+    try:
+        day = datetime.date(int(m["y"]), month, int(number))
+    except ValueError:
+        return None
+    if not FIRST_DAY <= day <= LAST_DAY:
+        return None
+    new = moved(day, p, inverse)
+    said = MONTHS[language][short][new.month - 1]
+    said = said.upper() if name.isupper() else said.lower() if name.islower() else said[0].upper() + said[1:]
+    count = f"{new.day:0{len(number) if number[0] == '0' else 1}d}{ordinal(new.day, th)}"
+    first = f"{count} {m['de']}{said}" if m["m1"] else f"{said}{m['pt']} {count}"
+    return f"{first}{m['rest']}{new.year:04d}"
+
+
 def date(s: str, p: Permutation, inverse: bool) -> str | None:
-    name = re.search("[A-Za-z]+", s)
+    if re.search("[A-Za-z]", s):
+        return written_date(s, p, inverse)
     parts = re.findall("[0-9]+", s)
+    first, brief = len(parts[0]) == 4, len(parts[0]) < 4 and len(parts[2]) == 2
     try:
-        if name:
-            month = next(i for i, m in enumerate(MONTHS, 1) if m[:3].lower() == name.group()[:3].lower())
-            day = datetime.date(int(parts[1]), month, int(parts[0]))
-        else:
-            y, m, d = map(int, parts if "-" in s else reversed(parts))
-            swap = "-" not in s and m > 12  # month first
-            day = datetime.date(y, d if swap else m, m if swap else d)
+        y, m, d = map(int, parts if first else reversed(parts))
+        y = century(y) if brief else y
+        swap = not first and m > 12  # month first
+        day = datetime.date(y, d if swap else m, m if swap else d)
     except ValueError:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
     new = moved(day, p, inverse)
-    if name:
-        old = name.group()
-        # May is a whole name and a short one; it counts as short
-        said = MONTHS[new.month - 1] if len(old) > 3 else MONTHS[new.month - 1][:3]
-        said = said.upper() if old.isupper() else said.lower() if old.islower() else said
-        there = [f"{new.day:0{len(parts[0]) if parts[0][0] == '0' else 1}d}", str(new.year)]
-        return re.sub("[0-9]+|[A-Za-z]+", lambda x: said if x.group() == old else there.pop(0), s)
-    if "-" in s:
-        return new.isoformat()
+    while brief and century(new.year % 100) != new.year:  # within the years that two digits can tell
+        new = moved(new, p, inverse)
+    a, b = re.findall("[-/.]", s)
+    if first:
+        return f"{new.year:04d}{a}{new.month:02d}{b}{new.day:02d}"
     wide = 2 if len(parts[0]) == len(parts[1]) == 2 else 1
-    a, b = (new.month, new.day) if swap else (new.day, new.month)
-    seps = re.findall("[/.]", s)
-    return f"{a:0{wide}d}{seps[0]}{b:0{wide}d}{seps[1]}{new.year:04d}"
+    x, z = (new.month, new.day) if swap else (new.day, new.month)
+    year = f"{new.year % 100:02d}" if brief else f"{new.year:04d}"
+    return f"{x:0{wide}d}{a}{z:0{wide}d}{b}{year}"
 
 
 def ssn(s: str, p: Permutation, inverse: bool) -> str | None:
@@ -241,10 +295,24 @@ def ipv6(s: str, p: Permutation, inverse: bool) -> str | None:
 
 
 def token(s: str, p: Permutation, inverse: bool) -> str | None:
-    head = re.match("AKIA|gh[opsu]_|sk-", s).group()
+    head = re.match("AKIA|gh[opsu]_|sk-|xox[abeoprs]-|eyJ", s).group()
+    kept = [(m.start() - len(head), m.end() - len(head)) for m in re.finditer(r"(?<=\.)eyJ", s)]  # how the second part begins
     body = s[len(head) :]
-    alphabets = [DIGITS if c in DIGITS else LETTERS for c in body]
-    return head + fill(body, mixed(body.lower(), alphabets, p, "token" + head, inverse), lambda c: False)
+    free = [c.isalnum() and not any(a <= i < b for a, b in kept) for i, c in enumerate(body)]
+    flat = [c for c, f in zip(body, free, strict=True) if f]
+    if not flat:
+        return None
+    new = iter(mixed("".join(flat).lower(), [DIGITS if c in DIGITS else LETTERS for c in flat], p, "token" + head, inverse))
+    return head + "".join((x.upper() if c.isupper() else x) if f and (x := next(new)) else c for c, f in zip(body, free, strict=True))
+
+
+def password(s: str, p: Permutation, inverse: bool) -> str | None:
+    """What follows the word: letters and digits in their places."""
+    at = re.search("[:=] ?", s).end()
+    plain = lambda c: c.isascii() and c.isalnum()
+    flat = [c for c in s[at:] if plain(c)]
+    new = mixed("".join(flat).lower(), [DIGITS if c in DIGITS else LETTERS for c in flat], p, "password", inverse)
+    return s[:at] + fill(s[at:], new, lambda c: not plain(c))
 
 
 def email(s: str, p: Permutation, inverse: bool) -> str | None:
@@ -263,7 +331,7 @@ def secret(s: str, p: Permutation, inverse: bool) -> str | None:
     return new if s.islower() else new.upper()
 
 
-KINDS = {f.__name__: f for f in (email, secret, token, iban, phone, date, ssn, ip, ipv6, card)}
+KINDS = {f.__name__: f for f in (email, secret, token, password, iban, phone, date, ssn, ip, ipv6, card)}
 
 
 def spans(kind: str, s: str) -> list[tuple[int, int]]:
@@ -271,11 +339,13 @@ def spans(kind: str, s: str) -> list[tuple[int, int]]:
     if kind == "card":
         groups = [m.span() for m in re.finditer("[0-9]+", s)]
         sizes = [b - a for a, b in groups]
-        some = [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups) + 1) if 13 <= sum(sizes[i:j]) <= 19]
+        some = [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups) + 1) if 13 <= sum(sizes[i:j]) <= 19 and min(sizes[i:j]) > 1]
         some.sort(key=lambda x: (tuple(sizes[x[0] : x[1]]) not in GROUPS, x[0], sizes[x[0]] != 4, -x[1] if tuple(sizes[x[0] : x[1]]) not in GROUPS else x[1]))
         return [(groups[i][0], groups[j - 1][1]) for i, j in some]
     if kind == "iban":
         end = country_end(s)
+        if s[0].islower():  # only of its country's length, as words are in lower case as well
+            return [(0, end)] if end else []
         if end:
             return [(0, end)] if end == len(s) else [(0, end), (0, len(s))]
         ends = [m.start() for m in re.finditer(" ", s) if len(s[: m.start()].replace(" ", "")) >= 15]
@@ -285,7 +355,7 @@ def spans(kind: str, s: str) -> list[tuple[int, int]]:
 
 def country_end(s: str) -> int:
     """Where an IBAN of its country's length ends, 0 if no group ends there."""
-    left = IBAN_SIZE.get(s[:2], 0)
+    left = IBAN_SIZE.get(s[:2].upper(), 0)
     for i, c in enumerate(s if left else ""):
         left -= c != " "
         if not left:
@@ -346,7 +416,8 @@ def text_key(passphrase: str) -> bytes:
 def replace(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """All rows and columns with the text replaced, then n_found (values replaced) and kinds (distinct, comma-joined).
 
-    Null texts stay null and hold nothing; repeated rows are treated alike; an empty table gives an empty result. New
+    Null texts stay null and hold nothing; repeated rows are treated alike; long texts are searched whole, in time that grows
+    with their length. Where values of two kinds begin at one place, the kind that is earlier in PATTERNS counts. An empty table gives an empty result. New
     columns that clash with others are found by their place, which is last. The key is the caller's secret.
     """
     ship(docs.sparkSession)
