@@ -17,6 +17,7 @@ they are large.
 from __future__ import annotations
 
 import array
+import functools
 import json
 import os
 import re
@@ -33,11 +34,11 @@ from .common import ship, trimmed
 from .token_records import ASCII_PARTS, WORDWISE, vocabulary_path
 
 #: A worker's trie is dropped when it has more nodes; encoded words are kept in two generations of at most so many bytes.
-NODES = 400_000
-WORD_BYTES = 16 << 20
+NODES = 200_000
+WORD_BYTES = 12 << 20
 #: Bytes of texts that are handled at a time, and ids.
-TEXTS = 4 << 20
-IDS = 1 << 20
+TEXTS = 1 << 20
+IDS = 1 << 18
 NEVER = 1 << 62
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The alphabet of byte-level vocabularies: a printable code point for each byte, the others in turn from 256 on.
@@ -177,12 +178,9 @@ class Codec:
     """A vocabulary in a worker: how it cuts texts into words, the trie, and the words that were encoded lately."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.model = path, steps["model"]
         self.added = {t["content"]: t["id"] for t in steps["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in steps["added_tokens"]):
             raise NotImplementedError("added tokens that take white space or are normalised")
@@ -194,12 +192,25 @@ class Codec:
         self.decoder = (steps["decoder"] or {}).get("type")
         if self.decoder not in (None, "ByteLevel"):
             raise NotImplementedError(f"the decoder {self.decoder}")
-        self.merges = Merges(steps["model"])
-        self.trie = Trie(self.merges)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.known_bytes = 0
 
+    @functools.cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @functools.cached_property
+    def merges(self) -> Merges:
+        return Merges(self.model)
+
+    @functools.cached_property
+    def trie(self) -> Trie:
+        return Trie(self.merges)
+
     def pieces(self, text: str) -> list[str]:
         t = self.tokenizer
         text = t.normalizer.normalize_str(text) if t.normalizer else text
@@ -257,8 +268,9 @@ class Codec:
 
     def names(self) -> pa.Array:
         """The vocabulary's strings by id; null where there is none."""
-        out: list[str | None] = [None] * (1 + max([*self.merges.ids.values(), *self.added.values()]))
-        for t, i in [*self.merges.ids.items(), *self.added.items()]:
+        every = self.model["vocab"] | self.added
+        out: list[str | None] = [None] * (1 + max(every.values()))
+        for t, i in every.items():
             out[i] = t
         return pa.array(out, pa.string())
 
