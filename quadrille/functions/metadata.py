@@ -71,6 +71,56 @@ def eo_band(text: Column) -> Column:
     return F.when(F.size(bands) == 1, F.get(bands, 0))
 
 
+def field(of: Column, key: str) -> Column:
+    """A field of a variant object."""
+    return F.try_variant_get(of, f'$["{key}"]' if '"' not in key else f"$['{key}']", "variant")
+
+
+def labels(items: DataFrame, keys: Sequence[str], typed: str = "typed", text: str = "properties") -> dict[str, Column]:
+    """By field, a column of values of the type that it has in all items; null where an item doesn't have it.
+
+    Whole numbers, other numbers, truth values and texts keep their type; what is of different types, and objects, become
+    JSON text. Lists of one element in every item are that element. If all items have the same longer list of scalars, it
+    is a label, as its sorted distinct elements; lists of different lengths stay lists; lists of lists, and different ones
+    of the same length, would be an axis of their own and are left out.
+    """
+    safe = [k for k in keys if not ('"' in k and "'" in k)]
+    out = {k: F.col(text)[k] for k in keys if k not in safe}
+    if not safe:
+        return out
+    one = items.agg(F.count(F.lit(1)).alias("n"), *[F.schema_of_variant_agg(field(F.col(typed), k)).alias(f"k{i}") for i, k in enumerate(safe)]).head()  # names of types
+    lists = {}
+    for i, k in enumerate(safe):
+        kind, value = one[f"k{i}"] or "VOID", field(F.col(typed), k)
+        if kind.startswith("ARRAY<") and not kind.startswith(("ARRAY<ARRAY", "ARRAY<OBJECT")):
+            lists[k] = scalar(kind[6:-1])
+        elif kind.startswith(("ARRAY", "OBJECT", "VARIANT")):
+            if not kind.startswith("ARRAY"):
+                out[k] = F.when(~F.is_variant_null(value), F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))
+        else:
+            out[k] = F.try_variant_get(value, "$", scalar(kind))
+    if lists:
+        of = {k: F.try_variant_get(field(F.col(typed), k), "$", f"array<{t}>") for k, t in lists.items()}
+        fact = lambda c: F.struct(F.min(F.size(c)).alias("least"), F.max(F.size(c)).alias("most"), F.count(c).alias("n"), (F.min(F.to_json(c)) == F.max(F.to_json(c))).alias("same"))
+        got = items.agg(*[fact(c).alias(f"f{i}") for i, c in enumerate(of.values())]).head()  # a few numbers a field
+        for i, (k, c) in enumerate(of.items()):
+            f = got[f"f{i}"]
+            if f["least"] == f["most"] == 1:
+                out[k] = F.get(c, 0)
+            elif f["same"] and f["n"] == one["n"]:
+                out[k] = F.array_sort(F.array_distinct(c))
+            elif f["least"] != f["most"] or f["n"] < one["n"]:
+                out[k] = c
+    return {k: out[k] for k in keys if k in out}
+
+
+def scalar(kind: str) -> str:
+    """The Spark type of a variant's type."""
+    if kind.startswith("DECIMAL") or kind in ("FLOAT", "DOUBLE"):
+        return "double"
+    return {"BIGINT": "bigint", "BOOLEAN": "boolean"}.get(kind, "string")
+
+
 def canonical(value) -> str | None:
     """JSON in which equal values look alike: 1, 1.0 and true are one, keys are sorted."""
     if value is None:
@@ -100,3 +150,13 @@ def flat(value):
             return None
         return tuple(sorted(set(value), key=lambda v: (str(type(v)), v)))
     return None if isinstance(value, dict) else value
+
+
+def label(text: str) -> str | None:
+    """The text of a field as a label: a list of JSON is made flat, everything else stays."""
+    try:
+        value = json.loads(text) if text.startswith("[") else text
+    except ValueError:
+        return text
+    value = flat(value)
+    return value if isinstance(value, str) or value is None else json.dumps(value, ensure_ascii=False)

@@ -38,7 +38,7 @@ class Plan:
     spec: GridSpec
     #: time_idx, band_idx, item_idx, id, band, url, minx, miny, maxx, maxy, scale, offset; a missing cell has no row.
     cells: DataFrame
-    #: The items that are left: time_idx, item_idx, id, properties.
+    #: The items that are left: time_idx, item_idx, id, properties, assets, typed.
     items: DataFrame
     bands: list[str]
     n_times: int
@@ -200,4 +200,4 @@ def _pruned(rows: DataFrame, cells: DataFrame, spec: GridSpec, names: list[str],
         rows = rows.drop("time_idx").join(cells.select("item_idx", "time_idx").distinct(), "item_idx")
     keep = ["time_idx", "band_idx", "item_idx", "id", "band", "url", "minx", "miny", "maxx", "maxy"]
     one, zero = (F.col("scale"), F.col("offset")) if rescale else (F.lit(1.0), F.lit(0.0))
-    return Plan(spec, cells.select(*keep, one.alias("scale"), zero.alias("offset")), rows.select("time_idx", "item_idx", "id", "properties", "assets"), bands, left["n"])
+    return Plan(spec, cells.select(*keep, one.alias("scale"), zero.alias("offset")), rows.select("time_idx", "item_idx", "id", "properties", "assets", "typed"), bands, left["n"])

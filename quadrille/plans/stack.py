@@ -362,7 +362,8 @@ def dims(items: DataFrame, properties: bool | str | Sequence[str] | None, bands:
         keys = sorted(r["k"] for r in found if r["k"] != "datetime")
     elif properties:
         keys = [k for k in ([properties] if isinstance(properties, str) else properties) if k != "datetime"]
-    t = items.select("time_idx", time, "id", *[F.col("properties")[k].alias(k) for k in keys if k not in ("id", "time", "time_idx")])
+    labels = metadata.labels(items, [k for k in keys if k not in ("id", "time", "time_idx")])
+    t = items.select("time_idx", time, "id", *[c.alias(k) for k, c in labels.items()])
     names = spark.createDataFrame([(i, b) for i, b in enumerate(bands)], "band_idx int, band string")
     if not band_coords or not bands:
         return t, names
@@ -371,7 +372,7 @@ def dims(items: DataFrame, properties: bool | str | Sequence[str] | None, bands:
     same = metadata.all_same(long, ["band"]).collect()  # a few fields a band
     rename = {"sar:polarizations": "polarization"}
     fields = sorted({rename.get(r["key"], r["key"]) for r in same if r["key"] != "eo:bands"})
-    got = {(r["band"], rename.get(r["key"], r["key"])): r["value"] for r in same}
+    got = {(r["band"], rename.get(r["key"], r["key"])): r["value"] if r["key"] == "eo:bands" else metadata.label(r["value"]) for r in same}
     eo = ("common_name", "center_wavelength", "full_width_half_max")
     table = spark.createDataFrame([(b, *[got.get((b, f)) for f in fields], got.get((b, "eo:bands"))) for b in bands], "band string" + "".join(f", `{f}` string" for f in fields) + ", _eo string")
     band = metadata.eo_band(F.col("_eo"))

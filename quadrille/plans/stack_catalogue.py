@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import metadata
 from ..functions.grid import GridSpec
 from ..operators import warp
 from ..sources import items as sources
@@ -76,7 +77,23 @@ def stack_selection(s, d):
 
 @query(f"WITH {IT} SELECT time_idx, dt::TIMESTAMP AS time, k::VARCHAR AS id, (c % 100)::VARCHAR AS cloud FROM it")
 def stack_time_labels(s, d):
-    return stacked(s, d).time_dim.select("time_idx", "time", "id", F.col("eo:cloud_cover").alias("cloud"))
+    return stacked(s, d).time_dim.select("time_idx", "time", "id", F.col("eo:cloud_cover").cast("string").alias("cloud"))
+
+
+@query("SELECT o_orderkey AS k, o_custkey % 100 AS cloud, CASE WHEN o_custkey % 4 <> 0 THEN o_totalprice END AS price, o_orderstatus = 'F' AS done, o_orderpriority AS priority, 'x' AS instruments, CASE WHEN o_custkey % 3 = 0 THEN '[' || o_custkey % 7 || ']' ELSE '[' || o_custkey % 7 || ',9]' END AS looks, CASE WHEN o_custkey % 2 = 0 THEN '1' ELSE 'two' END AS mixed FROM orders")
+def metadata_typed(s, d):
+    """Properties with the types they have in JSON: numbers, truth values, texts, lists of one and of several lengths."""
+    o, c = table(s, d, "orders"), F.col("o_custkey")
+    more = F.struct(
+        (c % 100).alias("eo:cloud_cover"), F.when(c % 4 != 0, F.col("o_totalprice")).alias("price"), (F.col("o_orderstatus") == "F").alias("done"), F.col("o_orderpriority").alias("priority"),
+        F.array(F.lit("x")).alias("instruments"), F.when(c % 3 == 0, F.array(c % 7)).otherwise(F.array(c % 7, F.lit(9))).alias("looks"), F.array(c % 7, F.lit(1)).alias("axis"),
+    )
+    text = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), more.alias("properties")))
+    mixed = F.concat(F.substring(text, F.lit(1), F.length(text) - 2), F.lit(',"mixed":'), F.when(c % 2 == 0, F.lit("1")).otherwise(F.lit('"two"')), F.lit("}}"))
+    items = sources.rows(s, o.select(F.col("o_orderkey").alias("item_idx"), mixed.alias("json")))
+    names = {"eo:cloud_cover": "cloud", "price": "price", "done": "done", "priority": "priority", "instruments": "instruments", "looks": "looks", "axis": "axis", "mixed": "mixed"}
+    got = metadata.labels(items, list(names))
+    return items.select(F.col("item_idx").alias("k"), *[(F.to_json(v) if k == "looks" else v).alias(names[k]) for k, v in got.items()])
 
 
 @query(f"WITH {IT} SELECT 0 AS band_idx, 'B1' AS band, 'red' AS name, 32613 AS epsg UNION ALL SELECT 1, 'B2', CASE WHEN count(DISTINCT p) = 1 THEN min(p) END, 32613 FROM it WHERE c % 3 = 0")

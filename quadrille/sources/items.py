@@ -42,7 +42,7 @@ def to_plain(items: Any) -> list[dict]:
 
 
 def rows(spark: SparkSession, items: Any) -> DataFrame:
-    """item_idx, id, collection, bbox, properties and assets (values as JSON text), in the order given.
+    """item_idx, id, collection, bbox, properties and assets (values as JSON text), typed (properties as a variant), in order.
 
     A frame must have a column ``json`` and may have ``item_idx``; a string is a path to JSON lines. Frames stay
     distributed: only plain Python items pass through the driver, where they are already.
@@ -54,7 +54,8 @@ def rows(spark: SparkSession, items: Any) -> DataFrame:
         items = spark.createDataFrame(texts, "item_idx long, json string")
     elif "item_idx" not in items.columns:
         items = items.withColumn("item_idx", F.monotonically_increasing_id())
-    return items.select("item_idx", F.from_json("json", SCHEMA).alias("i")).select("item_idx", "i.*")
+    typed = F.try_variant_get(F.try_parse_json("json"), "$.properties", "variant").alias("typed")
+    return items.select("item_idx", F.from_json("json", SCHEMA).alias("i"), typed).select("item_idx", "i.*", "typed")
 
 
 def ordered(items: DataFrame, by_date: str | bool = "asc") -> DataFrame:

@@ -38,7 +38,8 @@ def test_stack_equals_a_numpy_model(spark):
     np.testing.assert_array_equal(got, want)
     assert s.dense().count() == want.size
     times = [(str(r["time"]), r["id"], r["eo:cloud_cover"]) for r in s.time_dim.orderBy("time_idx").collect()]
-    assert times == [("2020-01-01 00:00:00", "i1", "10"), ("2020-01-05 12:00:00", "i0", "0"), ("2020-01-19 22:00:00", "i2", "20")]
+    assert times == [("2020-01-01 00:00:00", "i1", 10), ("2020-01-05 12:00:00", "i0", 0), ("2020-01-19 22:00:00", "i2", 20)]
+    assert dict(s.time_dim.dtypes)["eo:cloud_cover"] == "bigint" and s.time_dim.filter("`eo:cloud_cover` < 15").count() == 2
     red = s.band_dim.filter("band = 'red'").head()
     assert red["common_name"] == "red" and red["center_wavelength"] == 0.6 and red["epsg"] == 32613
     top = {(r["band_idx"], r["iy"], r["ix"]): r["v"] for r in s.mosaic().collect()}
