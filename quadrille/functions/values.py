@@ -7,10 +7,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def nan_to_null(v: Column) -> Column:
-    return F.nullif(v, F.lit(float("nan")))
-
-
 def mask(v: Column, nodata=None, alpha: Column | None = None) -> Column:
     """Null where the value is the dataset's nodata, or where its alpha is 0."""
     out = v if nodata is None else F.nullif(v, nodata if isinstance(nodata, Column) else F.lit(nodata))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import crs, grid, media, metadata, values
+from ..functions import crs, geometry, grid, media, metadata, values
 from ..functions.grid import GridSpec
 from ..operators import coords, joins, mosaic, reduce, render, select, show, warp
 from ..sources import items as sources
+from . import planner
 from .views import AS, BL, PX, SC, SIDE, assets, blocks, pixels, scenes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,7 +153,7 @@ def pixel_coords_center(s, d):
 
 @query(f"WITH {SC} SELECT cloud, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM scenes GROUP BY ALL")
 def union_bounds(s, d):
-    return scenes(s, d).groupBy("cloud").agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+    return scenes(s, d).groupBy("cloud").agg(*planner.union_box())
 
 
 @query(f"WITH {SC} SELECT id, minx, miny FROM scenes WHERE minx < 20 AND maxx > -30 AND miny < 40 AND maxy > -5")
@@ -161,6 +162,24 @@ def bounds_overlap_filter(s, d):
     return scenes(s, d).filter(hit).select("id", "minx", "miny")
 
 
+AREAS = """v AS (SELECT n_nationkey AS area, (n_nationkey * 37 % 300 - 150)::DOUBLE AS cx, (n_nationkey * 23 % 120 - 60)::DOUBLE AS cy, [[-20, -10], [20, -12], [15, 10], [0, 2.5], [-18, 11]]::DOUBLE[][] AS p FROM nation),
+  e AS (SELECT area, cx + p[i][1] AS x0, cy + p[i][2] AS y0, cx + p[i % 5 + 1][1] AS x1, cy + p[i % 5 + 1][2] AS y1 FROM v, range(1, 6) AS t(i)),
+  hit AS (SELECT area, id, bool_or(least(x0, x1) <= maxx AND greatest(x0, x1) >= minx AND least(y0, y1) <= maxy AND greatest(y0, y1) >= miny
+    AND least((x1 - x0) * (miny - y0) - (y1 - y0) * (minx - x0), (x1 - x0) * (maxy - y0) - (y1 - y0) * (minx - x0), (x1 - x0) * (miny - y0) - (y1 - y0) * (maxx - x0), (x1 - x0) * (maxy - y0) - (y1 - y0) * (maxx - x0)) <= 0
+    AND greatest((x1 - x0) * (miny - y0) - (y1 - y0) * (minx - x0), (x1 - x0) * (maxy - y0) - (y1 - y0) * (minx - x0), (x1 - x0) * (miny - y0) - (y1 - y0) * (maxx - x0), (x1 - x0) * (maxy - y0) - (y1 - y0) * (maxx - x0)) >= 0) AS edge,
+    count(*) FILTER ((y0 > miny) <> (y1 > miny) AND minx < x0 + (x1 - x0) * (miny - y0) / (y1 - y0)) % 2 = 1 AS corner FROM scenes, e GROUP BY area, id)"""
+
+
+@query(f"WITH {SC}, {AREAS} SELECT area, id FROM hit WHERE edge OR corner")
+def catalogue_search_areas(s, d):
+    """Every scene that shares a point with one of many polygons, an area a nation."""
+    n = F.col("n_nationkey")
+    cx, cy = n * 37 % 300 - 150, n * 23 % 120 - 60
+    ring = F.array(*[F.array((cx + x).cast("double"), (cy + y).cast("double")) for x, y in ((-20, -10), (20, -12), (15, 10), (0, 2.5), (-18, 11))])
+    areas = table(s, d, "nation").select(n.alias("area"), geometry.edges_of_ring(ring).alias("edges"))
+    return select.search_areas(scenes(s, d), areas, cell=5.0).select("area", "id")
+
+
 @query(f"WITH {SC} SELECT id, minx, miny, maxx, maxy, cloud FROM scenes WHERE minx <= 0.5 AND maxx >= 0.5 AND miny <= 5.0 AND maxy >= 5.0")
 def catalogue_search_point(s, d):
     return select.search(scenes(s, d), point=(0.5, 5.0), time="dt").select("id", "minx", "miny", "maxx", "maxy", "cloud")
@@ -333,7 +352,7 @@ def crs_consensus(s, d):
 
 @query(f"WITH {SC} SELECT epsg, min(abs(cloud + 1.5::DOUBLE)) AS xres, min(abs(-(size / 1e4::DOUBLE))) AS yres FROM scenes GROUP BY ALL")
 def finest_resolution(s, d):
-    return scenes(s, d).groupBy("epsg").agg(F.min(F.abs(F.col("cloud") + 1.5)).alias("xres"), F.min(F.abs(-(F.col("size") / 1e4))).alias("yres"))
+    return scenes(s, d).select("epsg", (F.col("cloud") + 1.5).alias("x"), (-(F.col("size") / 1e4)).alias("y")).groupBy("epsg").agg(*planner.finest("x", "y"))
 
 
 @query(f"WITH {SC}, p AS (SELECT id, CASE WHEN cloud % 3 = 0 THEN minx END AS pb, CASE WHEN cloud % 2 = 0 THEN minx + 0.5 END AS st, CASE WHEN cloud % 5 <> 0 THEN minx - 0.5 END AS ll FROM scenes) SELECT id, coalesce(pb, st, ll) AS minx, CASE WHEN pb IS NOT NULL THEN 'proj:bbox' WHEN st IS NOT NULL THEN 'shape+transform' WHEN ll IS NOT NULL THEN 'bbox' END AS origin FROM p")

@@ -65,6 +65,16 @@ def _number(text: Column, kind: str = "array<double>") -> Column:
     return F.from_json(text, kind)
 
 
+def union_box() -> list[Column]:
+    """Aggregates: the box of all boxes."""
+    return [F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")]
+
+
+def finest(x: str, y: str) -> list[Column]:
+    """Aggregates: the least pixel sizes, whichever way the axes run."""
+    return [F.min(F.abs(x)).alias("xres"), F.min(F.abs(y)).alias("yres")]
+
+
 def plan(
     spark: SparkSession,
     items: Any,
@@ -154,7 +164,7 @@ def plan(
             checks += [("rectilinear", has_af & same & ~straight), ("resolution", F.col("res_x").isNull() | F.col("res_y").isNull())]
         if bounds is None:
             checks.append(("bounds", F.col("minx").isNull()))
-        extent = [F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy"), F.min("res_x"), F.min("res_y")]
+        extent = [*union_box(), *finest("res_x", "res_y")]
     elif out_epsg is not None and epsg is not None:
         raise NotImplementedError(f"no transform from {sorted(first['codes'])} to EPSG:{out_epsg}")
     else:

@@ -114,10 +114,15 @@ def plan_grid_within_bounds(s, d):
     return p.cells.select("time_idx", "band_idx", "item_idx", F.lit(spec.epsg).alias("epsg"), F.lit(spec.bounds[0]).alias("minx"), F.lit(spec.bounds[3]).alias("maxy"), F.lit(spec.resolutions_xy[0]).alias("xres"), F.lit(height).alias("height"), F.lit(width).alias("width"))
 
 
-@query("SELECT unnest(range(3))::INT AS place, unnest(['B1', 'B2', 'meta']) AS asset")
+@query("WITH n AS (SELECT o_custkey AS c, list(DISTINCT 'A' || o_orderkey % 50 ORDER BY 'A' || o_orderkey % 50) AS names FROM orders GROUP BY c), best AS (SELECT names FROM n ORDER BY len(names) DESC, c LIMIT 1) SELECT (i - 1)::INT AS place, names[i] AS asset FROM best, unnest(range(1, len(names) + 1)) AS t(i)")
 def plan_assets_of_fullest_item(s, d):
-    names = asset_ids(sources.ordered(sources.rows(s, catalogue_items(s, d))), None)
-    return s.createDataFrame(list(enumerate(names)), "place int, asset string")
+    """An item a customer, with an asset for each of the numbers that its orders have; the first of the fullest names the bands."""
+    names = F.array_sort(F.collect_set(F.concat(F.lit("A"), (F.col("o_orderkey") % 50).cast("string"))))
+    items = table(s, d, "orders").groupBy(F.col("o_custkey").alias("item_idx")).agg(names.alias("n"))
+    assets = F.map_from_arrays("n", F.transform("n", lambda n: F.create_map(F.lit("href"), n)))
+    items = items.select("item_idx", F.to_json(F.struct(F.col("item_idx").cast("string").alias("id"), assets.alias("assets"))).alias("json"))
+    found = asset_ids(sources.ordered(sources.rows(s, items)), None)
+    return s.createDataFrame(list(enumerate(found)), "place int, asset string")
 
 
 @query(f"WITH {IT}, m AS (SELECT band_idx, iy, ix, arg_max(v, time_idx) AS v FROM spx GROUP BY ALL), g AS (SELECT b::INT AS band_idx, y::INT AS iy, x::INT AS ix FROM (SELECT unnest([0, 1]) AS b), (SELECT unnest(range(5)) AS y), (SELECT unnest(range(7)) AS x)) SELECT g.band_idx, g.iy, g.ix, m.v FROM g LEFT JOIN m ON m.band_idx = g.band_idx AND m.iy = 4 + g.iy * 2 AND m.ix = 2 + g.ix * 2")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quadrille.functions import crs, media, metadata, values
-from quadrille.functions.grid import GridSpec, snap, union_bounds
+from quadrille.functions.grid import GridSpec, snap
 from quadrille.operators import mosaic, reduce, render, select, warp
 from quadrille.sources import items
 from quadrille.streaming import resample as streaming
@@ -62,7 +62,6 @@ def test_crs_points_and_round_trips(spark):
 
 def test_bounds_goldens():
     assert snap((0, 0, 10, 10), (3, 3)) == (0, 0, 12, 12) and snap((-1.2, -1.2, 1.2, 1.2), (1, 1)) == (-2, -2, 2, 2)
-    assert union_bounds([(0, 1, 2, 3), (-1, 2, 1, 5)]) == (-1, 1, 2, 5)
 
 
 def test_media_types(spark):
