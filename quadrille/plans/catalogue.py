@@ -429,13 +429,14 @@ def block_mosaic(s, d):
     return joins.explode_blocks(mosaic.mosaic_blocks(b, ["band"], "time_idx"), 8).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
-@query("WITH cell AS (SELECT s_nationkey AS band, s_suppkey AS k, p, ((s_suppkey * 7 + p * 13) % 1000)::DOUBLE AS v FROM supplier, range(65536) AS t(p) WHERE (s_suppkey + p) % 3 <> 0 AND s_suppkey % 17 <> 3), top AS (SELECT band, p, arg_max(v, k) AS v FROM cell GROUP BY ALL) SELECT band, count(*) AS n_valid, sum(v) AS total, sum(v * (p % 97)) AS weighed FROM top GROUP BY band")
+@query("WITH cell AS (SELECT s_nationkey AS band, s_suppkey AS k, p, (s_suppkey * 7 + p)::DOUBLE AS v FROM supplier, range(65536) AS t(p) WHERE p >= s_suppkey * 4099 % 65536 AND s_suppkey % 17 <> 3), top AS (SELECT band, p, arg_max(v, k) AS v FROM cell GROUP BY ALL) SELECT band, count(*) AS n_valid, sum(v) AS total, sum(v * (p % 97)) AS weighed FROM top GROUP BY band")
 def block_mosaic_256(s, d):
-    """Blocks of 256 x 256 pixels, one a supplier and a third of it missing; digests of the mosaics' values and places."""
-    every = F.sequence(F.lit(0), F.lit(256 * 256 - 1))
-    valid = (F.col("s_suppkey") % 17 != 3)
-    data = F.transform(every, lambda p: F.when(((F.col("s_suppkey") + p) % 3 != 0) & valid, ((F.col("s_suppkey") * 7 + p * 13) % 1000).cast("double")))
-    blocks_ = table(s, d, "supplier").select(F.col("s_nationkey").alias("band"), F.col("s_suppkey").alias("k"), data.alias("data"))
+    """Blocks of 256 x 256 pixels, one a supplier, each missing up to a row of its own; digests of values and places."""
+    k = F.col("s_suppkey")
+    begin = (k * 4099 % 65536).cast("int")
+    data = F.concat(F.array_repeat(F.lit(None).cast("double"), begin), F.sequence(k * 7 + begin, k * 7 + 65535).cast("array<double>"))
+    data = F.when(k % 17 != 3, data)
+    blocks_ = table(s, d, "supplier").select(F.col("s_nationkey").alias("band"), k.alias("k"), data.alias("data"))
     px = mosaic.mosaic_blocks(blocks_, ["band"], "k").select("band", F.posexplode("data").alias("p", "v")).filter("v IS NOT NULL")
     return px.groupBy("band").agg(F.count(F.lit(1)).alias("n_valid"), F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("p") % 97)).alias("weighed"))
 

@@ -70,7 +70,9 @@ class Scan:
         d = self.cells.withColumn("w", right - left).withColumn("h", bottom - top).withColumn("col_off", left).withColumn("row_off", top)
         d = joins.chunks_of(d, self.spec.shape, self.chunk)
         # a raster is opened once for so many rows of its chunks, not by one task for all of a large one
-        return d.repartition("url", F.floor(F.col("cy") / CHUNK_ROWS)).sortWithinPartitions("url", "cy", "cx")
+        # (of a given number of partitions: Spark would join those that are small, but what they lead to is large)
+        parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return d.repartition(parts, "url", F.floor(F.col("cy") / CHUNK_ROWS)).sortWithinPartitions("url", "cy", "cx")
 
     def pixels(self) -> DataFrame:
         return scan(self)
@@ -250,23 +252,27 @@ def warp_block(raster: readers.Dataset, spec: GridSpec, iy: np.ndarray, ix: np.n
         return out
     xres, yres = spec.resolutions_xy
 
-    def place(of: readers.Dataset, dx: float, dy: float) -> tuple[np.ndarray, np.ndarray]:
+    warped = bool(raster.epsg) and raster.epsg != spec.epsg
+    # without a change of CRS, what is outermost in the block is so in the raster
+    outer = (iy, ix) if warped else (np.array([iy.min(), iy.min(), iy.max(), iy.max()]), np.array([ix.min(), ix.max(), ix.min(), ix.max()]))
+
+    def place(of: readers.Dataset, dx: float, dy: float, iy: np.ndarray = iy, ix: np.ndarray = ix) -> tuple[np.ndarray, np.ndarray]:
         h, w = of.shape
         t = of.transform or ((box[2] - box[0]) / w, 0.0, box[0], 0.0, -(box[3] - box[1]) / h, box[3])
         det = t[0] * t[4] - t[1] * t[3]
         x, y = spec.bounds[0] + (ix + dx) * xres, spec.bounds[3] - (iy + dy) * yres
-        if raster.epsg and raster.epsg != spec.epsg:
+        if warped:
             x, y = crs.transform(x, y, spec.epsg, raster.epsg)
         return (t[4] * (x - t[2]) - t[1] * (y - t[5])) / det, (-t[3] * (x - t[2]) + t[0] * (y - t[5])) / det
 
     def step(of: readers.Dataset) -> float:
         """Source pixels that an output pixel has on a side."""
-        (x0, y0), (x1, y1) = place(of, 0.0, 0.0), place(of, 1.0, 1.0)
+        (x0, y0), (x1, y1) = place(of, 0.0, 0.0, *outer), place(of, 1.0, 1.0, *outer)
         return float(np.median(np.maximum(np.abs(x1 - x0), np.abs(y1 - y0))))
 
-    level = raster.at(step(raster))
+    level = raster.at(step(raster)) if getattr(raster, "levels", ()) else raster
     h, w = level.shape
-    ends = [place(level, dx, dy) for dx in (0.0, 1.0) for dy in (0.0, 1.0)]
+    ends = [place(level, dx, dy, *outer) for dx in (0.0, 1.0) for dy in (0.0, 1.0)]
     low, high = (np.array([f([e[k] for e in ends]) for k in (1, 0)]) for f in (np.min, np.max))
     y0, x0 = np.clip(np.floor(low).astype(int) - MARGIN, 0, (h, w))
     y1, x1 = np.clip(np.ceil(high).astype(int) + MARGIN, 0, (h, w))

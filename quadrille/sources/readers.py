@@ -23,7 +23,7 @@ class Dataset(Protocol):
     def shape(self) -> tuple[int, int]: ...
 
     def at(self, step: float) -> Dataset:
-        """The coarsest level of it that is no coarser than ``step`` of its pixels."""
+        """The coarsest level of it that is no coarser than ``step`` of its pixels; asked for if it has ``levels``."""
         ...
 
     def block(self, y0: int, y1: int, x0: int, x1: int) -> np.ndarray:
