@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import crs, media, metadata, values
 from ..functions.frames import ship
 from ..functions.grid import Bbox, GridSpec, check_anchor, window_of
+from ..functions.timing import timed
 from ..operators import joins, mosaic, reduce, select, warp
 from ..sources import env, readers
 from . import chunks as chunking
@@ -415,7 +416,8 @@ def stack(
         raise NotImplementedError(f"resampling {resampling!r} is not one of {', '.join(RESAMPLINGS)}")
     if xy_coords is not False:
         check_anchor(xy_coords)
-    p = plan(spark, items, assets, epsg, resolution, bounds, bounds_latlon, snap_bounds, rescale, dtype, sortby_date, strict_dtype)
+    with timed("planning"):
+        p = plan(spark, items, assets, epsg, resolution, bounds, bounds_latlon, snap_bounds, rescale, dtype, sortby_date, strict_dtype)
     height, width = p.spec.shape
     if reader is readers.pick:
         closed = p.cells.filter(F.col("url").rlike(NO_READER)).select("url").head()
@@ -428,5 +430,6 @@ def stack(
     cells = p.cells.select("*", *[c.alias(n) for c, n in zip(window_of(box, p.spec.bounds[0], p.spec.bounds[3], xres, yres), ("col_off", "row_off", "w", "h"), strict=True)])
     options = gdal_env if isinstance(gdal_env, env.LayeredOptions) else env.LayeredOptions(always=gdal_env or {})
     part = Scan(cells, p.spec, (max(chunks[2]), max(chunks[3])), reader, options, tuple(errors_as_nodata), resampling, values.spark_type(dtype), (0, 0, height, width))
-    t, b = dims(p.items, properties, p.bands, band_coords, p.spec.epsg, spark)
+    with timed("labels"):
+        t, b = dims(p.items, properties, p.bands, band_coords, p.spec.epsg, spark)
     return Stack(part, t, b, p.spec, xy_coords, shape, chunks, fill_value)
