@@ -29,9 +29,8 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Writes a table once, so that what it takes to make it is not planned or run again by all that follows."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session that the driver and all executors share."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         base = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +39,13 @@ def materialised(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         sc.setCheckpointDir(base)
+    at = sc._jsc.sc().getCheckpointDir().get()
+    return at.replace("file:/", "file:///", 1) if at.startswith("file:/") and not at.startswith("file://") else at
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Writes a table once, so that what it takes to make it is not planned or run again by all that follows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

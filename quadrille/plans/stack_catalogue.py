@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata
+from ..functions.frames import shared_folder
 from ..functions.grid import GridSpec
 from ..operators import warp
+from ..sources import catalogues
 from ..sources import items as sources
 from .catalogue import query
 from .planner import asset_ids, plan
@@ -132,3 +136,11 @@ def stack_mosaic_reprojected(s, d):
     a, top = st.spec.bounds[0], st.spec.bounds[3]
     to = GridSpec(32613, (a + SIDE, top - 2 * SIDE - 5 * SIDE, a + 8 * SIDE, top - 2 * SIDE), (SIDE, SIDE))
     return warp.reproject(st.mosaic(), st.spec, to, st.band_dim.select("band_idx"), ["band_idx"], "nearest")
+
+
+@query("SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::INT AS item_idx, o_orderkey::VARCHAR AS id, o_custkey % 100 AS cloud, list_contains(['B1', CASE WHEN o_custkey % 3 = 0 THEN 'B2' END, 'meta'], 'B2') IS TRUE AS both FROM orders")
+def catalogue_crawl(s, d):
+    """All orders' items, published as a tree of linked files and read back by following its links."""
+    root = catalogues.publish(catalogue_items(s, d), f"{shared_folder(s)}/catalogue-{uuid.uuid4().hex}", per_page=500, fan=20)
+    items = sources.rows(s, catalogues.crawl(s, root))
+    return items.select("item_idx", "id", F.col("properties")["eo:cloud_cover"].cast("long").alias("cloud"), F.col("assets").getItem("B2").isNotNull().alias("both"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import materialised, numbered, ship
@@ -42,6 +42,55 @@ def parsed(url: str, place: Sequence[int], text: bytes) -> dict:
     return {"url": url, "place": list(place), "items": [json.dumps(f) for f in found], "links": links}
 
 
+def stored(url: str, text: str) -> None:
+    import pyarrow.fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(url if "://" in url else f"file://{url}")
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(path) as f:
+        f.write(text.encode())
+
+
+def publish(items: DataFrame, folder: str, per_page: int = 1000, fan: int = 100) -> str:
+    """Writes items (item_idx, json) as a static catalogue and gives its root: pages of features below levels of links.
+
+    A page holds the items of ``per_page`` numbers and a document links at most ``fan`` others, so no task gets an unbounded
+    group. Rows without a number or JSON are left out, and ``crawl`` of the root gives the others in their order. A task that
+    is repeated writes the same files again.
+    """
+    spark, folder = items.sparkSession, folder.rstrip("/")
+    ship(spark)
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url, text in zip(batch.column("url").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                stored(url, text)
+            yield batch.select(["node"])
+
+    def name(level: int) -> Column:
+        return F.concat(F.lit(f"{level}/"), F.col("node").cast("string"), F.lit(".json"))
+
+    def written(docs: DataFrame, level: int) -> DataFrame:
+        return materialised(docs.select("node", F.concat(F.lit(f"{folder}/"), name(level)).alias("url"), "text").mapInArrow(put, "node long"))
+
+    rows = items.filter("item_idx IS NOT NULL AND json IS NOT NULL").select(F.floor(F.col("item_idx") / per_page).alias("node"), F.struct("item_idx", "json").alias("i"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda i: i["json"]), ",")
+    nodes = written(rows.groupBy("node").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), texts, F.lit("]}")).alias("text")), 0)
+    level, rel = 0, "items"
+    while True:
+        link = F.concat(F.lit(f'{{"rel":"{rel}","href":"../'), name(level), F.lit('"}'))
+        up = nodes.select(F.floor(F.col("node") / fan).alias("up"), F.struct("node", link.alias("text")).alias("l"))
+        texts = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda v: v["text"]), ",")
+        docs = up.groupBy(F.col("up").alias("node")).agg(F.concat(F.lit('{"type":"Catalog","links":['), texts, F.lit("]}")).alias("text"))
+        level, rel = level + 1, "child"
+        nodes = written(docs, level)
+        first, last = nodes.agg(F.min("node"), F.max("node")).head()
+        if first is None:
+            stored(f"{folder}/{level}/0.json", '{"type":"Catalog","links":[]}')
+        if first is None or first == last:
+            return f"{folder}/{level}/{first or 0}.json"
+
+
 def crawl(spark: SparkSession, roots: str | Sequence[str], fetch: Callable[[str], bytes] = fetched, errors_as_missing: Iterable[BaseException] = MISSING) -> DataFrame:
     """(item_idx, url, json) of every item that the links of the given documents lead to.
 

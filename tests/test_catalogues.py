@@ -78,3 +78,14 @@ def test_a_crawled_catalogue_is_stacked(spark, tmp_path):
     (tmp_path / "cat.json").write_text(json.dumps({"type": "Catalog", "links": links}))
     s = stack(spark, catalogues.crawl(spark, (tmp_path / "cat.json").as_uri()), resolution=100)
     assert {(r["time_idx"], r["ix"], r["v"]) for r in s.pixels.collect()} == {(2, 0, 0.0), (1, 1, 1.0), (0, 2, 2.0)}
+
+
+@pytest.mark.parametrize("numbers", [[], [5], [3, 1, 2, 40, 41, 7, 999, 12345, 12344, 64]])
+def test_published_items_come_back_in_order(spark, tmp_path, numbers):
+    rows = [(i, json.dumps(feature(f"i{i}"))) for i in numbers] + [(None, "{}"), (8, None)]
+    root = catalogues.publish(spark.createDataFrame(rows, "item_idx long, json string"), (tmp_path / "x").as_uri(), per_page=4, fan=3)
+    got = catalogues.crawl(spark, root).orderBy("item_idx").collect()
+    assert [json.loads(r["json"])["id"] for r in got] == [f"i{i}" for i in sorted(numbers)]
+    for f in (tmp_path / "x").rglob("*.json"):
+        doc = json.loads(f.read_text())
+        assert len(doc.get("features", [])) <= 4 and len(doc.get("links", [])) <= 3
