@@ -26,7 +26,7 @@ DELTA = (2 * N - 2 * N**2 / 3 - 2 * N**3, 7 * N**2 / 3 - 8 * N**3 / 5, 56 * N**3
 
 class _Columns:
     sin, cos, tan, sinh, cosh, exp, log = F.sin, F.cos, F.tan, F.sinh, F.cosh, F.exp, F.log
-    arcsin, arctan, arctan2, arctanh, sqrt, radians, degrees = F.asin, F.atan, F.atan2, F.atanh, F.sqrt, F.radians, F.degrees
+    arcsin, arctan, arctan2, arctanh, sqrt, radians, degrees, floor, power = F.asin, F.atan, F.atan2, F.atanh, F.sqrt, F.radians, F.degrees, F.floor, F.power
 
 
 def _lib(x):
@@ -105,7 +105,10 @@ def transform(x, y, from_epsg: int, to_epsg: int):
     if to_epsg == 4326:
         return (x, y) if column else _finite(x, y)
     if to_epsg in projections.SYSTEMS:
-        out = projections.system(to_epsg).forward(_lib(x), x, y)
+        system = projections.system(to_epsg)
+        if column and isinstance(system, projections.Conformal):
+            y = F.when(y * math.copysign(1.0, system.n) > -90, y)  # the cone's open end
+        out = system.forward(_lib(x), x, y)
         return out if column else _finite(*out)
     if column:
         y = F.when(F.abs(y) < 90, y)

@@ -1,4 +1,5 @@
-"""Closed forms of three projections of the ellipsoid, on columns or numbers: azimuthal and conical equal-area, polar stereographic.
+"""Closed forms of six projections of the ellipsoid, on columns or numbers: azimuthal and conical equal-area, polar stereographic,
+conical conformal, transverse Mercator and sinusoidal, and the step from WGS 84 to older datums.
 
 Each is set up once for its parameters and then maps lon, lat in degrees to metres and back. Latitudes come back by the
 series in the authalic or conformal latitude, which are exact to less than a millimetre.
@@ -10,6 +11,9 @@ import functools
 import math
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Semi-major axis, and flattenings of WGS 84 and GRS 80.
 A, WGS84, GRS80 = 6378137.0, 1 / 298.257223563, 1 / 298.257222101
 #: Method and parameters by EPSG code. Equal-area: latitude and longitude of origin (and parallels), false
@@ -29,6 +33,30 @@ SYSTEMS = {
     3031: ("polar", WGS84, -1, None, 71.0, 0.0, 0.0, 0.0),
     3976: ("polar", WGS84, -1, None, 70.0, 0.0, 0.0, 0.0),
 }
+#: Axis and flattening of other ellipsoids.
+GRS, AIRY, BESSEL = (A, GRS80), (6377563.396, 1 / 299.3249646), (6377397.155, 1 / 299.1528128)
+#: Shifts (m), turns (seconds of arc, position vector) and scale (ppm) that lead from a datum to WGS 84.
+OSGB36 = (446.448, -125.157, 542.06, 0.15, 0.247, 0.842, -20.489)
+DHDN = (598.1, 73.7, 418.2, 0.202, 0.045, -2.455, 6.7)
+#: Fixed values. Conformal: origin, parallels of true scale, false values. Transverse: origin, scale, false values, datum.
+SYSTEMS |= {
+    2154: ("conformal", GRS, 46.5, 3.0, 49.0, 44.0, 700000.0, 6600000.0),
+    3034: ("conformal", GRS, 52.0, 10.0, 35.0, 65.0, 4000000.0, 2800000.0),
+    3978: ("conformal", GRS, 49.0, -95.0, 49.0, 77.0, 0.0, 0.0),
+    3979: ("conformal", GRS, 49.0, -95.0, 49.0, 77.0, 0.0, 0.0),
+    3112: ("conformal", GRS, 0.0, 134.0, -18.0, -36.0, 0.0, 0.0),
+    2180: ("transverse", GRS, 0.0, 19.0, 0.9993, 500000.0, -5300000.0),
+    2193: ("transverse", GRS, 0.0, 173.0, 0.9996, 1600000.0, 10000000.0),
+    3067: ("transverse", GRS, 0.0, 27.0, 0.9996, 500000.0, 0.0),
+    27700: ("transverse", AIRY, 49.0, -2.0, 0.9996012717, 400000.0, -100000.0, OSGB36),
+}
+#: Zones of 6 degrees of ETRS89 and NAD83, and of 3 degrees of DHDN.
+SYSTEMS |= {25800 + z: ("transverse", GRS, 0.0, 6.0 * z - 183, 0.9996, 500000.0, 0.0) for z in range(28, 39)}
+SYSTEMS |= {26900 + z: ("transverse", GRS, 0.0, 6.0 * z - 183, 0.9996, 500000.0, 0.0) for z in range(1, 24)}
+SYSTEMS |= {31464 + z: ("transverse", BESSEL, 0.0, 3.0 * z, 1.0, 1e6 * z + 500000, 0.0, DHDN) for z in range(2, 6)}
+#: The sinusoidal grid of MODIS, on its sphere. It has no EPSG code; numbers above 100,000 are this library's own.
+MODIS = 100001
+SYSTEMS[MODIS] = ("sinusoidal", 6371007.181, 0.0)
 
 
 class Ellipsoid:
@@ -56,7 +84,7 @@ class Ellipsoid:
 
 
 class _Math:
-    sin, cos, log = math.sin, math.cos, math.log
+    sin, cos, log, arctanh = math.sin, math.cos, math.log, math.atanh
 
 
 @dataclass
@@ -154,7 +182,183 @@ class Polar:
         return m.degrees(m.arctan2(u, v)) + self.lon0, m.degrees(self.ell.series(m, chi, self.ell.conformal)) * self.pole
 
 
+@dataclass
+class Conformal:
+    """Lambert's conical conformal projection; with one parallel, both are the same and a scale may go with it."""
+
+    shape: tuple[float, float]
+    lat0: float
+    lon0: float
+    lat1: float
+    lat2: float
+    east0: float
+    north0: float
+    scale: float = 1.0
+
+    def __post_init__(self):
+        axis, flat = self.shape
+        self.ell = Ellipsoid(flat)
+        (w1, p1), (w2, p2) = ((self.ell.width(math.radians(p)), self.isometric(_Math, math.sin(math.radians(p)))) for p in (self.lat1, self.lat2))
+        self.n = math.sin(math.radians(self.lat1)) if self.lat1 == self.lat2 else math.log(w1 / w2) / (p2 - p1)
+        self.unit = axis * self.scale * w1 / self.n * math.exp(p1 * self.n)
+        self.rho0 = self.unit * math.exp(-self.n * self.isometric(_Math, math.sin(math.radians(self.lat0))))
+
+    def isometric(self, m, s):
+        """The isometric latitude, by the sine of the latitude."""
+        return m.arctanh(s) - m.arctanh(s * self.ell.e) * self.ell.e
+
+    def forward(self, m, lon, lat):
+        rho = m.exp(self.isometric(m, m.sin(m.radians(lat))) * -self.n) * self.unit
+        turn = m.radians(nearest_turn(m, lon - self.lon0)) * self.n
+        return rho * m.sin(turn) + self.east0, self.rho0 - rho * m.cos(turn) + self.north0
+
+    def back(self, m, x, y):
+        sign = math.copysign(1.0, self.n)
+        u, v = (x - self.east0) * sign, (self.rho0 - (y - self.north0)) * sign
+        t = m.power(m.sqrt(u * u + v * v) / abs(self.unit), 1 / self.n)
+        chi = math.pi / 2 - m.arctan(t) * 2
+        return m.degrees(m.arctan2(u, v)) / self.n + self.lon0, m.degrees(self.ell.series(m, chi, self.ell.conformal))
+
+
+@dataclass
+class Transverse:
+    """Transverse Mercator of any ellipsoid, by the series in its third flattening."""
+
+    shape: tuple[float, float]
+    lat0: float
+    lon0: float
+    scale: float
+    east0: float
+    north0: float
+    datum: tuple | None = None
+
+    def __post_init__(self):
+        axis, flat = self.shape
+        n = flat / (2 - flat)
+        self.ell = Ellipsoid(flat)
+        self.unit = self.scale * axis / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+        self.there = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+        self.here = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+        s = math.sin(math.radians(self.lat0))
+        chi = math.asin(math.tanh(math.atanh(s) - self.ell.e * math.atanh(self.ell.e * s)))
+        self.origin = chi + sum(a * math.sin(2 * j * chi) for j, a in enumerate(self.there, 1))
+
+    def forward(self, m, lon, lat):
+        s, e = m.sin(m.radians(lat)), self.ell.e
+        t = m.sinh(m.arctanh(s) - m.arctanh(s * e) * e)
+        d = m.radians(nearest_turn(m, lon - self.lon0))
+        xi, eta = m.arctan2(t, m.cos(d)), m.arctanh(m.sin(d) / m.sqrt(t * t + 1))
+        east, north = eta, xi - self.origin
+        for j, a in enumerate(self.there, 1):
+            east = east + m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * a
+            north = north + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * a
+        return east * self.unit + self.east0, north * self.unit + self.north0
+
+    def back(self, m, x, y):
+        xi, eta = (y - self.north0) / self.unit + self.origin, (x - self.east0) / self.unit
+        p, q = xi, eta
+        for j, b in enumerate(self.here, 1):
+            p = p - m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * b
+            q = q - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
+        chi = m.arcsin(m.sin(p) / m.cosh(q))
+        return m.degrees(m.arctan2(m.sinh(q), m.cos(p))) + self.lon0, m.degrees(self.ell.series(m, chi, self.ell.conformal))
+
+
+@dataclass
+class Sinusoidal:
+    """On a sphere."""
+
+    radius: float
+    lon0: float
+
+    def forward(self, m, lon, lat):
+        phi = m.radians(lat)
+        return m.radians(nearest_turn(m, lon - self.lon0)) * m.cos(phi) * self.radius, phi * self.radius
+
+    def back(self, m, x, y):
+        phi = y / self.radius
+        return m.degrees(x / (m.cos(phi) * self.radius)) + self.lon0, m.degrees(phi)
+
+
+def nearest_turn(m, angle):
+    """Degrees within half a turn of 0: a point west of the antimeridian and one east of it stay neighbours."""
+    return angle - m.floor((angle + 180) / 360) * 360.0
+
+
+def helmert(p: tuple, datum: tuple, inverse: bool = False) -> tuple:
+    """Geocentric metres by seven parameters (to WGS 84), position vector convention, and back to first order in the turns."""
+    dx, dy, dz, *turns, ppm = datum
+    rx, ry, rz = (math.radians(r / 3600) * (-1 if inverse else 1) for r in turns)
+    x, y, z = (p[0] - dx, p[1] - dy, p[2] - dz) if inverse else p
+    k = 1 / (1 + ppm * 1e-6) if inverse else 1 + ppm * 1e-6
+    x, y, z = (x - y * rz + z * ry) * k, (x * rz + y - z * rx) * k, (y * rx + z - x * ry) * k
+    return (x, y, z) if inverse else (x + dx, y + dy, z + dz)
+
+
+def geocentric(m, lon, lat, shape: tuple[float, float]) -> tuple:
+    """Metres from the centre of a point on the ellipsoid."""
+    axis, flat = shape
+    e2 = flat * (2 - flat)
+    lam, phi = m.radians(lon), m.radians(lat)
+    r = axis / m.sqrt(1 - m.sin(phi) * m.sin(phi) * e2)
+    return r * m.cos(phi) * m.cos(lam), r * m.cos(phi) * m.sin(lam), r * m.sin(phi) * (1 - e2)
+
+
+def geodetic(m, x, y, z, shape: tuple[float, float]) -> tuple:
+    """lon, lat of a geocentric point, by the parametric latitude; exact to far below a millimetre near the ground."""
+    axis, flat = shape
+    e2, b = flat * (2 - flat), axis * (1 - flat)
+    p = m.sqrt(x * x + y * y)
+    beta = m.arctan2(z * axis, p * b)
+    s, c = m.sin(beta), m.cos(beta)
+    return m.degrees(m.arctan2(y, x)), m.degrees(m.arctan2(z + s * s * s * (b * e2 / (1 - e2)), p - c * c * c * (axis * e2)))
+
+
+def between(m, lon, lat, datum: tuple, shape: tuple[float, float], to_wgs84: bool) -> tuple:
+    """A point on the ground in the other datum. Heights above the ellipsoids are taken for 0."""
+    a, b = (shape, (A, WGS84)) if to_wgs84 else ((A, WGS84), shape)
+    return geodetic(m, *helmert(geocentric(m, lon, lat, a), datum, inverse=not to_wgs84), b)
+
+
+def chain(x, y, *steps):
+    """Steps from pairs to pairs. Of columns, each step is in the plan once, as the body of a function of its argument."""
+    if not isinstance(x, Column):
+        for step in steps:
+            x, y = step(x, y)
+        return x, y
+
+    def pair(x, y):
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def body(step):
+        return lambda p: pair(*step(p["x"], p["y"]))
+
+    out = F.array(pair(x, y))
+    for step in steps:
+        out = F.transform(out, body(step))
+    return out[0]["x"], out[0]["y"]
+
+
+@dataclass
+class Shifted:
+    """A projection of a datum other than WGS 84, from and to WGS 84."""
+
+    inner: Transverse
+
+    def forward(self, m, lon, lat):
+        i = self.inner
+        return chain(lon, lat, lambda a, b: between(m, a, b, i.datum, i.shape, False), lambda a, b: i.forward(m, a, b))
+
+    def back(self, m, x, y):
+        i = self.inner
+        return chain(x, y, lambda a, b: i.back(m, a, b), lambda a, b: between(m, a, b, i.datum, i.shape, True))
+
+
+KINDS = {"azimuthal": Azimuthal, "conical": Conical, "polar": Polar, "conformal": Conformal, "transverse": Transverse, "sinusoidal": Sinusoidal}
+
+
 @functools.cache
-def system(epsg: int) -> Azimuthal | Conical | Polar:
+def system(epsg: int) -> Azimuthal | Conical | Polar | Conformal | Transverse | Sinusoidal | Shifted:
     method, *parameters = SYSTEMS[epsg]
-    return {"azimuthal": Azimuthal, "conical": Conical, "polar": Polar}[method](*parameters)
+    made = KINDS[method](*parameters)
+    return Shifted(made) if getattr(made, "datum", None) else made

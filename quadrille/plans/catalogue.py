@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import crs, geometry, grid, media, metadata, values
+from ..functions import crs, geometry, grid, media, metadata, projections, values
 from ..functions.grid import GridSpec
 from ..operators import coords, joins, mosaic, reduce, render, select, show, warp
 from ..sources import items as sources
@@ -260,6 +260,36 @@ def lonlat_to_utm(s, d):
     return scenes(s, d).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+def lambert_sql(lon: str, lat: str) -> tuple[str, str]:
+    """Easting and northing in EPSG:2154 by the tangents of half angles, for the oracle."""
+    e, n0, n1, n2 = "0.08181919104281579::DOUBLE", "46.5", "49.0", "44.0"
+    t = lambda p: f"(tan(pi() / 4 - radians({p}) / 2) / pow((1 - {e} * sin(radians({p}))) / (1 + {e} * sin(radians({p}))), {e} / 2))"
+    m = lambda p: f"(cos(radians({p})) / sqrt(1 - pow({e} * sin(radians({p})), 2)))"
+    n = f"((ln({m(n1)}) - ln({m(n2)})) / (ln({t(n1)}) - ln({t(n2)})))"
+    r = lambda p: f"(6378137.0::DOUBLE * {m(n1)} / ({n} * pow({t(n1)}, {n})) * pow({t(p)}, {n}))"
+    turn = f"({n} * radians({lon} - 3))"
+    return f"(700000 + {r(lat)} * sin({turn}))", f"(6600000 + {r(n0)} - {r(lat)} * cos({turn}))"
+
+
+_LX, _LY = lambert_sql("lon", "lat")
+
+
+@query(f"WITH {SC}, u0 AS (SELECT id, minx / 20 AS lon, miny / 4 + 45 AS lat FROM scenes) SELECT id, round({_LX}, 3) AS x, round({_LY}, 3) AS y, round(6371007.181::DOUBLE * radians(lon) * cos(radians(lat)), 3) + 0.0 AS sx, round(6371007.181::DOUBLE * radians(lat), 3) AS sy FROM u0")
+def lonlat_to_lambert_and_sinusoidal(s, d):
+    lon, lat = F.col("minx") / 20, F.col("miny") / 4 + 45
+    x, y = crs.transform(lon, lat, 4326, 2154)
+    sx, sy = crs.transform(lon, lat, 4326, projections.MODIS)
+    return scenes(s, d).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), (F.round(sx, 3) + 0.0).alias("sx"), F.round(sy, 3).alias("sy"))
+
+
+@query(f"WITH {SC} SELECT id, round(-5 + minx / 60, 7) AS lon, round(54 + miny / 20, 7) AS lat FROM scenes")
+def old_datum_round_trip(s, d):
+    """To the British grid, on an older ellipsoid and datum, and back."""
+    x, y = crs.transform(F.col("minx") / 60 - 5, F.col("miny") / 20 + 54, 4326, 27700)
+    lon, lat = crs.transform(F.col("x"), F.col("y"), 27700, 4326)
+    return scenes(s, d).select("id", x.alias("x"), y.alias("y")).select("id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
 @query(f"WITH {SC}, u0 AS (SELECT id, minx / 100 - 105 AS lon, miny AS lat FROM scenes) SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM u0")
 def utm_round_trip(s, d):
     x, y = crs.transform(F.col("minx") / 100 - 105, F.col("miny"), 4326, 32613)
