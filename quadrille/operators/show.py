@@ -87,7 +87,10 @@ class Layer:
         """z, x, y and png of every tile that the layer touches."""
         zooms = list(zooms) if zooms is not None else [self.zoom()]
         levels = self.wide.sparkSession.createDataFrame([(int(z),) for z in zooms], "z int")
-        wanted = tiles_of_bounds(levels, [F.lit(v) for v in self.box()], F.col("z")).select("z", "x", "y")
+        return self.picture(tiles_of_bounds(levels, [F.lit(v) for v in self.box()], F.col("z")).select("z", "x", "y"))
+
+    def picture(self, wanted: DataFrame) -> DataFrame:
+        """z, x, y and png of the given tiles."""
         pixels = tile_pixels(self.wide, self.names, self.spec, wanted, self.interpolation, self.tilesize)
         return render.encode_tiles(render.rgba(pixels, self.names, self.vrange, self.checkerboard, self.cmap), ["z", "x", "y"], (self.tilesize, self.tilesize))
 
