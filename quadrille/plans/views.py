@@ -13,7 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem")
+    return pixels_of(table(spark, sf_dir, "lineitem"))
+
+
+def pixels_of(d: DataFrame) -> DataFrame:
     return d.select(
         F.col("l_shipdate").alias("t"),
         F.col("l_orderkey").alias("item"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.mosaic import NAN, check_nodata, valid_pixel
+from .kept import keep
 
 
 def stream_mosaic(px: DataFrame, by: Sequence[str], order: str, value: str = "v", reverse: bool = False, nodata=NAN) -> DataFrame:
@@ -25,38 +25,5 @@ def stream_mosaic(px: DataFrame, by: Sequence[str], order: str, value: str = "v"
 
 
 def keep_mosaic(px: DataFrame, folder: str, checkpoint: str, by: Sequence[str], order: str, value: str = "v", reverse: bool = False, nodata=NAN) -> DataStreamWriter:
-    """A writer that keeps a mosaic in ``folder``: each batch's changed pixels are a folder of their own.
-
-    A batch that is repeated after a failure overwrites its folder, so the mosaic stays right. ``current`` reads it.
-    """
-
-    def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/_batch={batch}")
-
-    best = stream_mosaic(px, by, order, value, reverse, nodata)
-    return best.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
-
-
-def current(spark: SparkSession, folder: str, by: Sequence[str]) -> DataFrame | None:
-    """The mosaic that ``keep_mosaic`` has written: of each pixel what the latest batch says. None before the first batch."""
-    try:
-        rows = spark.read.option("basePath", folder).parquet(folder.rstrip("/") + "/_batch=*")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    rest = [c for c in rows.columns if c not in (*by, "_batch")]
-    latest = rows.groupBy(*by).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
-    return latest.select(*by, "_r.*")
-
-
-def compacted(spark: SparkSession, folder: str, to: str, by: Sequence[str]) -> None:
-    """Writes the mosaic as one batch to another folder, so that reading it doesn't take all batches that ever were.
-
-    Its number is the latest one's; batches that come after it can be written next to it.
-    """
-    rows = current(spark, folder, by)
-    if rows is None:
-        return
-    last = spark.read.option("basePath", folder).parquet(folder.rstrip("/") + "/_batch=*").agg(F.max("_batch")).head()[0]
-    rows.write.mode("overwrite").parquet(f"{to.rstrip('/')}/_batch={last}")
+    """A writer that keeps a mosaic in ``folder``, each batch's changed pixels; ``kept.current`` reads it."""
+    return keep(stream_mosaic(px, by, order, value, reverse, nodata), folder, checkpoint)

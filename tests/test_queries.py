@@ -4,7 +4,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from quadrille.plans import catalogue, stack_catalogue  # noqa: F401
+from quadrille.plans import catalogue, stack_catalogue, stream_catalogue  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"

@@ -3,7 +3,8 @@ import random
 import pytest
 
 from quadrille.operators.mosaic import mosaic
-from quadrille.streaming.mosaic import compacted, current, keep_mosaic, stream_mosaic
+from quadrille.streaming.kept import compacted, current
+from quadrille.streaming.mosaic import keep_mosaic, stream_mosaic
 
 BY = ["band", "iy", "ix"]
 NAN = float("nan")
