@@ -56,7 +56,7 @@ def test_crs_points_and_round_trips(spark):
     with pytest.raises(ValueError):
         crs.transform(0.0, 90.0, 4326, 3857)
     with pytest.raises(NotImplementedError):
-        crs.transform(0.0, 0.0, 4326, 2154)
+        crs.transform(0.0, 0.0, 4326, 28992)
     assert [round(v, 4) for v in crs.tile_bounds(3, 2, 5)] == [-10018754.1714, -10018754.1714, -5009377.0857, -5009377.0857]
 
 
