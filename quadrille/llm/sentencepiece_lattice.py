@@ -49,6 +49,8 @@ HEADS = 3
 SHORT = 62
 #: Words that a map task holds before it sends their counts.
 HELD = 300_000
+#: Parts into which the copies of a text are dealt out.
+SALTS = 16
 U = np.uint64
 CHAR_VALUE = kernel.mix(np.arange(1 << 16).astype(U) + U(kernel.BASE)) | U(1)
 
@@ -367,7 +369,7 @@ def head_of(words: DataFrame, most: int) -> tuple[Table, int]:
 
 
 def rare_words(docs: DataFrame, vocab, head) -> DataFrame:
-    """(key, h) of the words that the head lacks, long ones apart, once for a text."""
+    """(key, h) of the words that the head lacks, long ones apart, once for a key."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in groups(batches, 1):
@@ -405,8 +407,9 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
     """One row per input row: doc_id, ids, n_pieces, ids_crc32 (of the ids as unsigned 32-bit numbers), round_trip.
 
     round_trip tells whether the decoded ids are the text (they are unless it holds U+2581, which stands for a space).
-    Null and empty texts have no pieces. Repeated rows are encoded each. Long texts, and long runs in them, are encoded
-    whole. Other columns, whatever their names, are not read. An empty table gives an empty result.
+    Null and empty texts have no pieces. Repeated rows are encoded each. Copies of a text meet their rare words in SALTS
+    tasks, by their identifiers. Long texts, and long runs in them, are encoded whole. Other columns, whatever their
+    names, are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -417,7 +420,8 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
     head = spark.sparkContext.broadcast(table)
     del table  # the driver needs it no more
     trim()
-    keyed = docs.select(F.xxhash64(text).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    salt = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(SALTS))  # copies of a text are dealt out, each part with its rare words
+    keyed = docs.select(F.xxhash64(text, salt).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rare = rare_words(keyed.select("key", "text"), vocab, head).join(words.filter(F.col("n") < cutoff).select("h", "ids"), "h")
     rare = rare.groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("rare"))  # bounded by the text's words
     both = packed(keyed).join(rare, "key", "left").select("doc_id", "text", "rare")

@@ -30,6 +30,14 @@ def test_ids_equal_the_library(spark):
     assert texts == {(d, (t or "").replace("▁", " ")) for d, t, _ in rows}
 
 
+def test_copies_of_a_text_are_dealt_out_and_encoded_alike(spark):
+    v = sl.Vocabulary.load(sl.model_path())
+    rows = [(i, "unlikelyword in many copies", None) for i in range(200)] + [(200 + i, None, None) for i in range(200)]
+    got = sl.encode(spark.createDataFrame(rows, SCHEMA).repartition(5), v, head_size=0)
+    want = sentencepiece.SentencePieceProcessor(model_file=sl.model_path()).encode("unlikelyword in many copies")
+    assert {(tuple(r["ids"]), r["count"]) for r in got.groupBy("ids").count().collect()} == {((), 200), (tuple(want), 200)}
+
+
 def test_unigram_fold_equals_brute_force(spark):
     rng = random.Random(1)
     pieces = [sl.SPACE, *"abc", "ab", "bc", "ca", "abc", "cab", "aa", sl.SPACE + "a", "bca"]
