@@ -22,6 +22,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: A frame of at most this many rows may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Parts into which the rows of a key are dealt out.
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
 
 
+def salted(rows: DataFrame, few: DataFrame, key: str, by: list[str], parts: int = SALTS) -> DataFrame:
+    """rows joined with few, which has one row a key: it goes to every part of its key, rows to one each by a hash of ``by``."""
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")).join(few, [key, "_salt"]).drop("_salt")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as it takes to differ from all columns of the frame."""
     taken = {c.lower() for c in df.columns}

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import only_kept, same, settle, ship, stored, trimmed
+from .common import only_kept, salted, same, settle, ship, stored, trimmed
 from .components import SALTS, components
 
 U = np.uint64
@@ -574,8 +574,8 @@ def near_dedup(docs: DataFrame, spec: Spec | None = None, id_col: str = "doc_id"
     own = own.filter("n > 0").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("text_hash"))
     rows = settle(own.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times")))  # copies with other identifiers stay apart
-    first = rows.groupBy("root").agg(F.min(rank).alias("first"))
-    judged = rows.join(first, "root").withColumn("stays", same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    first = rows.groupBy("root").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("k"), F.max("times").alias("t")).filter("k > 1 OR t > 1")
+    judged = salted(rows, first.select("root", "first"), "root", ["doc_id", "text_hash"]).withColumn("stays", same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
     judged = settle(judged.filter("NOT stays OR times > 1").select("doc_id", "text_hash", "stays"))
     return only_kept(docs, [docs[id_col].cast("long"), F.xxhash64(docs[text_col])], judged)
 
