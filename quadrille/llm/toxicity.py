@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     """labels: doc_id and the label. The sample is the labelled documents with the least hashes, the same in any run.
 
     Null labels and identifiers are left out; of repeated ones the highest label counts, as it does for texts with the
-    same features, which count once. Features are counted and chosen in Spark; the driver gets the labels and which of
+    same features, which count once. Of different texts with one identifier that with the least hash counts. Features are counted and chosen in Spark; the driver gets the labels and which of
     at most FEATURES features each of at most ``sample`` documents holds. Without both kinds of labels nothing is learnt.
     """
     ship(docs.sparkSession)
@@ -156,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     picked = picked.groupBy("_l").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_l"), "_l").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.join(F.broadcast(picked), F.col("_id") == F.col("_l"))  # at most ``sample`` rows
-    rows = rows.select("_y", "_text").mapInArrow(trimmed(feature_lists), "label int, words array<long>")
+    one = F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text"))).alias("one")
+    rows = rows.groupBy("_l").agg(F.first("_y").alias("_y"), one).select("_y", F.col("one._text").alias("_text"))
+    rows = rows.mapInArrow(trimmed(feature_lists), "label int, words array<long>")
     rows = rows.select(F.monotonically_increasing_id().alias("id"), "label", F.xxhash64("words").alias("row"), F.size("words").alias("n"), "words")
     rows = stored(rows, "sample")
     once = rows.groupBy("row", "n").agg(F.max("label").alias("label"), F.min("id").alias("id"))  # without the words

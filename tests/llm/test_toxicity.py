@@ -71,6 +71,16 @@ def test_nulls_ties_and_empty_tables(spark):
     assert toxicity.score(docs.limit(0), model).collect() == [] and toxicity.drop_toxic(docs.limit(0), model).collect() == []
 
 
+def test_repeated_identifiers_leave_the_sample_as_large_as_asked_for(spark, monkeypatch):
+    rows, labels = corpus(300, 4)
+    docs = spark.createDataFrame(rows + [(i, f"{t} again {k}", None) for i, t, _ in rows for k in range(3)], SCHEMA)
+    kept, sizes = toxicity.stored, []
+    monkeypatch.setattr(toxicity, "stored", lambda df, name: sizes.append(df.count()) or kept(df, name))
+    lab = spark.createDataFrame([*labels, *labels], "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab, sample=200)
+    assert sizes == [200] and (toxicity.fit(docs.repartition(5), lab, sample=200).weights == model.weights).all()
+
+
 def test_chosen_words_equal_brute_force(spark):
     rows, labels = corpus(400, 3)
     held = []
