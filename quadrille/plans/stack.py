@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from collections.abc import Set as AbstractSet
 from dataclasses import dataclass, replace
@@ -30,6 +31,8 @@ CHUNK_ROWS = 8
 BROADCAST_ITEMS = 500_000
 #: Pixels in a batch that a task hands on.
 BATCH = 1 << 16
+#: Rasters of at most so many pixels are read whole, and all their cells in a batch are looked up together.
+SMALL = 1 << 14
 #: Rasters of these kinds have no reader here.
 NO_READER = r"(?i)\.(jp2|j2k|jpx|jpf)(\?.*)?$"
 
@@ -304,8 +307,24 @@ def warp_block(raster: readers.Dataset, spec: GridSpec, iy: np.ndarray, ix: np.n
     return out
 
 
+def nearest_of(raster: readers.Dataset, data: np.ndarray, spec: GridSpec, iy: np.ndarray, ix: np.ndarray, box: Sequence[np.ndarray]) -> np.ndarray:
+    """What ``warp_block`` gives for "nearest" without a change of CRS, from a whole raster and a box for every pixel."""
+    (h, w), (xres, yres) = raster.shape, spec.resolutions_xy
+    t = raster.transform or ((box[2] - box[0]) / w, 0.0, box[0], 0.0, -(box[3] - box[1]) / h, box[3])
+    det = t[0] * t[4] - t[1] * t[3]
+    x, y = spec.bounds[0] + (ix + 0.5) * xres, spec.bounds[3] - (iy + 0.5) * yres
+    fx, fy = (t[4] * (x - t[2]) - t[1] * (y - t[5])) / det, (-t[3] * (x - t[2]) + t[0] * (y - t[5])) / det
+    inside = (fx >= 0) & (fx < w) & (fy >= 0) & (fy < h)
+    out = np.full(len(fx), np.nan)
+    out[inside] = data[np.floor(fy[inside]).astype(int), np.floor(fx[inside]).astype(int)]
+    return out
+
+
 def scan(s: Scan) -> DataFrame:
-    """Pixels of the scan's part. Tasks get rows (cell, cy, cx), sorted by url, so that a raster is opened once."""
+    """Pixels of the scan's part. Tasks get rows (cell, cy, cx), sorted by url, so that a raster is opened once.
+
+    Cells of a small raster are looked up together: most of the time would go into calls that do little each.
+    """
     spec, (ch, cw), (top, left, bottom, right) = s.spec, s.chunk, s.part
     reader, options, missing, resampling = s.reader, s.options, s.missing, s.resampling
     names = ["time_idx", "band_idx", "iy", "ix", "v"]
@@ -322,8 +341,51 @@ def scan(s: Scan) -> DataFrame:
         n = int(ok.sum())
         return [np.full(n, r["time_idx"], np.int32), np.full(n, r["band_idx"], np.int32), (iy[ok] - top).astype(np.int32), (ix[ok] - left).astype(np.int32), v[ok] * r["scale"] + r["offset"]]
 
+    def whole(raster: readers.Dataset) -> np.ndarray | None:
+        """All pixels, if the cells may be looked up in them; what can't be read whole is read cell by cell."""
+        h, w = raster.shape
+        if resampling != "nearest" or getattr(raster, "levels", ()) or (raster.epsg and raster.epsg != spec.epsg) or not 0 < h * w <= SMALL:
+            return None
+        try:
+            return raster.block(0, h, 0, w)
+        except Exception:  # it is met again, and judged, at the cells that need it
+            return None
+
+    def looked_up(c: dict[str, np.ndarray], raster: readers.Dataset, data: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """As ``pixels_of``, for cells of one raster."""
+        y0, x0 = np.maximum(np.maximum(top, c["cy"] * ch), c["row_off"].astype(int) - 1), np.maximum(np.maximum(left, c["cx"] * cw), c["col_off"].astype(int) - 1)
+        y1 = np.minimum(np.minimum(bottom, (c["cy"] + 1) * ch), (c["row_off"] + c["h"]).astype(int) + 2)
+        x1 = np.minimum(np.minimum(right, (c["cx"] + 1) * cw), (c["col_off"] + c["w"]).astype(int) + 2)
+        nx = np.maximum(0, x1 - x0)
+        ends = np.cumsum(nx * np.maximum(0, y1 - y0))
+        a = 0
+        while a < len(ends):
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + BATCH, "right")))
+            k = np.repeat(np.arange(a, b), np.diff(ends[a:b], prepend=before))
+            place = np.arange(before, ends[b - 1]) - np.concatenate([[0], ends])[k]
+            iy, ix = y0[k] + place // nx[k], x0[k] + place % nx[k]
+            v = nearest_of(raster, data, spec, iy, ix, [c[n][k] for n in ("minx", "miny", "maxx", "maxy")])
+            ok = ~np.isnan(v)
+            k = k[ok]
+            yield [c["time_idx"][k].astype(np.int32), c["band_idx"][k].astype(np.int32), (iy[ok] - top).astype(np.int32), (ix[ok] - left).astype(np.int32), v[ok] * c["scale"][k] + c["offset"][k]]
+            a = b
+
+    def found(batch: pa.RecordBatch, raster: readers.Dataset, data: np.ndarray | None, url: str) -> Iterator[list[np.ndarray]]:
+        """Pixels of cells of one raster."""
+        if data is not None:
+            c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "url"}
+            if all(np.isfinite(x).all() for x in c.values()):
+                yield from looked_up(c, raster, data)
+                return
+        for r in batch.to_pylist():
+            try:
+                yield pixels_of(r, raster)
+            except Exception as e:
+                env.tolerated(e, missing, url, "reading")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, raster, n = None, None, 0
+        last, raster, data, n = None, None, None, 0
         held: list[list[np.ndarray]] = []
 
         def gathered() -> pa.RecordBatch:
@@ -332,25 +394,25 @@ def scan(s: Scan) -> DataFrame:
             return out
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["url"] != last:
-                    last = r["url"]
+            at = 0
+            for url, same in itertools.groupby(batch.column("url").to_pylist()):
+                begin, at = at, at + sum(1 for _ in same)
+                if url != last:
+                    last, raster, data = url, None, None
                     try:
                         raster = reader(last, {**options.for_open(), **options.for_read()})
                     except Exception as e:
                         env.tolerated(e, missing, last, "opening")
-                        raster = None
+                    else:
+                        data = whole(raster)
                 if raster is None:
                     continue
-                try:
-                    held.append(pixels_of(r, raster))
-                except Exception as e:
-                    env.tolerated(e, missing, last, "reading")
-                    continue
-                n += len(held[-1][0])
-                if n >= BATCH:
-                    yield gathered()
-                    n = 0
+                for some in found(batch.slice(begin, at - begin), raster, data, url):
+                    held.append(some)
+                    n += len(some[0])
+                    if n >= BATCH:
+                        yield gathered()
+                        n = 0
         if n:
             yield gathered()
 
