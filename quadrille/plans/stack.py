@@ -31,6 +31,8 @@ CHUNK_ROWS = 8
 BROADCAST_ITEMS = 500_000
 #: Pixels in a batch that a task hands on.
 BATCH = 1 << 16
+#: Pixels that a task aggregates, about.
+PIXELS = 1 << 20
 #: Rasters of at most so many pixels are read whole, and all their cells in a batch are looked up together.
 SMALL = 1 << 14
 #: Rasters of these kinds have no reader here.
@@ -78,6 +80,13 @@ class Scan:
         parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return d.repartition(parts, "url", F.floor(F.col("cy") / CHUNK_ROWS)).sortWithinPartitions("url", "cy", "cx")
 
+    def parts(self) -> int:
+        """So many partitions that none gets more than PIXELS pixels, by the cells' windows."""
+        y0, x0, y1, x1 = self.part
+        side = lambda at, n, low, high: F.greatest(F.lit(0.0), F.least(F.col(at) + F.col(n), F.lit(float(high))) - F.greatest(F.col(at), F.lit(float(low))))
+        n = self.cells.agg(F.sum(side("row_off", "h", y0, y1) * side("col_off", "w", x0, x1))).head()[0] or 0.0
+        return max(int(self.cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n // PIXELS) + 1)
+
     def pixels(self) -> DataFrame:
         return scan(self)
 
@@ -174,7 +183,11 @@ class Stack:
         return reduce.resample(self.labelled(), rule, how, by, time="time", gaps=gaps)
 
     def ratio(self, a: str, b: str) -> DataFrame:
-        wide = joins.align_bands(self.labelled(), ["time_idx", "iy", "ix"], {a: "_a", b: "_b"}, how=F.max)
+        by = ["time_idx", "iy", "ix"]
+        px = self.pixels.join(F.broadcast(self.band_dim.select("band_idx", "band")), "band_idx")
+        if isinstance(self.source, Scan):  # about one row a group: Spark would join partitions by their compressed size
+            px = px.repartition(self.source.parts(), *by)
+        wide = joins.align_bands(px, by, {a: "_a", b: "_b"}, how=F.max)
         return wide.select("time_idx", "iy", "ix", values.ratio(F.col("_a"), F.col("_b")).alias("v"))
 
     def layers(self) -> DataFrame:
