@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,13 +49,14 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(rows: DataFrame, order: Sequence[Column], index: str) -> DataFrame:
+def numbered(rows: DataFrame, order: Sequence[Column], index: str, then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Numbers rows from 0 on in a total order: range partitions are sorted on their own, and counts make the offsets.
 
-    What is put in one task are the counts, one row a partition.
+    What is put in one task are the counts, one row a partition. Spark reads ``rows`` twice, first to find the ranges; what
+    is costly to make of each row by itself is better left to ``then``, which runs once, after the exchange.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).transform(then)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row within its partition
     rows = materialised(rows.withColumn("_part", F.spark_partition_id()).withColumn("_place", place))
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -93,7 +93,7 @@ def plan(
         raise ValueError(f"bounds {bounds} and bounds_latlon {bounds_latlon} are both given; one is enough")
     if resolution is not None and not isinstance(resolution, Sequence):
         resolution = (float(resolution), float(resolution))
-    rows = sources.ordered(sources.rows(spark, items), sortby_date)
+    rows = sources.ordered_rows(spark, items, sortby_date)
     if not rows.head(1):
         raise ValueError("No items")
     names = asset_ids(rows, assets)
