@@ -105,13 +105,15 @@ WORDWISE = {
 }
 #: That split for lower-case ASCII.
 ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Parts that a byte-level vocabulary spells as they are.
+AS_SPELLED = re.compile(rb"[!-~]+")
 
 
 class Encoder:
     """A tokenizer. With the steps in WORDWISE and added tokens that begin with ``<|``, a text's ids are those of its words.
 
-    Words are remembered, and ASCII words are split as the vocabulary splits them, so that their parts are, too; all
-    others go to the library whole. Any other vocabulary encodes every text in one piece.
+    Words are remembered, and ASCII words are split as the vocabulary splits them, so that their parts are, too, and go to
+    the library's merges without its other steps, which would leave them as they are; all others go to the library whole. Any other vocabulary encodes every text in one piece.
     """
 
     def __init__(self, path: str):
@@ -123,12 +125,18 @@ class Encoder:
         self.kind = "H" if self.width == 2 else "I"
         steps = json.loads(self.tokenizer.to_str())
         self.wordwise = all(steps[k] == v for k, v in WORDWISE.items()) and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in steps["added_tokens"])
-        self.parts = Recent(self.whole, 2 * REMEMBERED)
+        self.model = self.tokenizer.model
+        self.parts = Recent(self.part, 2 * REMEMBERED)
         self.words = Recent(self.word, REMEMBERED)
 
     def whole(self, text: bytes) -> bytes:
         return array.array(self.kind, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
+    def part(self, part: bytes) -> bytes:
+        if not AS_SPELLED.fullmatch(part):
+            return self.whole(part)
+        return array.array(self.kind, [t.id for t in self.model.tokenize(part.decode())]).tobytes()
+
     def word(self, word: bytes) -> bytes:
         if not word.isascii() or b"<|" in word:
             return self.whole(word)

@@ -69,3 +69,14 @@ def test_records_come_in_any_order(spark):
 
 def test_empty_table(spark):
     assert tr.report(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_parts_of_ascii_words_go_to_the_merges_alone():
+    """op4's check in round 4: a call of all of the library's steps for each part took most of the time."""
+    e, t = tr.Encoder(tr.vocabulary_path()), tokenizers.Tokenizer.from_file(tr.vocabulary_path())
+    calls, whole = [], e.whole
+    e.whole = lambda text: calls.append(text) or whole(text)
+    text = "Don't stop-it: 42 words, (all) of ASCII! <b>~x~</b>"
+    assert np.frombuffer(e.encode(text.encode()), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids and calls == []
+    odd = "a\x7fb \x01 é"
+    assert np.frombuffer(e.encode(odd.encode()), "<u2").tolist() == t.encode(odd, add_special_tokens=False).ids
