@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import media
-from .frames import numbered
+from .frames import materialised, numbered
 
 EO_BANDS = "array<struct<name:string,common_name:string,description:string,center_wavelength:double,full_width_half_max:double>>"
 
@@ -44,15 +44,32 @@ def reindex(rows: DataFrame, label: str, index: str, order: str | None = None) -
     return rows.join(numbered(axis, [F.col("_o")], index).drop("_o"), label)
 
 
+#: Rows of fields that are dealt to one partition, as the keys of a hash table.
+ROWS = 1 << 20
+
+
+def field_values(fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Long fields (key, value) -> key, _n, _nn, _v, _w: rows, values, least and greatest value.
+
+    Equal values are counted first, by hash: the least and greatest text take a sort, of what is left after that.
+    """
+    f = fields.groupBy(*by, "key", "value").agg(F.count(F.lit(1)).alias("_n"))
+    known = F.when(F.col("value").isNotNull(), F.col("_n")).otherwise(F.lit(0))
+    return f.groupBy(*by, "key").agg(F.sum("_n").alias("_n"), F.sum(known).alias("_nn"), F.min("value").alias("_v"), F.max("value").alias("_w"))
+
+
 def constants(fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Long fields (item, key, value) -> key, is_constant, value: whether every item has the field with one value.
 
-    Fields are dealt out once, by item; the items and the items of each key are then counted without another exchange.
+    Rows are dealt out by item to find the items of each key; values need no exchange of all rows. The number of partitions
+    grows with the rows: Spark would join partitions by their compressed size, and these rows are much larger in memory.
     """
-    dealt = fields.repartition(*by, "item")
+    f = materialised(field_values(fields, by))  # one row a field
+    rows = f.agg(F.sum("_n")).head()[0] or 0
+    dealt = fields.repartition(max(fields.sparkSession.sparkContext.defaultParallelism, rows // ROWS + 1), *by, "item")
     items = dealt.select(*by, "item").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_items"))
-    f = dealt.groupBy(*by, "item", "key").agg(F.count(F.lit(1)).alias("_n"), F.count("value").alias("_nn"), F.min("value").alias("_v"), F.max("value").alias("_w"))
-    f = f.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("_have"), F.sum("_n").alias("_n"), F.sum("_nn").alias("_nn"), F.min("_v").alias("_v"), F.max("_w").alias("_w"))
+    have = dealt.select(*by, "item", "key").distinct().groupBy(*by, "key").agg(F.count(F.lit(1)).alias("_have"))
+    f = f.unionByName(have, allowMissingColumns=True).groupBy(*by, "key").agg(*[F.max(c).alias(c) for c in ("_have", "_n", "_nn", "_v", "_w")])
     f = f.join(items, list(by)) if by else f.crossJoin(F.broadcast(items))  # one row
     every, one, none = F.col("_have") == F.col("_items"), (F.col("_v") == F.col("_w")) & (F.col("_nn") == F.col("_n")), F.col("_nn") == 0
     one = F.coalesce(one, F.lit(False))
@@ -61,8 +78,7 @@ def constants(fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def all_same(fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Fields that are equal in every item that has them; an explicit null or another value drops the field."""
-    f = fields.groupBy(*by, "key").agg(F.max("value").alias("_w"), F.bool_and(F.col("value").isNotNull()).alias("_ok"), F.min("value").alias("value"))
-    return f.filter("value = _w AND _ok").drop("_w", "_ok")
+    return field_values(fields, by).filter("_v = _w AND _nn = _n").select(*by, "key", F.col("_v").alias("value"))
 
 
 def eo_band(text: Column) -> Column:
