@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -59,6 +60,10 @@ MODIS = 100001
 SYSTEMS[MODIS] = ("sinusoidal", 6371007.181, 0.0)
 
 
+#: From some values to others.
+Step = Callable[..., tuple]
+
+
 class Ellipsoid:
     def __init__(self, flat: float):
         self.e2 = e2 = flat * (2 - flat)
@@ -243,25 +248,43 @@ class Transverse:
         chi = math.asin(math.tanh(math.atanh(s) - self.ell.e * math.atanh(self.ell.e * s)))
         self.origin = chi + sum(a * math.sin(2 * j * chi) for j, a in enumerate(self.there, 1))
 
+    def there_by(self, m) -> list[Step]:
+        e = self.ell.e
+
+        def series(xi, eta):
+            east, north = eta, xi - self.origin
+            for j, a in enumerate(self.there, 1):
+                east = east + m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * a
+                north = north + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * a
+            return east * self.unit + self.east0, north * self.unit + self.north0
+
+        return [
+            lambda lon, lat: (m.sin(m.radians(lat)), m.radians(nearest_turn(m, lon - self.lon0))),
+            lambda s, d: (m.sinh(m.arctanh(s) - m.arctanh(s * e) * e), d),
+            lambda t, d: (m.arctan2(t, m.cos(d)), m.arctanh(m.sin(d) / m.sqrt(t * t + 1))),
+            series,
+        ]
+
+    def back_by(self, m) -> list[Step]:
+        def series(xi, eta):
+            p, q = xi, eta
+            for j, b in enumerate(self.here, 1):
+                p = p - m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * b
+                q = q - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
+            return p, q
+
+        return [
+            lambda x, y: ((y - self.north0) / self.unit + self.origin, (x - self.east0) / self.unit),
+            series,
+            lambda p, q: (p, q, m.arcsin(m.sin(p) / m.cosh(q))),
+            lambda p, q, chi: (m.degrees(m.arctan2(m.sinh(q), m.cos(p))) + self.lon0, m.degrees(self.ell.series(m, chi, self.ell.conformal))),
+        ]
+
     def forward(self, m, lon, lat):
-        s, e = m.sin(m.radians(lat)), self.ell.e
-        t = m.sinh(m.arctanh(s) - m.arctanh(s * e) * e)
-        d = m.radians(nearest_turn(m, lon - self.lon0))
-        xi, eta = m.arctan2(t, m.cos(d)), m.arctanh(m.sin(d) / m.sqrt(t * t + 1))
-        east, north = eta, xi - self.origin
-        for j, a in enumerate(self.there, 1):
-            east = east + m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * a
-            north = north + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * a
-        return east * self.unit + self.east0, north * self.unit + self.north0
+        return in_turn((lon, lat), self.there_by(m))
 
     def back(self, m, x, y):
-        xi, eta = (y - self.north0) / self.unit + self.origin, (x - self.east0) / self.unit
-        p, q = xi, eta
-        for j, b in enumerate(self.here, 1):
-            p = p - m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * b
-            q = q - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
-        chi = m.arcsin(m.sin(p) / m.cosh(q))
-        return m.degrees(m.arctan2(m.sinh(q), m.cos(p))) + self.lon0, m.degrees(self.ell.series(m, chi, self.ell.conformal))
+        return in_turn((x, y), self.back_by(m))
 
 
 @dataclass
@@ -295,48 +318,71 @@ def helmert(p: tuple, datum: tuple, inverse: bool = False) -> tuple:
     return (x, y, z) if inverse else (x + dx, y + dy, z + dz)
 
 
+def geocentric_by(m, shape: tuple[float, float]) -> list[Step]:
+    axis, flat = shape
+    e2 = flat * (2 - flat)
+    return [
+        lambda lon, lat: (m.radians(lon), m.sin(m.radians(lat)), m.cos(m.radians(lat))),
+        lambda lam, s, c: (lam, s, c, axis / m.sqrt(1 - s * s * e2)),
+        lambda lam, s, c, r: (r * c * m.cos(lam), r * c * m.sin(lam), r * s * (1 - e2)),
+    ]
+
+
 def geocentric(m, lon, lat, shape: tuple[float, float]) -> tuple:
     """Metres from the centre of a point on the ellipsoid."""
+    return in_turn((lon, lat), geocentric_by(m, shape))
+
+
+def geodetic_by(m, shape: tuple[float, float]) -> list[Step]:
     axis, flat = shape
-    e2 = flat * (2 - flat)
-    lam, phi = m.radians(lon), m.radians(lat)
-    r = axis / m.sqrt(1 - m.sin(phi) * m.sin(phi) * e2)
-    return r * m.cos(phi) * m.cos(lam), r * m.cos(phi) * m.sin(lam), r * m.sin(phi) * (1 - e2)
+    e2, b = flat * (2 - flat), axis * (1 - flat)
+    return [
+        lambda x, y, z: (m.arctan2(y, x), z, m.sqrt(x * x + y * y)),
+        lambda lam, z, p: (lam, z, p, m.arctan2(z * axis, p * b)),
+        lambda lam, z, p, beta: (lam, z, p, m.sin(beta), m.cos(beta)),
+        lambda lam, z, p, s, c: (m.degrees(lam), m.degrees(m.arctan2(z + s * s * s * (b * e2 / (1 - e2)), p - c * c * c * (axis * e2)))),
+    ]
 
 
 def geodetic(m, x, y, z, shape: tuple[float, float]) -> tuple:
     """lon, lat of a geocentric point, by the parametric latitude; exact to far below a millimetre near the ground."""
-    axis, flat = shape
-    e2, b = flat * (2 - flat), axis * (1 - flat)
-    p = m.sqrt(x * x + y * y)
-    beta = m.arctan2(z * axis, p * b)
-    s, c = m.sin(beta), m.cos(beta)
-    return m.degrees(m.arctan2(y, x)), m.degrees(m.arctan2(z + s * s * s * (b * e2 / (1 - e2)), p - c * c * c * (axis * e2)))
+    return in_turn((x, y, z), geodetic_by(m, shape))
 
 
-def between(m, lon, lat, datum: tuple, shape: tuple[float, float], to_wgs84: bool) -> tuple:
+def between_by(m, datum: tuple, shape: tuple[float, float], to_wgs84: bool) -> list[Step]:
     """A point on the ground in the other datum. Heights above the ellipsoids are taken for 0."""
     a, b = (shape, (A, WGS84)) if to_wgs84 else ((A, WGS84), shape)
-    return geodetic(m, *helmert(geocentric(m, lon, lat, a), datum, inverse=not to_wgs84), b)
+    return [*geocentric_by(m, a), lambda x, y, z: helmert((x, y, z), datum, inverse=not to_wgs84), *geodetic_by(m, b)]
 
 
-def chain(x, y, *steps):
-    """Steps from pairs to pairs. Of columns, each step is in the plan once, as the body of a function of its argument."""
-    if not isinstance(x, Column):
-        for step in steps:
-            x, y = step(x, y)
-        return x, y
+def in_turn(values: tuple, steps: Sequence[Step]) -> tuple:
+    for step in steps:
+        values = step(*values)
+    return values
 
-    def pair(x, y):
-        return F.struct(x.alias("x"), y.alias("y"))
 
-    def body(step):
-        return lambda p: pair(*step(p["x"], p["y"]))
+def chain(values: tuple, steps: Sequence[Step]) -> tuple:
+    """Steps from values to values. Of columns, each step is in the plan once, as the body of a function of its argument.
 
-    out = F.array(pair(x, y))
+    Within a step, what is used twice is in the plan and made twice; a step should make what the next one uses often.
+    """
+    if not isinstance(values[0], Column):
+        return in_turn(values, steps)
+
+    def held(values: tuple) -> Column:
+        return F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+
+    out, width = F.array(held(values)), len(values)
     for step in steps:
-        out = F.transform(out, body(step))
-    return out[0]["x"], out[0]["y"]
+
+        def body(p: Column) -> Column:
+            nonlocal width
+            values = step(*[p[f"v{i}"] for i in range(width)])  # noqa: B023
+            width = len(values)
+            return held(values)
+
+        out = F.transform(out, body)
+    return tuple(out[0][f"v{i}"] for i in range(width))
 
 
 @dataclass
@@ -347,11 +393,11 @@ class Shifted:
 
     def forward(self, m, lon, lat):
         i = self.inner
-        return chain(lon, lat, lambda a, b: between(m, a, b, i.datum, i.shape, False), lambda a, b: i.forward(m, a, b))
+        return chain((lon, lat), [*between_by(m, i.datum, i.shape, False), *i.there_by(m)])
 
     def back(self, m, x, y):
         i = self.inner
-        return chain(x, y, lambda a, b: i.back(m, a, b), lambda a, b: between(m, a, b, i.datum, i.shape, True))
+        return chain((x, y), [*i.back_by(m), *between_by(m, i.datum, i.shape, True)])
 
 
 KINDS = {"azimuthal": Azimuthal, "conical": Conical, "polar": Polar, "conformal": Conformal, "transverse": Transverse, "sinusoidal": Sinusoidal}
