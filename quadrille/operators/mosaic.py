@@ -84,10 +84,22 @@ class Layered:
         return bool(self.layer.min() > highest and not np.isnan(self.v).any())
 
 
+#: Pixels of blocks that layers dealt to one partition come to.
+LAYERED_PIXELS = 1 << 26
 #: Bytes of blocks that a task merges before it hands them on.
 MERGED_BYTES = 128 << 20
 
 
+def dealt_layers(layers: DataFrame, by: Sequence[str], order: str, pixels: int) -> DataFrame:
+    """Layers that their blocks (of so many pixels) aren't read of yet, dealt out for it by ranges of group and order.
+
+    A file of small rows is one task, whatever their blocks come to. Partitions get LAYERED_PIXELS at most, or fewer if there
+    are cores for more; as each has few groups, `mosaic_blocks` hands on about one row a partition and one a group.
+    """
+    parts = max(layers.sparkSession.sparkContext.defaultParallelism, layers.count() * pixels // LAYERED_PIXELS + 1)
+    return layers.repartitionByRange(parts, *by, order)
+
+
 def mosaic_blocks(blocks: DataFrame, by: Sequence[str], order: str, data: str = "data", reverse: bool = False) -> DataFrame:
     """Blocks stay blocks: of the arrays of each group of ``by``, every pixel's valid value that is last by ``order``.
 

@@ -466,7 +466,8 @@ def block_mosaic_256(s, d):
     begin = (k * 4099 % 65536).cast("int")
     data = F.concat(F.array_repeat(F.lit(None).cast("double"), begin), F.sequence(k * 7 + begin, k * 7 + 65535).cast("array<double>"))
     data = F.when(k % 17 != 3, data)
-    blocks_ = table(s, d, "supplier").select(F.col("s_nationkey").alias("band"), k.alias("k"), data.alias("data"))
+    few = mosaic.dealt_layers(table(s, d, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"], "s_suppkey", 65536)
+    blocks_ = few.select(F.col("s_nationkey").alias("band"), k.alias("k"), data.alias("data"))
     px = mosaic.mosaic_blocks(blocks_, ["band"], "k").select("band", F.posexplode("data").alias("p", "v")).filter("v IS NOT NULL")
     return px.groupBy("band").agg(F.count(F.lit(1)).alias("n_valid"), F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("p") % 97)).alias("weighed"))
 
